@@ -16,15 +16,19 @@ from sightline.functions.bits import (
     similarity_pct,
 )
 from sightline.operators.hashes import ALGORITHMS, signature_bits
+from sightline.plans.search import SearchConfig, batch_search, search
 
 __all__ = [
     "ALGORITHMS",
+    "SearchConfig",
+    "batch_search",
     "bits_to_hex",
     "hamming",
     "hamming_to_literal",
     "hex_to_bits",
     "max_distance",
     "pack_bits",
+    "search",
     "signature_bits",
     "similarity_pct",
 ]

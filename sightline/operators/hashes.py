@@ -56,7 +56,7 @@ def difference_flags(grid: Column, k: int, side_h: int, side_w: int) -> Column:
 
     def bit(b: Column) -> Column:
         left = (F.floor(b / k) * w + b % k).cast("int")
-        return grid.getItem(left + 1) > grid.getItem(left)
+        return grid[left + 1] > grid[left]
 
     return F.transform(F.sequence(F.lit(0), F.lit(k * k - 1)), bit)
 
@@ -76,14 +76,14 @@ def perceptual_coefficients(grid: Column, k: int, n: int) -> Column:
         u = F.floor(q / n).cast("int")
         j = (q % n).cast("int")
         return F.aggregate(steps, F.lit(0.0),
-                           lambda acc, i: acc + basis.getItem(u * n + i) * grid.getItem(i * n + j))
+                           lambda acc, i: acc + basis[u * n + i] * grid[i * n + j])
 
     def block(t: Column) -> Column:
         def coef(b: Column) -> Column:
             u = F.floor(b / k).cast("int")
             v = (b % k).cast("int")
             return F.aggregate(steps, F.lit(0.0),
-                               lambda acc, j: acc + t.getItem(u * n + j) * basis.getItem(v * n + j))
+                               lambda acc, j: acc + t[u * n + j] * basis[v * n + j])
         return F.transform(F.sequence(F.lit(0), F.lit(k * k - 1)), coef)
 
     return let(F.transform(F.sequence(F.lit(0), F.lit(k * n - 1)), t_cell), block)
@@ -104,7 +104,7 @@ def wavelet_blocks(grid: Column, k: int, n: int) -> Column:
         cells = F.sequence(F.lit(0), F.lit(b * b - 1))
         return F.aggregate(
             cells, F.lit(0.0),
-            lambda acc, t: acc + grid.getItem((r0 + F.floor(t / b).cast("int")) * n + c0 + t % b))
+            lambda acc, t: acc + grid[(r0 + F.floor(t / b).cast("int")) * n + c0 + t % b])
 
     if b == 1:
         return grid

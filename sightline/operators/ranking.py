@@ -42,7 +42,7 @@ def number_rows(df: DataFrame, order: list[Column], by: list[str] | None = None,
     if not offsets:
         return fixed.withColumn(name, F.lit(None).cast("bigint")).limit(0)
     offset_of = F.array(*[F.lit(o).cast("bigint") for o in offsets])
-    numbered = tagged.withColumn("_gpos", offset_of.getItem(F.col("_pid")) + F.col("_pos"))
+    numbered = tagged.withColumn("_gpos", offset_of[F.col("_pid")] + F.col("_pos"))
     if not by:
         return numbered.withColumn(name, F.col("_gpos") + 1).drop("_pid", "_pos", "_gpos")
     starts = numbered.groupBy(*by).agg(F.min("_gpos").alias("_gstart"))
