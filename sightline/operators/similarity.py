@@ -5,13 +5,17 @@ is one bounded row, fetched once and inlined as literals, and the threshold
 becomes an integer bound on the distance (R7), so the search is a narrow
 filter fused into the scan's codegen stage.
 
-Many references against many candidates is a theta join.  When the reference
-side is counted and found small it is broadcast (nested loop, candidates
-stream without a shuffle).  Beyond that the join is banded: two signatures
-within ``r`` bits agree exactly on at least one of ``r + 1`` disjoint bands
-(pigeonhole), so an equi-join on (band, band value) finds every pair, a
-verify step applies the exact distance, and a pair is kept only on the first
-band it agrees on, which removes duplicates without another shuffle.
+Many references against many candidates is a theta join, planned by size:
+
+* broadcast — the reference side is counted and found small: it is broadcast
+  and the candidates stream past it without a shuffle (nested loop);
+* banded — two signatures within ``r`` bits agree exactly on at least one of
+  ``r + 1`` disjoint bands (pigeonhole), so an equi-join on (band, value)
+  finds every pair, a verify step applies the exact distance, and a pair is
+  kept only on the first band it agrees on (no dedup shuffle).  Used when
+  the bands are wide enough to select;
+* chunked — otherwise the references are cut into hash chunks whose counted
+  sizes fit a broadcast, one broadcast nested loop per chunk.
 """
 
 from __future__ import annotations
@@ -29,6 +33,9 @@ from sightline.functions.bits import (
 
 # Largest reference table broadcast to every task (rows, counted first).
 DEFAULT_MAX_BROADCAST_REFS = 200_000
+# Bands narrower than this select too weakly for the banded equi-join; the
+# reference table is then cut into broadcastable chunks instead.
+MIN_BAND_BITS = 8
 
 
 def score_against(candidates: DataFrame, ref_words: list[int], n_bits: int,
@@ -88,11 +95,13 @@ def pair_search(refs: DataFrame, candidates: DataFrame, n_bits: int, threshold:
                 ref_key: str, cand_key: str, *, bits: str = "bits",
                 size: str | None = None, size_tolerance_pct: float | None = None,
                 exclude_self: bool = True,
-                max_broadcast_refs: int = DEFAULT_MAX_BROADCAST_REFS) -> DataFrame:
+                max_broadcast_refs: int = DEFAULT_MAX_BROADCAST_REFS,
+                strategy: str | None = None) -> DataFrame:
     """All (reference, candidate) pairs within the threshold.
 
     Returns ``reference, candidate, distance, similarity_pct`` plus
     ``file_size`` when ``size`` names the candidates' size column.
+    ``strategy`` ('broadcast', 'banded', 'chunked') overrides the choice.
     """
     d_max = max_distance(threshold, n_bits)
     r_cols = [F.col(ref_key).alias("reference"), F.col(bits).alias("_rbits")]
@@ -115,12 +124,25 @@ def pair_search(refs: DataFrame, candidates: DataFrame, n_bits: int, threshold:
         return cond
 
     dist = hamming(F.col("_rbits"), F.col("_cbits"), n_bits)
-    if d_max < 0:
-        joined = c.join(r.limit(0), how="cross")
-    elif refs.count() <= max_broadcast_refs:
-        joined = c.join(F.broadcast(r), (dist <= d_max) & extra_conditions(), "inner")
-    else:
+    cond = (dist <= d_max) & extra_conditions()
+    n_refs = r.count() if d_max >= 0 else 0
+    if strategy is None:
+        if n_refs <= max_broadcast_refs:
+            strategy = "broadcast"
+        elif d_max < n_bits and n_bits // (d_max + 1) >= MIN_BAND_BITS:
+            strategy = "banded"
+        else:
+            strategy = "chunked"
+    if d_max < 0 or n_refs == 0:
+        joined = c.join(F.broadcast(r), F.lit(False), "inner")
+    elif strategy == "broadcast":
+        joined = c.join(F.broadcast(r), cond, "inner")
+    elif strategy == "banded":
         joined = _banded_join(r, c, n_bits, d_max).where(extra_conditions())
+    elif strategy == "chunked":
+        joined = _chunked_broadcast_join(r, c, cond, n_refs, max(1, max_broadcast_refs))
+    else:
+        raise ValueError(f"unknown join strategy {strategy!r}")
     out = (joined.withColumn("distance", dist)
                  .withColumn("similarity_pct", similarity_pct(F.col("distance"), n_bits)))
     cols = ["reference", "candidate", "distance", "similarity_pct"]
@@ -129,6 +151,29 @@ def pair_search(refs: DataFrame, candidates: DataFrame, n_bits: int, threshold:
     return out.select(*cols)
 
 
+def _chunked_broadcast_join(r: DataFrame, c: DataFrame, cond: Column, n_refs: int,
+                            max_rows: int) -> DataFrame:
+    """Block nested loop: references cut by hash into chunks whose sizes are
+    counted to be at most ``max_rows``; each chunk is broadcast against the
+    candidates and the results are unioned.  Exact, and no task holds more
+    than one chunk."""
+    chunks = -(-n_refs // max_rows)
+    for _ in range(16):
+        tagged = r.withColumn("_chunk", F.pmod(F.xxhash64("reference", "_rbits"), F.lit(chunks)))
+        biggest = tagged.groupBy("_chunk").count().agg(F.max("count")).first()[0] or 0
+        if biggest <= max_rows:
+            break
+        chunks *= 2
+    else:
+        raise ValueError("references repeat too often to be cut into broadcastable chunks")
+    parts = [c.join(F.broadcast(tagged.where(F.col("_chunk") == i).drop("_chunk")), cond, "inner")
+             for i in range(chunks)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def _banded_join(r: DataFrame, c: DataFrame, n_bits: int, d_max: int) -> DataFrame:
     layout = band_layout(n_bits, d_max)
 

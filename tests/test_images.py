@@ -102,9 +102,9 @@ def test_batch_search_pairs(spark, tmp_path):
     pairs = batch_search(spark, str(refs), str(root), cfg).collect()
     got = {(os.path.basename(r["reference"]), os.path.basename(r["candidate"]), r["rank"]) for r in pairs}
     assert got == {("a.png", "a_copy.png", 1), ("b.png", "b_copy.png", 1)}
-    banded = batch_search(spark, str(refs), str(root),
-                          SearchConfig(size_tolerance_pct=None, max_broadcast_refs=0)).collect()
-    assert sorted(map(tuple, banded)) == sorted(map(tuple, pairs))
+    chunked = batch_search(spark, str(refs), str(root),
+                           SearchConfig(size_tolerance_pct=None, max_broadcast_refs=1)).collect()
+    assert sorted(map(tuple, chunked)) == sorted(map(tuple, pairs))
 
 
 def test_luminance_and_resize_properties():
