@@ -6,8 +6,8 @@ Plan of ``search``:
 1. hash the reference (one row, fetched once; failure -> ValueError)
 2. list the root without reading bytes, drop the reference and files outside
    the size window (pushed to the file index)
-3. split the candidates into store hits (size and mtime unchanged) and
-   misses with one join each against the newest stored rows
+3. one left join against the newest stored rows splits the candidates into
+   store hits (size and mtime unchanged) and misses
 4. decode and hash the misses only; with few misses their paths are handed
    to the image reader, with many the filtered root is decoded in one scan
 5. checkpoint the fresh signatures (decoding runs once), append the
@@ -111,7 +111,9 @@ def _decode_misses(spark: SparkSession, root: str, to_hash: DataFrame,
     else:
         pics = read_images(spark, root, extensions=cfg.extensions).where(candidates)
         pics = pics.join(to_hash.select("file_uri"), "file_uri", "left_semi")
-    return _signatures_of(pics.repartition(max(1, min(n, spark.sparkContext.defaultParallelism * 4))), cfg)
+    # no repartition here: it would shuffle decoded pixels; decode work is
+    # spread by the scan's file splits
+    return _signatures_of(pics, cfg)
 
 
 
@@ -137,9 +139,12 @@ def search(spark: SparkSession, reference: str, root: str,
     if cfg.store_path and cfg.reuse_signatures:
         stored = store.read_signatures(spark, cfg.store_path, cfg.algorithm, cfg.hash_size)
     if stored is not None:
-        from_store = store.hits(candidates, stored, ["file_uri"]).select(
-            "file_uri", "size", "mtime", "bits")
-        to_hash = store.misses(candidates, stored, ["file_uri"])
+        # one join against the store, fixed once; hits and misses read it
+        looked = store.lookup(candidates, stored.select("file_uri", "size", "mtime", "bits"),
+                              ["file_uri"]).checkpoint(eager=True)
+        from_store = looked.where(F.col("status") == "hit").select(
+            "file_uri", "size", "mtime", F.col("stored_bits").alias("bits"))
+        to_hash = looked.where(F.col("status") != "hit").select("file_uri", "size", "mtime")
     else:
         from_store, to_hash = None, candidates
 

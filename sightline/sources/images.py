@@ -41,7 +41,7 @@ IMAGE_STRUCT = T.StructType([
 IMAGE_SCHEMA = T.StructType([T.StructField("image", IMAGE_STRUCT, True)])
 
 # Decoded pictures per Arrow batch sent to the grid UDF.
-ROWS_PER_BATCH = 16
+ROWS_PER_BATCH = 8
 
 _PRECISION_BITS = 22  # 32 - 8 - 2, fixed-point weight precision for 8-bit data
 _LANCZOS_SUPPORT = 3.0
