@@ -159,21 +159,35 @@ def validate_hash_size(algorithm: str, hash_size: int) -> None:
         raise ValueError(f"wavelet hash size must be a power of two, got {hash_size}")
 
 
+# Algorithms whose grid may arrive already reduced to the k x k values that
+# are compared with their median (DCT block, Haar LL band).
+MEDIAN_ALGORITHMS = ("perceptual", "wavelet")
+
+
 def signature_bits(grid: Column, algorithm: str, hash_size: int,
-                   side_h: int, side_w: int) -> Column:
-    """Grid -> packed signature words (``hash_size**2`` bits)."""
+                   side_h: int, side_w: int, reduced: bool = False) -> Column:
+    """Grid -> packed signature words (``hash_size**2`` bits).  With
+    ``reduced`` the grid already holds the ``k x k`` values a perceptual or
+    wavelet hash compares with their median."""
     validate_hash_size(algorithm, hash_size)
-    flags = get_algorithm(algorithm).flags(grid, hash_size, side_h, side_w)
+    if reduced:
+        if algorithm not in MEDIAN_ALGORITHMS or (side_h, side_w) != (hash_size, hash_size):
+            raise ValueError(f"a reduced grid must be {hash_size}x{hash_size} for "
+                             f"{MEDIAN_ALGORITHMS}")
+        flags = _above_median(grid, hash_size * hash_size)
+    else:
+        flags = get_algorithm(algorithm).flags(grid, hash_size, side_h, side_w)
     return pack_bits(flags, hash_size * hash_size)
 
 
 def with_signature(df: DataFrame, grid_col: str, algorithm: str, hash_size: int,
-                   side_h: int, side_w: int) -> DataFrame:
+                   side_h: int, side_w: int, reduced: bool = False) -> DataFrame:
     """Add ``bits``, ``hash_hex``, ``n_bits``, ``algorithm``, ``hash_size``
     (H6).  Rows whose grid is NULL (undecodable pictures) get NULL bits."""
     n_bits = hash_size * hash_size
     grid = F.col(grid_col)
-    bits = F.when(grid.isNotNull(), signature_bits(grid, algorithm, hash_size, side_h, side_w))
+    bits = F.when(grid.isNotNull(),
+                  signature_bits(grid, algorithm, hash_size, side_h, side_w, reduced))
     return (df.withColumn("bits", bits)
               .withColumn("hash_hex", bits_to_hex(F.col("bits"), n_bits))
               .withColumn("n_bits", F.lit(n_bits))

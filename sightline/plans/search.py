@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from sightline.functions.bits import hamming_to_literal, max_distance
 from sightline.functions.text import IMAGE_EXTENSIONS
 from sightline.operators import store
-from sightline.operators.hashes import validate_hash_size, with_signature
+from sightline.operators.hashes import validate_hash_size
 from sightline.operators.ranking import number_rows
 from sightline.operators.report import search_stats
 from sightline.operators.similarity import (
@@ -38,7 +38,7 @@ from sightline.operators.similarity import (
 )
 from sightline.session import ensure_checkpoint_dir
 from sightline.sources.files import candidate_filter, list_files, path_kind
-from sightline.sources.images import ROWS_PER_BATCH, read_images, with_grid
+from sightline.sources.images import read_images, with_picture_signature
 
 
 @dataclass
@@ -75,8 +75,7 @@ def _local_path(uri: str) -> str:
 
 
 def _signatures_of(images: DataFrame, cfg: SearchConfig) -> DataFrame:
-    grid, side_h, side_w = with_grid(images, cfg.algorithm, cfg.hash_size)
-    return with_signature(grid, "grid", cfg.algorithm, cfg.hash_size, side_h, side_w).drop("grid")
+    return with_picture_signature(images, cfg.algorithm, cfg.hash_size)
 
 
 def reference_signature(spark: SparkSession, reference: str, cfg: SearchConfig):
@@ -128,7 +127,6 @@ def search(spark: SparkSession, reference: str, root: str,
         raise FileNotFoundError(f"reference image not found: {reference}")
     if path_kind(spark, root) != "dir":
         raise FileNotFoundError(f"search directory not found: {root}")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
 
     ref_uri, ref_size, ref_bits = reference_signature(spark, reference, cfg)
     bounds = size_bounds(ref_size, cfg.size_tolerance_pct)
@@ -188,7 +186,6 @@ def batch_search(spark: SparkSession, references: str | list[str], root: str,
     reference keeps its own size window and never matches itself."""
     cfg = config or SearchConfig()
     ensure_checkpoint_dir(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
     refs = _signatures_of(read_images(spark, references, extensions=cfg.extensions), cfg)
     cands = _signatures_of(read_images(spark, root, extensions=cfg.extensions), cfg)
     refs = refs.select("file_uri", "size", "bits").checkpoint(eager=True)

@@ -27,7 +27,13 @@ from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from sightline.functions.text import IMAGE_EXTENSIONS, is_image_path
-from sightline.operators.hashes import get_algorithm, validate_hash_size
+from sightline.operators.hashes import (
+    MEDIAN_ALGORITHMS,
+    dct_basis,
+    get_algorithm,
+    validate_hash_size,
+    with_signature,
+)
 from sightline.session import ship_package
 
 IMAGE_STRUCT = T.StructType([
@@ -40,8 +46,10 @@ IMAGE_STRUCT = T.StructType([
 ])
 IMAGE_SCHEMA = T.StructType([T.StructField("image", IMAGE_STRUCT, True)])
 
-# Decoded pictures per Arrow batch sent to the grid UDF.
-ROWS_PER_BATCH = 8
+# Arrow batches into the grid UDF are cut by bytes (each row carries a whole
+# decoded picture): many thumbnails or a few large photos per batch.
+BATCH_BYTES = 64 << 20
+BATCH_ROWS = 1024
 
 _PRECISION_BITS = 22  # 32 - 8 - 2, fixed-point weight precision for 8-bit data
 _LANCZOS_SUPPORT = 3.0
@@ -163,28 +171,44 @@ def luminance(height: int, width: int, channels: int, data: bytes) -> np.ndarray
     return ((r * 19595 + g * 38470 + b * 7471 + 0x8000) >> 16).astype(np.uint8)
 
 
+@lru_cache(maxsize=64)
+def _dct_matrix(k: int, n: int) -> np.ndarray:
+    return np.array(dct_basis(k, n)).reshape(k, n)
+
+
 def picture_grid(height: int, width: int, channels: int, data: bytes,
                  algorithm: str, hash_size: int) -> list[float] | None:
-    """The grid an algorithm hashes, row-major; None when undecodable."""
+    """The grid an algorithm hashes, row-major; None when undecodable.
+    Perceptual and wavelet come back reduced to ``k x k`` (DCT low block,
+    Haar LL block sums): numpy does the heavy per-picture arithmetic."""
     if height is None or height <= 0 or width <= 0 or not data:
         return None
     lum = luminance(height, width, channels, data)
     rows, cols = get_algorithm(algorithm).grid_shape(hash_size, height, width)
     small = resize_luminance(lum, rows, cols).astype(np.float64)
     if algorithm == "wavelet":
-        # Haar LL band at hash_size x hash_size = block sums
         b = rows // hash_size
         small = small.reshape(hash_size, b, hash_size, b).sum(axis=(1, 3))
+    elif algorithm == "perceptual":
+        c = _dct_matrix(hash_size, rows)
+        small = c @ small @ c.T
     return small.ravel().tolist()
 
 
 def grid_side(algorithm: str, hash_size: int) -> tuple[int, int]:
-    """Shape of the grid column the UDF emits (wavelet emits block sums)."""
-    if algorithm == "wavelet":
+    """Shape of the grid column the UDF emits."""
+    if algorithm in MEDIAN_ALGORITHMS:
         return hash_size, hash_size
     return get_algorithm(algorithm).grid_shape(hash_size, 0, 0)
 
 
+def set_picture_batches(spark: SparkSession) -> None:
+    """Arrow batch limits for picture rows (session settings, read when a
+    plan runs)."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def grid_udf(algorithm: str, hash_size: int):
     validate_hash_size(algorithm, hash_size)
 
@@ -201,8 +225,17 @@ def grid_udf(algorithm: str, hash_size: int):
 def with_grid(images: DataFrame, algorithm: str, hash_size: int) -> tuple[DataFrame, int, int]:
     """Add ``grid`` (NULL for failed decodes); returns (df, side_h, side_w)."""
     ship_package(images.sparkSession)
+    set_picture_batches(images.sparkSession)
     udf = grid_udf(algorithm, hash_size)
     img = F.col("image")
     grid = udf(img.height, img.width, img.nChannels, img.data)
     side_h, side_w = grid_side(algorithm, hash_size)
     return images.withColumn("grid", grid).drop("image"), side_h, side_w
+
+
+def with_picture_signature(images: DataFrame, algorithm: str, hash_size: int) -> DataFrame:
+    """Pictures -> signature columns (S3 -> H5 -> H1..H4 -> F2), dropping the
+    pixels and the grid."""
+    grid, side_h, side_w = with_grid(images, algorithm, hash_size)
+    return with_signature(grid, "grid", algorithm, hash_size, side_h, side_w,
+                          reduced=algorithm in MEDIAN_ALGORITHMS).drop("grid")

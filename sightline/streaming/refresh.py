@@ -47,10 +47,8 @@ def start_refresh(signature_stream: DataFrame, store_path: str, checkpoint: str,
 def image_signature_stream(spark: SparkSession, root: str, algorithm: str, hash_size: int,
                            files_per_batch: int = 500) -> DataFrame:
     """Stream of signatures for pictures appearing under ``root``."""
-    from sightline.sources.images import image_stream, with_grid
-    pics = image_stream(spark, root, files_per_batch)
-    grid, side_h, side_w = with_grid(pics, algorithm, hash_size)
-    return with_signature(grid, "grid", algorithm, hash_size, side_h, side_w)
+    from sightline.sources.images import image_stream, with_picture_signature
+    return with_picture_signature(image_stream(spark, root, files_per_batch), algorithm, hash_size)
 
 
 def refresh_standin_signatures(spark: SparkSession, sf_dir: str,
