@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sightline.session import ensure_checkpoint_dir
+from sightline.session import ensure_checkpoint_dir, fix
 
 
 def number_rows(df: DataFrame, order: list[Column], by: list[str] | None = None,
@@ -27,7 +27,7 @@ def number_rows(df: DataFrame, order: list[Column], by: list[str] | None = None,
     keys = [F.col(c).asc() for c in by] + list(order)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-    fixed = ranged.checkpoint(eager=True)
+    fixed = fix(ranged)
 
     pid = F.spark_partition_id()
     tagged = (fixed.withColumn("_pid", pid)

@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 SIGNATURE_COLUMNS = ["file_uri", "size", "mtime", "hash_hex", "bits", "n_bits"]
+# Signature rows are ~100 bytes; this many per file keeps files near 100 MB.
+ROWS_PER_FILE = 1_000_000
 
 
 def latest_per_key(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
@@ -98,10 +100,15 @@ def read_signatures(spark: SparkSession, store: str, algorithm: str,
                           ["file_uri"], ["written_at"]).drop("written_at")
 
 
-def save_signatures(signatures: DataFrame, store: str, algorithm: str, hash_size: int) -> None:
+def save_signatures(signatures: DataFrame, store: str, algorithm: str, hash_size: int,
+                    rows: int | None = None) -> None:
     """Append hashed rows (only successful ones: failures are retried next
-    time) stamped with this write's time."""
+    time) stamped with this write's time.  With ``rows`` known the write is
+    narrowed to about one file per ``ROWS_PER_FILE`` rows (no shuffle), so
+    small searches do not leave a file per input split."""
     stamp = int(time.time() * 1_000_000)
+    if rows is not None:
+        signatures = signatures.coalesce(max(1, -(-int(rows) // ROWS_PER_FILE)))
     (signatures.where(F.col("bits").isNotNull())
         .select(*SIGNATURE_COLUMNS)
         .withColumn("written_at", F.lit(stamp).cast("bigint"))

@@ -8,8 +8,9 @@ Plan of ``search``:
    the size window (pushed to the file index)
 3. one left join against the newest stored rows splits the candidates into
    store hits (size and mtime unchanged) and misses
-4. decode and hash the misses only; with few misses their paths are handed
-   to the image reader, with many the filtered root is decoded in one scan
+4. decode and hash the misses only: with no hits the filtered root is decoded
+   in one scan; with few misses their paths are handed to the image reader;
+   with many, the filtered root is decoded and semi-joined to the misses
 5. checkpoint the fresh signatures (decoding runs once), append the
    successful ones to the store
 6. score everything against the reference as a literal, rank, count
@@ -36,7 +37,7 @@ from sightline.operators.similarity import (
     score_against,
     size_bounds,
 )
-from sightline.session import ensure_checkpoint_dir
+from sightline.session import ensure_checkpoint_dir, fix
 from sightline.sources.files import candidate_filter, list_files, path_kind
 from sightline.sources.images import read_images, with_picture_signature
 
@@ -100,8 +101,14 @@ def _listing(spark: SparkSession, root: str, cfg: SearchConfig) -> DataFrame:
 
 
 def _decode_misses(spark: SparkSession, root: str, to_hash: DataFrame,
-                   candidates: Column, cfg: SearchConfig) -> DataFrame | None:
-    n = to_hash.count()
+                   candidates: Column, cfg: SearchConfig, n_hits: int,
+                   n_misses: int | None) -> DataFrame | None:
+    if n_hits == 0:
+        # cold: every candidate is a miss, so the filtered root is decoded in
+        # one scan; the filters prune files before they are opened
+        pics = read_images(spark, root, extensions=cfg.extensions).where(candidates)
+        return _signatures_of(pics, cfg)
+    n = n_misses if n_misses is not None else to_hash.count()
     if n == 0:
         return None
     if n <= cfg.max_listed_misses:
@@ -138,19 +145,23 @@ def search(spark: SparkSession, reference: str, root: str,
         stored = store.read_signatures(spark, cfg.store_path, cfg.algorithm, cfg.hash_size)
     if stored is not None:
         # one join against the store, fixed once; hits and misses read it
-        looked = store.lookup(candidates, stored.select("file_uri", "size", "mtime", "bits"),
-                              ["file_uri"]).checkpoint(eager=True)
+        looked = fix(store.lookup(candidates, stored.select("file_uri", "size", "mtime", "bits"),
+                                  ["file_uri"]))
         from_store = looked.where(F.col("status") == "hit").select(
             "file_uri", "size", "mtime", F.col("stored_bits").alias("bits"))
         to_hash = looked.where(F.col("status") != "hit").select("file_uri", "size", "mtime")
+        tally = looked.agg(F.count_if(F.col("status") == "hit").alias("hits"),
+                           F.count_if(F.col("status") != "hit").alias("misses")).first()
+        n_hits, n_misses = tally["hits"], tally["misses"]
     else:
-        from_store, to_hash = None, candidates
+        from_store, to_hash, n_hits, n_misses = None, candidates, 0, None
 
-    fresh = _decode_misses(spark, root, to_hash, keep, cfg)
+    fresh = _decode_misses(spark, root, to_hash, keep, cfg, n_hits, n_misses)
     if fresh is not None:
-        fresh = fresh.select("file_uri", "size", "mtime", "bits", "hash_hex", "n_bits").checkpoint(eager=True)
+        fresh = fix(fresh.select("file_uri", "size", "mtime", "bits", "hash_hex", "n_bits"))
         if cfg.store_path and cfg.save_signatures:
-            store.save_signatures(fresh, cfg.store_path, cfg.algorithm, cfg.hash_size)
+            store.save_signatures(fresh, cfg.store_path, cfg.algorithm, cfg.hash_size,
+                                  rows=fresh.count())
         fresh = fresh.select("file_uri", "size", "mtime", "bits")
     parts = [p for p in (from_store, fresh) if p is not None]
     if parts:
@@ -188,8 +199,8 @@ def batch_search(spark: SparkSession, references: str | list[str], root: str,
     ensure_checkpoint_dir(spark)
     refs = _signatures_of(read_images(spark, references, extensions=cfg.extensions), cfg)
     cands = _signatures_of(read_images(spark, root, extensions=cfg.extensions), cfg)
-    refs = refs.select("file_uri", "size", "bits").checkpoint(eager=True)
-    cands = cands.select("file_uri", "size", "bits").checkpoint(eager=True)
+    refs = fix(refs.select("file_uri", "size", "bits"))
+    cands = fix(cands.select("file_uri", "size", "bits"))
     pairs = pair_search(refs, cands, cfg.n_bits, cfg.threshold, "file_uri", "file_uri",
                         size="size", size_tolerance_pct=cfg.size_tolerance_pct,
                         max_broadcast_refs=cfg.max_broadcast_refs)

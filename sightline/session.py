@@ -85,3 +85,20 @@ def ship_package(spark: SparkSession) -> None:
                     z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
     sc.addPyFile(archive)
     _SHIPPED.add(key)
+
+
+def fix(df):
+    """Checkpoint ``df`` to the shared checkpoint folder, computing it once.
+
+    A reliable checkpoint writes its files in a second job that would run
+    the plan again; persisting first lets that job read the cached blocks.
+    The cache is dropped once the files exist (lineage is cut, so a lost
+    executor re-reads the files, not the plan)."""
+    from pyspark import StorageLevel
+
+    ensure_checkpoint_dir(df.sparkSession)
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return cached.checkpoint(eager=True)
+    finally:
+        cached.unpersist()
