@@ -13,7 +13,9 @@ Many references against many candidates is a theta join, planned by size:
   ``r + 1`` disjoint bands (pigeonhole), so an equi-join on (band, value)
   finds every pair, a verify step applies the exact distance, and a pair is
   kept only on the first band it agrees on (no dedup shuffle).  Used when
-  the bands are wide enough to select;
+  the bands are wide enough to select.  Hot band values (a key held by very
+  many rows) are salted: split over several tasks on one side, copied on
+  the other;
 * chunked — otherwise the references are cut into hash chunks whose counted
   sizes fit a broadcast, one broadcast nested loop per chunk.
 """
@@ -36,6 +38,10 @@ DEFAULT_MAX_BROADCAST_REFS = 200_000
 # Bands narrower than this select too weakly for the banded equi-join; the
 # reference table is then cut into broadcastable chunks instead.
 MIN_BAND_BITS = 8
+# A (band, value) join key with more rows than this on one side is salted.
+HOT_BAND_ROWS = 100_000
+MAX_SALTS = 1024
+MAX_BROADCAST_HOT_KEYS = 1_000_000
 
 
 def score_against(candidates: DataFrame, ref_words: list[int], n_bits: int,
@@ -96,7 +102,7 @@ def pair_search(refs: DataFrame, candidates: DataFrame, n_bits: int, threshold:
                 size: str | None = None, size_tolerance_pct: float | None = None,
                 exclude_self: bool = True,
                 max_broadcast_refs: int = DEFAULT_MAX_BROADCAST_REFS,
-                strategy: str | None = None) -> DataFrame:
+                strategy: str | None = None, hot_band_rows: int = HOT_BAND_ROWS) -> DataFrame:
     """All (reference, candidate) pairs within the threshold.
 
     Returns ``reference, candidate, distance, similarity_pct`` plus
@@ -138,7 +144,7 @@ def pair_search(refs: DataFrame, candidates: DataFrame, n_bits: int, threshold:
     elif strategy == "broadcast":
         joined = c.join(F.broadcast(r), cond, "inner")
     elif strategy == "banded":
-        joined = _banded_join(r, c, n_bits, d_max).where(extra_conditions())
+        joined = _banded_join(r, c, n_bits, d_max, hot_band_rows).where(extra_conditions())
     elif strategy == "chunked":
         joined = _chunked_broadcast_join(r, c, cond, n_refs, max(1, max_broadcast_refs))
     else:
@@ -174,7 +180,8 @@ def _chunked_broadcast_join(r: DataFrame, c: DataFrame, cond: Column, n_refs: in
     return out
 
 
-def _banded_join(r: DataFrame, c: DataFrame, n_bits: int, d_max: int) -> DataFrame:
+def _banded_join(r: DataFrame, c: DataFrame, n_bits: int, d_max: int,
+                 hot_rows: int = HOT_BAND_ROWS) -> DataFrame:
     layout = band_layout(n_bits, d_max)
 
     def banded(df: DataFrame, bits: str) -> DataFrame:
@@ -185,12 +192,41 @@ def _banded_join(r: DataFrame, c: DataFrame, n_bits: int, d_max: int) -> DataFra
                   .withColumn("_band", F.col("_b.band"))
                   .withColumn("_value", F.col("_b.value")).drop("_b"))
 
-    rb = banded(r, "_rbits")
-    cb = banded(c, "_cbits").withColumnRenamed("_band", "_cband").withColumnRenamed("_value", "_cvalue")
-    pairs = cb.join(rb, (F.col("_cband") == F.col("_band")) & (F.col("_cvalue") == F.col("_value")))
+    key = ["_band", "_value"]
+    rb, cb = banded(r, "_rbits"), banded(c, "_cbits")
+    # Hot keys: a (band, value) held by more than ``hot_rows`` rows on either
+    # side.  The bigger side of such a key is split over ``_salts`` tasks by a
+    # hash of its row key and the other side is copied to each of them, so no
+    # task receives a whole hot group.  Counting aggregates map-side; the hot
+    # set has at most (rows x bands) / hot_rows keys and is counted before it
+    # is broadcast.
+    counts = (cb.groupBy(*key).agg(F.count(F.lit(1)).alias("_nc"))
+              .join(rb.groupBy(*key).agg(F.count(F.lit(1)).alias("_nr")), key, "full")
+              .na.fill(0, ["_nc", "_nr"]))
+    hot = (counts.where(F.greatest("_nc", "_nr") > hot_rows)
+           .withColumn("_salts", F.least(F.lit(MAX_SALTS), F.ceil(
+               F.greatest("_nc", "_nr") / F.lit(float(hot_rows)))).cast("int"))
+           .withColumn("_split_c", F.col("_nc") >= F.col("_nr"))
+           .select(*key, "_salts", "_split_c"))
+    n_hot = hot.count()
+    if n_hot:
+        hot_side = F.broadcast(hot) if n_hot <= MAX_BROADCAST_HOT_KEYS else hot
+
+        def salted(df: DataFrame, row_key: str, split_when: Column) -> DataFrame:
+            d = df.join(hot_side, key, "left")
+            split = F.pmod(F.xxhash64(row_key), F.col("_salts")).cast("int")
+            copies = F.sequence(F.lit(0), F.col("_salts") - 1)
+            salt = (F.when(F.col("_salts").isNull(), F.array(F.lit(0)))
+                     .when(split_when, F.array(split)).otherwise(copies))
+            return d.withColumn("_salt", F.explode(salt)).drop("_salts", "_split_c")
+
+        cb = salted(cb, "candidate", F.col("_split_c"))
+        rb = salted(rb, "reference", ~F.col("_split_c"))
+        key = key + ["_salt"]
+    pairs = cb.join(rb, key)
     pairs = pairs.where(hamming(F.col("_rbits"), F.col("_cbits"), n_bits) <= d_max)
     # keep each pair on the first band where both agree
     ls, rs = _bit_string(F.col("_rbits"), n_bits), _bit_string(F.col("_cbits"), n_bits)
     first = F.coalesce(*[F.when(F.substring(ls, st, ln) == F.substring(rs, st, ln), F.lit(i))
                          for i, (st, ln) in enumerate(layout)])
-    return pairs.where(first == F.col("_band")).drop("_band", "_value", "_cband", "_cvalue")
+    return pairs.where(first == F.col("_band")).drop(*key)
