@@ -45,7 +45,11 @@ def number_rows(df: DataFrame, order: list[Column], by: list[str] | None = None,
     numbered = tagged.withColumn("_gpos", offset_of[F.col("_pid")] + F.col("_pos"))
     if not by:
         return numbered.withColumn(name, F.col("_gpos") + 1).drop("_pid", "_pos", "_gpos")
-    starts = numbered.groupBy(*by).agg(F.min("_gpos").alias("_gstart"))
-    return (numbered.join(starts, by)
+    # Group starts, keyed by (partition, group): a hot group spans many
+    # partitions, so the join below gives no task more than one partition.
+    per_part = numbered.groupBy("_pid", *by).agg(F.min("_gpos").alias("_first"))
+    starts = per_part.groupBy(*by).agg(F.min("_first").alias("_gstart"))
+    keyed = per_part.join(starts, by).select("_pid", *by, "_gstart")
+    return (numbered.join(keyed, ["_pid", *by])
                     .withColumn(name, F.col("_gpos") - F.col("_gstart") + 1)
                     .drop("_pid", "_pos", "_gpos", "_gstart"))
