@@ -31,6 +31,23 @@ def search_stats(outcomes: DataFrame, ok: Column, matched: Column,
                                                                          F.lit(0.001)), 0)))
 
 
+def stats_report(stats: DataFrame) -> DataFrame:
+    """The counters as one text block (A2: time with 2 decimals, speed as a
+    whole number rounded half to even)."""
+    rule = "─" * 60
+    speed = F.bround(F.col("images_scanned") / F.greatest(F.col("elapsed_seconds"), F.lit(0.001)), 0)
+    return stats.select(F.concat(
+        F.lit(f"\n{rule}\n📊 Search Statistics\n{rule}\n"),
+        F.lit("  Image files found    : "), F.col("total_files").cast("string"),
+        F.lit("\n  Images processed     : "), F.col("images_scanned").cast("string"),
+        F.lit("\n  Images failed        : "), F.col("images_failed").cast("string"),
+        F.lit("\n  Matches found        : "), F.col("matches_found").cast("string"),
+        F.lit("\n  Total time           : "),
+        F.format_string("%.2f", F.bround(F.col("elapsed_seconds"), 2)), F.lit("s"),
+        F.lit("\n  Speed                : "), speed.cast("bigint").cast("string"),
+        F.lit(f" img/s\n{rule}")).alias("text"))
+
+
 def match_report(ranked: DataFrame) -> DataFrame:
     """``rank`` and the numbered text of each match."""
     line = match_line(F.col("candidate"), F.col("similarity_pct"), F.col("distance"),

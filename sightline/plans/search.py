@@ -38,7 +38,7 @@ from sightline.operators.similarity import (
     size_bounds,
 )
 from sightline.session import ensure_checkpoint_dir, fix
-from sightline.sources.files import candidate_filter, list_files, path_kind
+from sightline.sources.files import candidate_filter, list_files, path_kind, path_mtime
 from sightline.sources.images import read_images, with_picture_signature
 
 
@@ -66,6 +66,25 @@ class SearchConfig:
     def n_bits(self) -> int:
         return self.hash_size * self.hash_size
 
+    @classmethod
+    def preset(cls, name: str, **overrides) -> "SearchConfig":
+        """The three option bundles of the command-line tool:
+        'no-shortcuts' (no store read, still saves, relists, no size window),
+        'thorough' (store and listing reuse, no size window), 'medium'
+        (store and listing reuse, 50 % size window)."""
+        bundles = {
+            "no-shortcuts": dict(reuse_signatures=False, save_signatures=True,
+                                 reuse_inventory=False, refresh_inventory=True,
+                                 size_tolerance_pct=None),
+            "thorough": dict(reuse_signatures=True, save_signatures=True,
+                             reuse_inventory=True, size_tolerance_pct=None),
+            "medium": dict(reuse_signatures=True, save_signatures=True,
+                           reuse_inventory=True, size_tolerance_pct=50.0),
+        }
+        if name not in bundles:
+            raise ValueError(f"unknown preset {name!r}; choose one of {sorted(bundles)}")
+        return cls(**{**bundles[name], **overrides})
+
 
 def _local_path(uri: str) -> str:
     """URI text from ``_metadata.file_path`` -> a path the readers accept."""
@@ -90,13 +109,17 @@ def reference_signature(spark: SparkSession, reference: str, cfg: SearchConfig):
 
 
 def _listing(spark: SparkSession, root: str, cfg: SearchConfig) -> DataFrame:
+    """The root's picture files: the stored listing when it is fresh (same
+    root mtime, same row count), else a new listing, stored when asked."""
+    root_mtime = path_mtime(spark, root)
     if cfg.store_path and cfg.reuse_inventory and not cfg.refresh_inventory:
-        stored = store.read_inventory(spark, cfg.store_path, root)
+        stored = store.read_inventory(spark, cfg.store_path, root, root_mtime)
         if stored is not None:
             return stored.select("file_uri", "size", "mtime")
     files = list_files(spark, root, cfg.extensions)
     if cfg.store_path and cfg.save_signatures and (cfg.reuse_inventory or cfg.refresh_inventory):
-        store.replace_inventory(files.withColumn("root", F.lit(root)), cfg.store_path)
+        store.replace_inventory(files.withColumn("root", F.lit(root)), cfg.store_path,
+                                F.lit(root_mtime).cast("timestamp"))
     return files
 
 

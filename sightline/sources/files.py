@@ -34,6 +34,18 @@ def path_kind(spark: SparkSession, path: str) -> str | None:
     return "dir" if fs.getFileStatus(p).isDirectory() else "file"
 
 
+def path_mtime(spark: SparkSession, path: str):
+    """Modification time of a file or folder as a UTC datetime (None when
+    missing), through the cluster's file system."""
+    import datetime
+
+    fs, p = _hadoop_fs(spark, path)
+    if not fs.exists(p):
+        return None
+    ms = fs.getFileStatus(p).getModificationTime()
+    return datetime.datetime.fromtimestamp(ms / 1000.0, tz=datetime.timezone.utc).replace(tzinfo=None)
+
+
 def file_status(spark: SparkSession, path: str) -> tuple[str, int, object]:
     """(URI as Spark's file sources spell it, size, mtime) of one file."""
     df = (spark.read.format("binaryFile").load(path)

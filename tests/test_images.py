@@ -117,3 +117,25 @@ def test_luminance_and_resize_properties():
     ramp = np.tile(np.arange(64, dtype=np.uint8) * 4, (8, 1))
     small = resize_luminance(ramp, 8, 16)
     assert (np.diff(small[0].astype(int)) >= 0).all()
+
+
+def test_listing_reuse_and_staleness(spark, tmp_path):
+    from sightline.operators import store as st
+
+    root = tmp_path / "pics"
+    root.mkdir()
+    write_png(root / "ref.png", noise(21))
+    write_png(root / "dup.png", noise(21))
+    write_png(root / "x.png", noise(22))
+    cfg = SearchConfig.preset("medium", store_path=str(tmp_path / "store"), size_tolerance_pct=None)
+    m1, s1 = search(spark, str(root / "ref.png"), str(root), cfg)
+    assert _names(m1) == {"dup.png"} and s1.first()["total_files"] == 2
+    from sightline.sources.files import path_mtime
+    listed = st.read_inventory(spark, cfg.store_path, str(root), path_mtime(spark, str(root)))
+    assert listed is not None and listed.count() == 3
+    # a new file changes the folder's mtime: the stored listing is stale
+    write_png(root / "dup2.png", noise(21))
+    os.utime(root, (1e9, 1e9))
+    assert st.read_inventory(spark, cfg.store_path, str(root), path_mtime(spark, str(root))) is None
+    m2, s2 = search(spark, str(root / "ref.png"), str(root), cfg)
+    assert _names(m2) == {"dup.png", "dup2.png"} and s2.first()["total_files"] == 3

@@ -87,3 +87,31 @@ def test_signature_save_read_compact(spark, tmp_path):
     store.compact_signatures(spark, path, "average", 4)
     raw = spark.read.parquet(f"{path}/signatures").where("algorithm = 'average'")
     assert raw.count() == 2
+
+
+def test_reports_and_presets(spark, tmp_path):
+    import json
+
+    from sightline.functions.text import normalize_uri
+    from sightline.operators.report import json_document, stats_report, write_json_report
+    from sightline.plans.search import SearchConfig
+
+    stats = spark.createDataFrame([(2847, 2843, 4, 3, 4.52)],
+                                  "total_files long, images_scanned long, images_failed long, "
+                                  "matches_found long, elapsed_seconds double")
+    text = stats_report(stats).first()["text"]
+    assert "Images processed     : 2843" in text and "Total time           : 4.52s" in text
+    assert "Speed                : 629 img/s" in text
+    ranked = spark.createDataFrame(
+        [("r", "c1", 0, 100.0, 2_411_724, 1), ("r", "c2", 9, 96.484375, 876_544, 2)],
+        "reference string, candidate string, distance int, similarity_pct double, file_size long, rank long")
+    doc = json.loads(json_document(ranked, stats))
+    assert [m["candidate"] for m in doc["matches"]] == ["c1", "c2"]
+    assert list(doc["matches"][0]) == ["reference", "candidate", "similarity_pct", "distance", "file_size"]
+    assert doc["stats"]["matches_found"] == 3
+    write_json_report(ranked, stats, str(tmp_path / "report"))
+    assert spark.read.json(str(tmp_path / "report" / "matches")).count() == 2
+    assert normalize_uri("/a/my pic.png") == "file:/a/my%20pic.png"
+    assert SearchConfig.preset("thorough").size_tolerance_pct is None
+    assert SearchConfig.preset("no-shortcuts").reuse_signatures is False
+    assert SearchConfig.preset("medium", threshold=80).threshold == 80
