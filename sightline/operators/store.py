@@ -136,8 +136,10 @@ def compact_signatures(spark: SparkSession, store: str, algorithm: str, hash_siz
 # -- file inventory ----------------------------------------------------------
 
 def inventory_meta(files: DataFrame, root_mtime: Column | None = None) -> DataFrame:
-    """Per root: number of listed files (A4) and the root's mtime."""
-    meta = files.groupBy("root").agg(F.count(F.lit(1)).alias("file_count"))
+    """Per root: number of listed files (A4), their total size and the
+    root's mtime — one aggregation."""
+    meta = files.groupBy("root").agg(F.count(F.lit(1)).alias("file_count"),
+                                     F.sum("size").alias("total_size"))
     mt = root_mtime if root_mtime is not None else F.lit(None).cast("timestamp")
     return meta.withColumn("root_mtime", mt).withColumn("scanned_at", F.current_timestamp())
 
