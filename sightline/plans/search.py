@@ -181,10 +181,13 @@ def search(spark: SparkSession, reference: str, root: str,
 
     fresh = _decode_misses(spark, root, to_hash, keep, cfg, n_hits, n_misses)
     if fresh is not None:
-        fresh = fix(fresh.select("file_uri", "size", "mtime", "bits", "hash_hex", "n_bits"))
+        # rebalance: the shuffle carries only signature rows (the pixels stay
+        # in the map tasks) and AQE sizes the partitions, so the checkpoint
+        # and the store get a few large files, not one per input split
+        fresh = fix(fresh.select("file_uri", "size", "mtime", "bits", "hash_hex", "n_bits")
+                    .hint("rebalance"))
         if cfg.store_path and cfg.save_signatures:
-            store.save_signatures(fresh, cfg.store_path, cfg.algorithm, cfg.hash_size,
-                                  rows=fresh.count())
+            store.save_signatures(fresh, cfg.store_path, cfg.algorithm, cfg.hash_size)
         fresh = fresh.select("file_uri", "size", "mtime", "bits")
     parts = [p for p in (from_store, fresh) if p is not None]
     if parts:
@@ -222,8 +225,8 @@ def batch_search(spark: SparkSession, references: str | list[str], root: str,
     ensure_checkpoint_dir(spark)
     refs = _signatures_of(read_images(spark, references, extensions=cfg.extensions), cfg)
     cands = _signatures_of(read_images(spark, root, extensions=cfg.extensions), cfg)
-    refs = fix(refs.select("file_uri", "size", "bits"))
-    cands = fix(cands.select("file_uri", "size", "bits"))
+    refs = fix(refs.select("file_uri", "size", "bits").hint("rebalance"))
+    cands = fix(cands.select("file_uri", "size", "bits").hint("rebalance"))
     pairs = pair_search(refs, cands, cfg.n_bits, cfg.threshold, "file_uri", "file_uri",
                         size="size", size_tolerance_pct=cfg.size_tolerance_pct,
                         max_broadcast_refs=cfg.max_broadcast_refs)

@@ -30,13 +30,16 @@ def stream_path(store_path: str) -> str:
 
 
 def start_refresh(signature_stream: DataFrame, store_path: str, checkpoint: str,
-                  available_now: bool = True) -> StreamingQuery:
+                  available_now: bool = True, output_files: int = 1) -> StreamingQuery:
     """Append the stream's successful signatures (columns of
     ``store.SIGNATURE_COLUMNS`` plus ``algorithm`` and ``hash_size``) to the
     store's streamed part."""
+    # one shuffle after hashing (signature rows only) so each micro-batch
+    # writes one file per ``ROWS_PER_FILE`` rows, not one per input split
     rows = (signature_stream.where(F.col("bits").isNotNull())
             .select(*store.SIGNATURE_COLUMNS, "algorithm", "hash_size")
-            .withColumn("written_at", F.unix_micros(F.current_timestamp())))
+            .withColumn("written_at", F.unix_micros(F.current_timestamp()))
+            .repartition(output_files))
     writer = (rows.writeStream.format("parquet").outputMode("append")
               .option("checkpointLocation", checkpoint)
               .partitionBy("algorithm", "hash_size"))
