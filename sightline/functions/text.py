@@ -13,6 +13,26 @@ IMAGE_EXTENSIONS = (
     ".webp", ".heic", ".heif", ".avif", ".ico",
 )
 
+# Texts of the search report.  Size units step by 1024 below
+# the last one; the match line and the counters block read as below.
+SIZE_UNITS = ("B", "KB", "MB", "GB", "TB")
+MATCH_MARK = "  ✓ "
+MATCH_SIMILARITY = "\n    Similarity: "
+MATCH_DISTANCE = "% | Hamming distance: "
+MATCH_SIZE = " | Size: "
+RANK_OPEN, RANK_CLOSE = "  [", "] "
+STATS_RULE = "─" * 60
+STATS_TITLE = "📊 Search Statistics"
+STATS_LABELS = (
+    "  Image files found    : ",
+    "  Images processed     : ",
+    "  Images failed        : ",
+    "  Matches found        : ",
+    "  Total time           : ",
+    "  Speed                : ",
+)
+STATS_UNITS = ("s", " img/s")
+
 # Suffix of the last path component: a dot that is not the name's first
 # character, followed by at least one character that is neither '.' nor '/'.
 SUFFIX_PATTERN = r"[^/](\.[^./]+)$"
@@ -47,23 +67,24 @@ def human_size(size: Column) -> Column:
     mb = kb / 1024.0
     gb = mb / 1024.0
     tb = gb / 1024.0
-    return (F.when(v < 1024, F.concat(v.cast("bigint").cast("string"), F.lit(" B")))
-             .when(kb < 1024, F.concat(_one_decimal(kb), F.lit(" KB")))
-             .when(mb < 1024, F.concat(_one_decimal(mb), F.lit(" MB")))
-             .when(gb < 1024, F.concat(_one_decimal(gb), F.lit(" GB")))
-             .otherwise(F.concat(_one_decimal(tb), F.lit(" TB"))))
+    b, k, m, g, t = (F.lit(" " + u) for u in SIZE_UNITS)
+    return (F.when(v < 1024, F.concat(v.cast("bigint").cast("string"), b))
+             .when(kb < 1024, F.concat(_one_decimal(kb), k))
+             .when(mb < 1024, F.concat(_one_decimal(mb), m))
+             .when(gb < 1024, F.concat(_one_decimal(gb), g))
+             .otherwise(F.concat(_one_decimal(tb), t)))
 
 
 def match_line(candidate: Column, similarity: Column, distance: Column, size: Column) -> Column:
     """Two-line text of one match."""
     return F.concat(
-        F.lit("  ✓ "), candidate.cast("string"), F.lit("\n    Similarity: "),
-        _one_decimal(similarity), F.lit("% | Hamming distance: "), distance.cast("string"),
-        F.lit(" | Size: "), human_size(size))
+        F.lit(MATCH_MARK), candidate.cast("string"), F.lit(MATCH_SIMILARITY),
+        _one_decimal(similarity), F.lit(MATCH_DISTANCE), distance.cast("string"),
+        F.lit(MATCH_SIZE), human_size(size))
 
 
 def numbered_line(rank: Column, line: Column) -> Column:
-    return F.concat(F.lit("  ["), rank.cast("string"), F.lit("] "), line)
+    return F.concat(F.lit(RANK_OPEN), rank.cast("string"), F.lit(RANK_CLOSE), line)
 
 
 def normalize_uri(path: str) -> str:

@@ -7,8 +7,16 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sightline.functions.text import match_line, numbered_line
-
+from sightline.functions.text import (
+    STATS_LABELS,
+    STATS_RULE,
+    STATS_TITLE,
+    STATS_UNITS,
+    match_line,
+    numbered_line,
+)
+
+# Keys of the JSON report, in this order.
 MATCH_FIELDS = ["reference", "candidate", "similarity_pct", "distance", "file_size"]
 STATS_FIELDS = ["total_files", "images_scanned", "images_failed", "matches_found",
                 "elapsed_seconds"]
@@ -34,18 +42,17 @@ def search_stats(outcomes: DataFrame, ok: Column, matched: Column,
 def stats_report(stats: DataFrame) -> DataFrame:
     """The counters as one text block (A2: time with 2 decimals, speed as a
     whole number rounded half to even)."""
-    rule = "─" * 60
     speed = F.bround(F.col("images_scanned") / F.greatest(F.col("elapsed_seconds"), F.lit(0.001)), 0)
-    return stats.select(F.concat(
-        F.lit(f"\n{rule}\n📊 Search Statistics\n{rule}\n"),
-        F.lit("  Image files found    : "), F.col("total_files").cast("string"),
-        F.lit("\n  Images processed     : "), F.col("images_scanned").cast("string"),
-        F.lit("\n  Images failed        : "), F.col("images_failed").cast("string"),
-        F.lit("\n  Matches found        : "), F.col("matches_found").cast("string"),
-        F.lit("\n  Total time           : "),
-        F.format_string("%.2f", F.bround(F.col("elapsed_seconds"), 2)), F.lit("s"),
-        F.lit("\n  Speed                : "), speed.cast("bigint").cast("string"),
-        F.lit(f" img/s\n{rule}")).alias("text"))
+    values = [F.col("total_files").cast("string"), F.col("images_scanned").cast("string"),
+              F.col("images_failed").cast("string"), F.col("matches_found").cast("string"),
+              F.concat(F.format_string("%.2f", F.bround(F.col("elapsed_seconds"), 2)),
+                       F.lit(STATS_UNITS[0])),
+              F.concat(speed.cast("bigint").cast("string"), F.lit(STATS_UNITS[1]))]
+    parts = [F.lit(f"\n{STATS_RULE}\n{STATS_TITLE}\n{STATS_RULE}")]
+    for label, value in zip(STATS_LABELS, values):
+        parts += [F.lit("\n" + label), value]
+    parts.append(F.lit(f"\n{STATS_RULE}"))
+    return stats.select(F.concat(*parts).alias("text"))
 
 
 def match_report(ranked: DataFrame) -> DataFrame:

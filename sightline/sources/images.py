@@ -51,8 +51,12 @@ IMAGE_SCHEMA = T.StructType([T.StructField("image", IMAGE_STRUCT, True)])
 BATCH_BYTES = 64 << 20
 BATCH_ROWS = 1024
 
-_PRECISION_BITS = 22  # 32 - 8 - 2, fixed-point weight precision for 8-bit data
+# 8-bit luminance weights of R, G, B in 16.16 fixed point with
+# rounding; resampling filter support (Lanczos-3) and weight precision bits.
+LUMA_WEIGHTS = (19595, 38470, 7471)
+LUMA_ROUND = 0x8000
 _LANCZOS_SUPPORT = 3.0
+_PRECISION_BITS = 22  # 32 - 8 - 2
 
 
 def _metadata_columns(df: DataFrame) -> DataFrame:
@@ -168,7 +172,8 @@ def luminance(height: int, width: int, channels: int, data: bytes) -> np.ndarray
         return px.reshape(height, width).copy()
     px = px.reshape(height, width, channels).astype(np.int64)
     b, g, r = px[..., 0], px[..., 1], px[..., 2]
-    return ((r * 19595 + g * 38470 + b * 7471 + 0x8000) >> 16).astype(np.uint8)
+    wr, wg, wb = LUMA_WEIGHTS
+    return ((r * wr + g * wg + b * wb + LUMA_ROUND) >> 16).astype(np.uint8)
 
 
 @lru_cache(maxsize=64)
