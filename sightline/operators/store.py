@@ -88,14 +88,19 @@ def _signatures_path(store: str) -> str:
 
 
 def read_signatures(spark: SparkSession, store: str, algorithm: str,
-                    hash_size: int) -> DataFrame | None:
+                    hash_size: int, prefix: str | None = None) -> DataFrame | None:
     """Newest stored row per file for one (algorithm, hash_size) (S4, P5);
-    the predicate prunes partitions.  None when nothing is stored."""
+    the predicate prunes partitions.  ``prefix`` keeps files under one folder:
+    it reaches the Parquet reader as ``StringStartsWith``, and as store files
+    are sorted by ``file_uri`` whole row groups outside the folder are
+    skipped.  None when nothing is stored."""
     try:
         raw = spark.read.parquet(_signatures_path(store))
     except AnalysisException:
         return None
     part = raw.where((F.col("algorithm") == algorithm) & (F.col("hash_size") == hash_size))
+    if prefix:
+        part = part.where(F.col("file_uri").startswith(prefix))
     return latest_per_key(part.select(*SIGNATURE_COLUMNS, "written_at"),
                           ["file_uri"], ["written_at"]).drop("written_at")
 
@@ -114,6 +119,7 @@ def save_signatures(signatures: DataFrame, store: str, algorithm: str, hash_size
         .withColumn("written_at", F.lit(stamp).cast("bigint"))
         .withColumn("algorithm", F.lit(algorithm))
         .withColumn("hash_size", F.lit(int(hash_size)))
+        .sortWithinPartitions("file_uri")
         .write.mode("append").partitionBy("algorithm", "hash_size")
         .parquet(_signatures_path(store)))
 
@@ -125,8 +131,14 @@ def compact_signatures(spark: SparkSession, store: str, algorithm: str, hash_siz
     current = read_signatures(spark, store, algorithm, hash_size)
     if current is None:
         return
+    # range-partitioned and sorted by file: each file covers one key range,
+    # so prefix reads skip files and row groups by their min/max statistics
+    from sightline.session import fix
+    current = fix(current)
+    files = max(1, -(-current.count() // ROWS_PER_FILE))
     stamp = int(time.time() * 1_000_000)
-    (current.withColumn("written_at", F.lit(stamp).cast("bigint"))
+    (current.repartitionByRange(files, "file_uri").sortWithinPartitions("file_uri")
+        .withColumn("written_at", F.lit(stamp).cast("bigint"))
         .withColumn("algorithm", F.lit(algorithm))
         .withColumn("hash_size", F.lit(int(hash_size)))
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")

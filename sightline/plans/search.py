@@ -38,7 +38,13 @@ from sightline.operators.similarity import (
     size_bounds,
 )
 from sightline.session import ensure_checkpoint_dir, fix
-from sightline.sources.files import candidate_filter, list_files, path_kind, path_mtime
+from sightline.sources.files import (
+    candidate_filter,
+    list_files,
+    path_kind,
+    path_mtime,
+    qualified_uri,
+)
 from sightline.sources.images import read_images, with_picture_signature
 
 
@@ -165,7 +171,8 @@ def search(spark: SparkSession, reference: str, root: str,
 
     stored = None
     if cfg.store_path and cfg.reuse_signatures:
-        stored = store.read_signatures(spark, cfg.store_path, cfg.algorithm, cfg.hash_size)
+        prefix = qualified_uri(spark, root).rstrip("/") + "/"
+        stored = store.read_signatures(spark, cfg.store_path, cfg.algorithm, cfg.hash_size, prefix)
     if stored is not None:
         # one join against the store, fixed once; hits and misses read it
         looked = fix(store.lookup(candidates, stored.select("file_uri", "size", "mtime", "bits"),

@@ -34,6 +34,13 @@ def path_kind(spark: SparkSession, path: str) -> str | None:
     return "dir" if fs.getFileStatus(p).isDirectory() else "file"
 
 
+def qualified_uri(spark: SparkSession, path: str) -> str:
+    """The URI text Spark's file sources use for ``path`` (scheme added,
+    percent-encoded by the file system's own rules)."""
+    fs, p = _hadoop_fs(spark, path)
+    return fs.makeQualified(p).toUri().toString()
+
+
 def path_mtime(spark: SparkSession, path: str):
     """Modification time of a file or folder as a UTC datetime (None when
     missing), through the cluster's file system."""
