@@ -45,7 +45,7 @@ from sightline.sources.files import (
     path_mtime,
     qualified_uri,
 )
-from sightline.sources.images import read_images, with_picture_signature
+from sightline.sources.images import picture_conf, read_images, with_picture_signature
 
 
 @dataclass
@@ -108,7 +108,8 @@ def reference_signature(spark: SparkSession, reference: str, cfg: SearchConfig):
     """(uri, size, words) of the reference picture; ValueError if it cannot
     be decoded."""
     pics = read_images(spark, reference, recursive=False, extensions=None)
-    row = _signatures_of(pics, cfg).select("file_uri", "size", "bits").first()
+    with picture_conf(spark):
+        row = _signatures_of(pics, cfg).select("file_uri", "size", "bits").first()
     if row is None or row["bits"] is None:
         raise ValueError(f"could not process reference image: {reference}")
     return row["file_uri"], row["size"], list(row["bits"])
@@ -191,8 +192,9 @@ def search(spark: SparkSession, reference: str, root: str,
         # rebalance: the shuffle carries only signature rows (the pixels stay
         # in the map tasks) and AQE sizes the partitions, so the checkpoint
         # and the store get a few large files, not one per input split
-        fresh = fix(fresh.select("file_uri", "size", "mtime", "bits", "hash_hex", "n_bits")
-                    .hint("rebalance"))
+        with picture_conf(spark):
+            fresh = fix(fresh.select("file_uri", "size", "mtime", "bits", "hash_hex", "n_bits")
+                        .hint("rebalance"))
         if cfg.store_path and cfg.save_signatures:
             store.save_signatures(fresh, cfg.store_path, cfg.algorithm, cfg.hash_size)
         fresh = fresh.select("file_uri", "size", "mtime", "bits")
@@ -217,9 +219,10 @@ def search(spark: SparkSession, reference: str, root: str,
     elapsed = time.monotonic() - t0
     stats = spark.createDataFrame(
         [(counts["total_files"], counts["images_scanned"], counts["images_failed"],
-          counts["matches_found"], elapsed, float(round(counts["images_scanned"] / max(elapsed, 0.001))))],
+          counts["matches_found"], elapsed, float(round(counts["images_scanned"] / max(elapsed, 0.001))),
+          int(n_hits))],
         "total_files bigint, images_scanned bigint, images_failed bigint, matches_found bigint, "
-        "elapsed_seconds double, speed_img_s double")
+        "elapsed_seconds double, speed_img_s double, signatures_reused bigint")
     return matches, stats
 
 
@@ -232,8 +235,9 @@ def batch_search(spark: SparkSession, references: str | list[str], root: str,
     ensure_checkpoint_dir(spark)
     refs = _signatures_of(read_images(spark, references, extensions=cfg.extensions), cfg)
     cands = _signatures_of(read_images(spark, root, extensions=cfg.extensions), cfg)
-    refs = fix(refs.select("file_uri", "size", "bits").hint("rebalance"))
-    cands = fix(cands.select("file_uri", "size", "bits").hint("rebalance"))
+    with picture_conf(spark):
+        refs = fix(refs.select("file_uri", "size", "bits").hint("rebalance"))
+        cands = fix(cands.select("file_uri", "size", "bits").hint("rebalance"))
     pairs = pair_search(refs, cands, cfg.n_bits, cfg.threshold, "file_uri", "file_uri",
                         size="size", size_tolerance_pct=cfg.size_tolerance_pct,
                         max_broadcast_refs=cfg.max_broadcast_refs)

@@ -35,10 +35,12 @@ def path_kind(spark: SparkSession, path: str) -> str | None:
 
 
 def qualified_uri(spark: SparkSession, path: str) -> str:
-    """The URI text Spark's file sources use for ``path`` (scheme added,
-    percent-encoded by the file system's own rules)."""
+    """The URI text Spark's file sources use in ``_metadata.file_path`` for
+    ``path``: the file system's own path re-parsed, so a local path reads
+    'file:/a/my%20dir' (no empty authority) and others keep theirs."""
     fs, p = _hadoop_fs(spark, path)
-    return fs.makeQualified(p).toUri().toString()
+    own = fs.getFileStatus(p).getPath().toString()
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own).toUri().toString()
 
 
 def path_mtime(spark: SparkSession, path: str):

@@ -17,6 +17,7 @@ integers, so the result does not depend on summation order.
 from __future__ import annotations
 
 import math
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
@@ -46,8 +47,7 @@ IMAGE_STRUCT = T.StructType([
 ])
 IMAGE_SCHEMA = T.StructType([T.StructField("image", IMAGE_STRUCT, True)])
 
-# Arrow batches into the grid UDF are cut by bytes (each row carries a whole
-# decoded picture): many thumbnails or a few large photos per batch.
+# Arrow batch limits for the grid UDF: many thumbnails or a few large photos.
 BATCH_BYTES = 64 << 20
 BATCH_ROWS = 1024
 
@@ -207,11 +207,31 @@ def grid_side(algorithm: str, hash_size: int) -> tuple[int, int]:
     return get_algorithm(algorithm).grid_shape(hash_size, 0, 0)
 
 
-def set_picture_batches(spark: SparkSession) -> None:
-    """Arrow batch limits for picture rows (session settings, read when a
-    plan runs)."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+# Session settings for plans that decode pictures, read when such a plan
+# runs: Arrow batches into the grid UDF are cut by bytes (each row carries a
+# whole decoded picture), and small picture files are packed into splits by
+# their size rather than a 4 MB per-file allowance.
+PICTURE_CONF = {
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES),
+    "spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS),
+    "spark.sql.files.openCostInBytes": str(256 << 10),
+}
+
+
+@contextmanager
+def picture_conf(spark: SparkSession):
+    """Apply ``PICTURE_CONF`` while the enclosed actions run, then restore."""
+    before = {k: spark.conf.get(k, None) for k in PICTURE_CONF}
+    for k, v in PICTURE_CONF.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
 
 
 def grid_udf(algorithm: str, hash_size: int):
@@ -230,7 +250,6 @@ def grid_udf(algorithm: str, hash_size: int):
 def with_grid(images: DataFrame, algorithm: str, hash_size: int) -> tuple[DataFrame, int, int]:
     """Add ``grid`` (NULL for failed decodes); returns (df, side_h, side_w)."""
     ship_package(images.sparkSession)
-    set_picture_batches(images.sparkSession)
     udf = grid_udf(algorithm, hash_size)
     img = F.col("image")
     grid = udf(img.height, img.width, img.nChannels, img.data)

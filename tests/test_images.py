@@ -67,9 +67,12 @@ def test_failures_names_resize_and_store(spark, tmp_path):
         ranks = [r["rank"] for r in matches.orderBy("rank").collect()]
         assert ranks == list(range(1, len(ranks) + 1))
         # second run reads the store: same answer, failures retried
+        assert stats.first()["signatures_reused"] == 0
         again, stats2 = search(spark, str(root / "ref.png"), str(root), cfg)
         assert sorted(map(tuple, again.collect())) == sorted(map(tuple, matches.collect()))
-        assert stats2.first()["images_failed"] == 1
+        s2 = stats2.first()
+        assert s2["images_failed"] == 1
+        assert s2["signatures_reused"] == 3  # every decodable file came from the store
 
 
 def test_size_window_and_missing_paths(spark, tmp_path):
