@@ -47,7 +47,7 @@ def test_empty_directory(spark, tmp_path):
 
 
 def test_failures_names_resize_and_store(spark, tmp_path):
-    root = tmp_path / "pics"
+    root = tmp_path / "my pics, 2024"
     (root / "sub dir").mkdir(parents=True)
     write_png(root / "ref.png", smooth())
     write_png(root / "sub dir" / "my copy.PNG", smooth())
