@@ -1,7 +1,8 @@
 """``search``: pictures under a root similar to one reference picture (X2),
 and ``batch_search`` for many references at once (J5).
 
-Plan of ``search``:
+Plan of ``search`` (steps 2-5 are ``folder_signatures``, which
+``batch_search`` runs for both of its folders):
 
 1. hash the reference (one row, fetched once; failure -> ValueError)
 2. list the root without reading bytes, drop the reference and files outside
@@ -141,10 +142,14 @@ def _decode_misses(spark: SparkSession, root: str, to_hash: DataFrame,
     n = n_misses if n_misses is not None else to_hash.count()
     if n == 0:
         return None
+    pics = None
     if n <= cfg.max_listed_misses:
         paths = [_local_path(r["file_uri"]) for r in to_hash.select("file_uri").collect()]
-        pics = read_images(spark, paths, recursive=False, extensions=None)
-    else:
+        try:
+            pics = read_images(spark, paths, recursive=False, extensions=None)
+        except FileNotFoundError:
+            pics = None  # a listed file is gone: scan the root instead
+    if pics is None:
         pics = read_images(spark, root, extensions=cfg.extensions).where(candidates)
         pics = pics.join(to_hash.select("file_uri"), "file_uri", "left_semi")
     # no repartition here: it would shuffle decoded pixels; decode work is
@@ -152,24 +157,15 @@ def _decode_misses(spark: SparkSession, root: str, to_hash: DataFrame,
     return _signatures_of(pics, cfg)
 
 
-
-def search(spark: SparkSession, reference: str, root: str,
-           config: SearchConfig | None = None) -> tuple[DataFrame, DataFrame]:
-    """Matches ``reference, candidate, distance, similarity_pct, file_size,
-    rank`` and one row of counters."""
-    cfg = config or SearchConfig()
-    t0 = time.monotonic()
-    ensure_checkpoint_dir(spark)
-    if path_kind(spark, reference) != "file":
-        raise FileNotFoundError(f"reference image not found: {reference}")
-    if path_kind(spark, root) != "dir":
-        raise FileNotFoundError(f"search directory not found: {root}")
-
-    ref_uri, ref_size, ref_bits = reference_signature(spark, reference, cfg)
-    bounds = size_bounds(ref_size, cfg.size_tolerance_pct)
-    keep = candidate_filter(F.col("file_uri"), F.col("size"), ref_uri, bounds)
+def folder_signatures(spark: SparkSession, root: str, cfg: SearchConfig,
+                      keep: Column | None = None) -> tuple[DataFrame, int]:
+    """``file_uri, size, mtime, bits`` for every picture file under ``root``
+    that passes ``keep`` (bits NULL when it cannot be decoded), and how many
+    came from the store.  Stored signatures are reused while size and mtime
+    are unchanged; only the rest is decoded, and successful new signatures
+    are appended to the store."""
+    keep = keep if keep is not None else F.lit(True)
     candidates = _listing(spark, root, cfg).where(keep)
-
     stored = None
     if cfg.store_path and cfg.reuse_signatures:
         prefix = qualified_uri(spark, root).rstrip("/") + "/"
@@ -199,12 +195,31 @@ def search(spark: SparkSession, reference: str, root: str,
             store.save_signatures(fresh, cfg.store_path, cfg.algorithm, cfg.hash_size)
         fresh = fresh.select("file_uri", "size", "mtime", "bits")
     parts = [p for p in (from_store, fresh) if p is not None]
-    if parts:
-        results = parts[0]
-        for p in parts[1:]:
-            results = results.unionByName(p)
-    else:
-        results = spark.createDataFrame([], "file_uri string, size bigint, mtime timestamp, bits array<bigint>")
+    if not parts:
+        return spark.createDataFrame(
+            [], "file_uri string, size bigint, mtime timestamp, bits array<bigint>"), 0
+    results = parts[0]
+    for p in parts[1:]:
+        results = results.unionByName(p)
+    return results, int(n_hits)
+
+
+def search(spark: SparkSession, reference: str, root: str,
+           config: SearchConfig | None = None) -> tuple[DataFrame, DataFrame]:
+    """Matches ``reference, candidate, distance, similarity_pct, file_size,
+    rank`` and one row of counters."""
+    cfg = config or SearchConfig()
+    t0 = time.monotonic()
+    ensure_checkpoint_dir(spark)
+    if path_kind(spark, reference) != "file":
+        raise FileNotFoundError(f"reference image not found: {reference}")
+    if path_kind(spark, root) != "dir":
+        raise FileNotFoundError(f"search directory not found: {root}")
+
+    ref_uri, ref_size, ref_bits = reference_signature(spark, reference, cfg)
+    bounds = size_bounds(ref_size, cfg.size_tolerance_pct)
+    keep = candidate_filter(F.col("file_uri"), F.col("size"), ref_uri, bounds)
+    results, n_hits = folder_signatures(spark, root, cfg, keep)
 
     scored = score_against(results, ref_bits, cfg.n_bits, cfg.threshold)
     matches = number_rows(
@@ -220,24 +235,25 @@ def search(spark: SparkSession, reference: str, root: str,
     stats = spark.createDataFrame(
         [(counts["total_files"], counts["images_scanned"], counts["images_failed"],
           counts["matches_found"], elapsed, float(round(counts["images_scanned"] / max(elapsed, 0.001))),
-          int(n_hits))],
+          n_hits)],
         "total_files bigint, images_scanned bigint, images_failed bigint, matches_found bigint, "
         "elapsed_seconds double, speed_img_s double, signatures_reused bigint")
     return matches, stats
 
 
-def batch_search(spark: SparkSession, references: str | list[str], root: str,
+def batch_search(spark: SparkSession, references: str, root: str,
                  config: SearchConfig | None = None) -> DataFrame:
     """Every (reference, candidate) pair within the threshold, ranked per
-    reference.  ``references`` is a folder or a list of picture files; each
-    reference keeps its own size window and never matches itself."""
+    reference.  ``references`` and ``root`` are folders; both take their
+    signatures from the store when it is configured.  Each reference keeps
+    its own size window and never matches itself."""
     cfg = config or SearchConfig()
     ensure_checkpoint_dir(spark)
-    refs = _signatures_of(read_images(spark, references, extensions=cfg.extensions), cfg)
-    cands = _signatures_of(read_images(spark, root, extensions=cfg.extensions), cfg)
-    with picture_conf(spark):
-        refs = fix(refs.select("file_uri", "size", "bits").hint("rebalance"))
-        cands = fix(cands.select("file_uri", "size", "bits").hint("rebalance"))
+    for path in (references, root):
+        if path_kind(spark, path) != "dir":
+            raise FileNotFoundError(f"folder not found: {path}")
+    refs, _ = folder_signatures(spark, references, cfg)
+    cands, _ = folder_signatures(spark, root, cfg)
     pairs = pair_search(refs, cands, cfg.n_bits, cfg.threshold, "file_uri", "file_uri",
                         size="size", size_tolerance_pct=cfg.size_tolerance_pct,
                         max_broadcast_refs=cfg.max_broadcast_refs)

@@ -108,6 +108,10 @@ def test_batch_search_pairs(spark, tmp_path):
     chunked = batch_search(spark, str(refs), str(root),
                            SearchConfig(size_tolerance_pct=None, max_broadcast_refs=1)).collect()
     assert sorted(map(tuple, chunked)) == sorted(map(tuple, pairs))
+    stored = SearchConfig(size_tolerance_pct=None, store_path=str(tmp_path / "store"))
+    for _ in range(2):  # second run takes both folders' signatures from the store
+        again = batch_search(spark, str(refs), str(root), stored).collect()
+        assert sorted(map(tuple, again)) == sorted(map(tuple, pairs))
 
 
 def test_luminance_and_resize_properties():
