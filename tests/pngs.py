@@ -15,10 +15,10 @@ def _chunk(tag: bytes, data: bytes) -> bytes:
 
 
 def write_png(path: Path, pixels: np.ndarray) -> Path:
-    """8-bit RGB (H x W x 3) or gray (H x W) array -> PNG file."""
+    """8-bit RGB (H x W x 3), RGBA (H x W x 4) or gray (H x W) -> PNG file."""
     px = np.ascontiguousarray(pixels, dtype=np.uint8)
     h, w = px.shape[:2]
-    color = 2 if px.ndim == 3 else 0
+    color = {2: 0, 3: 2}[px.ndim] if px.ndim == 2 or px.shape[2] == 3 else 6
     raw = b"".join(b"\x00" + px[r].tobytes() for r in range(h))
     header = struct.pack(">IIBBBBB", w, h, 8, color, 0, 0, 0)
     Path(path).write_bytes(b"\x89PNG\r\n\x1a\n" + _chunk(b"IHDR", header)

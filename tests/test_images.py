@@ -146,3 +146,20 @@ def test_listing_reuse_and_staleness(spark, tmp_path):
     assert st.read_inventory(spark, cfg.store_path, str(root), path_mtime(spark, str(root))) is None
     m2, s2 = search(spark, str(root / "ref.png"), str(root), cfg)
     assert _names(m2) == {"dup.png", "dup2.png"} and s2.first()["total_files"] == 3
+
+
+def test_gray_and_alpha_copies_hash_alike(spark, tmp_path):
+    rgb = smooth()
+    lum = ((rgb[..., 0].astype(int) * 19595 + rgb[..., 1].astype(int) * 38470
+            + rgb[..., 2].astype(int) * 7471 + 0x8000) >> 16).astype(np.uint8)
+    gray_rgb = np.repeat(lum[..., None], 3, axis=2)
+    write_png(tmp_path / "ref.png", gray_rgb)
+    write_png(tmp_path / "gray.png", lum)
+    rgba = np.concatenate([rgb, np.full(rgb.shape[:2] + (1,), 90, np.uint8)], axis=2)
+    write_png(tmp_path / "color.png", rgb)
+    write_png(tmp_path / "alpha.png", rgba)
+    cfg = SearchConfig(algorithm="average", threshold=100.0, size_tolerance_pct=None)
+    m, _ = search(spark, str(tmp_path / "ref.png"), str(tmp_path), cfg)
+    assert "gray.png" in _names(m)  # gray file == same gray as RGB
+    m2, _ = search(spark, str(tmp_path / "color.png"), str(tmp_path), cfg)
+    assert "alpha.png" in _names(m2)  # alpha is dropped, not blended

@@ -115,3 +115,13 @@ def test_reports_and_presets(spark, tmp_path):
     assert SearchConfig.preset("thorough").size_tolerance_pct is None
     assert SearchConfig.preset("no-shortcuts").reuse_signatures is False
     assert SearchConfig.preset("medium", threshold=80).threshold == 80
+
+
+def test_latest_per_key_with_hot_key(spark):
+    # a third of all rows share one key
+    df = spark.range(0, 30000).select(
+        F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("k"),
+        F.col("id").alias("ver"), (F.col("id") * 7).alias("payload"))
+    got = {r["k"]: (r["ver"], r["payload"]) for r in store.latest_per_key(df, ["k"], ["ver"]).collect()}
+    assert got["hot"] == (29997, 29997 * 7)
+    assert len(got) == 20001
