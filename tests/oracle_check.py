@@ -34,6 +34,20 @@ def _norm(v):
     return v
 
 
+_SPARK_KIND = {"int": "int32", "bigint": "int64", "double": "double", "string": "string",
+               "boolean": "bool", "timestamp": "timestamp", "timestamp_ntz": "timestamp",
+               "smallint": "int16", "float": "float"}
+_DUCK_KIND = {"INTEGER": "int32", "BIGINT": "int64", "DOUBLE": "double", "VARCHAR": "string",
+              "BOOLEAN": "bool", "TIMESTAMP": "timestamp", "SMALLINT": "int16", "FLOAT": "float"}
+
+
+def _kinds(df, res) -> tuple[dict, dict]:
+    sk = {f.name: _SPARK_KIND.get(f.dataType.simpleString(), f.dataType.simpleString())
+          for f in df.schema.fields}
+    dk = {d[0]: _DUCK_KIND.get(str(d[1]), str(d[1])) for d in res.description}
+    return sk, dk
+
+
 def compare(spark, con, sf_dir: str, name: str, fn, sql: str | None) -> tuple[bool, str]:
     t0 = time.time()
     df = fn(spark, sf_dir)
@@ -47,6 +61,10 @@ def compare(spark, con, sf_dir: str, name: str, fn, sql: str | None) -> tuple[bo
     orows_raw = res.fetchall()
     if sorted(ocols) != sorted(cols):
         return False, f"columns differ: spark={sorted(cols)} oracle={sorted(ocols)}"
+    sk, dk = _kinds(df, res)
+    if sk != dk:
+        diff = {c: (sk.get(c), dk.get(c)) for c in sk if sk.get(c) != dk.get(c)}
+        return False, f"types differ (spark, oracle): {diff}"
     idx = [ocols.index(c) for c in sorted(cols)]
     orows = [tuple(_norm(r[i]) for i in idx) for r in orows_raw]
     if len(rows) != len(orows):
