@@ -237,7 +237,8 @@ def q_luminance_grid(spark, d):
     pics = e.select("vec_id", image.alias("image"))
     grid, h, w = with_grid(pics, "average", 4)
     sig = with_signature(grid, "grid", "average", 4, h, w)
-    return sig.select("vec_id", "grid", "hash_hex")
+    grid_text = F.concat_ws(",", F.transform("grid", lambda x: x.cast("int").cast("string")))
+    return sig.select("vec_id", grid_text.alias("grid"), "hash_hex")
 
 
 def q_stream_refresh(spark, d):

@@ -118,6 +118,48 @@ def ranked_matches(threshold: float = 60.0) -> str:
             f"FROM ({search_matches(threshold)})")
 
 
+def _lanczos_sql(x: str) -> str:
+    def sinc(v: str) -> str:
+        return f"(CASE WHEN ({v}) = 0 THEN 1.0 ELSE sin(({v}) * pi()) / (({v}) * pi()) END)"
+    return f"(CASE WHEN ({x}) >= -3.0 AND ({x}) < 3.0 THEN {sinc(x)} * {sinc(f'({x}) / 3')} ELSE 0.0 END)"
+
+
+def resample_weights_sql(n_in: int, n_out: int) -> str:
+    """Rows (o, t, w): 8-bit fixed-point Lanczos-3 weights (22 bits) from
+    output position o to input position t, computed in SQL."""
+    scale = n_in / n_out
+    fs = max(scale, 1.0)
+    support = 3.0 * fs
+    raw = (f"SELECT o, t, {_lanczos_sql(f'(t - ((o + 0.5) * {scale}) + 0.5) * {1.0 / fs}')} AS k "
+           f"FROM range(0, {n_out}) a(o), range(0, {n_in}) b(t) "
+           f"WHERE t >= greatest(trunc((o + 0.5) * {scale} - {support} + 0.5), 0) "
+           f"AND t < least(trunc((o + 0.5) * {scale} + {support} + 0.5), {n_in})")
+    norm = f"SELECT o, t, k / sum(k) OVER (PARTITION BY o) AS k FROM ({raw})"
+    return (f"SELECT o, t, (CASE WHEN k < 0 THEN trunc(-0.5 + k * 4194304.0) "
+            f"ELSE trunc(0.5 + k * 4194304.0) END)::BIGINT AS w FROM ({norm})")
+
+
+def luminance_grid_sql() -> str:
+    """8 x 8 one-channel pictures from embeddings, resized to 4 x 4 (rows,
+    then columns, rounding to 8 bits after each pass), average hash."""
+    pix = ("SELECT vec_id, (i - 1) // 8 AS r, (i - 1) % 8 AS c, "
+           "CASE WHEN hi > lo THEN round((v[i] - lo) / (hi - lo) * 255.0)::BIGINT ELSE 0 END AS p "
+           "FROM (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v, "
+           "list_min(list_transform(embedding, lambda x: x::DOUBLE)) AS lo, "
+           "list_max(list_transform(embedding, lambda x: x::DOUBLE)) AS hi FROM embeddings), "
+           "range(1, 65) t(i)")
+    clip = "greatest(0, least(255, (sum({a} * w) + 2097152) >> 22))"
+    horiz = (f"SELECT vec_id, r, o AS c, {clip.format(a='p')} AS p FROM ({pix}) x "
+             f"JOIN ({resample_weights_sql(8, 4)}) k ON k.t = x.c GROUP BY vec_id, r, o")
+    vert = (f"SELECT vec_id, o AS r, c, {clip.format(a='p')}::DOUBLE AS p FROM ({horiz}) x "
+            f"JOIN ({resample_weights_sql(8, 4)}) k ON k.t = x.r GROUP BY vec_id, o, c")
+    grid = f"SELECT vec_id, list(p ORDER BY r, c) AS g FROM ({vert}) GROUP BY vec_id"
+    bits = (f"SELECT vec_id, g, array_to_string(list_transform(g, lambda x: {_flag('x > m')}), '') AS bs "
+            f"FROM (SELECT *, {_sum('g')} / 16.0 AS m FROM ({grid}))")
+    return (f"SELECT vec_id, array_to_string(list_transform(g, lambda x: x::INTEGER::VARCHAR), ',') AS grid, "
+            f"{hex_of('bs', 16)} AS hash_hex FROM ({bits})")
+
+
 def oracle_sql() -> dict[str, str]:
     q: dict[str, str] = {}
     q["scan_images"] = (
@@ -216,6 +258,7 @@ def oracle_sql() -> dict[str, str]:
     q["human_size"] = (
         "SELECT doc_id, e AS scale_exp, (n_chars * pow(1024, e))::BIGINT AS size, "
         f"{_human('n_chars * pow(1024, e)')} AS human FROM documents, range(0, 5) t(e)")
+    q["luminance_grid"] = luminance_grid_sql()
     q["stream_refresh"] = (
         f"WITH s AS ({average_bits()}) SELECT vec_id, {hex_of('bs', 64)} AS hash_hex FROM s")
     return q
