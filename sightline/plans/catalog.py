@@ -16,6 +16,7 @@ from sightline.functions.bits import (
     bits_to_hex,
     hamming_to_literal,
     hex_to_bits,
+    max_distance,
     similarity_pct,
 )
 from sightline.functions.text import file_extension, human_size
@@ -201,7 +202,6 @@ def q_search_stats(spark, d):
     outcome = (s.where(F.col("vec_id") != REFERENCE_ID)
                 .join(labels.withColumn("decoded", F.lit(True)), "vec_id", "left"))
     ok = F.col("decoded").isNotNull()
-    from sightline.functions.bits import max_distance
     matched = hamming_to_literal(F.col("bits"), ref) <= max_distance(THRESHOLD, 64)
     return search_stats(outcome, ok, matched, ELAPSED_SECONDS)
 

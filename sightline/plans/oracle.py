@@ -8,7 +8,6 @@ the doubles compared against a mean or median are the same.
 
 from __future__ import annotations
 
-import math
 
 GRID = ("SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS g, "
         "(len(embedding) * 4)::BIGINT AS file_size FROM embeddings")

@@ -1,6 +1,5 @@
 """Hash generators on grids against numpy versions of their definitions."""
 
-import math
 
 import numpy as np
 import pytest
