@@ -25,8 +25,9 @@ def number_rows(df: DataFrame, order: list[Column], by: list[str] | None = None,
     ensure_checkpoint_dir(spark)
     by = list(by or [])
     keys = [F.col(c).asc() for c in by] + list(order)
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    # without an explicit count AQE sizes the range partitions to the data
+    ranged = (df.repartitionByRange(partitions, *keys) if partitions
+              else df.repartitionByRange(*keys)).sortWithinPartitions(*keys)
     fixed = fix(ranged)
 
     pid = F.spark_partition_id()
