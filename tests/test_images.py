@@ -163,3 +163,20 @@ def test_gray_and_alpha_copies_hash_alike(spark, tmp_path):
     assert "gray.png" in _names(m)  # gray file == same gray as RGB
     m2, _ = search(spark, str(tmp_path / "color.png"), str(tmp_path), cfg)
     assert "alpha.png" in _names(m2)  # alpha is dropped, not blended
+
+
+def test_rewritten_file_is_hashed_again(spark, tmp_path):
+    root = tmp_path / "pics"
+    root.mkdir()
+    write_png(root / "ref.png", noise(31))
+    write_png(root / "a.png", noise(31))
+    write_png(root / "b.png", noise(32))
+    cfg = SearchConfig(threshold=90.0, size_tolerance_pct=None, store_path=str(tmp_path / "store"))
+    m1, s1 = search(spark, str(root / "ref.png"), str(root), cfg)
+    assert _names(m1) == {"a.png"} and s1.first()["signatures_reused"] == 0
+    # b.png becomes a copy of the reference (new size/mtime): stale in the store
+    write_png(root / "b.png", noise(31))
+    os.utime(root / "b.png", (2e9, 2e9))
+    m2, s2 = search(spark, str(root / "ref.png"), str(root), cfg)
+    assert _names(m2) == {"a.png", "b.png"}
+    assert s2.first()["signatures_reused"] == 1
