@@ -139,14 +139,39 @@ def resample_weights(in_size: int, out_size: int) -> tuple[np.ndarray, np.ndarra
     return taps, weights
 
 
+@lru_cache(maxsize=256)
+def _dense_weights(in_size: int, out_size: int) -> np.ndarray:
+    """The same weights as an ``in_size x out_size`` float64 matrix."""
+    taps, weights = resample_weights(in_size, out_size)
+    dense = np.zeros((in_size, out_size), dtype=np.float64)
+    for o in range(out_size):
+        np.add.at(dense[:, o], taps[o], weights[o])
+    return dense
+
+
+# Outputs up to this wide are resampled with a dense matrix product.
+_DENSE_MAX_OUT = 256
+
+
 def _resample_rows(img: np.ndarray, out_w: int) -> np.ndarray:
-    """Resample every row of a 2-D uint8 array to ``out_w`` columns."""
+    """Resample every row of a 2-D uint8 array to ``out_w`` columns.
+
+    Products and sums are integers below 2**53, so a float64 matrix product
+    (BLAS) is exact and equals the tap-by-tap integer sum; it is used for
+    the small outputs hashes need, the gathered form for large ones."""
     h, w = img.shape
-    taps, weights = resample_weights(w, out_w)
     out = np.empty((h, out_w), dtype=np.uint8)
+    half = 1 << (_PRECISION_BITS - 1)
+    if out_w <= _DENSE_MAX_OUT:
+        dense = _dense_weights(w, out_w)
+        chunk = max(1, (1 << 20) // max(w, 1))
+        for r0 in range(0, h, chunk):
+            acc = (img[r0:r0 + chunk].astype(np.float64) @ dense).astype(np.int64) + half
+            out[r0:r0 + chunk] = np.clip(acc >> _PRECISION_BITS, 0, 255)
+        return out
+    taps, weights = resample_weights(w, out_w)
     per_row = out_w * taps.shape[1]
     chunk = max(1, (8 << 20) // max(per_row, 1))
-    half = 1 << (_PRECISION_BITS - 1)
     for r0 in range(0, h, chunk):
         block = img[r0:r0 + chunk].astype(np.int64)
         acc = (block[:, taps] * weights).sum(axis=2) + half
@@ -166,14 +191,24 @@ def resize_luminance(lum: np.ndarray, out_h: int, out_w: int) -> np.ndarray:
 
 
 def luminance(height: int, width: int, channels: int, data: bytes) -> np.ndarray:
-    """8-bit luminance of Spark image bytes (gray, BGR or BGRA)."""
+    """8-bit luminance of Spark image bytes (gray, BGR or BGRA).  The
+    weighted sum fits 32 bits; rows go in chunks so a large photo needs a
+    few MB of temporaries, not several copies of itself."""
     px = np.frombuffer(data, dtype=np.uint8)
     if channels == 1:
         return px.reshape(height, width).copy()
-    px = px.reshape(height, width, channels).astype(np.int64)
-    b, g, r = px[..., 0], px[..., 1], px[..., 2]
-    wr, wg, wb = LUMA_WEIGHTS
-    return ((r * wr + g * wg + b * wb + LUMA_ROUND) >> 16).astype(np.uint8)
+    px = px.reshape(height, width, channels)
+    wr, wg, wb = (np.uint32(w) for w in LUMA_WEIGHTS)
+    out = np.empty((height, width), dtype=np.uint8)
+    step = max(1, (4 << 20) // max(width, 1))
+    for r0 in range(0, height, step):
+        blk = px[r0:r0 + step]
+        acc = blk[..., 2].astype(np.uint32) * wr
+        acc += blk[..., 1].astype(np.uint32) * wg
+        acc += blk[..., 0].astype(np.uint32) * wb
+        acc += np.uint32(LUMA_ROUND)
+        out[r0:r0 + step] = (acc >> 16).astype(np.uint8)
+    return out
 
 
 @lru_cache(maxsize=64)

@@ -180,3 +180,17 @@ def test_rewritten_file_is_hashed_again(spark, tmp_path):
     m2, s2 = search(spark, str(root / "ref.png"), str(root), cfg)
     assert _names(m2) == {"a.png", "b.png"}
     assert s2.first()["signatures_reused"] == 1
+
+
+def test_dense_resample_equals_tap_sums(monkeypatch):
+    import sightline.sources.images as im
+
+    rng = np.random.default_rng(1)
+    for h, w, oh, ow in [(37, 53, 5, 9), (128, 128, 64, 64), (300, 200, 17, 16),
+                         (64, 64, 128, 128), (50, 70, 8, 9)]:
+        img = rng.integers(0, 256, size=(h, w), dtype=np.uint8)
+        dense = im.resize_luminance(img, oh, ow)
+        monkeypatch.setattr(im, "_DENSE_MAX_OUT", 0)
+        gathered = im.resize_luminance(img, oh, ow)
+        monkeypatch.setattr(im, "_DENSE_MAX_OUT", 256)
+        assert (dense == gathered).all(), (h, w, oh, ow)
