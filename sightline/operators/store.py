@@ -8,6 +8,8 @@ Layout under a store folder:
   file (``written_at``), so a save never rewrites what is already stored and
   an interrupted save leaves the table as it was (Spark commits at job end).
   ``compact_signatures`` folds a partition back to one row per file.
+* ``signatures_stream/…``  the same rows appended by the streaming refresh
+  (file sink with a commit log); readers take both parts.
 * ``inventory/root=…/``  file_uri, size, mtime — the last listing of a root.
 * ``inventory_meta/root=…/``  root_mtime, file_count, scanned_at.
 
@@ -94,15 +96,22 @@ def read_signatures(spark: SparkSession, store: str, algorithm: str,
     it reaches the Parquet reader as ``StringStartsWith``, and as store files
     are sorted by ``file_uri`` whole row groups outside the folder are
     skipped.  None when nothing is stored."""
-    try:
-        raw = spark.read.parquet(_signatures_path(store))
-    except AnalysisException:
+    parts = []
+    # the batch part, and the part the streaming refresh appends (read
+    # through its commit log, so only committed micro-batches count)
+    for path in (_signatures_path(store), f"{store.rstrip('/')}/signatures_stream"):
+        try:
+            raw = spark.read.parquet(path)
+        except AnalysisException:
+            continue
+        p = raw.where((F.col("algorithm") == algorithm) & (F.col("hash_size") == hash_size))
+        if prefix:
+            p = p.where(F.col("file_uri").startswith(prefix))
+        parts.append(p.select(*SIGNATURE_COLUMNS, "written_at"))
+    if not parts:
         return None
-    part = raw.where((F.col("algorithm") == algorithm) & (F.col("hash_size") == hash_size))
-    if prefix:
-        part = part.where(F.col("file_uri").startswith(prefix))
-    return latest_per_key(part.select(*SIGNATURE_COLUMNS, "written_at"),
-                          ["file_uri"], ["written_at"]).drop("written_at")
+    part = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return latest_per_key(part, ["file_uri"], ["written_at"]).drop("written_at")
 
 
 def save_signatures(signatures: DataFrame, store: str, algorithm: str, hash_size: int,

@@ -54,6 +54,24 @@ def image_signature_stream(spark: SparkSession, root: str, algorithm: str, hash_
     return with_picture_signature(image_stream(spark, root, files_per_batch), algorithm, hash_size)
 
 
+def refresh(spark: SparkSession, root: str, store_path: str, algorithm: str = "perceptual",
+            hash_size: int = 16, files_per_batch: int = 500,
+            checkpoint: str | None = None) -> int:
+    """Hash every picture under ``root`` not seen by earlier refreshes into
+    the store and stop (``availableNow``); returns the number of files read.
+    The checkpoint defaults to one per (root, algorithm, hash size) inside
+    the store, so repeated calls resume."""
+    import hashlib
+
+    if checkpoint is None:
+        tag = hashlib.sha1(root.encode()).hexdigest()[:16]
+        checkpoint = f"{store_path.rstrip('/')}/_refresh/{algorithm}_{hash_size}_{tag}"
+    q = start_refresh(image_signature_stream(spark, root, algorithm, hash_size, files_per_batch),
+                      store_path, checkpoint)
+    q.awaitTermination()
+    return sum(p["numInputRows"] for p in q.recentProgress)
+
+
 def refresh_standin_signatures(spark: SparkSession, sf_dir: str,
                                algorithm: str = "average") -> DataFrame:
     """The refresh run over the embeddings table as a file stream (one

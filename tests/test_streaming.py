@@ -29,3 +29,20 @@ def test_refresh_resumes(spark, tmp_path):
     after = read_streamed(spark, str(store), "average", 8)
     assert after.count() == 4
     assert after.where(F.col("hash_hex").isNull()).count() == 0
+
+
+def test_search_reuses_refreshed_signatures(spark, tmp_path):
+    from sightline.plans.search import SearchConfig, search
+    from sightline.streaming.refresh import refresh
+
+    root, store = tmp_path / "pics", str(tmp_path / "store")
+    root.mkdir()
+    write_png(root / "ref.png", noise(61, 48))
+    write_png(root / "dup.png", noise(61, 48))
+    write_png(root / "other.png", noise(62, 48))
+    assert refresh(spark, str(root), store, "perceptual", 16) == 3
+    assert refresh(spark, str(root), store, "perceptual", 16) == 0
+    cfg = SearchConfig(size_tolerance_pct=None, store_path=store)
+    matches, stats = search(spark, str(root / "ref.png"), str(root), cfg)
+    assert {r["candidate"].rsplit("/", 1)[-1] for r in matches.collect()} == {"dup.png"}
+    assert stats.first()["signatures_reused"] == 2
