@@ -99,6 +99,9 @@ def fix(df):
     from pyspark import StorageLevel
 
     ensure_checkpoint_dir(df.sparkSession)
+    level = df.storageLevel
+    if level.useMemory or level.useDisk:  # the caller's cache: keep it
+        return df.checkpoint(eager=True)
     cached = df.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         return cached.checkpoint(eager=True)
