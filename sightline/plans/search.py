@@ -5,8 +5,9 @@ Plan of ``search`` (steps 2-5 are ``folder_signatures``, which
 ``batch_search`` runs for both of its folders):
 
 1. hash the reference (one row, fetched once; failure -> ValueError)
-2. list the root without reading bytes, drop the reference and files outside
-   the size window (pushed to the file index)
+2. list the root without decoding (the image source's metadata columns; the
+   same file index later feeds the decode), drop the reference and files
+   outside the size window (pushed to the file index)
 3. one left join against the newest stored rows splits the candidates into
    store hits (size and mtime unchanged) and misses
 4. decode and hash the misses only: with no hits the filtered root is decoded
@@ -41,7 +42,6 @@ from sightline.operators.similarity import (
 from sightline.session import ensure_checkpoint_dir, fix
 from sightline.sources.files import (
     candidate_filter,
-    list_files,
     path_kind,
     path_mtime,
     qualified_uri,
@@ -116,29 +116,30 @@ def reference_signature(spark: SparkSession, reference: str, cfg: SearchConfig):
     return row["file_uri"], row["size"], list(row["bits"])
 
 
-def _listing(spark: SparkSession, root: str, cfg: SearchConfig) -> DataFrame:
+def _listing(spark: SparkSession, root: str, cfg: SearchConfig, pics: DataFrame) -> DataFrame:
     """The root's picture files: the stored listing when it is fresh (same
-    root mtime, same row count), else a new listing, stored when asked."""
+    root mtime, same row count), else the metadata columns of ``pics`` (the
+    image source decodes nothing when no pixel column is read), stored when
+    asked."""
     root_mtime = path_mtime(spark, root)
     if cfg.store_path and cfg.reuse_inventory and not cfg.refresh_inventory:
         stored = store.read_inventory(spark, cfg.store_path, root, root_mtime)
         if stored is not None:
             return stored.select("file_uri", "size", "mtime")
-    files = list_files(spark, root, cfg.extensions)
+    files = pics.select("file_uri", "size", "mtime")
     if cfg.store_path and cfg.save_signatures and (cfg.reuse_inventory or cfg.refresh_inventory):
         store.replace_inventory(files.withColumn("root", F.lit(root)), cfg.store_path,
                                 F.lit(root_mtime).cast("timestamp"))
     return files
 
 
-def _decode_misses(spark: SparkSession, root: str, to_hash: DataFrame,
+def _decode_misses(spark: SparkSession, root_pics: DataFrame, to_hash: DataFrame,
                    candidates: Column, cfg: SearchConfig, n_hits: int,
                    n_misses: int | None) -> DataFrame | None:
     if n_hits == 0:
         # cold: every candidate is a miss, so the filtered root is decoded in
         # one scan; the filters prune files before they are opened
-        pics = read_images(spark, root, extensions=cfg.extensions).where(candidates)
-        return _signatures_of(pics, cfg)
+        return _signatures_of(root_pics.where(candidates), cfg)
     n = n_misses if n_misses is not None else to_hash.count()
     if n == 0:
         return None
@@ -150,8 +151,7 @@ def _decode_misses(spark: SparkSession, root: str, to_hash: DataFrame,
         except FileNotFoundError:
             pics = None  # a listed file is gone: scan the root instead
     if pics is None:
-        pics = read_images(spark, root, extensions=cfg.extensions).where(candidates)
-        pics = pics.join(to_hash.select("file_uri"), "file_uri", "left_semi")
+        pics = root_pics.where(candidates).join(to_hash.select("file_uri"), "file_uri", "left_semi")
     # no repartition here: it would shuffle decoded pixels; decode work is
     # spread by the scan's file splits
     return _signatures_of(pics, cfg)
@@ -165,7 +165,9 @@ def folder_signatures(spark: SparkSession, root: str, cfg: SearchConfig,
     are unchanged; only the rest is decoded, and successful new signatures
     are appended to the store."""
     keep = keep if keep is not None else F.lit(True)
-    candidates = _listing(spark, root, cfg).where(keep)
+    # one file index for the root serves the listing and the decoding
+    root_pics = read_images(spark, root, extensions=cfg.extensions)
+    candidates = _listing(spark, root, cfg, root_pics).where(keep)
     stored = None
     if cfg.store_path and cfg.reuse_signatures:
         prefix = qualified_uri(spark, root).rstrip("/") + "/"
@@ -183,7 +185,7 @@ def folder_signatures(spark: SparkSession, root: str, cfg: SearchConfig,
     else:
         from_store, to_hash, n_hits, n_misses = None, candidates, 0, None
 
-    fresh = _decode_misses(spark, root, to_hash, keep, cfg, n_hits, n_misses)
+    fresh = _decode_misses(spark, root_pics, to_hash, keep, cfg, n_hits, n_misses)
     if fresh is not None:
         # rebalance: the shuffle carries only signature rows (the pixels stay
         # in the map tasks) and AQE sizes the partitions, so the checkpoint
