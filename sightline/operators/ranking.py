@@ -16,11 +16,23 @@ from pyspark.sql import functions as F
 from sightline.session import ensure_checkpoint_dir, fix
 
 
+# A result counted to at most this many rows may be numbered in one task
+# (a sort of ~100 MB); anything larger, or not counted, is numbered spread out.
+SINGLE_TASK_ROWS = 1_000_000
+
+
 def number_rows(df: DataFrame, order: list[Column], by: list[str] | None = None,
-                name: str = "rank", partitions: int | None = None) -> DataFrame:
+                name: str = "rank", partitions: int | None = None,
+                known_rows: int | None = None) -> DataFrame:
     """Add ``name``: 1-based position of each row in ``order`` (within each
     ``by`` group when given).  ``order`` must be a total order (end it with a
-    unique key) for the numbering to be deterministic."""
+    unique key) for the numbering to be deterministic.  ``known_rows`` is a
+    count the caller already has; at most ``SINGLE_TASK_ROWS`` lets a plain
+    window do the numbering."""
+    if known_rows is not None and known_rows <= SINGLE_TASK_ROWS:
+        from pyspark.sql import Window
+        w = Window.partitionBy(*by).orderBy(*order) if by else Window.orderBy(*order)
+        return df.withColumn(name, F.row_number().over(w).cast("bigint"))
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     by = list(by or [])

@@ -223,16 +223,17 @@ def search(spark: SparkSession, reference: str, root: str,
     keep = candidate_filter(F.col("file_uri"), F.col("size"), ref_uri, bounds)
     results, n_hits = folder_signatures(spark, root, cfg, keep)
 
-    scored = score_against(results, ref_bits, cfg.n_bits, cfg.threshold)
-    matches = number_rows(
-        scored.select(F.lit(ref_uri).alias("reference"), F.col("file_uri").alias("candidate"),
-                      "distance", "similarity_pct", F.col("size").alias("file_size")),
-        [F.col("similarity_pct").desc(), F.col("candidate").asc()])
-
     ok = F.col("bits").isNotNull()
     d_max = max_distance(cfg.threshold, cfg.n_bits)
     matched = F.coalesce(hamming_to_literal(F.col("bits"), ref_bits) <= d_max, F.lit(False))
     counts = search_stats(results, ok, matched, 0.0).first()
+
+    scored = score_against(results, ref_bits, cfg.n_bits, cfg.threshold)
+    matches = number_rows(
+        scored.select(F.lit(ref_uri).alias("reference"), F.col("file_uri").alias("candidate"),
+                      "distance", "similarity_pct", F.col("size").alias("file_size")),
+        [F.col("similarity_pct").desc(), F.col("candidate").asc()],
+        known_rows=counts["matches_found"])
     elapsed = time.monotonic() - t0
     stats = spark.createDataFrame(
         [(counts["total_files"], counts["images_scanned"], counts["images_failed"],

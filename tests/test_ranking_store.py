@@ -23,6 +23,8 @@ def test_number_rows_matches_row_number_with_hot_group(spark):
     want2 = df.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
     assert flat.select("key", "rank").exceptAll(want2.select("key", "rank")).count() == 0
     assert number_rows(df.limit(0), order).count() == 0
+    counted = number_rows(df, order, by=["g"], known_rows=5000).select("g", "key", "rank")
+    assert counted.exceptAll(want).count() == 0 and want.exceptAll(counted).count() == 0
 
 
 def test_banded_join_equals_nested_loop(spark):
