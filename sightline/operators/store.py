@@ -165,15 +165,29 @@ def inventory_meta(files: DataFrame, root_mtime: Column | None = None) -> DataFr
     return meta.withColumn("root_mtime", mt).withColumn("scanned_at", F.current_timestamp())
 
 
-def replace_inventory(files: DataFrame, store: str, root_mtime: Column | None = None) -> None:
+def replace_inventory(files: DataFrame, store: str, root_mtime: Column | None = None,
+                      roots: list[str] | None = None) -> None:
     """Replace the stored listing of every root present in ``files`` (S6):
-    dynamic partition overwrite on ``root`` leaves other roots alone."""
+    dynamic partition overwrite on ``root`` leaves other roots alone.  A root
+    named in ``roots`` that has no files gets a meta row counting 0, so its
+    old listing (which an overwrite without rows cannot remove) reads as
+    stale."""
     base = store.rstrip("/")
     (files.select("root", "file_uri", "size", "mtime")
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy("root").parquet(f"{base}/inventory"))
-    (inventory_meta(files, root_mtime)
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    meta = inventory_meta(files, root_mtime)
+    if roots:
+        spark = files.sparkSession
+        named = spark.createDataFrame([(r,) for r in roots], "root string")
+        empty = (named.join(files.select("root").distinct(), "root", "left_anti")
+                 .withColumn("file_count", F.lit(0).cast("bigint"))
+                 .withColumn("total_size", F.lit(None).cast("bigint"))
+                 .withColumn("root_mtime", (root_mtime if root_mtime is not None
+                                            else F.lit(None)).cast("timestamp"))
+                 .withColumn("scanned_at", F.current_timestamp()))
+        meta = meta.unionByName(empty)
+    (meta.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy("root").parquet(f"{base}/inventory_meta"))
 
 

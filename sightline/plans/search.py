@@ -129,7 +129,7 @@ def _listing(spark: SparkSession, root: str, cfg: SearchConfig, pics: DataFrame)
     files = pics.select("file_uri", "size", "mtime")
     if cfg.store_path and cfg.save_signatures and (cfg.reuse_inventory or cfg.refresh_inventory):
         store.replace_inventory(files.withColumn("root", F.lit(root)), cfg.store_path,
-                                F.lit(root_mtime).cast("timestamp"))
+                                F.lit(root_mtime).cast("timestamp"), roots=[root])
     return files
 
 

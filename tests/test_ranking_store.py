@@ -74,6 +74,10 @@ def test_inventory_replace_and_freshness(spark, tmp_path):
     store.replace_inventory(files.where(F.col("file_uri") == "r1/a"), path)
     assert store.read_inventory(spark, path, "r1").count() == 1
     assert store.read_inventory(spark, path, "r2").count() == 1
+    # r2 emptied: its old rows cannot be overwritten away, the meta row says 0
+    store.replace_inventory(files.where(F.col("root") == "r1"), path, roots=["r1", "r2"])
+    assert store.read_inventory(spark, path, "r2") is None
+    assert store.read_inventory(spark, path, "r1").count() == 2
 
 
 def test_signature_save_read_compact(spark, tmp_path):
