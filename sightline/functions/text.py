@@ -87,13 +87,27 @@ def numbered_line(rank: Column, line: Column) -> Column:
     return F.concat(F.lit(RANK_OPEN), rank.cast("string"), F.lit(RANK_CLOSE), line)
 
 
+# Characters a URI path keeps as they are (RFC 2396 path characters, the
+# rule Spark's file paths follow); others below 0x80 are percent-encoded and
+# non-ASCII characters are kept.
+_URI_PATH_SAFE = frozenset(
+    "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    "-_.!~*'()/;:@&=+$,")
+
+
 def normalize_uri(path: str) -> str:
-    """Driver-side: a user path as the URI text Spark's file sources put in
-    ``_metadata.file_path`` (absolute, 'file:' scheme for local paths,
-    percent-encoded).  Links are not resolved: URIs compare as text."""
+    """Driver-side: a local path spelled as Spark's file sources spell it in
+    ``_metadata.file_path`` ('file:' + absolute path, percent-encoded by the
+    URI path rules).  Links are not resolved: URIs compare as text.  Paths
+    that already carry a scheme are returned unchanged."""
     import os
-    from urllib.parse import quote
 
     if "://" in path or path.startswith("file:"):
         return path
-    return "file:" + quote(os.path.abspath(path))
+    out = []
+    for ch in os.path.abspath(path):
+        if ch in _URI_PATH_SAFE or ord(ch) > 127:
+            out.append(ch)
+        else:
+            out.extend(f"%{b:02X}" for b in ch.encode("utf-8"))
+    return "file:" + "".join(out)

@@ -131,3 +131,15 @@ def test_latest_per_key_with_hot_key(spark):
     got = {r["k"]: (r["ver"], r["payload"]) for r in store.latest_per_key(df, ["k"], ["ver"]).collect()}
     assert got["hot"] == (29997, 29997 * 7)
     assert len(got) == 20001
+
+
+def test_normalize_uri_matches_spark_spelling(spark, tmp_path):
+    from sightline.functions.text import normalize_uri
+
+    names = ["a b.png", "c,d.png", "e+f=g.png", "h%i.png", "j#k.png", "l@m;n.png",
+             "\u00f6 \u00fc.png", "p(q)~r!.png", "s&t$u.png", "v'w*.png"]
+    for n in names:
+        (tmp_path / n).write_bytes(b"x")
+    got = {r[0] for r in spark.read.format("binaryFile").load(str(tmp_path))
+           .select(F.col("_metadata.file_path")).collect()}
+    assert got == {normalize_uri(str(tmp_path / n)) for n in names}
