@@ -55,17 +55,6 @@ def path_mtime(spark: SparkSession, path: str):
     return datetime.datetime.fromtimestamp(ms / 1000.0, tz=datetime.timezone.utc).replace(tzinfo=None)
 
 
-def file_status(spark: SparkSession, path: str) -> tuple[str, int, object]:
-    """(URI as Spark's file sources spell it, size, mtime) of one file."""
-    df = (spark.read.format("binaryFile").load(path)
-          .select(F.col("_metadata.file_path").alias("file_uri"),
-                  F.col("length").alias("size"), F.col("modificationTime").alias("mtime")))
-    row = df.first()
-    if row is None:
-        raise FileNotFoundError(path)
-    return row["file_uri"], row["size"], row["mtime"]
-
-
 def list_files(spark: SparkSession, root: str,
                extensions=IMAGE_EXTENSIONS) -> DataFrame:
     """``file_uri, size, mtime`` for every picture file under ``root``."""

@@ -194,3 +194,19 @@ def test_dense_resample_equals_tap_sums(monkeypatch):
         gathered = im.resize_luminance(img, oh, ow)
         monkeypatch.setattr(im, "_DENSE_MAX_OUT", 256)
         assert (dense == gathered).all(), (h, w, oh, ow)
+
+
+def test_list_files(spark, tmp_path):
+    from sightline.sources.files import list_files
+
+    (tmp_path / "sub").mkdir()
+    write_png(tmp_path / "a.png", noise(1, 16))
+    write_png(tmp_path / "sub" / "B.JPG", noise(2, 16))
+    (tmp_path / "notes.txt").write_text("x")
+    (tmp_path / ".hidden.png").write_bytes(b"x")
+    (tmp_path / "noext").write_bytes(b"x")
+    rows = {os.path.basename(r["file_uri"]): r["size"] for r in list_files(spark, str(tmp_path)).collect()}
+    assert rows == {"a.png": (tmp_path / "a.png").stat().st_size,
+                    "B.JPG": (tmp_path / "sub" / "B.JPG").stat().st_size}
+    with pytest.raises(FileNotFoundError):
+        list_files(spark, str(tmp_path / "missing"))
