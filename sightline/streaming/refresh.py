@@ -48,14 +48,14 @@ def start_refresh(signature_stream: DataFrame, store_path: str, checkpoint: str,
 
 
 def image_signature_stream(spark: SparkSession, root: str, algorithm: str, hash_size: int,
-                           files_per_batch: int = 500) -> DataFrame:
+                           files_per_batch: int = 10_000) -> DataFrame:
     """Stream of signatures for pictures appearing under ``root``."""
     from sightline.sources.images import image_stream, with_picture_signature
     return with_picture_signature(image_stream(spark, root, files_per_batch), algorithm, hash_size)
 
 
 def refresh(spark: SparkSession, root: str, store_path: str, algorithm: str = "perceptual",
-            hash_size: int = 16, files_per_batch: int = 500,
+            hash_size: int = 16, files_per_batch: int = 10_000,
             checkpoint: str | None = None) -> int:
     """Hash every picture under ``root`` not seen by earlier refreshes into
     the store and stop (``availableNow``); returns the number of files read.
