@@ -1,0 +1 @@
+"""Column functions: bit signatures (F1-F4, R7) and report texts."""

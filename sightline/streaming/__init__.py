@@ -1,0 +1 @@
+"""Streaming: incremental signature refresh."""
