@@ -215,32 +215,43 @@ def q_human_size(spark, d):
                          human_size(F.col("size")).alias("human"))
 
 
+def _embedding_image(px):
+    """Spark's image struct for an 8 x 8 one-channel picture."""
+    data = F.unhex(F.concat_ws("", F.transform(px, lambda p: F.lpad(F.hex(p), 2, "0"))))
+    side = F.lit(st.GRID_SIDE)
+    return F.struct(F.concat(F.lit("embedding:"), F.col("vec_id").cast("string")).alias("origin"),
+                    side.alias("height"), side.alias("width"), F.lit(1).alias("nChannels"),
+                    F.lit(0).alias("mode"), data.alias("data"))
+
+
 def q_luminance_grid(spark, d):
     """The picture path on pictures Spark derives from the embeddings: each
-    row becomes an 8 x 8 one-channel 8-bit image struct (values scaled to
-    0..255 per row) and goes through the same pandas-UDF luminance and
-    Lanczos step as decoded files, then the average hash at 4 x 4."""
+    row becomes an 8 x 8 one-channel 8-bit image struct and goes through the
+    same pandas-UDF luminance and Lanczos step as decoded files, then the
+    average hash at 4 x 4."""
     from sightline.sources.images import with_grid
 
-    # lambdas in a pandas UDF's arguments must not refer to outer lambda
-    # variables, so the row's range is taken as plain columns first
-    e = (st.table(spark, d, "embeddings")
-         .select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-         .withColumn("lo", F.array_min("v")).withColumn("hi", F.array_max("v")))
-    px = F.transform("v", lambda x: F.when(F.col("hi") > F.col("lo"), F.round(
-        (x - F.col("lo")) / (F.col("hi") - F.col("lo")) * 255.0)).otherwise(F.lit(0.0)).cast("int"))
-    data = F.unhex(F.concat_ws("", F.transform(px, lambda p: F.lpad(F.hex(p), 2, "0"))))
-    side = F.lit(st.GRID_SIDE)
-    image = F.struct(F.concat(F.lit("embedding:"), F.col("vec_id").cast("string")).alias("origin"),
-                     side.alias("height"), side.alias("width"), F.lit(1).alias("nChannels"),
-                     F.lit(0).alias("mode"), data.alias("data"))
-    pics = e.select("vec_id", image.alias("image"))
+    pics = st.picture_pixels(spark, d).select("vec_id", _embedding_image(F.col("px")).alias("image"))
     grid, h, w = with_grid(pics, "average", 4)
     sig = with_signature(grid, "grid", "average", 4, h, w)
     grid_text = F.concat_ws(",", F.transform("grid", lambda x: x.cast("int").cast("string")))
     return sig.select("vec_id", grid_text.alias("grid"), "hash_hex")
 
 
+def q_decode_images(spark, d):
+    """Picture files decoded by Spark's image source (S3): one PNG per
+    embeddings row is written by a Spark job, then read back; undecodable
+    files would come back with height -1."""
+    from sightline.sources.images import read_images
+
+    pics = read_images(spark, st.write_pictures(spark, d))
+    img = F.col("image")
+    return pics.select(
+        F.regexp_extract("file_uri", r"/(\d+)\.png$", 1).cast("bigint").alias("vec_id"),
+        img.height.alias("height"), img.width.alias("width"),
+        img.nChannels.alias("n_channels"), F.hex(img.data).alias("pixels_hex"))
+
+
 def q_stream_refresh(spark, d):
     from sightline.streaming.refresh import refresh_standin_signatures
     return refresh_standin_signatures(spark, d)
@@ -271,6 +282,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "inventory_staleness": q_inventory_staleness,
         "search_stats": q_search_stats,
         "human_size": q_human_size,
+        "decode_images": q_decode_images,
         "luminance_grid": q_luminance_grid,
         "stream_refresh": q_stream_refresh,
     })

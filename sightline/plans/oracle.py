@@ -138,15 +138,24 @@ def resample_weights_sql(n_in: int, n_out: int) -> str:
             f"ELSE trunc(0.5 + k * 4194304.0) END)::BIGINT AS w FROM ({norm})")
 
 
+PIXELS = ("SELECT vec_id, (i - 1) // 8 AS r, (i - 1) % 8 AS c, "
+          "CASE WHEN hi > lo THEN round((v[i] - lo) / (hi - lo) * 255.0)::BIGINT ELSE 0 END AS p "
+          "FROM (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v, "
+          "list_min(list_transform(embedding, lambda x: x::DOUBLE)) AS lo, "
+          "list_max(list_transform(embedding, lambda x: x::DOUBLE)) AS hi FROM embeddings), "
+          "range(1, 65) t(i)")
+
+
+def decode_images_sql() -> str:
+    return ("SELECT vec_id, 8 AS height, 8 AS width, 1 AS n_channels, "
+            "string_agg(printf('%02X', p), '' ORDER BY r, c) AS pixels_hex "
+            f"FROM ({PIXELS}) GROUP BY vec_id")
+
+
 def luminance_grid_sql() -> str:
     """8 x 8 one-channel pictures from embeddings, resized to 4 x 4 (rows,
     then columns, rounding to 8 bits after each pass), average hash."""
-    pix = ("SELECT vec_id, (i - 1) // 8 AS r, (i - 1) % 8 AS c, "
-           "CASE WHEN hi > lo THEN round((v[i] - lo) / (hi - lo) * 255.0)::BIGINT ELSE 0 END AS p "
-           "FROM (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v, "
-           "list_min(list_transform(embedding, lambda x: x::DOUBLE)) AS lo, "
-           "list_max(list_transform(embedding, lambda x: x::DOUBLE)) AS hi FROM embeddings), "
-           "range(1, 65) t(i)")
+    pix = PIXELS
     clip = "greatest(0, least(255, (sum({a} * w) + 2097152) >> 22))"
     horiz = (f"SELECT vec_id, r, o AS c, {clip.format(a='p')} AS p FROM ({pix}) x "
              f"JOIN ({resample_weights_sql(8, 4)}) k ON k.t = x.c GROUP BY vec_id, r, o")
@@ -257,6 +266,7 @@ def oracle_sql() -> dict[str, str]:
     q["human_size"] = (
         "SELECT doc_id, e AS scale_exp, (n_chars * pow(1024, e))::BIGINT AS size, "
         f"{_human('n_chars * pow(1024, e)')} AS human FROM documents, range(0, 5) t(e)")
+    q["decode_images"] = decode_images_sql()
     q["luminance_grid"] = luminance_grid_sql()
     q["stream_refresh"] = (
         f"WITH s AS ({average_bits()}) SELECT vec_id, {hex_of('bs', 64)} AS hash_hex FROM s")

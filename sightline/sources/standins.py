@@ -16,10 +16,17 @@ engine (see FIXTURES.md):
 
 from __future__ import annotations
 
+import struct
+import uuid
+import zlib
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sightline.functions.text import strip_query
+from sightline.session import scratch_path, ship_package
 
 GRID_SIDE = 8
 
@@ -62,3 +69,67 @@ def signature_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     return e.select("user_id", "event_type", "event_id",
                     F.col("value").alias("size"), F.col("ts").alias("mtime"))
+
+
+def picture_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, px ARRAY<INT>: each embeddings row as an 8 x 8 8-bit picture,
+    values scaled to 0..255 within the row (rounded half up)."""
+    e = (table(spark, sf_dir, "embeddings")
+         .select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+         .withColumn("lo", F.array_min("v")).withColumn("hi", F.array_max("v")))
+    # the range is taken as plain columns first: lambdas that feed a pandas
+    # UDF must not refer to outer lambda variables
+    px = F.transform("v", lambda x: F.when(F.col("hi") > F.col("lo"), F.round(
+        (x - F.col("lo")) / (F.col("hi") - F.col("lo")) * 255.0)).otherwise(F.lit(0.0)).cast("int"))
+    return e.select("vec_id", px.alias("px"))
+
+
+def encode_png(pixels: np.ndarray) -> bytes:
+    """8-bit gray (H x W), RGB (H x W x 3) or RGBA (H x W x 4) -> PNG bytes."""
+    px = np.ascontiguousarray(pixels, dtype=np.uint8)
+    h, w = px.shape[:2]
+    color = 0 if px.ndim == 2 else {3: 2, 4: 6}[px.shape[2]]
+    raw = b"".join(b"\x00" + px[r].tobytes() for r in range(h))
+
+    def chunk(tag: bytes, data: bytes) -> bytes:
+        return (struct.pack(">I", len(data)) + tag + data
+                + struct.pack(">I", zlib.crc32(tag + data) & 0xFFFFFFFF))
+
+    header = struct.pack(">IIBBBBB", w, h, 8, color, 0, 0, 0)
+    return (b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", header)
+            + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b""))
+
+
+def _arrow_uri(uri: str) -> str:
+    return "file://" + uri[len("file:"):] if uri.startswith("file:/") and not uri.startswith("file://") else uri
+
+
+def _picture_writer(folder: str):
+    def write(batches):
+        import pyarrow.fs as pafs
+
+        fs, base = pafs.FileSystem.from_uri(_arrow_uri(folder))
+        fs.create_dir(base, recursive=True)
+        for pdf in batches:
+            for vid, px in zip(pdf["vec_id"], pdf["px"]):
+                data = encode_png(np.asarray(px, dtype=np.uint8).reshape(GRID_SIDE, GRID_SIDE))
+                final = f"{base}/{int(vid)}.png"
+                # written under a hidden name, then renamed: a retried or
+                # speculative task rewrites the same bytes; listings skip
+                # names starting with '.'
+                tmp = f"{base}/.{int(vid)}.png.{uuid.uuid4().hex}"
+                with fs.open_output_stream(tmp) as out:
+                    out.write(data)
+                fs.move(tmp, final)
+            yield pd.DataFrame({"vec_id": pdf["vec_id"].astype("int64")})
+    return write
+
+
+def write_pictures(spark: SparkSession, sf_dir: str) -> str:
+    """One PNG file per embeddings row, written by a Spark job into a fresh
+    folder under the shared checkpoint folder; returns the folder."""
+    ship_package(spark)
+    folder = scratch_path(spark, f"pictures-{uuid.uuid4().hex}")
+    written = picture_pixels(spark, sf_dir).mapInPandas(_picture_writer(folder), "vec_id bigint")
+    written.write.format("noop").mode("overwrite").save()
+    return folder

@@ -2,27 +2,16 @@
 
 from __future__ import annotations
 
-import struct
-import zlib
 from pathlib import Path
 
 import numpy as np
 
-
-def _chunk(tag: bytes, data: bytes) -> bytes:
-    return (struct.pack(">I", len(data)) + tag + data
-            + struct.pack(">I", zlib.crc32(tag + data) & 0xFFFFFFFF))
+from sightline.sources.standins import encode_png
 
 
 def write_png(path: Path, pixels: np.ndarray) -> Path:
     """8-bit RGB (H x W x 3), RGBA (H x W x 4) or gray (H x W) -> PNG file."""
-    px = np.ascontiguousarray(pixels, dtype=np.uint8)
-    h, w = px.shape[:2]
-    color = {2: 0, 3: 2}[px.ndim] if px.ndim == 2 or px.shape[2] == 3 else 6
-    raw = b"".join(b"\x00" + px[r].tobytes() for r in range(h))
-    header = struct.pack(">IIBBBBB", w, h, 8, color, 0, 0, 0)
-    Path(path).write_bytes(b"\x89PNG\r\n\x1a\n" + _chunk(b"IHDR", header)
-                           + _chunk(b"IDAT", zlib.compress(raw)) + _chunk(b"IEND", b""))
+    Path(path).write_bytes(encode_png(pixels))
     return Path(path)
 
 
