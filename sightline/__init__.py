@@ -16,7 +16,7 @@ from sightline.functions.bits import (
     similarity_pct,
 )
 from sightline.operators.hashes import ALGORITHMS, signature_bits
-from sightline.plans.search import SearchConfig, batch_search, search
+from sightline.plans.search import SearchConfig, batch_search, picture_signatures, search
 
 __all__ = [
     "ALGORITHMS",
@@ -28,6 +28,7 @@ __all__ = [
     "hex_to_bits",
     "max_distance",
     "pack_bits",
+    "picture_signatures",
     "search",
     "signature_bits",
     "similarity_pct",

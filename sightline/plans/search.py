@@ -105,6 +105,16 @@ def _signatures_of(images: DataFrame, cfg: SearchConfig) -> DataFrame:
     return with_picture_signature(images, cfg.algorithm, cfg.hash_size)
 
 
+def picture_signatures(spark: SparkSession, paths: str | list[str], algorithm: str = "perceptual",
+                       hash_size: int = 16) -> DataFrame:
+    """``file_uri, size, mtime, bits, hash_hex, n_bits, algorithm,
+    hash_size`` for the pictures at ``paths`` (a folder, searched
+    recursively, or a list of files); undecodable files get NULL bits (H6)."""
+    cfg = SearchConfig(algorithm=algorithm, hash_size=hash_size)
+    recursive = isinstance(paths, str) and path_kind(spark, paths) == "dir"
+    return _signatures_of(read_images(spark, paths, recursive=recursive), cfg)
+
+
 def reference_signature(spark: SparkSession, reference: str, cfg: SearchConfig):
     """(uri, size, words) of the reference picture; ValueError if it cannot
     be decoded."""

@@ -210,3 +210,18 @@ def test_list_files(spark, tmp_path):
                     "B.JPG": (tmp_path / "sub" / "B.JPG").stat().st_size}
     with pytest.raises(FileNotFoundError):
         list_files(spark, str(tmp_path / "missing"))
+
+
+def test_picture_signatures(spark, tmp_path):
+    from sightline import picture_signatures
+
+    write_png(tmp_path / "a.png", noise(5, 32))
+    write_png(tmp_path / "b.png", noise(5, 32))
+    (tmp_path / "c.png").write_bytes(b"broken")
+    rows = {os.path.basename(r["file_uri"]): r for r in
+            picture_signatures(spark, str(tmp_path), "difference", 8).collect()}
+    assert rows["a.png"]["hash_hex"] == rows["b.png"]["hash_hex"]
+    assert len(rows["a.png"]["hash_hex"]) == 16 and rows["a.png"]["n_bits"] == 64
+    assert rows["c.png"]["bits"] is None
+    one = picture_signatures(spark, [str(tmp_path / "a.png")], "difference", 8).first()
+    assert one["hash_hex"] == rows["a.png"]["hash_hex"]
