@@ -34,8 +34,8 @@ def start_refresh(signature_stream: DataFrame, store_path: str, checkpoint: str,
     """Append the stream's successful signatures (columns of
     ``store.SIGNATURE_COLUMNS`` plus ``algorithm`` and ``hash_size``) to the
     store's streamed part."""
-    # one shuffle after hashing (signature rows only) so each micro-batch
-    # writes one file per ``ROWS_PER_FILE`` rows, not one per input split
+    # one shuffle after hashing (signature rows only, never pixels) so each
+    # micro-batch writes ``output_files`` files, not one per input split
     rows = (signature_stream.where(F.col("bits").isNotNull())
             .select(*store.SIGNATURE_COLUMNS, "algorithm", "hash_size")
             .withColumn("written_at", F.unix_micros(F.current_timestamp()))
