@@ -53,12 +53,9 @@ def difference_flags(grid: Column, k: int, side_h: int, side_w: int) -> Column:
     if side_w != k + 1 or side_h < k:
         raise ValueError(f"difference hash needs {k} rows of {k + 1}, got {side_h}x{side_w}")
     w = k + 1
-
-    def bit(b: Column) -> Column:
-        left = (F.floor(b / k) * w + b % k).cast("int")
-        return grid[left + 1] > grid[left]
-
-    return F.transform(F.sequence(F.lit(0), F.lit(k * k - 1)), bit)
+    # left-neighbour index of every bit, as literals
+    lefts = F.array(*[F.lit((b // k) * w + b % k) for b in range(k * k)])
+    return F.transform(lefts, lambda left: grid[left + 1] > grid[left])
 
 
 def dct_basis(k: int, n: int) -> list[float]:
@@ -71,22 +68,21 @@ def perceptual_coefficients(grid: Column, k: int, n: int) -> Column:
     ``T = C X`` (k x n), then ``T C^T`` (k x k)."""
     basis = F.array(*[F.lit(c) for c in dct_basis(k, n)])
     steps = F.sequence(F.lit(0), F.lit(n - 1))
+    # The loops run over literal index arrays, so no element pays for index
+    # arithmetic: (basis row offset, grid column) per T cell, then (T row
+    # offset, basis row offset) per coefficient.
+    t_index = F.array(*[F.struct(F.lit(u * n).alias("b"), F.lit(j).alias("j"))
+                        for u in range(k) for j in range(n)])
+    t = F.transform(t_index, lambda c: F.aggregate(
+        steps, F.lit(0.0), lambda acc, i: acc + basis[c.b + i] * grid[i * n + c.j]))
+    c_index = F.array(*[F.struct(F.lit(u * n).alias("t"), F.lit(v * n).alias("b"))
+                        for u in range(k) for v in range(k)])
 
-    def t_cell(q: Column) -> Column:
-        u = F.floor(q / n).cast("int")
-        j = (q % n).cast("int")
-        return F.aggregate(steps, F.lit(0.0),
-                           lambda acc, i: acc + basis[u * n + i] * grid[i * n + j])
-
-    def block(t: Column) -> Column:
-        def coef(b: Column) -> Column:
-            u = F.floor(b / k).cast("int")
-            v = (b % k).cast("int")
-            return F.aggregate(steps, F.lit(0.0),
-                               lambda acc, j: acc + t[u * n + j] * basis[v * n + j])
-        return F.transform(F.sequence(F.lit(0), F.lit(k * k - 1)), coef)
+    def block(tt: Column) -> Column:
+        return F.transform(c_index, lambda c: F.aggregate(
+            steps, F.lit(0.0), lambda acc, j: acc + tt[c.t + j] * basis[c.b + j]))
 
-    return let(F.transform(F.sequence(F.lit(0), F.lit(k * n - 1)), t_cell), block)
+    return let(t, block)
 
 
 def perceptual_flags(grid: Column, k: int, side_h: int, side_w: int) -> Column:
@@ -97,18 +93,14 @@ def perceptual_flags(grid: Column, k: int, side_h: int, side_w: int) -> Column:
 
 def wavelet_blocks(grid: Column, k: int, n: int) -> Column:
     b = n // k
-
-    def block(q: Column) -> Column:
-        r0 = F.floor(q / k).cast("int") * b
-        c0 = (q % k).cast("int") * b
-        cells = F.sequence(F.lit(0), F.lit(b * b - 1))
-        return F.aggregate(
-            cells, F.lit(0.0),
-            lambda acc, t: acc + grid[(r0 + F.floor(t / b).cast("int")) * n + c0 + t % b])
-
     if b == 1:
         return grid
-    return F.transform(F.sequence(F.lit(0), F.lit(k * k - 1)), block)
+    # grid indices of every block's cells, as literals
+    blocks = F.array(*[
+        F.array(*[F.lit(((q // k) * b + t // b) * n + (q % k) * b + t % b) for t in range(b * b)])
+        for q in range(k * k)])
+    return F.transform(blocks, lambda cells: F.aggregate(
+        cells, F.lit(0.0), lambda acc, c: acc + grid[c]))
 
 
 def wavelet_flags(grid: Column, k: int, side_h: int, side_w: int) -> Column:
