@@ -34,10 +34,18 @@ ROWS_PER_FILE = 1_000_000
 
 def latest_per_key(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """One row per ``key``: the row with the greatest ``order`` tuple; ties
-    go to the greatest whole row, so the choice is deterministic."""
-    payload = F.struct(*[F.col(c) for c in df.columns]).alias("_row")
+    go to the greatest whole row, so the choice is deterministic.
+
+    The key columns come back as the grouping columns themselves, so the
+    aggregate's hash partitioning on them still counts for a following join
+    on the same key (no second exchange), and filters on the key can move
+    below the aggregate."""
+    rest = [c for c in df.columns if c not in key]
+    payload = F.struct(*[F.col(c) for c in rest]).alias("_row")
     best = F.max(F.struct(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], payload))
-    return df.groupBy(*key).agg(best.alias("_best")).select("_best._row.*")
+    out = df.groupBy(*key).agg(best.alias("_best"))
+    return out.select(*[F.col(c) if c in key else F.col(f"_best._row.{c}").alias(c)
+                        for c in df.columns])
 
 
 def upsert(existing: DataFrame, updates: DataFrame, key: list[str],
