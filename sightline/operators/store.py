@@ -73,16 +73,22 @@ def lookup(current: DataFrame, stored: DataFrame, key: list[str],
 
 def misses(current: DataFrame, stored: DataFrame, key: list[str],
            size: str = "size", mtime: str = "mtime") -> DataFrame:
-    """Current files with no fresh stored row (J2): an anti join on key plus
-    size and mtime, so stale rows count as missing."""
-    return current.join(stored.select(*key, size, mtime), [*key, size, mtime], "left_anti")
+    """Current files with no fresh stored row (J2): stale rows count as
+    missing.  ``stored`` holds one row per key (as ``latest_per_key`` and
+    ``read_signatures`` give), so this is the left join of ``lookup`` on the
+    key alone, which reuses a key partitioning both sides already have."""
+    looked = lookup(current, stored.select(*key, size, mtime), key, size, mtime)
+    return looked.where(F.col("status") != "hit").select(*current.columns)
 
 
 def hits(current: DataFrame, stored: DataFrame, key: list[str],
          size: str = "size", mtime: str = "mtime") -> DataFrame:
-    """Current files whose stored row is fresh, with the stored columns."""
+    """Current files whose stored row is fresh, with the stored columns
+    (``stored`` holds one row per key)."""
     extra = [c for c in stored.columns if c not in (*key, size, mtime)]
-    return current.join(stored.select(*key, size, mtime, *extra), [*key, size, mtime], "inner")
+    looked = lookup(current, stored.select(*key, size, mtime, *extra), key, size, mtime)
+    return looked.where(F.col("status") == "hit").select(
+        *current.columns, *[F.col(f"stored_{c}").alias(c) for c in extra])
 
 
 def merge_results(stored_hits: DataFrame, fresh: DataFrame, key: list[str],
