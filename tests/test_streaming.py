@@ -46,3 +46,16 @@ def test_search_reuses_refreshed_signatures(spark, tmp_path):
     matches, stats = search(spark, str(root / "ref.png"), str(root), cfg)
     assert {r["candidate"].rsplit("/", 1)[-1] for r in matches.collect()} == {"dup.png"}
     assert stats.first()["signatures_reused"] == 2
+
+
+def test_refresh_sees_new_subfolders(spark, tmp_path):
+    from sightline.streaming.refresh import read_streamed, refresh
+
+    root, store = tmp_path / "pics", str(tmp_path / "store")
+    root.mkdir()
+    write_png(root / "a.png", noise(71, 32))
+    assert refresh(spark, str(root), store, "average", 8) == 1
+    (root / "2025" / "june").mkdir(parents=True)
+    write_png(root / "2025" / "june" / "b.png", noise(72, 32))
+    assert refresh(spark, str(root), store, "average", 8) == 1
+    assert read_streamed(spark, store, "average", 8).count() == 2
