@@ -38,6 +38,24 @@ def _word_slices(n_bits: int) -> list[tuple[int, int]]:
     return out
 
 
+def double_array(values: list[float]) -> Column:
+    """A literal ARRAY<DOUBLE> built in one call (shortest round-trip text of
+    each double, so the values are exact)."""
+    return F.expr("array(" + ", ".join(f"{float(v)!r}D".replace("e", "E") for v in values) + ")")
+
+
+def int_array(values: list[int]) -> Column:
+    """A literal ARRAY<INT> built in one call."""
+    return F.expr("array(" + ", ".join(str(int(v)) for v in values) + ")")
+
+
+def struct_array(rows: list[tuple[int, ...]], names: tuple[str, ...]) -> Column:
+    """A literal ARRAY<STRUCT<names: INT>> built in one call."""
+    items = ", ".join("named_struct(" + ", ".join(f"'{n}', {int(v)}" for n, v in zip(names, row)) + ")"
+                      for row in rows)
+    return F.expr(f"array({items})")
+
+
 def let(value: Column, body) -> Column:
     """Evaluate ``value`` once and hand it to ``body`` as a lambda variable.
 

@@ -26,7 +26,14 @@ from typing import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sightline.functions.bits import bits_to_hex, let, pack_bits
+from sightline.functions.bits import (
+    bits_to_hex,
+    double_array,
+    int_array,
+    let,
+    pack_bits,
+    struct_array,
+)
 
 
 def _median(values: Column, count: int) -> Column:
@@ -54,7 +61,7 @@ def difference_flags(grid: Column, k: int, side_h: int, side_w: int) -> Column:
         raise ValueError(f"difference hash needs {k} rows of {k + 1}, got {side_h}x{side_w}")
     w = k + 1
     # left-neighbour index of every bit, as literals
-    lefts = F.array(*[F.lit((b // k) * w + b % k) for b in range(k * k)])
+    lefts = int_array([(b // k) * w + b % k for b in range(k * k)])
     return F.transform(lefts, lambda left: grid[left + 1] > grid[left])
 
 
@@ -66,17 +73,15 @@ def dct_basis(k: int, n: int) -> list[float]:
 def perceptual_coefficients(grid: Column, k: int, n: int) -> Column:
     """Low ``k x k`` DCT-II block of an ``n x n`` grid, separable: first
     ``T = C X`` (k x n), then ``T C^T`` (k x k)."""
-    basis = F.array(*[F.lit(c) for c in dct_basis(k, n)])
+    basis = double_array(dct_basis(k, n))
     steps = F.sequence(F.lit(0), F.lit(n - 1))
     # The loops run over literal index arrays, so no element pays for index
     # arithmetic: (basis row offset, grid column) per T cell, then (T row
     # offset, basis row offset) per coefficient.
-    t_index = F.array(*[F.struct(F.lit(u * n).alias("b"), F.lit(j).alias("j"))
-                        for u in range(k) for j in range(n)])
+    t_index = struct_array([(u * n, j) for u in range(k) for j in range(n)], ("b", "j"))
     t = F.transform(t_index, lambda c: F.aggregate(
         steps, F.lit(0.0), lambda acc, i: acc + basis[c.b + i] * grid[i * n + c.j]))
-    c_index = F.array(*[F.struct(F.lit(u * n).alias("t"), F.lit(v * n).alias("b"))
-                        for u in range(k) for v in range(k)])
+    c_index = struct_array([(u * n, v * n) for u in range(k) for v in range(k)], ("t", "b"))
 
     def block(tt: Column) -> Column:
         return F.transform(c_index, lambda c: F.aggregate(
@@ -96,9 +101,10 @@ def wavelet_blocks(grid: Column, k: int, n: int) -> Column:
     if b == 1:
         return grid
     # grid indices of every block's cells, as literals
-    blocks = F.array(*[
-        F.array(*[F.lit(((q // k) * b + t // b) * n + (q % k) * b + t % b) for t in range(b * b)])
-        for q in range(k * k)])
+    blocks = F.expr("array(" + ", ".join(
+        "array(" + ", ".join(str(((q // k) * b + t // b) * n + (q % k) * b + t % b)
+                             for t in range(b * b)) + ")"
+        for q in range(k * k)) + ")")
     return F.transform(blocks, lambda cells: F.aggregate(
         cells, F.lit(0.0), lambda acc, c: acc + grid[c]))
 
@@ -181,7 +187,7 @@ def with_signature(df: DataFrame, grid_col: str, algorithm: str, hash_size: int,
     bits = F.when(grid.isNotNull(),
                   signature_bits(grid, algorithm, hash_size, side_h, side_w, reduced))
     return (df.withColumn("bits", bits)
-              .withColumn("hash_hex", bits_to_hex(F.col("bits"), n_bits))
-              .withColumn("n_bits", F.lit(n_bits))
-              .withColumn("algorithm", F.lit(algorithm))
-              .withColumn("hash_size", F.lit(hash_size)))
+              .withColumns({"hash_hex": bits_to_hex(F.col("bits"), n_bits),
+                            "n_bits": F.lit(n_bits),
+                            "algorithm": F.lit(algorithm),
+                            "hash_size": F.lit(hash_size)}))
