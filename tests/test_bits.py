@@ -78,3 +78,17 @@ def test_similarity_floor_and_rounding(spark):
         similarity_pct(F.col("d"), F.col("n")).alias("s")).collect()
     assert row[0]["s"] == (1.0 - 17 / 25) * 100.0
     assert row[1]["s"] == 0.0
+
+
+def test_literal_arrays_are_exact(spark):
+    import math
+
+    from sightline.functions.bits import double_array, int_array, struct_array
+
+    values = [0.0, -0.5, 1 / 3, math.cos(math.pi / 2), -1e-300, 6.02e23, 0.1 + 0.2]
+    row = spark.range(1).select(
+        double_array(values).alias("d"), int_array([3, -7, 0]).alias("i"),
+        struct_array([(1, 2), (3, 4)], ("a", "b")).alias("s")).first()
+    assert list(row["d"]) == values
+    assert list(row["i"]) == [3, -7, 0]
+    assert [(r["a"], r["b"]) for r in row["s"]] == [(1, 2), (3, 4)]
