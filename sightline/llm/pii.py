@@ -57,7 +57,7 @@ NO_SPANS = "array<struct<kind:string,start:int,end:int>>"
 
 # Wide patterns of the learned kinds.
 CANDIDATES = {
-    "secret": r"(?<![A-Za-z0-9_/+-])(?=[A-Za-z_/+-]{0,64}[0-9])[A-Za-z0-9_/+-]{12,}+",
+    "secret": r"(?<![A-Za-z0-9_/+-])(?=[A-Za-z_/+-]{0,64}[0-9])[A-Za-z0-9_/+-]{8,}+",
     "number": r"(?<![A-Za-z0-9+.()-])\(?[0-9]{3}\)?[ -][0-9]{3}-[0-9]{4}(?![0-9-])",
 }
 CANDIDATE_GATES = {
@@ -73,7 +73,7 @@ CUE_WORDS = {
 }
 # Shapes that a key or number of each kind has.
 SHAPES = {
-    "secret": r"^(?:AKIA[0-9A-Z]{16}|[0-9a-f]{16}|[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64}|sk[_-][A-Za-z0-9_-]{16,}|gh[pousr]_[A-Za-z0-9]{36})$",
+    "secret": r"^(?:AKIA[0-9A-Z]{16}|(?=[0-9]*[a-f])(?:[0-9a-f]{16}|[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64})|sk[_-][A-Za-z0-9_-]{16,}|gh[pousr]_[A-Za-z0-9]{36})$",
     "number": r"^\(?[2-9][0-9]{2}\)?[ -][0-9]{3}-[0-9]{4}$",
 }
 CONTEXT_CHARS = 24

@@ -8,10 +8,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm import pii, quality_rules, url_filter
+from sightline.llm import decontaminate, packing, pii, quality_rules, url_filter
 from sightline.llm.common import table
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality_rules.apply_rules(docs).select(
@@ -23,6 +27,12 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(pages).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    items = table(spark, sf_dir, "benchmark").select("item_id", "text")
+    return decontaminate.digest_columns(decontaminate.contaminated_words(docs, items))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pii.digest_columns(pii.find_pii(docs))
@@ -36,4 +46,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op5_quality_rules": quality_rules.oracle_sql(),
         "op6_url_filter": url_filter.oracle_sql(),
+        "op8_decontaminate": decontaminate.oracle_sql(),
     }
