@@ -108,10 +108,12 @@ class WordTokenizer:
     def encode_many(self, texts: list[str]) -> list[bytes]:
         split = [None if _ODD_SPACE.search(t) else t.split() for t in texts]
         distinct = set().union(*[w for w in split if w])
-        if len(self.cache) + len(distinct) > self.cache_words:
-            self.cache.clear()
         cache = self.cache
-        self.learn([w for w in distinct if w not in cache])
+        new = distinct.difference(cache)
+        if len(cache) + len(new) > self.cache_words:
+            cache.clear()
+            new = distinct
+        self.learn(new)
         return [self.whole(t) if w is None else b"".join([cache[x] for x in w])
                 for t, w in zip(texts, split)]
 
