@@ -39,3 +39,40 @@ def pii_row(text: str | None) -> tuple:
     spans = pii_base(text)
     joined = ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
     return (*[sum(s[0] == k for s in spans) for k in PII], hashlib.sha256(joined.encode()).hexdigest())
+
+
+def _repeats(seqs: list, window: int) -> list[list[bool]]:
+    """Which units lie in a window that starts more than once anywhere."""
+    from collections import Counter
+
+    count = Counter(s[i:i + window] for s in seqs for i in range(len(s) - window + 1))
+    out = []
+    for s in seqs:
+        gone = [False] * len(s)
+        last = -1
+        for i in range(len(s) - window + 1):
+            if count[s[i:i + window]] > 1:
+                for j in range(max(i, last), i + window):
+                    gone[j] = True
+                last = i + window
+        out.append(gone)
+    return out
+
+
+def suffix_rows(texts: list[str | None], length: int = 400) -> list[tuple]:
+    raws = [(t or "").encode() for t in texts]
+    out = []
+    for raw, gone in zip(raws, _repeats(raws, length)):
+        rest = bytes(b for b, g in zip(raw, gone) if not g)
+        runs = sum(g and not p for p, g in zip([False, *gone], gone))
+        out.append((len(raw), sum(gone), runs, hashlib.sha256(rest).hexdigest()))
+    return out
+
+
+def substring_rows(texts: list[str | None], window: int = 35) -> list[tuple]:
+    seqs = [tuple((t or "").encode().split()) for t in texts]
+    out = []
+    for words, gone in zip(seqs, _repeats(seqs, window)):
+        rest = [w for w, g in zip(words, gone) if not g]
+        out.append((len(words), sum(gone), hashlib.sha256(b" ".join(rest)).hexdigest()))
+    return out
