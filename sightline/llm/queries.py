@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sightline.llm import (
     decontaminate,
+    jaccard_join,
     language_id,
     packing,
     pii,
@@ -64,6 +65,11 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest_columns(decontaminate.contaminated_words(docs, items))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard_join.similar_components(docs).select("doc_id", "n_shingles", "component_id")
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pii.digest_columns(pii.find_pii(docs))

@@ -76,3 +76,36 @@ def substring_rows(texts: list[str | None], window: int = 35) -> list[tuple]:
         rest = [w for w, g in zip(words, gone) if not g]
         out.append((len(words), sum(gone), hashlib.sha256(b" ".join(rest)).hexdigest()))
     return out
+
+
+def jaccard_rows(ids: list[int], texts: list[str | None], percent: int = 80) -> list[tuple]:
+    """(n_shingles, component_id): all pairs that share a shingle, then union-find."""
+    from collections import defaultdict
+
+    sets = []
+    for t in texts:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[i:i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
+    holders = defaultdict(list)
+    for i, s in enumerate(sets):
+        for x in s:
+            holders[x].append(i)
+    both = defaultdict(int)
+    for hs in holders.values():
+        for k, i in enumerate(hs):
+            for j in hs[k + 1:]:
+                both[i, j] += 1
+    parent = list(range(len(ids)))
+
+    def root(i):
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for (i, j), n in both.items():
+        if 100 * n >= percent * (len(sets[i]) + len(sets[j]) - n):
+            a, b = root(i), root(j)
+            if a != b:
+                parent[max(a, b, key=lambda k: ids[k])] = min(a, b, key=lambda k: ids[k])
+    return [(len(s), ids[root(i)]) for i, s in enumerate(sets)]
