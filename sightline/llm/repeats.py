@@ -26,7 +26,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sightline.llm.common import written
@@ -128,9 +128,14 @@ def window_ids(units: np.ndarray, places: list[tuple[int, int]], window: int,
     return out
 
 
+def row_id(text_col: str = "text", id_col: str = "doc_id") -> Column:
+    """A key of a row: rows with the same key are equal in id and text."""
+    return F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
+
+
 def with_row_id(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(rid, doc_id, text): rows of one rid are equal in both columns."""
-    return docs.select(F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).alias("rid"),
+    return docs.select(row_id(text_col, id_col).alias("rid"),
                        F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
 
 
