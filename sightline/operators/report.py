@@ -75,14 +75,11 @@ def write_json_report(ranked: DataFrame, stats: DataFrame, path: str) -> None:
     stats.select(*STATS_FIELDS).coalesce(1).write.mode("overwrite").json(f"{path}/stats")
 
 
-def json_document(ranked: DataFrame, stats: DataFrame, max_matches: int = 100_000) -> str:
-    """The single ``{"matches": [...], "stats": {...}}`` text of a search.
-    Only for result sets counted to fit on the driver; larger ones go
-    through ``write_json_report``."""
-    n = ranked.count()
-    if n > max_matches:
-        raise ValueError(f"{n} matches exceed max_matches={max_matches}; use write_json_report")
-    rows = ranked.orderBy("rank").select(*MATCH_FIELDS).collect()
+def json_document(ranked: DataFrame, stats: DataFrame) -> str:
+    """The single ``{"matches": [...], "stats": {...}}`` text of a search, with
+    every match.  The text is one string of the caller's process; results too
+    large for that go through ``write_json_report``."""
+    rows = ranked.orderBy("rank").select(*MATCH_FIELDS).toLocalIterator()
     s = stats.select(*STATS_FIELDS).first()
     return json.dumps({
         "matches": [{k: (str(r[k]) if k in ("reference", "candidate") else r[k])

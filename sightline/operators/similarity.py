@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from sightline.functions.bits import (
     hamming,
     hamming_to_literal,
+    let,
     max_distance,
     n_words,
     similarity_pct,
@@ -51,10 +52,13 @@ def score_against(candidates: DataFrame, ref_words: list[int], n_bits: int,
     if len(ref_words) != n_words(n_bits):
         raise ValueError("reference signature does not have n_bits bits")
     d_max = max_distance(threshold, n_bits)
-    dist = hamming_to_literal(F.col(bits), ref_words)
-    return (candidates.where(F.col(bits).isNotNull())
-            .withColumn("distance", dist)
-            .where(F.col("distance") <= d_max)
+    # The row number keeps the filter above the projection: pushed below it,
+    # the filter would hold a copy of the whole hash for each signature word.
+    # A row without bits has no distance and passes no bound.
+    scored = candidates.withColumns({
+        "distance": let(F.col(bits), lambda b: hamming_to_literal(b, ref_words)),
+        "_row": F.monotonically_increasing_id()})
+    return (scored.where((F.col("distance") <= d_max) & (F.col("_row") >= 0)).drop("_row")
             .withColumn("similarity_pct", similarity_pct(F.col("distance"), n_bits)))
 
 

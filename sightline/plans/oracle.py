@@ -89,11 +89,6 @@ def _similarity(dist: str, n: int) -> str:
     return f"greatest(0.0::DOUBLE, (1.0::DOUBLE - ({dist})::DOUBLE / {float(n)}) * 100.0::DOUBLE)"
 
 
-def _d_max(threshold: float, n: int) -> int:
-    from sightline.functions.bits import max_distance
-    return max_distance(threshold, n)
-
-
 def _human(x: str) -> str:
     v = f"({x})::DOUBLE"
     return (f"CASE WHEN {v} < 1024 THEN ({v})::BIGINT::VARCHAR || ' B' "
@@ -105,11 +100,10 @@ def _human(x: str) -> str:
 
 def search_matches(threshold: float = 60.0) -> str:
     """reference, candidate, distance, similarity_pct, file_size vs vec 0."""
-    d = _d_max(threshold, 64)
     return (f"WITH s AS ({average_bits()}), r AS (SELECT bs FROM s WHERE vec_id = 0) "
             f"SELECT 0::BIGINT AS reference, s.vec_id AS candidate, hamming(s.bs, r.bs)::INTEGER AS distance, "
             f"{_similarity('hamming(s.bs, r.bs)', 64)} AS similarity_pct, s.file_size "
-            f"FROM s, r WHERE s.vec_id <> 0 AND hamming(s.bs, r.bs) <= {d}")
+            f"FROM s, r WHERE s.vec_id <> 0 AND {_similarity('hamming(s.bs, r.bs)', 64)} >= {threshold}::DOUBLE")
 
 
 def ranked_matches(threshold: float = 60.0) -> str:
@@ -208,13 +202,12 @@ def oracle_sql() -> dict[str, str]:
         "SELECT rank, to_json({'reference': reference, 'candidate': candidate, "
         "'similarity_pct': similarity_pct, 'distance': distance, 'file_size': file_size})::VARCHAR AS json "
         f"FROM ({ranked_matches()})")
-    d = _d_max(60.0, 64)
     q["batch_search"] = (
         f"WITH s AS ({average_bits()}), refs AS (SELECT s.* FROM s JOIN "
         f"(SELECT label, min(vec_id) AS vec_id FROM embeddings GROUP BY label) m USING (vec_id)), "
         f"p AS (SELECT r.vec_id AS reference, c.vec_id AS candidate, hamming(r.bs, c.bs)::INTEGER AS distance, "
         f"{_similarity('hamming(r.bs, c.bs)', 64)} AS similarity_pct, c.file_size "
-        f"FROM refs r JOIN s c ON r.vec_id <> c.vec_id AND hamming(r.bs, c.bs) <= {d} "
+        f"FROM refs r JOIN s c ON r.vec_id <> c.vec_id AND {_similarity('hamming(r.bs, c.bs)', 64)} >= 60.0::DOUBLE "
         f"AND c.file_size BETWEEN trunc(r.file_size * 0.5)::BIGINT AND trunc(r.file_size * 1.5)::BIGINT) "
         f"SELECT *, row_number() OVER (PARTITION BY reference ORDER BY similarity_pct DESC, candidate) AS rank "
         f"FROM p")
@@ -256,7 +249,7 @@ def oracle_sql() -> dict[str, str]:
         "FROM cur LEFT JOIN meta USING (root)")
     q["search_stats"] = (
         f"WITH s AS ({average_bits()}), r AS (SELECT bs FROM s WHERE vec_id = 0), "
-        f"o AS (SELECT s.vec_id, l.doc_id IS NOT NULL AS ok, hamming(s.bs, r.bs) <= {d} AS matched "
+        f"o AS (SELECT s.vec_id, l.doc_id IS NOT NULL AS ok, {_similarity('hamming(s.bs, r.bs)', 64)} >= 60.0::DOUBLE AS matched "
         f"FROM s CROSS JOIN r LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON l.doc_id = s.vec_id "
         f"WHERE s.vec_id <> 0) "
         f"SELECT count(*)::BIGINT AS total_files, count(*) FILTER (WHERE ok)::BIGINT AS images_scanned, "

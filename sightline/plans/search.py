@@ -10,11 +10,12 @@ Plan of ``search`` (steps 2-5 are ``folder_signatures``, which
    outside the size window (pushed to the file index)
 3. one left join against the newest stored rows splits the candidates into
    store hits (size and mtime unchanged) and misses
-4. decode and hash the misses only: with no hits the filtered root is decoded
-   in one scan; with few misses their paths are handed to the image reader;
-   with many, the filtered root is decoded and semi-joined to the misses
-5. checkpoint the fresh signatures (decoding runs once), append the
-   successful ones to the store
+4. decode and hash the misses only, in slices of at most ``slice_files``
+   files whose paths are handed to the image reader; when the listing is a
+   scan of the root made now, all of it misses and it fits one slice, the
+   filtered scan itself is decoded (the same files, without naming them)
+5. checkpoint each slice's signatures (decoding runs once) and append the
+   successful ones to the store, so a run that stops keeps finished slices
 6. score everything against the reference as a literal, rank, count
 """
 
@@ -45,6 +46,7 @@ from sightline.sources.files import (
     path_kind,
     path_mtime,
     qualified_uri,
+    resolved,
 )
 from sightline.sources.images import picture_conf, read_images, with_picture_signature
 
@@ -61,9 +63,8 @@ class SearchConfig:
     reuse_inventory: bool = False      # take the listing from the store when fresh
     refresh_inventory: bool = False    # rewrite the stored listing
     extensions: tuple[str, ...] = field(default=IMAGE_EXTENSIONS)
-    # misses up to this many are decoded by path; more decode the whole
-    # filtered root in one scan
-    max_listed_misses: int = 50_000
+    # files decoded and saved by one step; their paths pass the driver
+    slice_files: int = 50_000
     max_broadcast_refs: int = DEFAULT_MAX_BROADCAST_REFS
 
     def __post_init__(self):
@@ -121,50 +122,53 @@ def reference_signature(spark: SparkSession, reference: str, cfg: SearchConfig):
     pics = read_images(spark, reference, recursive=False, extensions=None)
     with picture_conf(spark):
         row = _signatures_of(pics, cfg).select("file_uri", "size", "bits").first()
-    if row is None or row["bits"] is None:
+    if row is None or row["bits"] is None or row["file_uri"] != qualified_uri(spark, reference):
         raise ValueError(f"could not process reference image: {reference}")
     return row["file_uri"], row["size"], list(row["bits"])
 
 
-def _listing(spark: SparkSession, root: str, cfg: SearchConfig, pics: DataFrame) -> DataFrame:
-    """The root's picture files: the stored listing when it is fresh (same
-    root mtime, same row count), else the metadata columns of ``pics`` (the
-    image source decodes nothing when no pixel column is read), stored when
-    asked."""
+def _listing(spark: SparkSession, root: str, cfg: SearchConfig) -> tuple[DataFrame, DataFrame | None]:
+    """The root's picture files, and the scan they come from: the stored
+    listing and None when it is fresh (same root mtime, same row count), else
+    the metadata columns of a scan made now (the image source decodes nothing
+    when no pixel column is read), stored when asked.  Hits don't matter: a
+    fresh stored listing serves cold and warm searches alike, without listing
+    the root again."""
     root_mtime = path_mtime(spark, root)
     if cfg.store_path and cfg.reuse_inventory and not cfg.refresh_inventory:
         stored = store.read_inventory(spark, cfg.store_path, root, root_mtime)
         if stored is not None:
-            return stored.select("file_uri", "size", "mtime")
+            return stored.select("file_uri", "size", "mtime"), None
+    # one file index for the root serves the listing and the decoding
+    pics = read_images(spark, root, extensions=cfg.extensions)
     files = pics.select("file_uri", "size", "mtime")
     if cfg.store_path and cfg.save_signatures and (cfg.reuse_inventory or cfg.refresh_inventory):
         store.replace_inventory(files.withColumn("root", F.lit(root)), cfg.store_path,
                                 F.lit(root_mtime).cast("timestamp"), roots=[root])
-    return files
-
-
-def _decode_misses(spark: SparkSession, root_pics: DataFrame, to_hash: DataFrame,
-                   candidates: Column, cfg: SearchConfig, n_hits: int,
-                   n_misses: int | None) -> DataFrame | None:
-    if n_hits == 0:
-        # cold: every candidate is a miss, so the filtered root is decoded in
-        # one scan; the filters prune files before they are opened
-        return _signatures_of(root_pics.where(candidates), cfg)
-    n = n_misses if n_misses is not None else to_hash.count()
-    if n == 0:
-        return None
-    pics = None
-    if n <= cfg.max_listed_misses:
-        paths = [_local_path(r["file_uri"]) for r in to_hash.select("file_uri").collect()]
-        try:
-            pics = read_images(spark, paths, recursive=False, extensions=None)
-        except FileNotFoundError:
-            pics = None  # a listed file is gone: scan the root instead
+    return files, pics
+
+
+def _decode_listed(spark: SparkSession, files: DataFrame, cfg: SearchConfig) -> DataFrame:
+    """Signatures of the listed files, read by path.  One row per listed file:
+    a file that is gone has NULL bits, like one that can't be decoded, and the
+    join on the URI lets no other file in."""
+    listed = files.select("file_uri", "size", "mtime")
+    paths = [_local_path(r["file_uri"]) for r in listed.select("file_uri").collect()]
+    try:
+        pics = read_images(spark, paths, recursive=False, extensions=None)
+    except FileNotFoundError:
+        paths = [p for p in paths if path_kind(spark, p) == "file"]
+        pics = read_images(spark, paths, recursive=False, extensions=None) if paths else None
     if pics is None:
-        pics = root_pics.where(candidates).join(to_hash.select("file_uri"), "file_uri", "left_semi")
-    # no repartition here: it would shuffle decoded pixels; decode work is
-    # spread by the scan's file splits
-    return _signatures_of(pics, cfg)
+        return listed.withColumns({"bits": F.lit(None).cast("array<bigint>"), "hash_hex": F.lit(None).cast("string"),
+                                   "n_bits": F.lit(cfg.n_bits)})
+    # no repartition before the hash: it would shuffle decoded pixels; decode
+    # work is spread by the scan's file splits
+    sig = _signatures_of(pics, cfg).select(
+        "file_uri", F.col("size").alias("_size"), F.col("mtime").alias("_mtime"), "bits", "hash_hex")
+    return listed.join(sig, "file_uri", "left").select(
+        "file_uri", F.coalesce("_size", "size").alias("size"), F.coalesce("_mtime", "mtime").alias("mtime"),
+        "bits", "hash_hex", F.lit(cfg.n_bits).alias("n_bits"))
 
 
 def folder_signatures(spark: SparkSession, root: str, cfg: SearchConfig,
@@ -175,9 +179,8 @@ def folder_signatures(spark: SparkSession, root: str, cfg: SearchConfig,
     are unchanged; only the rest is decoded, and successful new signatures
     are appended to the store."""
     keep = keep if keep is not None else F.lit(True)
-    # one file index for the root serves the listing and the decoding
-    root_pics = read_images(spark, root, extensions=cfg.extensions)
-    candidates = _listing(spark, root, cfg, root_pics).where(keep)
+    listing, root_pics = _listing(spark, root, cfg)
+    candidates = listing.where(keep)
     stored = None
     if cfg.store_path and cfg.reuse_signatures:
         prefix = qualified_uri(spark, root).rstrip("/") + "/"
@@ -193,10 +196,17 @@ def folder_signatures(spark: SparkSession, root: str, cfg: SearchConfig,
                            F.count_if(F.col("status") != "hit").alias("misses")).first()
         n_hits, n_misses = tally["hits"], tally["misses"]
     else:
-        from_store, to_hash, n_hits, n_misses = None, candidates, 0, None
-
-    fresh = _decode_misses(spark, root_pics, to_hash, keep, cfg, n_hits, n_misses)
-    if fresh is not None:
+        from_store, to_hash, n_hits, n_misses = None, candidates, 0, candidates.count()
+
+    slices = -(-n_misses // cfg.slice_files)
+    parts = [] if from_store is None else [from_store]
+    for i in range(slices):
+        if slices == 1 and n_hits == 0 and root_pics is not None:
+            fresh = _signatures_of(root_pics.where(keep), cfg)
+        else:
+            mine = to_hash if slices == 1 else to_hash.where(
+                F.pmod(F.xxhash64("file_uri"), F.lit(slices)) == i)
+            fresh = _decode_listed(spark, mine, cfg)
         # rebalance: the shuffle carries only signature rows (the pixels stay
         # in the map tasks) and AQE sizes the partitions, so the checkpoint
         # and the store get a few large files, not one per input split
@@ -205,8 +215,7 @@ def folder_signatures(spark: SparkSession, root: str, cfg: SearchConfig,
                         .hint("rebalance"))
         if cfg.store_path and cfg.save_signatures:
             store.save_signatures(fresh, cfg.store_path, cfg.algorithm, cfg.hash_size)
-        fresh = fresh.select("file_uri", "size", "mtime", "bits")
-    parts = [p for p in (from_store, fresh) if p is not None]
+        parts.append(fresh.select("file_uri", "size", "mtime", "bits"))
     if not parts:
         return spark.createDataFrame(
             [], "file_uri string, size bigint, mtime timestamp, bits array<bigint>"), 0
@@ -227,6 +236,7 @@ def search(spark: SparkSession, reference: str, root: str,
         raise FileNotFoundError(f"reference image not found: {reference}")
     if path_kind(spark, root) != "dir":
         raise FileNotFoundError(f"search directory not found: {root}")
+    reference, root = resolved(spark, reference), resolved(spark, root)
 
     ref_uri, ref_size, ref_bits = reference_signature(spark, reference, cfg)
     bounds = size_bounds(ref_size, cfg.size_tolerance_pct)
@@ -265,6 +275,7 @@ def batch_search(spark: SparkSession, references: str, root: str,
     for path in (references, root):
         if path_kind(spark, path) != "dir":
             raise FileNotFoundError(f"folder not found: {path}")
+    references, root = resolved(spark, references), resolved(spark, root)
     refs, _ = folder_signatures(spark, references, cfg)
     cands, _ = folder_signatures(spark, root, cfg)
     pairs = pair_search(refs, cands, cfg.n_bits, cfg.threshold, "file_uri", "file_uri",

@@ -6,8 +6,8 @@ Filters on ``_metadata.file_path`` and ``length`` are evaluated against the
 file index, so files that fail them are never opened.
 
 Differences from a plain directory walk: Spark's listing skips names that
-start with '.' or '_' (files and folders), and symbolic links are not
-resolved — URIs compare as text.
+start with '.' or '_' (files and folders).  The search resolves links of its
+two paths (``resolved``); links deeper in the tree are listed as they are.
 """
 
 from __future__ import annotations
@@ -26,6 +26,23 @@ def _hadoop_fs(spark: SparkSession, path: str):
     return p.getFileSystem(conf), p
 
 
+def literal_path(path: str) -> str:
+    """``path`` as a reader argument that means this one path: readers expand
+    glob characters, so each is escaped."""
+    return "".join("\\" + c if c in "\\*?[]{}" else c for c in path)
+
+
+def resolved(spark: SparkSession, path: str) -> str:
+    """``path`` with symbolic links resolved when it is on the driver's local
+    file system; other paths as given."""
+    import os
+
+    fs, p = _hadoop_fs(spark, path)
+    if fs.getUri().getScheme() != "file":
+        return path
+    return os.path.realpath(p.toUri().getPath())
+
+
 def path_kind(spark: SparkSession, path: str) -> str | None:
     """'file', 'dir' or None (missing), through the cluster's file system."""
     fs, p = _hadoop_fs(spark, path)
@@ -59,7 +76,8 @@ def list_files(spark: SparkSession, root: str,
                extensions=IMAGE_EXTENSIONS) -> DataFrame:
     """``file_uri, size, mtime`` for every picture file under ``root``."""
     try:
-        raw = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root))
+        raw = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+               .load(literal_path(root)))
     except AnalysisException as e:
         raise FileNotFoundError(f"search directory not found: {root}") from e
     files = raw.select(F.col("_metadata.file_path").alias("file_uri"),

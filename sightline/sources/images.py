@@ -36,6 +36,7 @@ from sightline.operators.hashes import (
     with_signature,
 )
 from sightline.session import ship_package
+from sightline.sources.files import literal_path
 
 IMAGE_STRUCT = T.StructType([
     T.StructField("origin", T.StringType(), True),
@@ -51,6 +52,9 @@ IMAGE_SCHEMA = T.StructType([T.StructField("image", IMAGE_STRUCT, True)])
 BATCH_BYTES = 64 << 20
 BATCH_ROWS = 1024
 
+# Older files than this count as seen: beyond the age of any file.
+MAX_FILE_AGE = "36500d"
+
 # 8-bit luminance weights of R, G, B in 16.16 fixed point with
 # rounding; resampling filter support (Lanczos-3) and weight precision bits.
 LUMA_WEIGHTS = (19595, 38470, 7471)
@@ -75,7 +79,8 @@ def read_images(spark: SparkSession, paths: str | list[str], recursive: bool = T
     if recursive:
         reader = reader.option("recursiveFileLookup", "true")
     try:
-        df = reader.load(paths if isinstance(paths, str) else list(paths))
+        named = [paths] if isinstance(paths, str) else list(paths)
+        df = reader.load([literal_path(p) for p in named])
     except AnalysisException as e:
         raise FileNotFoundError(str(paths)) from e
     out = _metadata_columns(df)
@@ -86,10 +91,13 @@ def read_images(spark: SparkSession, paths: str | list[str], recursive: bool = T
 
 def image_stream(spark: SparkSession, root: str, files_per_batch: int = 500,
                  extensions=IMAGE_EXTENSIONS) -> DataFrame:
-    """Streaming form of ``read_images``: new files under ``root``."""
+    """Streaming form of ``read_images``: new files under ``root``, however old
+    their modification time is (copied pictures keep theirs).  The price is
+    that the source's log keeps every path it has seen."""
     df = (spark.readStream.format("image").schema(IMAGE_SCHEMA)
           .option("dropInvalid", "false").option("recursiveFileLookup", "true")
-          .option("maxFilesPerTrigger", int(files_per_batch)).load(root))
+          .option("maxFilesPerTrigger", int(files_per_batch))
+          .option("maxFileAge", MAX_FILE_AGE).load(literal_path(root)))
     out = _metadata_columns(df)
     if extensions is not None:
         out = out.where(is_image_path(F.col("file_uri"), extensions))
@@ -98,50 +106,60 @@ def image_stream(spark: SparkSession, root: str, files_per_batch: int = 500,
 
 # -- luminance and resampling (numpy, per picture) ---------------------------
 
-def _sinc(x: float) -> float:
-    if x == 0.0:
-        return 1.0
-    x = x * math.pi
-    return math.sin(x) / x
-
+def _lanczos(x: np.ndarray) -> np.ndarray:
+    """sinc(x) sinc(x / 3) inside the support, element by element (``math.sin``,
+    whose last bit the weights depend on)."""
+    def sinc(v: float) -> float:
+        return 1.0 if v == 0.0 else math.sin(v * math.pi) / (v * math.pi)
 
-def _lanczos(x: float) -> float:
-    if -_LANCZOS_SUPPORT <= x < _LANCZOS_SUPPORT:
-        return _sinc(x) * _sinc(x / 3)
-    return 0.0
+    kernel = [sinc(v) * sinc(v / 3) if -_LANCZOS_SUPPORT <= v < _LANCZOS_SUPPORT else 0.0 for v in x.ravel()]
+    return np.array(kernel).reshape(x.shape)
 
 
 @lru_cache(maxsize=256)
 def resample_weights(in_size: int, out_size: int) -> tuple[np.ndarray, np.ndarray]:
     """(taps, weights): for every output position the input indices and
-    fixed-point weights (both ``out_size x ksize``; padding taps weigh 0)."""
+    fixed-point weights (both one row per output; padding taps weigh 0).
+
+    An output's centre lies at ``(o + 0.5) * scale``; the kernel, stretched by
+    the scale when shrinking, weighs the inputs within its support, and the
+    weights are normalised and rounded away from zero to fixed point."""
     scale = in_size / out_size
-    filterscale = max(scale, 1.0)
-    support = _LANCZOS_SUPPORT * filterscale
-    ksize = int(math.ceil(support)) * 2 + 1
-    taps = np.zeros((out_size, ksize), dtype=np.int64)
-    weights = np.zeros((out_size, ksize), dtype=np.int64)
-    ss = 1.0 / filterscale
-    one = float(1 << _PRECISION_BITS)
-    for xx in range(out_size):
-        center = (xx + 0.5) * scale
-        xmin = max(int(center - support + 0.5), 0)
-        xmax = min(int(center + support + 0.5), in_size) - xmin
-        k = [_lanczos((x + xmin - center + 0.5) * ss) for x in range(xmax)]
-        ww = 0.0
-        for v in k:
-            ww += v
-        for x, v in enumerate(k):
-            if ww != 0.0:
-                v = v / ww
-            weights[xx, x] = int(-0.5 + v * one) if v < 0 else int(0.5 + v * one)
-            taps[xx, x] = xmin + x
-    return taps, weights
+    stretch = max(scale, 1.0)
+    reach = _LANCZOS_SUPPORT * stretch
+    centre = (np.arange(out_size) + 0.5) * scale
+    low = np.maximum(np.trunc(centre - reach + 0.5), 0).astype(np.int64)
+    high = np.minimum(np.trunc(centre + reach + 0.5), in_size).astype(np.int64)
+    taps = low[:, None] + np.arange(int((high - low).max()))
+    inside = taps < high[:, None]
+    at = (taps - centre[:, None] + 0.5) * (1.0 / stretch)
+    kernel = np.where(inside, _lanczos(at), 0.0)
+    total = np.zeros(out_size)
+    for column in kernel.T:  # in input order, as the fixed-point weights are defined
+        total += column
+    kernel = np.divide(kernel, total[:, None], out=kernel, where=total[:, None] != 0)
+    fixed = kernel * float(1 << _PRECISION_BITS)
+    weights = np.trunc(fixed + np.where(fixed < 0, -0.5, 0.5)).astype(np.int64)
+    return np.where(inside, taps, 0), np.where(inside, weights, 0)
+
+
+# Dense weight matrices kept by a worker, oldest out first.
+DENSE_CACHE_BYTES = 64 << 20
+_dense: dict[tuple[int, int], np.ndarray] = {}
 
 
-@lru_cache(maxsize=256)
 def _dense_weights(in_size: int, out_size: int) -> np.ndarray:
-    """The same weights as an ``in_size x out_size`` float64 matrix."""
+    """The same weights as an ``in_size x out_size`` float64 matrix, cached
+    up to ``DENSE_CACHE_BYTES``."""
+    key = (in_size, out_size)
+    if key not in _dense:
+        _dense[key] = _make_dense(in_size, out_size)
+        while len(_dense) > 1 and sum(m.nbytes for m in _dense.values()) > DENSE_CACHE_BYTES:
+            _dense.pop(next(iter(_dense)))
+    return _dense[key]
+
+
+def _make_dense(in_size: int, out_size: int) -> np.ndarray:
     taps, weights = resample_weights(in_size, out_size)
     dense = np.zeros((in_size, out_size), dtype=np.float64)
     for o in range(out_size):

@@ -18,6 +18,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.utils import AnalysisException
 
 from sightline.operators import store
 from sightline.operators.hashes import with_signature
@@ -25,12 +26,16 @@ from sightline.session import scratch_path
 from sightline.sources import standins as st
 
 
+# Signature rows of a micro-batch that one task writes.
+ROWS_PER_WRITER = 2_000
+
+
 def stream_path(store_path: str) -> str:
     return f"{store_path.rstrip('/')}/signatures_stream"
 
 
 def start_refresh(signature_stream: DataFrame, store_path: str, checkpoint: str,
-                  available_now: bool = True, output_files: int = 1) -> StreamingQuery:
+                  available_now: bool = True, output_files: int = 8) -> StreamingQuery:
     """Append the stream's successful signatures (columns of
     ``store.SIGNATURE_COLUMNS`` plus ``algorithm`` and ``hash_size``) to the
     store's streamed part."""
@@ -58,7 +63,8 @@ def refresh(spark: SparkSession, root: str, store_path: str, algorithm: str = "p
             hash_size: int = 16, files_per_batch: int = 10_000,
             checkpoint: str | None = None) -> int:
     """Hash every picture under ``root`` not seen by earlier refreshes into
-    the store and stop (``availableNow``); returns the number of files read.
+    the store and stop (``availableNow``); returns how many signatures the
+    stream part of the store gained (undecodable files are read but not stored).
     The checkpoint defaults to one per (root, algorithm, hash size) inside
     the store, so repeated calls resume."""
     import hashlib
@@ -66,10 +72,21 @@ def refresh(spark: SparkSession, root: str, store_path: str, algorithm: str = "p
     if checkpoint is None:
         tag = hashlib.sha1(root.encode()).hexdigest()[:16]
         checkpoint = f"{store_path.rstrip('/')}/_refresh/{algorithm}_{hash_size}_{tag}"
+    before = _stored_rows(spark, store_path, algorithm, hash_size)
     q = start_refresh(image_signature_stream(spark, root, algorithm, hash_size, files_per_batch),
-                      store_path, checkpoint)
+                      store_path, checkpoint, output_files=max(1, -(-files_per_batch // ROWS_PER_WRITER)))
     q.awaitTermination()
-    return sum(p["numInputRows"] for p in q.recentProgress)
+    # counted from what was committed: the query's own progress keeps its last
+    # hundred batches only
+    return _stored_rows(spark, store_path, algorithm, hash_size) - before
+
+
+def _stored_rows(spark: SparkSession, store_path: str, algorithm: str, hash_size: int) -> int:
+    try:
+        raw = spark.read.parquet(stream_path(store_path))
+    except AnalysisException:
+        return 0
+    return raw.where((F.col("algorithm") == algorithm) & (F.col("hash_size") == hash_size)).count()
 
 
 def refresh_standin_signatures(spark: SparkSession, sf_dir: str,
