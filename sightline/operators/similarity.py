@@ -9,11 +9,11 @@ Many references against many candidates is a theta join, planned by size:
 
 * broadcast — the reference side is counted and found small: it is broadcast
   and the candidates stream past it without a shuffle (nested loop);
-* banded — two signatures within ``r`` bits agree exactly on at least one of
-  ``r + 1`` disjoint bands (pigeonhole), so an equi-join on (band, value)
-  finds every pair, a verify step applies the exact distance, and a pair is
-  kept only on the first band it agrees on (no dedup shuffle).  Used when
-  the bands are wide enough to select.  Hot band values (a key held by very
+* banded — two signatures within ``r`` bits differ in at most one bit of some
+  of ``r // 2 + 1`` disjoint bands (pigeonhole), so an equi-join on (band,
+  value), with the references' values also one bit off, finds every pair; a
+  verify step applies the exact distance, and a pair is kept only on the first
+  such band (no dedup shuffle).  Used when the bands are wide enough to select.  Hot band values (a key held by very
   many rows) are salted: split over several tasks on one side, copied on
   the other;
 * chunked — otherwise the references are cut into hash chunks whose counted
@@ -34,11 +34,13 @@ from sightline.functions.bits import (
     similarity_pct,
 )
 
-# Largest reference table broadcast to every task (rows, counted first).
+# Largest reference table that is broadcast although bands would select
+# (rows, counted first), and although they would not.
 DEFAULT_MAX_BROADCAST_REFS = 200_000
+MAX_NESTED_REFS = 2_000
 # Bands narrower than this select too weakly for the banded equi-join; the
 # reference table is then cut into broadcastable chunks instead.
-MIN_BAND_BITS = 8
+MIN_BAND_BITS = 12
 # A (band, value) join key with more rows than this on one side is salted.
 HOT_BAND_ROWS = 100_000
 MAX_SALTS = 1024
@@ -80,20 +82,16 @@ def _size_window(size: Column, tolerance_pct: float | None) -> tuple[Column, Col
     return lo, hi
 
 
-def _bit_string(bits: Column, n_bits: int) -> Column:
-    words = [F.lpad(F.bin(bits.getItem(i)), 64, "0") for i in range(n_words(n_bits))]
-    full = F.concat(*words) if len(words) > 1 else words[0]
-    return F.substring(full, 64 * n_words(n_bits) - n_bits + 1, n_bits)
-
-
 def band_layout(n_bits: int, d_max: int) -> list[tuple[int, int]]:
-    """(1-based start, length) of ``d_max + 1`` near-equal bands."""
-    bands = d_max + 1
+    """(0-based start, length) of ``d_max // 2 + 1`` near-equal bands: with
+    fewer than two differences a band on average, two signatures within
+    ``d_max`` bits differ in at most one bit of some band."""
+    bands = d_max // 2 + 1
     if bands > n_bits:
         raise ValueError("threshold admits pairs that differ in every bit; "
                          "banding cannot narrow them")
     base, extra = divmod(n_bits, bands)
-    out, start = [], 1
+    out, start = [], 0
     for i in range(bands):
         length = base + (1 if i < extra else 0)
         out.append((start, length))
@@ -101,6 +99,20 @@ def band_layout(n_bits: int, d_max: int) -> list[tuple[int, int]]:
     return out
 
 
+def _band_value(bits: Column, n_bits: int, start: int, length: int) -> Column:
+    """Bits ``start .. start + length`` (at most 63) as one BIGINT, cut from
+    the words by shift and mask."""
+    pad = 64 * n_words(n_bits) - n_bits  # the first word carries the short rest
+    low, high = start + pad, start + pad + length
+    value = None
+    for w in range(low // 64, (high - 1) // 64 + 1):
+        lo, hi = max(low, 64 * w) - 64 * w, min(high, 64 * w + 64) - 64 * w
+        part = F.shiftrightunsigned(bits.getItem(w), 64 - hi).bitwiseAND(
+            F.lit((1 << (hi - lo)) - 1).cast("bigint"))
+        value = part if value is None else F.shiftleft(value, hi - lo).bitwiseOR(part)
+    return value
+
+
 def pair_search(refs: DataFrame, candidates: DataFrame, n_bits: int, threshold: float,
                 ref_key: str, cand_key: str, *, bits: str = "bits",
                 size: str | None = None, size_tolerance_pct: float | None = None,
@@ -137,12 +149,11 @@ def pair_search(refs: DataFrame, candidates: DataFrame, n_bits: int, threshold:
     cond = (dist <= d_max) & extra_conditions()
     n_refs = r.count() if d_max >= 0 else 0
     if strategy is None:
-        if n_refs <= max_broadcast_refs:
-            strategy = "broadcast"
-        elif d_max < n_bits and n_bits // (d_max + 1) >= MIN_BAND_BITS:
+        wide = 0 <= d_max < n_bits and n_bits // (d_max // 2 + 1) >= MIN_BAND_BITS
+        if wide and n_refs > min(MAX_NESTED_REFS, max_broadcast_refs):
             strategy = "banded"
         else:
-            strategy = "chunked"
+            strategy = "broadcast" if n_refs <= max_broadcast_refs else "chunked"
     if d_max < 0 or n_refs == 0:
         joined = c.join(F.broadcast(r), F.lit(False), "inner")
     elif strategy == "broadcast":
@@ -168,14 +179,13 @@ def _chunked_broadcast_join(r: DataFrame, c: DataFrame, cond: Column, n_refs: in
     candidates and the results are unioned.  Exact, and no task holds more
     than one chunk."""
     chunks = -(-n_refs // max_rows)
-    for _ in range(16):
-        tagged = r.withColumn("_chunk", F.pmod(F.xxhash64("reference", "_rbits"), F.lit(chunks)))
-        biggest = tagged.groupBy("_chunk").count().agg(F.max("count")).first()[0] or 0
-        if biggest <= max_rows:
-            break
-        chunks *= 2
-    else:
-        raise ValueError("references repeat too often to be cut into broadcastable chunks")
+    # numbered, not hashed: every chunk has at most ``max_rows``, also where
+    # references repeat
+    from sightline.operators.ranking import number_rows
+    from sightline.session import fix
+    order = [F.col(c) for c in r.columns]
+    numbered = number_rows(r, order, known_rows=n_refs)
+    tagged = fix(numbered.withColumn("_chunk", F.floor((F.col("rank") - 1) / max_rows)).drop("rank"))
     parts = [c.join(F.broadcast(tagged.where(F.col("_chunk") == i).drop("_chunk")), cond, "inner")
              for i in range(chunks)]
     out = parts[0]
@@ -184,20 +194,29 @@ def _chunked_broadcast_join(r: DataFrame, c: DataFrame, cond: Column, n_refs: in
     return out
 
 
+def _band_keys(band: int, value: Column):
+    return lambda mask: F.struct(F.lit(band).alias("band"), value.bitwiseXOR(mask).alias("value"))
+
+
 def _banded_join(r: DataFrame, c: DataFrame, n_bits: int, d_max: int,
                  hot_rows: int = HOT_BAND_ROWS) -> DataFrame:
     layout = band_layout(n_bits, d_max)
 
-    def banded(df: DataFrame, bits: str) -> DataFrame:
-        s = _bit_string(F.col(bits), n_bits)
-        keys = F.array(*[F.struct(F.lit(i).alias("band"), F.substring(s, st, ln).alias("value"))
-                         for i, (st, ln) in enumerate(layout)])
-        return (df.withColumn("_b", F.explode(keys))
+    def banded(df: DataFrame, bits: str, probes: bool) -> DataFrame:
+        """One row per band value; with ``probes`` also for every value one bit
+        off, so that only this side grows."""
+        keys = []
+        for i, (start, length) in enumerate(layout):
+            value = _band_value(F.col(bits), n_bits, start, length)
+            flips = [0, *(1 << k for k in range(length))] if probes else [0]
+            masks = F.expr("array(" + ", ".join(f"{m}L" for m in flips) + ")")
+            keys.append(F.transform(masks, _band_keys(i, value)))
+        return (df.withColumn("_b", F.explode(F.concat(*keys)))
                   .withColumn("_band", F.col("_b.band"))
                   .withColumn("_value", F.col("_b.value")).drop("_b"))
 
     key = ["_band", "_value"]
-    rb, cb = banded(r, "_rbits"), banded(c, "_cbits")
+    rb, cb = banded(r, "_rbits", True), banded(c, "_cbits", False)
     # Hot keys: a (band, value) held by more than ``hot_rows`` rows on either
     # side.  The bigger side of such a key is split over ``_salts`` tasks by a
     # hash of its row key and the other side is copied to each of them, so no
@@ -229,8 +248,9 @@ def _banded_join(r: DataFrame, c: DataFrame, n_bits: int, d_max: int,
         key = key + ["_salt"]
     pairs = cb.join(rb, key)
     pairs = pairs.where(hamming(F.col("_rbits"), F.col("_cbits"), n_bits) <= d_max)
-    # keep each pair on the first band where both agree
-    ls, rs = _bit_string(F.col("_rbits"), n_bits), _bit_string(F.col("_cbits"), n_bits)
-    first = F.coalesce(*[F.when(F.substring(ls, st, ln) == F.substring(rs, st, ln), F.lit(i))
-                         for i, (st, ln) in enumerate(layout)])
+    # keep each pair on the first band where both differ in at most one bit
+    first = F.coalesce(*[
+        F.when(F.bit_count(_band_value(F.col("_rbits"), n_bits, st, ln).bitwiseXOR(
+            _band_value(F.col("_cbits"), n_bits, st, ln))) <= 1, F.lit(i))
+        for i, (st, ln) in enumerate(layout)])
     return pairs.where(first == F.col("_band")).drop(*key)

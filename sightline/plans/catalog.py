@@ -252,6 +252,105 @@ def q_decode_images(spark, d):
         img.nChannels.alias("n_channels"), F.hex(img.data).alias("pixels_hex"))
 
 
+def _bgr_image(px):
+    """Spark's image struct for an 8 x 8 three-channel picture (blue, green,
+    red from one value); every tenth row has no pixels, as after a failed
+    decode."""
+    byte = lambda v: F.lpad(F.hex(v.cast("int")), 2, "0")
+    data = F.unhex(F.concat_ws("", F.transform(px, lambda p: F.concat(
+        byte(p), byte((p * 3) % 256), byte(F.lit(255) - p)))))
+    bad = F.col("vec_id") % 10 == 3
+    side = F.when(bad, F.lit(-1)).otherwise(F.lit(st.GRID_SIDE))
+    return F.struct(F.concat(F.lit("embedding:"), F.col("vec_id").cast("string")).alias("origin"),
+                    side.alias("height"), side.alias("width"), F.when(bad, -1).otherwise(3).alias("nChannels"),
+                    F.when(bad, -1).otherwise(16).alias("mode"),
+                    F.when(bad, F.unhex(F.lit(""))).otherwise(data).alias("data"))
+
+
+def _picture_signatures(spark, d, algorithm, k, colour=False):
+    """Signatures of the pictures derived from the embeddings, by the path
+    that ``search`` runs (image struct, pandas UDF, hash)."""
+    from sightline.sources.images import with_picture_signature
+
+    image = _bgr_image(F.col("px")) if colour else _embedding_image(F.col("px"))
+    pics = st.picture_pixels(spark, d).select("vec_id", image.alias("image"))
+    return with_picture_signature(pics, algorithm, k)
+
+
+def _picture_query(algorithm: str, k: int, colour: bool = False):
+    def run(spark, d):
+        return _picture_signatures(spark, d, algorithm, k, colour).select("vec_id", "hash_hex")
+    run.__name__ = f"q_picture_{algorithm}_{k}"
+    return run
+
+
+def q_picture_search_256(spark, d):
+    """The default signature length: four words, distance and similarity."""
+    from sightline.session import fix
+
+    s = fix(_picture_signatures(spark, d, "average", 16).select("vec_id", "bits"))
+    ref = _reference_bits(s)
+    return score_against(s.where(F.col("vec_id") != REFERENCE_ID), ref, 256, THRESHOLD).select(
+        "vec_id", "distance", "similarity_pct")
+
+
+PAIR_THRESHOLD = 65.0  # random pictures: few pairs are nearer
+
+
+def _all_pairs(spark, d, strategy, **options):
+    from sightline.session import fix
+
+    s = fix(_picture_signatures(spark, d, "average", 16).select("vec_id", "bits"))
+    return pair_search(s, s, 256, PAIR_THRESHOLD, "vec_id", "vec_id", strategy=strategy, **options)
+
+
+def q_batch_search_banded(spark, d):
+    return _all_pairs(spark, d, "banded")
+
+
+def q_batch_search_chunked(spark, d):
+    refs = 200
+    return _all_pairs(spark, d, "chunked", max_broadcast_refs=refs)
+
+
+def _scratch_store(spark):
+    import uuid
+
+    from sightline.session import scratch_path
+    return scratch_path(spark, f"store-{uuid.uuid4().hex}")
+
+
+def q_store_roundtrip(spark, d):
+    """The signature table written twice, read by partition, compacted and
+    read again: the newest row of each file."""
+    v, split = _versions(spark, d)
+    rows = v.select(F.concat_ws("/", F.col("user_id").cast("string"), "event_type").alias("file_uri"),
+                    F.col("event_id").alias("size"), "mtime",
+                    F.lower(F.lpad(F.hex("event_id"), 16, "0")).alias("hash_hex"),
+                    F.array("event_id").alias("bits"), F.lit(64).alias("n_bits"))
+    path = _scratch_store(spark)
+    old, new = rows.where(F.col("size") < split), rows.where(F.col("size") >= split)
+    newest = lambda df: store.latest_per_key(df, ["file_uri"], ["size"])
+    store.save_signatures(newest(old), path, "average", 8)
+    store.save_signatures(newest(old), path, "difference", 7)  # another partition
+    store.save_signatures(newest(new), path, "average", 8)
+    store.compact_signatures(spark, path, "average", 8)
+    return store.read_signatures(spark, path, "average", 8).select("file_uri", "size", "mtime", "hash_hex")
+
+
+def q_inventory_roundtrip(spark, d):
+    """Listings written for all roots, then replaced for those with an even
+    number: counts, root times and freshness as read back."""
+    path = _scratch_store(spark)
+    files = st.listing(spark, d).withColumn("mtime", F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id")))
+    before, now = F.timestamp_seconds(F.lit(1704067200)), F.timestamp_seconds(F.lit(1704153600))
+    even = F.regexp_extract("root", "([0-9]+)$", 1).cast("int") % 2 == 0
+    store.replace_inventory(files, path, before)
+    store.replace_inventory(files.where(even & (F.col("doc_id") % 2 == 0)), path, now)
+    current = files.select("root").distinct().withColumn("root_mtime", now)
+    return store.freshness(spark.read.parquet(f"{path}/inventory"), spark.read.parquet(f"{path}/inventory_meta"), current)
+
+
 def q_stream_refresh(spark, d):
     from sightline.streaming.refresh import refresh_standin_signatures
     return refresh_standin_signatures(spark, d)
@@ -284,6 +383,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "human_size": q_human_size,
         "decode_images": q_decode_images,
         "luminance_grid": q_luminance_grid,
+        "picture_average_256": _picture_query("average", 16),
+        "picture_perceptual": _picture_query("perceptual", 8),
+        "picture_wavelet": _picture_query("wavelet", 4),
+        "picture_colour": _picture_query("average", 4, colour=True),
+        "picture_search_256": q_picture_search_256,
+        "batch_search_banded": q_batch_search_banded,
+        "batch_search_chunked": q_batch_search_chunked,
+        "store_roundtrip": q_store_roundtrip,
+        "inventory_roundtrip": q_inventory_roundtrip,
         "stream_refresh": q_stream_refresh,
     })
     return q

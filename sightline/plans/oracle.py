@@ -162,6 +162,52 @@ def luminance_grid_sql() -> str:
             f"{hex_of('bs', 16)} AS hash_hex FROM ({bits})")
 
 
+COLOUR_PIXELS = ("SELECT vec_id, r, c, (19595 * (255 - p) + 38470 * ((p * 3) % 256) + 7471 * p + 32768) >> 16 AS p "
+                 f"FROM ({PIXELS}) WHERE vec_id % 10 <> 3")
+
+
+def resized_sql(n_out: int, pixels: str = PIXELS) -> str:
+    """vec_id, g: 8 x 8 pictures resized to ``n_out`` squared, row-major."""
+    clip = "greatest(0, least(255, (sum({a} * w) + 2097152) >> 22))"
+    if n_out == 8:
+        return f"SELECT vec_id, list(p::DOUBLE ORDER BY r, c) AS g FROM ({pixels}) GROUP BY vec_id"
+    horiz = (f"SELECT vec_id, r, o AS c, {clip.format(a='p')} AS p FROM ({pixels}) x "
+             f"JOIN ({resample_weights_sql(8, n_out)}) k ON k.t = x.c GROUP BY vec_id, r, o")
+    vert = (f"SELECT vec_id, o AS r, c, {clip.format(a='p')}::DOUBLE AS p FROM ({horiz}) x "
+            f"JOIN ({resample_weights_sql(8, n_out)}) k ON k.t = x.r GROUP BY vec_id, o, c")
+    return f"SELECT vec_id, list(p ORDER BY r, c) AS g FROM ({vert}) GROUP BY vec_id"
+
+
+def picture_average_bits(k: int, pixels: str = PIXELS) -> str:
+    return (f"SELECT vec_id, array_to_string(list_transform(g, lambda x: {_flag('x > m')}), '') AS bs "
+            f"FROM (SELECT *, {_sum('g')} / {float(k * k)} AS m FROM ({resized_sql(k, pixels)}))")
+
+
+def picture_median_bits(values: str, n: int) -> str:
+    """Bits of values (vec_id, s) above their median."""
+    return (f"SELECT vec_id, array_to_string(list_transform(s, lambda x: {_flag(f'x > m')}), '') AS bs FROM "
+            f"(SELECT *, {_median_sorted('s', n)} AS m FROM ({values}))")
+
+
+def picture_perceptual_bits(k: int = 8) -> str:
+    """Low k x k block of the DCT-II of the 4k x 4k picture, as joins."""
+    n = 4 * k
+    basis = (f"SELECT u, i, cos(pi() * u * (2 * i + 1) / {2 * n}) AS b FROM range(0, {k}) a(u), range(0, {n}) c(i)")
+    cells = (f"SELECT vec_id, (q - 1) // {n} AS i, (q - 1) % {n} AS j, g[q] AS p "
+             f"FROM ({resized_sql(n)}), range(1, {n * n + 1}) t(q)")
+    rows = f"SELECT vec_id, u, j, sum(p * b) AS p FROM ({cells}) x JOIN ({basis}) y USING (i) GROUP BY vec_id, u, j"
+    coef = (f"SELECT vec_id, x.u AS u, y.u AS v, sum(p * b) AS p FROM ({rows}) x "
+            f"JOIN ({basis}) y ON y.i = x.j GROUP BY vec_id, x.u, y.u")
+    return picture_median_bits(f"SELECT vec_id, list(p ORDER BY u, v) AS s FROM ({coef}) GROUP BY vec_id", k * k)
+
+
+def picture_wavelet_bits(k: int = 4) -> str:
+    b = 8 // k
+    blocks = (f"SELECT vec_id, r // {b} AS i, c // {b} AS j, sum(p)::DOUBLE AS p FROM ({PIXELS}) "
+              f"GROUP BY vec_id, r // {b}, c // {b}")
+    return picture_median_bits(f"SELECT vec_id, list(p ORDER BY i, j) AS s FROM ({blocks}) GROUP BY vec_id", k * k)
+
+
 def oracle_sql() -> dict[str, str]:
     q: dict[str, str] = {}
     q["scan_images"] = (
@@ -261,6 +307,32 @@ def oracle_sql() -> dict[str, str]:
         f"{_human('n_chars * pow(1024, e)')} AS human FROM documents, range(0, 5) t(e)")
     q["decode_images"] = decode_images_sql()
     q["luminance_grid"] = luminance_grid_sql()
+    def hashes(bits: str, n: int) -> str:
+        return (f"SELECT e.vec_id, {hex_of('bs', n)} AS hash_hex FROM embeddings e "
+                f"LEFT JOIN ({bits}) s ON s.vec_id = e.vec_id")
+
+    q["picture_average_256"] = hashes(picture_average_bits(16), 256)
+    q["picture_perceptual"] = hashes(picture_perceptual_bits(8), 64)
+    q["picture_wavelet"] = hashes(picture_wavelet_bits(4), 16)
+    q["picture_colour"] = hashes(picture_average_bits(4, COLOUR_PIXELS), 16)
+    wide = picture_average_bits(16)
+    far = _similarity("hamming(a.bs, b.bs)", 256)
+    q["picture_search_256"] = (
+        f"WITH s AS MATERIALIZED ({wide}) SELECT b.vec_id, hamming(a.bs, b.bs)::INTEGER AS distance, "
+        f"{far} AS similarity_pct FROM s a, s b WHERE a.vec_id = 0 AND b.vec_id <> 0 AND {far} >= 60.0::DOUBLE")
+    pairs = (
+        f"WITH s AS MATERIALIZED ({wide}) SELECT a.vec_id AS reference, b.vec_id AS candidate, "
+        f"hamming(a.bs, b.bs)::INTEGER AS distance, {far} AS similarity_pct FROM s a, s b "
+        f"WHERE a.vec_id <> b.vec_id AND {far} >= 65.0::DOUBLE")
+    q["batch_search_banded"] = q["batch_search_chunked"] = pairs
+    q["store_roundtrip"] = (
+        "SELECT user_id::VARCHAR || '/' || event_type AS file_uri, event_id AS size, mtime, "
+        f"printf('%016x', event_id) AS hash_hex FROM ({current})")
+    q["inventory_roundtrip"] = (
+        "WITH f AS (SELECT source AS root, doc_id, regexp_extract(source, '([0-9]+)$', 1)::INTEGER % 2 = 0 AS even "
+        "FROM documents) SELECT root, count(*) FILTER (WHERE NOT even OR doc_id % 2 = 0)::BIGINT AS stored_rows, "
+        "count(*) FILTER (WHERE NOT even OR doc_id % 2 = 0)::BIGINT AS file_count, bool_and(even) AS fresh "
+        "FROM f GROUP BY root")
     q["stream_refresh"] = (
         f"WITH s AS ({average_bits()}) SELECT vec_id, {hex_of('bs', 64)} AS hash_hex FROM s")
     return q
