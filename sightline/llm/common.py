@@ -10,18 +10,31 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.session import scratch_path
+from sightline.session import scratch_path, ship_package
 
 # the word separator of the contracts that split at ASCII white space
 SPACE_RE = r"[\x20\x09-\x0D]+"
 
-_written: list[tuple[SparkSession, str]] = []
+_written: dict[str, SparkSession] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# Arrow batches to Python are cut by bytes: rows carry whole texts and sets.
+BATCH_BYTES = 8 << 20
+
+
+def prepare(spark: SparkSession) -> None:
+    """What operators with Python tasks need of a session: the package on the
+    executors, and Arrow batches bounded by bytes unless the session says how."""
+    ship_package(spark)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once and use it many times in ``body``.
 
@@ -45,22 +58,38 @@ def words_of(text: Column, separators: str = SPACE_RE) -> Column:
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared checkpoint folder, read back:
     lineage is cut, and a lost executor loses none of it.  The table is
-    removed when the driver program ends."""
+    removed by ``discard`` or when the driver program ends."""
     spark = df.sparkSession
     path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
     if not _written:
         atexit.register(_remove_written)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    _written[path] = spark
+    back = spark.read.schema(df.schema).parquet(path)
+    back._written_path = path
+    return back
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove written tables that no later job reads, and let Spark's cleaner
+    drop the shuffle files of jobs that have ended: it waits for the driver's
+    garbage collection, which small plans alone may not cause for long."""
+    for df in tables:
+        _remove(df._written_path)
+    if tables:
+        tables[0].sparkSession.sparkContext._jvm.System.gc()
+
+
+def _remove(path: str) -> None:
+    sc = _written.pop(path).sparkContext
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def _remove_written() -> None:
-    for spark, path in _written:
+    for path in list(_written):
         try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _remove(path)
         except Exception:  # the session has ended: its folder stays
             return
 

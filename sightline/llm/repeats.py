@@ -29,8 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sightline.llm.common import written
-from sightline.session import ship_package
+from sightline.llm.common import discard, prepare, written
 
 SLAB_UNITS = 1 << 20
 _K1, _K2, _K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
@@ -149,7 +148,7 @@ def repeated_segments(docs: DataFrame, window: int, gram: int,
     """(rid, lo, n, eid): runs of ``n`` windows from unit ``lo`` that all start
     elsewhere too; runs of one ``eid`` have equal content.  ``docs`` comes from
     ``with_row_id``."""
-    ship_package(docs.sparkSession)
+    prepare(docs.sparkSession)
     group_chars = SLAB_UNITS
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,12 +171,17 @@ def repeated_segments(docs: DataFrame, window: int, gram: int,
             yield from found(rids, units)
 
     cuts = written(docs.select("rid", "text").mapInArrow(cut, "rid long, qid long, cid long, lo int, n int"), f"{name}-segments")
-    buckets = cuts.groupBy("qid").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("qid")
+    # counts are written before a join: Spark splits a hot key's rows only where
+    # no aggregate needs them together
+    buckets = written(cuts.groupBy("qid").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("qid"),
+                      f"{name}-buckets")
     shared = written(cuts.join(buckets, "qid"), f"{name}-shared")
+    discard(cuts, buckets)
     contents = shared.groupBy("qid", "cid").agg(
         F.count(F.lit(1)).alias("copies"), F.min(F.struct("rid", "lo", "n")).alias("at"))
     contents = written(contents, f"{name}-contents")
-    mixed = (contents.groupBy("qid").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("qid"))
+    mixed = written(contents.groupBy("qid").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("qid"),
+                    f"{name}-mixed")
     undecided = contents.join(mixed, "qid").select("at.rid", "at.lo", "at.n", "copies")
     places = undecided.groupBy("rid").agg(F.collect_list(F.struct("lo", "n", "copies")).alias("places"))
 
@@ -195,13 +199,15 @@ def repeated_segments(docs: DataFrame, window: int, gram: int,
     asked = (docs.select("rid", "text").join(places.hint("shuffle_hash"), "rid")
              .mapInArrow(windows, "wid long, rid long, lo int, copies long"))
     asked = written(asked, f"{name}-windows")
-    again = asked.groupBy("wid").agg(F.sum("copies").alias("s")).where("s > 1").select("wid")
+    again = written(asked.groupBy("wid").agg(F.sum("copies").alias("s")).where("s > 1").select("wid"), f"{name}-again")
     single = asked.where("copies = 1").join(again, "wid").select(
         "rid", "lo", F.lit(1).alias("n"), F.col("wid").alias("eid"))
     # a segment whose content has copies repeats as a whole
     whole = shared.join(contents.where("copies > 1").select("qid", "cid"), ["qid", "cid"]).select(
         "rid", "lo", "n", F.col("cid").alias("eid"))
-    return whole.unionByName(single)
+    found = written(whole.unionByName(single), f"{name}-found")
+    discard(shared, contents, mixed, asked, again)
+    return found
 
 
 def with_places(docs: DataFrame, found: DataFrame) -> DataFrame:

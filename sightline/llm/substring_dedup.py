@@ -50,8 +50,7 @@ def first_ids(words: np.ndarray) -> dict[int, np.ndarray]:
 def repeated_paths(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(rid, lo, n, path): occurrences of the compacted paths of repeated
     windows, as ``n`` windows from word ``lo`` on; rows of ``with_row_id``."""
-    edges = written(repeated_segments(docs, window, gram, to_words, first_ids, "words")
-                    .dropDuplicates(["rid", "lo"]), "words-edges")
+    edges = repeated_segments(docs, window, gram, to_words, first_ids, "words").dropDuplicates(["rid", "lo"])
     along = Window.partitionBy("rid").orderBy("lo")
     # the neighbours on the path through a document; null at its ends
     linked = edges.select(

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from sightline.llm.repeats import covered, repeated_segments, with_places, with_row_id
 
 LENGTH = 400
-GRAM = 128
+GRAM = 256
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
 
