@@ -33,8 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sightline.llm.common import crc_fold
-from sightline.session import ship_package
+from sightline.llm.common import crc_fold, prepare
 
 HELD_OUT_FOLDS, HELD_OUT_FOLD = 3, 1
 MAX_TRAIN_ROWS = 1_500
@@ -312,7 +311,7 @@ def training_chunks(docs: DataFrame, max_train_rows: int = MAX_TRAIN_ROWS, text_
 def label_languages(docs: DataFrame, crf: Crf, text_col: str = "text", words: bool = False) -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score``; with ``words`` also
     ``word_langs``, the language of each word that has a letter."""
-    ship_package(docs.sparkSession)
+    prepare(docs.sparkSession)
     kind = "lang_pred string, score double" + (", word_langs array<string>" if words else "")
 
     @F.pandas_udf(kind)
@@ -344,7 +343,7 @@ def label_languages(docs: DataFrame, crf: Crf, text_col: str = "text", words: bo
 
 def fit(docs: DataFrame, max_train_rows: int = MAX_TRAIN_ROWS) -> Crf:
     """Learn from the labelled documents outside the held-out fold."""
-    ship_package(docs.sparkSession)
+    prepare(docs.sparkSession)
     learn = docs.where(crc_fold(F.col("doc_id"), HELD_OUT_FOLDS) != HELD_OUT_FOLD)
     return train_crf(training_chunks(learn, max_train_rows))
 

@@ -28,9 +28,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sightline.llm.common import crc_fold
+from sightline.llm.common import crc_fold, prepare
 from sightline.llm.quality_rules import stop_word_forms
-from sightline.session import ship_package
 
 MAX_TRAIN_ROWS = 20_000
 HELD_OUT_FOLDS, HELD_OUT_FOLD = 4, 2
@@ -178,7 +177,7 @@ def training_statistics(docs: DataFrame, labels: DataFrame, max_train_rows: int
 
 def score_quality(docs: DataFrame, model: Trees, text_col: str = "text") -> DataFrame:
     """``docs`` with ``score``: the probability of label 1."""
-    ship_package(docs.sparkSession)
+    prepare(docs.sparkSession)
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -190,7 +189,7 @@ def score_quality(docs: DataFrame, model: Trees, text_col: str = "text") -> Data
 
 def classify(docs: DataFrame, labels: DataFrame, max_train_rows: int = MAX_TRAIN_ROWS) -> DataFrame:
     """Learn from the labels outside the held-out fold, score all of ``docs``."""
-    ship_package(docs.sparkSession)
+    prepare(docs.sparkSession)
     learn = labels.where(crc_fold(F.col("doc_id"), HELD_OUT_FOLDS) != HELD_OUT_FOLD)
     model = grow_trees(*training_statistics(docs, learn, max_train_rows))
     scored = score_quality(docs, model)

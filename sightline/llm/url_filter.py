@@ -32,7 +32,7 @@ from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sightline.session import ship_package
+from sightline.llm.common import prepare
 
 # The rules of the registered query, verdict and rule string.
 QUERY_RULES = (
@@ -138,7 +138,7 @@ def judge_urls(pages: DataFrame, rules=QUERY_RULES, url_col: str = "url",
     """``pages`` with ``host``, ``path``, ``rule`` and ``verdict``; clashing
     input columns are replaced, the others kept."""
     spark = pages.sparkSession
-    ship_package(spark)
+    prepare(spark)
     folder = tempfile.mkdtemp(prefix="url-index-")
     tag = os.path.basename(folder)
     build_index(rules, folder)
