@@ -14,24 +14,12 @@ IMAGE_EXTENSIONS = (
 )
 
 # Texts of the search report.  Size units step by 1024 below
-# the last one; the match line and the counters block read as below.
+# the last one; the match line reads as below.
 SIZE_UNITS = ("B", "KB", "MB", "GB", "TB")
 MATCH_MARK = "  ✓ "
 MATCH_SIMILARITY = "\n    Similarity: "
 MATCH_DISTANCE = "% | Hamming distance: "
 MATCH_SIZE = " | Size: "
-RANK_OPEN, RANK_CLOSE = "  [", "] "
-STATS_RULE = "─" * 60
-STATS_TITLE = "📊 Search Statistics"
-STATS_LABELS = (
-    "  Image files found    : ",
-    "  Images processed     : ",
-    "  Images failed        : ",
-    "  Matches found        : ",
-    "  Total time           : ",
-    "  Speed                : ",
-)
-STATS_UNITS = ("s", " img/s")
 
 # Suffix of the last path component: a dot that is not the name's first
 # character, followed by at least one character that is neither '.' nor '/'.
@@ -84,7 +72,7 @@ def match_line(candidate: Column, similarity: Column, distance: Column, size: Co
 
 
 def numbered_line(rank: Column, line: Column) -> Column:
-    return F.concat(F.lit(RANK_OPEN), rank.cast("string"), F.lit(RANK_CLOSE), line)
+    return F.concat(F.lit("  ["), rank.cast("string"), F.lit("] "), line)
 
 
 # Characters a URI path keeps as they are (RFC 2396 path characters, the

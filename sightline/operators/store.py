@@ -148,24 +148,35 @@ def save_signatures(signatures: DataFrame, store: str, algorithm: str, hash_size
 
 
 def compact_signatures(spark: SparkSession, store: str, algorithm: str, hash_size: int) -> None:
-    """Rewrite one partition as one row per file (dynamic partition
-    overwrite touches only that partition; the job writes to staging and
-    swaps at commit, so readers of the old files finish first)."""
+    """Rewrite one partition as one row per file.  The folded rows are appended
+    with a write time of their own, then the files that were there at the start
+    are removed: rows that other writers append meanwhile stay, and a stop in
+    between leaves repeats that readers resolve.  Rows of the streamed part are
+    folded too; its files belong to the stream's log and stay."""
+    stamp = int(time.time() * 1_000_000)  # rows that others append from now on are newer
     current = read_signatures(spark, store, algorithm, hash_size)
     if current is None:
         return
+    try:
+        before = (spark.read.parquet(_signatures_path(store))
+                  .where((F.col("algorithm") == algorithm) & (F.col("hash_size") == hash_size))
+                  .select(F.input_file_name().alias("f")).distinct())
+        old_files = [r["f"] for r in before.collect()]  # the partition's files, about ROWS_PER_FILE rows each
+    except AnalysisException:
+        old_files = []
     # range-partitioned and sorted by file: each file covers one key range,
     # so prefix reads skip files and row groups by their min/max statistics
     from sightline.session import fix
     current = fix(current)
     files = max(1, -(-current.count() // ROWS_PER_FILE))
-    stamp = int(time.time() * 1_000_000)
     (current.repartitionByRange(files, "file_uri").sortWithinPartitions("file_uri")
         .withColumn("written_at", F.lit(stamp).cast("bigint"))
         .withColumn("algorithm", F.lit(algorithm))
         .withColumn("hash_size", F.lit(int(hash_size)))
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        .write.mode("append")
         .partitionBy("algorithm", "hash_size").parquet(_signatures_path(store)))
+    from sightline.sources.files import remove_files
+    remove_files(spark, old_files)
 
 
 # -- file inventory ----------------------------------------------------------

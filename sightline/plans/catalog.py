@@ -167,15 +167,17 @@ def q_signature_lookup(spark, d):
 
 def q_signature_misses(spark, d):
     stored, current = _stored_and_current(spark, d)
-    return store.misses(current.select(*KEY, "size", "mtime"), stored, KEY).select(*KEY, "size", "mtime")
+    looked = store.lookup(current.select(*KEY, "size", "mtime"), stored.select(*KEY, "size", "mtime"), KEY)
+    return looked.where(F.col("status") != "hit").select(*KEY, "size", "mtime")
 
 
 def q_merge_results(spark, d):
     stored, current = _stored_and_current(spark, d)
-    cur = current.select(*KEY, "size", "mtime")
-    from_store = store.hits(cur, stored.select(*KEY, "size", "mtime"), KEY).withColumn("origin", F.lit("store"))
-    fresh = store.misses(cur, stored, KEY).withColumn("origin", F.lit("fresh"))
-    return store.merge_results(from_store, fresh, KEY, ["mtime"]).select(*KEY, "size", "mtime", "origin")
+    # one lookup tells both parts: as ``folder_signatures``, which unites the
+    # hits of a lookup with the newly hashed rest of the same lookup
+    looked = store.lookup(current.select(*KEY, "size", "mtime"), stored.select(*KEY, "size", "mtime"), KEY)
+    origin = F.when(F.col("status") == "hit", "store").otherwise("fresh")
+    return looked.select(*KEY, "size", "mtime", origin.alias("origin"))
 
 
 def q_inventory_replace(spark, d):

@@ -60,6 +60,14 @@ def qualified_uri(spark: SparkSession, path: str) -> str:
     return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own).toUri().toString()
 
 
+def remove_files(spark: SparkSession, uris: list[str]) -> None:
+    """Delete files by the URIs that Spark reports, through their file system."""
+    jvm = spark.sparkContext._jvm
+    for uri in uris:
+        p = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(uri))
+        p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, False)
+
+
 def path_mtime(spark: SparkSession, path: str):
     """Modification time of a file or folder as a UTC datetime (None when
     missing), through the cluster's file system."""
