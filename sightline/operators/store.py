@@ -154,9 +154,7 @@ def compact_signatures(spark: SparkSession, store: str, algorithm: str, hash_siz
     between leaves repeats that readers resolve.  Rows of the streamed part are
     folded too; its files belong to the stream's log and stay."""
     stamp = int(time.time() * 1_000_000)  # rows that others append from now on are newer
-    current = read_signatures(spark, store, algorithm, hash_size)
-    if current is None:
-        return
+    # listed before the rows are read: a file in between is folded and stays
     try:
         before = (spark.read.parquet(_signatures_path(store))
                   .where((F.col("algorithm") == algorithm) & (F.col("hash_size") == hash_size))
@@ -164,6 +162,9 @@ def compact_signatures(spark: SparkSession, store: str, algorithm: str, hash_siz
         old_files = [r["f"] for r in before.collect()]  # the partition's files, about ROWS_PER_FILE rows each
     except AnalysisException:
         old_files = []
+    current = read_signatures(spark, store, algorithm, hash_size)
+    if current is None:
+        return
     # range-partitioned and sorted by file: each file covers one key range,
     # so prefix reads skip files and row groups by their min/max statistics
     from sightline.session import fix
