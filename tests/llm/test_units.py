@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from sightline.llm import jaccard_join, language_id, packing, pii, quality_classifier, repeats, substring_dedup, suffix_dedup, url_filter
+from sightline.llm import decontaminate, jaccard_join, language_id, packing, pii, quality_classifier, repeats, substring_dedup, suffix_dedup, url_filter
 
 
 @given(st.lists(st.integers(1, 64), max_size=60))
@@ -87,8 +87,13 @@ def test_repeated_words_and_paths(spark):
     assert {(r.doc_id, r.lo, r.n) for r in paths} == {(1, 2, 56), (2, 0, 56)}
 
 
-def test_jaccard_chains(spark):
-    """Families whose members link only through others, and hubs."""
+@pytest.mark.parametrize("frequent, members, ids", [(1 << 20, 64, 1_000_000), (0, 2, 0), (40, 1, 10)])
+def test_jaccard_chains(spark, monkeypatch, frequent, members, ids):
+    """Families whose members link only through others, and hubs; with other
+    orders, group parts and joins the same components."""
+    monkeypatch.setattr(jaccard_join, "FREQUENT_TOKENS", frequent)
+    monkeypatch.setattr(jaccard_join, "GROUP_MEMBERS", members)
+    monkeypatch.setattr(jaccard_join, "MAX_BROADCAST_IDS", ids)
     rng = random.Random(7)
     texts = []
     for f in range(6):
@@ -103,6 +108,31 @@ def test_jaccard_chains(spark):
     assert got == dict(enumerate(brute.jaccard_rows(list(range(len(texts))), texts)))
 
 
+def test_window_blocks_agree(spark):
+    """Windows joined in one broadcast or in many blocks give the same hits."""
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice("abcdé") for _ in range(rng.randrange(60))) for _ in range(50)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    items = spark.createDataFrame([(i, " ".join(rng.choice("abcdé") for _ in range(i % 9))) for i in range(40)],
+                                  "item_id long, text string")
+    one = decontaminate.contaminated_words(docs, items, width=4).collect()
+    many = decontaminate.contaminated_words(docs, items, width=4, max_broadcast_bytes=20_000).collect()
+    assert sorted(one) == sorted(many) and any(r.contaminated for r in one)
+    windows = {}
+    for i, t in ((r.item_id, r.text.split()) for r in items.collect()):
+        for s in range(max(len(t) - 3, 1 if t else 0)):
+            windows.setdefault(tuple(t[s:s + 4]), set()).add(str(i))
+    for r in one:
+        w = texts[r.doc_id].split()
+        hit, ids = set(), set()
+        for win, names in windows.items():
+            for s in range(len(w) - len(win) + 1):
+                if tuple(w[s:s + len(win)]) == win:
+                    hit |= set(range(s, s + len(win)))
+                    ids |= names
+        assert (r.n_words, r.n_hit, r.item_ids) == (len(w), len(hit), sorted(ids))
+
+
 def test_bits_bound_the_overlap():
     rng = np.random.default_rng(1)
     for _ in range(200):
@@ -119,6 +149,7 @@ def test_prefix_lengths(percent):
         for m in range(1, n + 1):
             need = min((k for k in range(m + 1) if 100 * k >= percent * (n + m - k)), default=None)
             if need is not None and need > 0:
+                assert jaccard_join.needed(n, m, percent) == need
                 assert need >= n - jaccard_join.probe_length(n, percent) + 1
                 assert need >= m - jaccard_join.index_length(m, percent) + 1
 
