@@ -16,7 +16,7 @@ from sightline.llm.common import table, written
 from sightline.llm.repeats import row_id
 
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-MIN_LANGUAGE_SCORE = 0.4
+MIN_LANGUAGE_SCORE = 1 / 3
 
 
 def _documents(df: DataFrame) -> DataFrame:
