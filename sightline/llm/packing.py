@@ -29,6 +29,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterable, Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -36,12 +37,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sightline.session import ship_package
+from sightline.llm.common import prepare
 
 SEQUENCE_TOKENS = 4096
 END_ID = 2
 BLOCK_PIECES = 200_000
-CACHE_WORDS = 600_000
+CACHE_WORDS = 1_500_000
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
           "sequence_id long, offset long")
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
@@ -59,63 +60,90 @@ class WordTokenizer:
     """Ids of whole texts as little-endian uint32 bytes, by cached words.
 
     A word of letters with ASCII punctuation after it is two units for the
-    tokenizer; new units go to it many at a time, and each unit's last id is one
-    that ends a unit (``</w>``).  All other words go to it by themselves."""
+    tokenizer: such words go, in lower case and many at a time, to the
+    tokenizer's model without the steps that would find that out again, and each
+    unit's last id is one that ends a unit (``</w>``).  All other words go
+    through the whole tokenizer."""
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their texts are ordinary text
+        self.parted = Tokenizer(self.tokenizer.model)  # takes units between spaces
+        self.parted.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.ends[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
         self.cache: dict[str, bytes] = {}
         self.cache_words = cache_words
 
-    def ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
-
     def whole(self, text: str) -> bytes:
-        return self.ids(text).tobytes()
-
-    def units(self, units: list[str]) -> dict[str, bytes]:
-        out: dict[str, bytes] = {}
-        for a in range(0, len(units), 1000):
-            part = units[a:a + 1000]
-            ids = self.ids(" ".join(part))
-            ends = np.flatnonzero(self.ends[ids]) + 1
-            if len(ends) != len(part):  # a letter that the tokenizer takes apart
-                out.update((u, self.whole(u)) for u in part)
-                continue
-            data, cuts = ids.tobytes(), [0, *(4 * ends).tolist()]
-            out.update(zip(part, (data[s:e] for s, e in zip(cuts, cuts[1:]))))
-        return out
+        ids = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+        return np.array(ids, dtype="<u4").tobytes()
 
     def learn(self, words: Iterable[str]) -> None:
-        cut, alone = {}, []
+        """Cache the ids of new lower-case words, cut where a unit ends."""
+        known, parted, sizes = [], [], []
         for w in words:
+            if w.isalpha():
+                known.append(w)
+                parted.append(w)
+                sizes.append(1)
+                continue
             core = w.rstrip(_TAIL)
-            if core.isalpha() or not core:
-                cut[w] = (core, w[len(core):])
+            if core.isalpha():
+                known.append(w)
+                parted.append(f"{core} {w[len(core):]}")
+                sizes.append(2)
             else:
-                alone.append(w)
-        known = self.units(sorted({u for pair in cut.values() for u in pair if u}))
-        known[""] = b""
-        self.cache.update((w, known[c] + known[t]) for w, (c, t) in cut.items())
-        self.cache.update((w, self.whole(w)) for w in alone)
+                self.cache[w] = self.whole(w)
+        for a in range(0, len(known), 2000):
+            part = known[a:a + 2000]
+            text = " ".join(parted[a:a + 2000])
+            ids = np.array(self.parted.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            units = np.cumsum(sizes[a:a + 2000])
+            if len(ends) != units[-1]:  # can't happen with letters; stay right if it does
+                self.cache.update((w, self.whole(w)) for w in part)
+                continue
+            data, cuts = ids.tobytes(), (4 * ends[units - 1]).tolist()
+            self.cache.update(zip(part, [data[s:e] for s, e in zip([0, *cuts], cuts)]))
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
-        split = [None if _ODD_SPACE.search(t) else t.split() for t in texts]
-        distinct = set().union(*[w for w in split if w])
-        cache = self.cache
-        new = distinct.difference(cache)
-        if len(cache) + len(new) > self.cache_words:
-            cache.clear()
-            new = distinct
-        self.learn(new)
-        return [self.whole(t) if w is None else b"".join([cache[x] for x in w])
-                for t, w in zip(texts, split)]
+        if len(self.cache) > self.cache_words:
+            self.cache.clear()
+        known = self.cache.get
+        out, missing, holes = [], set(), []
+        for t in texts:
+            words = plain_words(t)
+            if words is None:
+                out.append(self.whole(t))
+                continue
+            ids = [known(w) for w in words]
+            if None in ids:
+                gaps = [i for i, x in enumerate(ids) if x is None]
+                missing.update([words[i] for i in gaps])
+                holes.append((len(out), ids, gaps, [words[i] for i in gaps]))
+                out.append(b"")
+            else:
+                out.append(b"".join(ids))
+        self.learn(missing)
+        for at, ids, gaps, words in holes:
+            for i, w in zip(gaps, words):
+                ids[i] = self.cache[w]
+            out[at] = b"".join(ids)
+        return out
+
+
+def plain_words(text: str) -> list[str] | None:
+    """The words of ``text`` in lower case, as the tokenizer would make them; None
+    where Python's white space, lower case or composition may differ from its."""
+    low = text.lower()
+    if not text.isascii() and (len(low) != len(text) or "\u03a3" in text or not is_normalized("NFC", text)):
+        return None
+    return None if _ODD_SPACE.search(text) else low.split()
 
 
 class CapacityTree:
@@ -209,7 +237,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = SEQUENCE
          id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: its document's id, start, length, CRC-32 of its ids
     and token count, its sequence and its offset there."""
-    ship_package(docs.sparkSession)
+    prepare(docs.sparkSession)
     path, end = tokenizer or default_tokenizer(), np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
