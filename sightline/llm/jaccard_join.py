@@ -17,8 +17,9 @@ of at least ``percent`` / 100, exactly, by a token-group matrix.
    prefix token is either inside one group or went through step 4, so the
    components are exact.
 
-The order of step 2 puts the tokens last that tasks saw most often; it may miss
-some, and only its speed depends on that. Sets are made again from the texts of
+The order of step 2 comes from counts over all documents; at most
+``FREQUENT_TOKENS`` tokens, the most frequent, are told apart from the others.
+Any order is exact; only speed depends on it. Sets are made again from the texts of
 the classes to verify: their ids are broadcast below ``MAX_BROADCAST_IDS``, else
 joined by a shuffle.
 
@@ -37,17 +38,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sightline.llm.common import written
+from sightline.llm.common import discard, prepare, written
 from sightline.llm.repeats import mix, widen, with_row_id
-from sightline.session import ship_package
 
 SHINGLE = 5
 PERCENT = 80
-FREQUENT_TOKENS = 1 << 18
-FREQUENT_MIN = 8
+FREQUENT_TOKENS = 1 << 20
+FREQUENT_MIN = 4
 BLOCK_TOKENS = 1 << 22
 MAX_BROADCAST_IDS = 1_000_000
-MIN_CELLS = 256
+CELLS_PER_TOKEN = 32
+GROUP_MEMBERS = 64
 
 
 def shingle_set(text: str | None, size: int = SHINGLE) -> np.ndarray:
@@ -60,8 +61,8 @@ def shingle_set(text: str | None, size: int = SHINGLE) -> np.ndarray:
 
 
 def cell_bits(tokens: np.ndarray) -> bytes:
-    """One bit for each token's cell; about four cells a token."""
-    cells = max(MIN_CELLS, 1 << int(4 * max(len(tokens), 1) - 1).bit_length())
+    """One bit for each token's cell."""
+    cells = 1 << int(CELLS_PER_TOKEN * max(len(tokens), 8) - 1).bit_length()
     bits = np.zeros(cells, np.uint8)
     bits[(tokens & np.uint64(cells - 1)).astype(np.int64)] = 1
     return np.packbits(bits, bitorder="little").tobytes()
@@ -97,80 +98,129 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, str | None]
             yield rid, text.as_py()
 
 
-def frequent_tokens(rows: DataFrame) -> np.ndarray:
-    """At most ``FREQUENT_TOKENS`` tokens, the most frequent last.  A task
-    reports tokens that it saw twice in a block of sets; the reports are summed,
-    and the count that leaves few enough tokens is the bound."""
-
-    def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def counted(sets):
-            if sets:
-                token, n = np.unique(np.concatenate(sets), return_counts=True)
-                often = n > 1
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(token[often].view(np.int64)), pa.array(n[often].astype(np.int64))], names=["token", "n"])
+def token_key(tokens: np.ndarray, buckets: int) -> np.ndarray:
+    """The leading bits of tokens: their bucket and 32 bits after it."""
+    return tokens >> np.uint64(32 - (buckets.bit_length() - 1))
+
+
+def frequent_tokens(rows: DataFrame) -> tuple[np.ndarray, int]:
+    """Keys of at most ``FREQUENT_TOKENS`` tokens, the most frequent last, and
+    the number of buckets that ``token_key`` takes.
+
+    All tokens of all sets are counted by key.  Tasks add up blocks of sets and
+    send each bucket's keys as packed arrays of four bytes a token (with counts
+    only where a block has several), so little is shuffled and a token of very
+    many documents weighs no more than any other.  A key that several tokens
+    share may put a rare one late, which costs time only."""
+    spark = rows.sparkSession
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = 1 << max(6, (4 * partitions - 1).bit_length())
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def packed(sets):
+            keys, n = np.unique(token_key(np.concatenate(sets), buckets), return_counts=True)
+            ends = np.searchsorted(keys >> np.uint64(32), np.arange(buckets, dtype=np.uint64), side="right")
+            once, several, counts = [], [], []
+            for a, b in zip([0, *ends], ends):
+                low, c = keys[a:b].astype(np.uint32), n[a:b]
+                once.append(low[c == 1].tobytes())
+                several.append(low[c > 1].tobytes())
+                counts.append(c[c > 1].astype(np.uint32).tobytes())
+            return pa.RecordBatch.from_arrays(
+                [pa.array(range(buckets), pa.int32()), *[pa.array(x, pa.binary()) for x in (once, several, counts)]],
+                names=["bucket", "once", "several", "counts"])
 
         sets, size = [], 0
         for _, text in _texts(batches):
             sets.append(shingle_set(text))
             size += len(sets[-1])
             if size >= BLOCK_TOKENS:
-                yield from counted(sets)
+                yield packed(sets)
                 sets, size = [], 0
-        yield from counted(sets)
+        if size:
+            yield packed(sets)
 
-    sums = written(rows.select("rid", "text").mapInArrow(report, "token long, n long")
-                   .groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT_MIN), "jaccard-frequent")
-    # how many tokens have a count of at least 2^k: some dozens of rows
-    steps = sums.groupBy(F.floor(F.log2("n")).alias("k")).count().collect()
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        low: dict[int, list[np.ndarray]] = {}
+        weight: dict[int, list[np.ndarray]] = {}
+        for b in batches:
+            for bucket, once, several, counts in zip(*[b.column(i).to_pylist() for i in range(4)]):
+                once, several = np.frombuffer(once, np.uint32), np.frombuffer(several, np.uint32)
+                low.setdefault(bucket, []).extend([once, several])
+                weight.setdefault(bucket, []).extend([np.ones(len(once), np.uint32), np.frombuffer(counts, np.uint32)])
+        for bucket in low:
+            keys, inverse = np.unique(np.concatenate(low[bucket]), return_inverse=True)
+            n = np.bincount(inverse, weights=np.concatenate(weight[bucket])).astype(np.int64)
+            often = n >= FREQUENT_MIN
+            keys = keys[often].astype(np.int64) + (bucket << 32)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n[often])], names=["key", "n"])
+
+    counted = rows.select("rid", "text").mapInArrow(pack, "bucket int, once binary, several binary, counts binary")
+    sums = written(counted.repartition(F.col("bucket")).mapInArrow(add, "key long, n long"), "jaccard-frequent")
+    # the smallest count that leaves few enough keys: a row for each count
+    steps = sums.groupBy(F.least("n", F.lit(1 << 16)).alias("n")).count().collect()
     total, least = 0, None
-    for k, n in sorted(((r["k"], r["count"]) for r in steps), reverse=True):
-        total += n
+    for n, keys in sorted(((r["n"], r["count"]) for r in steps), reverse=True):
+        total += keys
         if total > FREQUENT_TOKENS:
             break
-        least = k
-    if least is None:
-        return np.zeros(0, np.int64)
-    found = sums.where(F.floor(F.log2("n")) >= least).orderBy("n", "token").select("token").collect()
-    return np.array([r["token"] for r in found], dtype=np.int64)
+        least = n
+    found = []
+    if least is not None:  # as packed arrays: rows would take the driver many times their bytes
+        def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([b.column(0).to_numpy().tobytes()]), pa.array([b.column(1).to_numpy().tobytes()])],
+                    names=["keys", "counts"])
+
+        found = (sums.where(F.col("n") >= least).select("key", "n")
+                 .mapInArrow(arrays, "keys binary, counts binary").collect())
+    keys = np.frombuffer(b"".join(r["keys"] for r in found), np.uint64)
+    counts = np.frombuffer(b"".join(r["counts"] for r in found), np.int64)
+    discard(sums)
+    return keys[np.lexsort((keys, counts))], buckets
 
 
 def class_sets(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(rid, doc_id, n, d1, d2, prefix, bits) of each row: set size and digest,
-    prefix in the global order and the set's bits."""
-    frequent = frequent_tokens(rows)
-    by_token = np.argsort(frequent.view(np.uint64))
-    known = rows.sparkSession.sparkContext.broadcast((frequent.view(np.uint64)[by_token], by_token))
+    """(rid, doc_id, n, d1, d2, typical, prefix) of each row: set size and digest,
+    how frequent its tokens are on average (0 to 1) and its prefix in the global
+    order."""
+    frequent, buckets = frequent_tokens(rows)
+    by_key = np.argsort(frequent)
+    known = rows.sparkSession.sparkContext.broadcast((frequent[by_key], by_key.astype(np.int32)))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token, rank = known.value
+        keys, rank = known.value
         for b in batches:
             out = []
             for rid, doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
                 s = shingle_set(text.as_py())
                 n = len(s)
                 if not n:
-                    out.append((rid, doc_id, 0, 0, 0, [], b""))
+                    out.append((rid, doc_id, 0, 0, 0, 0.0, []))
                     continue
                 digest = xxhash.xxh3_128_digest(s.tobytes())
                 d1, d2 = np.frombuffer(digest, np.int64).tolist()
-                order = s
-                if len(token):
-                    at = np.minimum(np.searchsorted(token, s), len(token) - 1)
-                    often = token[at] == s
-                    if often.any():
+                order, typical = s, 0.0
+                if len(keys):
+                    mine = token_key(s, buckets)
+                    at = np.minimum(np.searchsorted(keys, mine), len(keys) - 1)
+                    often = keys[at] == mine
+                    if often.any():  # by rank, then by token: the same order in every set
                         late = s[often]
-                        order = np.concatenate([s[~often], late[np.argsort(rank[at[often]], kind="stable")]])
+                        ranks = rank[at[often]]
+                        order = np.concatenate([s[~often], late[np.argsort(ranks, kind="stable")]])
+                        typical = float((ranks + 1).sum() / len(keys) / n)
                 prefix = order[:probe_length(n, percent)].view(np.int64)
-                out.append((rid, doc_id, n, d1, d2, prefix, cell_bits(s)))
+                out.append((rid, doc_id, n, d1, d2, typical, prefix))
             if out:
-                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
+                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int64())]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(list(c), t) for c, t in zip(zip(*out), kinds)],
-                    names=["rid", "doc_id", "n", "d1", "d2", "prefix", "bits"])
+                    names=["rid", "doc_id", "n", "d1", "d2", "typical", "prefix"])
 
     return rows.select("rid", F.col("doc_id").cast("long"), "text").mapInArrow(
-        measure, "rid long, doc_id long, n int, d1 long, d2 long, prefix array<long>, bits binary")
+        measure, "rid long, doc_id long, n int, d1 long, d2 long, typical double, prefix array<long>")
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:
@@ -196,23 +246,30 @@ def _sized(a, b, percent: int):
     return (a * 100 >= b * percent) & (b * 100 >= a * percent)
 
 
-def _bounded(pairs: DataFrame, percent: int) -> DataFrame:
-    """Rows (a, b, n, bits, other) whose bits allow the threshold: a linked set
-    shares at least ``n * percent / 100`` of the ``n`` tokens."""
+def needed(n: int, m: int, percent: int) -> int:
+    """Tokens that linked sets of ``n`` and ``m`` tokens share at least."""
+    return -(-percent * (n + m) // (100 + percent))
+
+
+def _bounded(pairs: DataFrame, percent: int, both: bool = True) -> DataFrame:
+    """Rows (a, b, n, bits, m, other) whose bits allow the threshold for sets of
+    ``n`` and ``m`` tokens; with ``both`` seen from either side."""
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, n, bits, other = (batch.column(i).to_pylist() for i in range(5))
-            ok = [100 * most_shared(m, x, y) >= percent * m for m, x, y in zip(n, bits, other)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok, pa.bool_())),
-                                              batch.column(1).filter(pa.array(ok, pa.bool_()))], names=["a", "b"])
+            ok = []
+            for n, x, m, y in zip(*[batch.column(i).to_pylist() for i in (2, 3, 4, 5)]):
+                need = needed(n, m, percent)
+                ok.append(most_shared(n, x, y) >= need and (not both or most_shared(m, y, x) >= need))
+            ok = pa.array(ok, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(ok) for i in (0, 1)], names=["a", "b"])
 
-    return pairs.select("a", "b", "n", "bits", "other").mapInArrow(keep, "a long, b long")
+    return pairs.select("a", "b", "n", "bits", "m", "other").mapInArrow(keep, "a long, b long")
 
 
 def _group_bits(members: DataFrame) -> DataFrame:
-    """(label, bits): the token union of each group, folded to its smallest
-    member's cells.  Unions are streamed: first by salted parts of a group,
+    """(label, bits): the token union of each group, over its smallest member's
+    cells.  Unions are streamed: first by salted parts of a group,
     then by group."""
 
     def union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,22 +301,28 @@ def _group_bits(members: DataFrame) -> DataFrame:
     return parts.repartition(F.col("label")).mapInArrow(union, kind)
 
 
-def verified(pairs: DataFrame, rows: DataFrame, percent: int, name: str) -> DataFrame:
-    """The pairs (a, b) of classes whose whole sets reach the threshold."""
-    pairs = written(pairs.distinct(), f"{name}-pairs")
-    ids = written(pairs.select(F.col("a").alias("rid")).unionByName(pairs.select(F.col("b").alias("rid"))).distinct(), f"{name}-ids")
+def _of_classes(rows: DataFrame, ids: DataFrame, make, name: str) -> DataFrame:
+    """(rid, value) for the classes in ``ids``: ``make`` of each one's set, made
+    again from its text."""
     asked = F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [shingle_set(t.as_py()).tobytes() for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary())], names=["rid", "tokens"])
+            found = [make(shingle_set(t.as_py())) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary())], names=["rid", "value"])
 
     # equal rows have equal sets: one of them is enough
-    tokens = written(rows.join(asked, "rid", "left_semi").select("rid", "text")
-                     .mapInArrow(sets, "rid long, tokens binary").dropDuplicates(["rid"]), f"{name}-sets")
-    left = tokens.select(F.col("rid").alias("a"), F.col("tokens").alias("x"))
-    right = tokens.select(F.col("rid").alias("b"), F.col("tokens").alias("y"))
+    return written(rows.join(asked, "rid", "left_semi").select("rid", "text")
+                   .mapInArrow(sets, "rid long, value binary").dropDuplicates(["rid"]), name)
+
+
+def verified(pairs: DataFrame, rows: DataFrame, percent: int, name: str) -> DataFrame:
+    """The pairs (a, b) of classes whose whole sets reach the threshold."""
+    pairs = written(pairs.distinct(), f"{name}-pairs")
+    ids = written(pairs.select(F.col("a").alias("rid")).unionByName(pairs.select(F.col("b").alias("rid"))).distinct(), f"{name}-ids")
+    tokens = _of_classes(rows, ids, lambda s: s.tobytes(), f"{name}-sets")
+    left = tokens.select(F.col("rid").alias("a"), F.col("value").alias("x"))
+    right = tokens.select(F.col("rid").alias("b"), F.col("value").alias("y"))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -268,10 +331,13 @@ def verified(pairs: DataFrame, rows: DataFrame, percent: int, name: str) -> Data
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 ok.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(ok, pa.bool_())) for i in (0, 1)], names=["a", "b"])
+            ok = pa.array(ok, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(ok) for i in (0, 1)], names=["a", "b"])
 
-    return written(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
-                   .mapInArrow(check, "a long, b long"), f"{name}-links")
+    links = written(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
+                    .mapInArrow(check, "a long, b long"), f"{name}-links")
+    discard(pairs, ids, tokens)
+    return links
 
 
 def class_links(sets: DataFrame, classes: DataFrame, rows: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -280,44 +346,61 @@ def class_links(sets: DataFrame, classes: DataFrame, rows: DataFrame, percent: i
     tokens = classes.select("cid", "n", F.posexplode("prefix").alias("at", "token"))
     indexed = F.col("at") < F.col("n") - F.ceil(F.lit(2 * percent) * F.col("n") / (100 + percent)) + 1
     tokens = tokens.select("token", "cid", "n", indexed.alias("indexed"))
-    buckets = (tokens.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.max("indexed").alias("i"))
-               .where("c > 1 and i").select("token"))
+    # counts are written before a join: Spark splits a hot key's rows only where
+    # no aggregate needs them together
+    buckets = written(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.max("indexed").alias("i"))
+                      .where("c > 1 and i").select("token"), "jaccard-buckets")
     shared = written(tokens.join(buckets, "token"), "jaccard-shared")
-    typical = shared.groupBy("cid").agg(F.count(F.lit(1)).alias("k"))
-    cells = written(sets.select(F.col("rid").alias("cid"), "n", "bits").join(typical, "cid")
-                    .dropDuplicates(["cid"]), "jaccard-cells")
-
-    # leaders: of each bucket the class with the largest share of shared tokens
-    ranked = shared.join(cells.select("cid", (F.col("k") / F.col("n")).alias("share")), "cid")
-    leaders = ranked.groupBy("token").agg(F.max(F.struct("share", "n", "cid")).alias("lead")).select(
-        "token", F.col("lead.cid").alias("b"), F.col("lead.n").alias("m"))
+    discard(buckets)
+    ids = written(shared.select(F.col("cid").alias("rid")).distinct(), "jaccard-ids")
+    bits = _of_classes(rows, ids, cell_bits, "jaccard-bits")
+    sizes = sets.select("rid", "n", "typical").dropDuplicates(["rid"])
+    cells = written(bits.join(sizes, "rid").select(F.col("rid").alias("cid"), "n", "typical", F.col("value").alias("bits")),
+                    "jaccard-cells")
+    discard(ids, bits)
+
+    # leaders: of each bucket the class whose whole set is the most frequent; the
+    # origin of edited copies has all of their common tokens and no edit's
+    ranked = shared.join(cells.select("cid", "typical"), "cid")
+    leaders = written(ranked.groupBy("token").agg(F.max(F.struct("typical", "n", "cid")).alias("lead")).select(
+        "token", F.col("lead.cid").alias("b"), F.col("lead.n").alias("m")), "jaccard-leaders")
     stars = shared.join(leaders, "token").where(F.col("cid") != F.col("b")).where(_sized(F.col("n"), F.col("m"), percent))
     stars = stars.select(F.least("cid", "b").alias("a"), F.greatest("cid", "b").alias("b")).distinct()
     mine = cells.select(F.col("cid").alias("a"), "n", "bits")
-    other = cells.select(F.col("cid").alias("b"), F.col("bits").alias("other"))
-    near = _bounded(stars.join(mine, "a").join(other, "b"), percent)
+    other = cells.select(F.col("cid").alias("b"), F.col("n").alias("m"), F.col("bits").alias("other"))
+    near = _bounded(stars.join(mine, "a").join(other, "b"), percent)  # of each bucket one pair a member
     links = verified(near, rows, percent, "jaccard-stars")
 
-    # groups, and what shares a prefix token across groups
-    groups = components(links, "jaccard-groups").select(F.col("node").alias("cid"), "label")
-    members = written(cells.join(groups, "cid", "left").select(
-        "cid", "n", "bits", F.coalesce("label", "cid").alias("label")), "jaccard-members")
-    placed = shared.join(members.select("cid", "label"), "cid")
-    open_tokens = placed.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token")
+    # groups of a leader's classes, in parts of about GROUP_MEMBERS; what shares a
+    # prefix token across groups is asked from the smaller group's side
+    labels = components(links, "jaccard-groups").select(F.col("node").alias("cid"), "label")
+    counts = labels.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
+    grouped = labels.join(written(counts, "jaccard-sizes"), "label")
+    part = F.pmod(F.xxhash64("cid"), F.ceil(F.col("size") / GROUP_MEMBERS))
+    members = written(cells.join(grouped, "cid", "left").select(
+        "cid", "n", "bits", F.struct(F.coalesce("size", F.lit(1)).alias("size"), F.coalesce("label", "cid").alias("label")).alias("label"),
+        F.when(F.col("size").isNull(), F.col("cid")).otherwise(F.xxhash64("label", part)).alias("g")), "jaccard-members")
+    placed = shared.join(members.select("cid", "label", "g"), "cid")
+    open_tokens = written(placed.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+                          .where("lo <> hi").select("token"), "jaccard-open")
     rest = written(placed.join(open_tokens, "token"), "jaccard-rest")
-    per_group = rest.groupBy("token", F.col("label").alias("g")).agg(
-        F.min("n").alias("least"), F.max("n").alias("most"), F.max("indexed").alias("any_indexed"))
-    met = (rest.join(per_group, "token")
-           .where((F.col("label") < F.col("g")) & (F.col("indexed") | F.col("any_indexed")))
+    per_group = written(rest.groupBy("token", F.col("label").alias("other_label"), "g").agg(
+        F.min("n").alias("least"), F.max("n").alias("most"), F.max("indexed").alias("any_indexed")), "jaccard-tokens")
+    met = (rest.drop("g").join(per_group, "token")
+           .where((F.col("label") < F.col("other_label")) & (F.col("indexed") | F.col("any_indexed")))
            .where((F.col("most") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("least") * percent))
            .select(F.col("cid").alias("a"), F.col("g").alias("b")).distinct())
-    unions = _group_bits(members.select("cid", "label", "bits")).select(
+    unions = _group_bits(members.select(F.col("g").alias("label"), "cid", "bits")).select(
         F.col("label").alias("b"), F.col("bits").alias("other"))
-    opened = _bounded(met.join(mine, "a").join(unions, "b"), percent).distinct()
-    inside = members.select(F.col("label").alias("g"), F.col("cid").alias("b"), F.col("n").alias("m"), F.col("bits").alias("other"))
+    smallest = written(members.groupBy(F.col("g").alias("b")).agg(F.min("n").alias("least")), "jaccard-least")
+    asked = met.join(mine, "a").join(smallest, "b").join(unions, "b").withColumn(
+        "m", F.greatest("least", F.ceil(F.col("n") * percent / 100).cast("int")))
+    opened = _bounded(asked, percent, both=False).distinct()
+    inside = members.select("g", F.col("cid").alias("b"), F.col("n").alias("m"), F.col("bits").alias("other"))
     pairs = (opened.select("a", F.col("b").alias("g")).join(mine, "a").join(inside, "g")
              .where(_sized(F.col("n"), F.col("m"), percent)))
     more = verified(_bounded(pairs, percent), rows, percent, "jaccard-pairs")
+    discard(shared, cells, leaders, members, open_tokens, rest, per_group, smallest)
     return links.unionByName(more)
 
 
@@ -325,7 +408,7 @@ def similar_components(docs: DataFrame, percent: int = PERCENT, text_col: str =
                        id_col: str = "doc_id") -> DataFrame:
     """(rid, doc_id, n_shingles, component_id, first_rid) for each row:
     the smallest doc_id of its component and the row that has it."""
-    ship_package(docs.sparkSession)
+    prepare(docs.sparkSession)
     rows = with_row_id(docs, text_col, id_col)
     sets = written(class_sets(rows, percent), "jaccard-sets")
     ident = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")
