@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sightline.llm.common import written
+from sightline.llm.common import discard, written
 from sightline.llm.repeats import covered, mix, repeated_segments, with_places, with_row_id
 
 WINDOW = 35
@@ -50,7 +50,8 @@ def first_ids(words: np.ndarray) -> dict[int, np.ndarray]:
 def repeated_paths(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(rid, lo, n, path): occurrences of the compacted paths of repeated
     windows, as ``n`` windows from word ``lo`` on; rows of ``with_row_id``."""
-    edges = repeated_segments(docs, window, gram, to_words, first_ids, "words").dropDuplicates(["rid", "lo"])
+    found = repeated_segments(docs, window, gram, to_words, first_ids, "words")
+    edges = found.dropDuplicates(["rid", "lo"])
     along = Window.partitionBy("rid").orderBy("lo")
     # the neighbours on the path through a document; null at its ends
     linked = edges.select(
@@ -58,14 +59,18 @@ def repeated_paths(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
         F.when(F.lead("lo").over(along) == F.col("lo") + F.col("n"), F.lead("eid").over(along)).alias("after"),
         F.when(F.lag(F.col("lo") + F.col("n")).over(along) == F.col("lo"), F.lag("eid").over(along)).alias("before"))
     one = lambda c: (F.count(c) == F.count(F.lit(1))) & (F.min(c) == F.max(c))
-    branching = linked.groupBy("eid").agg(one("after").alias("one_after"), one("before").alias("one_before"))
+    # written before the join, so that Spark may split a hot edge's rows
+    branching = written(linked.groupBy("eid").agg(one("after").alias("one_after"), one("before").alias("one_before")),
+                        "words-branching")
     known = linked.join(branching, "eid")
     joins_on = F.col("one_before") & F.lag("one_after").over(along) & F.col("before").isNotNull()
     numbered = known.withColumn("cut", F.when(F.coalesce(joins_on, F.lit(False)), 0).otherwise(1)).withColumn(
         "part", F.sum("cut").over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy("rid", "part").agg(
+    paths = written(numbered.groupBy("rid", "part").agg(
         F.min("lo").alias("lo"), F.sum("n").cast("int").alias("n"),
-        F.xxhash64(F.min_by("eid", "lo"), F.sum("n")).alias("path")).select("rid", "lo", "n", "path")
+        F.xxhash64(F.min_by("eid", "lo"), F.sum("n")).alias("path")).select("rid", "lo", "n", "path"), "words-paths")
+    discard(found, branching)
+    return paths
 
 
 def remove_repeated_words(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, text_col: str = "text",
