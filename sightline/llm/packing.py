@@ -26,7 +26,7 @@ packed each; an empty table gives no sequence; other columns are not read.
 
 from __future__ import annotations
 
-import re
+import os
 import zlib
 from collections.abc import Iterable, Iterator
 from unicodedata import is_normalized
@@ -42,10 +42,10 @@ from sightline.llm.common import prepare
 SEQUENCE_TOKENS = 4096
 END_ID = 2
 BLOCK_PIECES = 200_000
-CACHE_WORDS = 1_500_000
+CACHE_WORDS = 700_000
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
           "sequence_id long, offset long")
-_ODD_SPACE = re.compile("[\x1c-\x1f]")
+_ODD_SPACE = "\x1c\x1d\x1e\x1f"
 _TAIL = "!\"#$%&()*+,-./:;=?@[\\]^_{|}~"  # ASCII punctuation without ' and angle brackets
 GROUP_CHARS = 1 << 20
 
@@ -69,10 +69,14 @@ class WordTokenizer:
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
+        # tasks run side by side already: no threads of the library's own
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their texts are ordinary text
         self.parted = Tokenizer(self.tokenizer.model)  # takes units between spaces
         self.parted.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.ascii = Tokenizer(self.tokenizer.model)  # the byte letters of ASCII are themselves
+        self.ascii.pre_tokenizer = WhitespaceSplit()
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.ends[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
@@ -85,8 +89,9 @@ class WordTokenizer:
 
     def learn(self, words: Iterable[str]) -> None:
         """Cache the ids of new lower-case words, cut where a unit ends."""
-        known, parted, sizes = [], [], []
+        plain, wide = ([], [], []), ([], [], [])  # words, their units, how many
         for w in words:
+            known, parted, sizes = plain if w.isascii() else wide
             if w.isalpha():
                 known.append(w)
                 parted.append(w)
@@ -99,42 +104,34 @@ class WordTokenizer:
                 sizes.append(2)
             else:
                 self.cache[w] = self.whole(w)
-        for a in range(0, len(known), 2000):
-            part = known[a:a + 2000]
-            text = " ".join(parted[a:a + 2000])
-            ids = np.array(self.parted.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
-            ends = np.flatnonzero(self.ends[ids]) + 1
-            units = np.cumsum(sizes[a:a + 2000])
-            if len(ends) != units[-1]:  # can't happen with letters; stay right if it does
-                self.cache.update((w, self.whole(w)) for w in part)
-                continue
-            data, cuts = ids.tobytes(), (4 * ends[units - 1]).tolist()
-            self.cache.update(zip(part, [data[s:e] for s, e in zip([0, *cuts], cuts)]))
+        for tokenizer, (known, parted, sizes) in ((self.ascii, plain), (self.parted, wide)):
+            for a in range(0, len(known), 1000):
+                part = known[a:a + 1000]
+                text = " ".join(parted[a:a + 1000])
+                ids = np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+                ends = np.flatnonzero(self.ends[ids]) + 1
+                units = np.cumsum(sizes[a:a + 1000])
+                if len(ends) != units[-1]:  # can't happen with letters; stay right if it does
+                    self.cache.update((w, self.whole(w)) for w in part)
+                    continue
+                data, cuts = ids.tobytes(), (4 * ends[units - 1]).tolist()
+                self.cache.update(zip(part, [data[s:e] for s, e in zip([0, *cuts], cuts)]))
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
-        if len(self.cache) > self.cache_words:
-            self.cache.clear()
-        known = self.cache.get
-        out, missing, holes = [], set(), []
-        for t in texts:
-            words = plain_words(t)
-            if words is None:
-                out.append(self.whole(t))
-                continue
-            ids = [known(w) for w in words]
-            if None in ids:
-                gaps = [i for i, x in enumerate(ids) if x is None]
-                missing.update([words[i] for i in gaps])
-                holes.append((len(out), ids, gaps, [words[i] for i in gaps]))
-                out.append(b"")
-            else:
-                out.append(b"".join(ids))
-        self.learn(missing)
-        for at, ids, gaps, words in holes:
-            for i, w in zip(gaps, words):
-                ids[i] = self.cache[w]
-            out[at] = b"".join(ids)
-        return out
+        """Ids of some texts.  The large cache is asked once for each of their
+        distinct words; the texts are joined from that small table."""
+        split = [plain_words(t) for t in texts]
+        distinct = set().union(*[w for w in split if w])
+        cache = self.cache
+        ids = dict(zip(distinct, map(cache.get, distinct)))
+        new = [w for w, x in ids.items() if x is None]
+        if len(cache) + len(new) > self.cache_words:
+            cache.clear()
+        self.learn(new)
+        for w in new:
+            ids[w] = cache[w]
+        known = ids.__getitem__
+        return [self.whole(t) if w is None else b"".join(map(known, w)) for t, w in zip(texts, split)]
 
 
 def plain_words(text: str) -> list[str] | None:
@@ -143,7 +140,7 @@ def plain_words(text: str) -> list[str] | None:
     low = text.lower()
     if not text.isascii() and (len(low) != len(text) or "\u03a3" in text or not is_normalized("NFC", text)):
         return None
-    return None if _ODD_SPACE.search(text) else low.split()
+    return None if any(c in text for c in _ODD_SPACE) else low.split()
 
 
 class CapacityTree:
