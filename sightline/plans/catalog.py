@@ -254,6 +254,17 @@ def q_decode_images(spark, d):
         img.nChannels.alias("n_channels"), F.hex(img.data).alias("pixels_hex"))
 
 
+def q_folder_listing(spark, d):
+    """A folder listed recursively (S1): the pictures written for
+    ``decode_images``, by name, extension and whether they have bytes."""
+    from sightline.sources.files import list_files
+
+    files = list_files(spark, st.write_pictures(spark, d))
+    return files.select(
+        F.regexp_extract("file_uri", r"/(\d+)\.png$", 1).cast("bigint").alias("vec_id"),
+        file_extension(F.col("file_uri")).alias("extension"), (F.col("size") > 0).alias("has_bytes"))
+
+
 def _bgr_image(px):
     """Spark's image struct for an 8 x 8 three-channel picture (blue, green,
     red from one value); every tenth row has no pixels, as after a failed
@@ -385,6 +396,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "human_size": q_human_size,
         "decode_images": q_decode_images,
         "luminance_grid": q_luminance_grid,
+        "folder_listing": q_folder_listing,
         "picture_average_256": _picture_query("average", 16),
         "picture_perceptual": _picture_query("perceptual", 8),
         "picture_wavelet": _picture_query("wavelet", 4),

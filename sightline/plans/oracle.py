@@ -307,6 +307,8 @@ def oracle_sql() -> dict[str, str]:
         f"{_human('n_chars * pow(1024, e)')} AS human FROM documents, range(0, 5) t(e)")
     q["decode_images"] = decode_images_sql()
     q["luminance_grid"] = luminance_grid_sql()
+    q["folder_listing"] = "SELECT vec_id, '.png' AS extension, true AS has_bytes FROM embeddings"
+
     def hashes(bits: str, n: int) -> str:
         return (f"SELECT e.vec_id, {hex_of('bs', n)} AS hash_hex FROM embeddings e "
                 f"LEFT JOIN ({bits}) s ON s.vec_id = e.vec_id")
