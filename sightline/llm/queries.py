@@ -83,5 +83,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op5_quality_rules": quality_rules.oracle_sql(),
         "op6_url_filter": url_filter.oracle_sql(),
+        "op7_substring_dedup": substring_dedup.oracle_sql(),
         "op8_decontaminate": decontaminate.oracle_sql(),
+        "op9_jaccard_join": jaccard_join.oracle_sql(),
     }

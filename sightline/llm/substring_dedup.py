@@ -101,3 +101,22 @@ def remove_repeated_words(docs: DataFrame, window: int = WINDOW, gram: int = GRA
 
     schema = SCHEMA if kept else SCHEMA.rpartition(", ")[0]
     return marked.mapInArrow(cut, schema)
+
+
+def oracle_sql() -> str:
+    """The registered query as DuckDB SQL over all windows."""
+    return f"""
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
+           FROM documents),
+win AS (SELECT doc_id, s, md5(array_to_string(w[s:s + {WINDOW - 1}], ' ')) AS k
+        FROM (SELECT doc_id, w, unnest(range(1, len(w) - {WINDOW - 2})) AS s FROM d WHERE len(w) >= {WINDOW})),
+again AS (SELECT doc_id, s FROM (SELECT doc_id, s, count(*) OVER (PARTITION BY k) AS n FROM win) WHERE n > 1),
+gone AS (SELECT DISTINCT doc_id, p FROM (SELECT doc_id, unnest(range(s, s + {WINDOW})) AS p FROM again)),
+words AS (SELECT doc_id, p, w[p] AS word FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM d)),
+kept AS (SELECT words.doc_id, string_agg(word, ' ' ORDER BY words.p) AS t, count(*) AS n
+         FROM words LEFT JOIN gone ON words.doc_id = gone.doc_id AND words.p = gone.p
+         WHERE gone.p IS NULL GROUP BY words.doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(kept.n, 0))::BIGINT AS n_removed,
+       sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id
+"""
