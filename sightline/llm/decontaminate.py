@@ -65,7 +65,9 @@ def document_words(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def word_counts(listed: DataFrame, windows: DataFrame, small: bool) -> DataFrame:
     """How often each word of the windows occurs in the documents."""
     vocabulary = windows.select(F.explode("window").alias("word")).distinct()
-    said = listed.select(F.explode("w").alias("word"))
+    # the outer form: for a plain explode Spark adds a filter on the array's size,
+    # which splits every text a second time
+    said = listed.select(F.explode_outer("w").alias("word"))
     said = said.join(F.broadcast(vocabulary) if small else vocabulary, "word", "left_semi")
     return said.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
@@ -93,7 +95,7 @@ def window_hits(docs: DataFrame, items: DataFrame, width: int = WINDOW, id_col:
     listed = document_words(docs, id_col, text_col)
     prefixes = window_prefixes(windows, word_counts(listed, windows, blocks == 1))
     prefixes = written(prefixes, "window-prefixes")  # at most as large as the windows
-    placed = listed.select("doc_id", "w", F.posexplode("w").alias("pos", "word"))
+    placed = listed.select("doc_id", "w", F.posexplode_outer("w").alias("pos", "word"))
     found = None
     for b in range(blocks):
         block = prefixes if blocks == 1 else prefixes.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == b)

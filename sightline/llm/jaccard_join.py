@@ -141,18 +141,21 @@ def frequent_tokens(rows: DataFrame) -> tuple[np.ndarray, int]:
             yield packed(sets)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        low: dict[int, list[np.ndarray]] = {}
-        weight: dict[int, list[np.ndarray]] = {}
+        held: dict[int, list[np.ndarray]] = {}
         for b in batches:
             for bucket, once, several, counts in zip(*[b.column(i).to_pylist() for i in range(4)]):
-                once, several = np.frombuffer(once, np.uint32), np.frombuffer(several, np.uint32)
-                low.setdefault(bucket, []).extend([once, several])
-                weight.setdefault(bucket, []).extend([np.ones(len(once), np.uint32), np.frombuffer(counts, np.uint32)])
-        for bucket in low:
-            keys, inverse = np.unique(np.concatenate(low[bucket]), return_inverse=True)
-            n = np.bincount(inverse, weights=np.concatenate(weight[bucket])).astype(np.int64)
+                held.setdefault(bucket, []).extend([
+                    (np.frombuffer(once, np.uint32).astype(np.uint64) << np.uint64(32)) | np.uint64(1),
+                    (np.frombuffer(several, np.uint32).astype(np.uint64) << np.uint64(32)) | np.frombuffer(counts, np.uint32)])
+        for bucket, parts in held.items():
+            pairs = np.sort(np.concatenate(parts))  # key and count in one number
+            if not len(pairs):
+                continue
+            low = pairs >> np.uint64(32)
+            starts = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
+            n = np.add.reduceat((pairs & np.uint64(0xFFFFFFFF)).astype(np.int64), starts)
             often = n >= FREQUENT_MIN
-            keys = keys[often].astype(np.int64) + (bucket << 32)
+            keys = low[starts][often].astype(np.int64) + (bucket << 32)
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n[often])], names=["key", "n"])
 
     counted = rows.select("rid", "text").mapInArrow(pack, "bucket int, once binary, several binary, counts binary")
@@ -410,12 +413,16 @@ def similar_components(docs: DataFrame, percent: int = PERCENT, text_col: str =
     the smallest doc_id of its component and the row that has it."""
     prepare(docs.sparkSession)
     rows = with_row_id(docs, text_col, id_col)
-    sets = written(class_sets(rows, percent), "jaccard-sets")
+    full = written(class_sets(rows, percent), "jaccard-full")
     ident = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")
+    classes = written(full.where("n > 0").groupBy("d1", "d2", "n").agg(
+        F.min(ident).alias("least"), F.first("prefix").alias("prefix")).select(
+        F.col("least.rid").alias("cid"), "n", "prefix"), "jaccard-classes")
+    sets = written(full.drop("prefix"), "jaccard-sets")
+    discard(full)
     digests = sets.where("n > 0").groupBy("d1", "d2", "n")
-    classes = digests.agg(F.min(ident).alias("least"), F.first("prefix").alias("prefix")).select(
-        "d1", "d2", F.col("least.rid").alias("cid"), "n", "least", "prefix")
     links = class_links(sets, classes, rows, percent)
+    discard(classes)
     labels = components(links, "jaccard-labels")
     named = digests.agg(F.min(ident).alias("least")).withColumn("cid", F.col("least.rid"))
     named = named.join(labels, named["cid"] == labels["node"], "left").select(
@@ -426,3 +433,25 @@ def similar_components(docs: DataFrame, percent: int = PERCENT, text_col: str =
     return out.select("rid", "doc_id", F.col("n").cast("long").alias("n_shingles"),
                       F.when(F.col("n") > 0, F.col("first.doc_id")).otherwise(F.col("doc_id")).alias("component_id"),
                       F.coalesce("first.rid", "rid").alias("first_rid"))
+
+
+def oracle_sql() -> str:
+    """The registered query as DuckDB SQL: all pairs that share a shingle, and
+    everything that links reach."""
+    return f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+sets AS (SELECT DISTINCT doc_id, md5(array_to_string(w[s:s + {SHINGLE - 1}], ' ')) AS x
+         FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {SHINGLE - 2}, 2))) AS s FROM d WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+both_sets AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c
+              FROM sets a JOIN sets b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+link AS (SELECT a, b FROM both_sets JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+         WHERE 100 * c >= {PERCENT} * (x.n + y.n - c)),
+step AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (SELECT doc_id, doc_id AS r FROM d UNION
+          SELECT reach.doc_id, step.b FROM reach JOIN step ON step.a = reach.r)
+SELECT d.doc_id, coalesce(any_value(sizes.n), 0)::BIGINT AS n_shingles, min(r) AS component_id
+FROM d JOIN reach ON d.doc_id = reach.doc_id LEFT JOIN sizes ON sizes.doc_id = d.doc_id GROUP BY d.doc_id
+"""

@@ -335,6 +335,8 @@ def label_languages(docs: DataFrame, crf: Crf, text_col: str = "text", words: bo
                 out["word_langs"] = [labeller.word_languages(t) for t in texts]
             yield pd.DataFrame(out)
 
+    # else a filter on the labels would run the labelling again below itself
+    label = label.asNondeterministic()
     outputs = ["lang_pred", "score", *(["word_langs"] if words else [])]
     keep = [F.col(f"`{c}`") for c in docs.columns if c not in (*outputs, "_found")]
     return docs.select(*keep, label(F.col(f"`{text_col}`")).alias("_found")).select(

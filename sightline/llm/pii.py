@@ -288,7 +288,7 @@ def fit_span_model(docs: DataFrame, text_col: str = "text") -> SpanModel:
     occurs: at most 3^5 * 768 a kind, in practice some dozens."""
     names = [*LABELERS, *FEATURES]
     counted = (with_candidates(docs.select(F.col(f"`{text_col}`").alias("text")))
-               .select(F.explode("_cand").alias("c"))
+               .select(F.explode_outer("_cand").alias("c")).where(F.col("c").isNotNull())
                .groupBy("c.kind", *[F.col(f"c.{n}").alias(n) for n in names]).count())
     rows = sorted(tuple(r) for r in counted.collect())
     model = SpanModel({}, {}, {}, {})

@@ -184,7 +184,8 @@ def score_quality(docs: DataFrame, model: Trees, text_col: str = "text") -> Data
         for texts in batches:
             yield pd.Series(model.score(statistics_matrix(texts)))
 
-    return docs.withColumn("score", score(F.col(f"`{text_col}`")))
+    # else a filter on the score would run the scoring again below itself
+    return docs.withColumn("score", score.asNondeterministic()(F.col(f"`{text_col}`")))
 
 
 def classify(docs: DataFrame, labels: DataFrame, max_train_rows: int = MAX_TRAIN_ROWS) -> DataFrame:
