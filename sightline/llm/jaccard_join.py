@@ -45,7 +45,7 @@ SHINGLE = 5
 PERCENT = 80
 FREQUENT_TOKENS = 1 << 20
 FREQUENT_MIN = 4
-BLOCK_TOKENS = 1 << 22
+BLOCK_TOKENS = 1 << 21
 MAX_BROADCAST_IDS = 1_000_000
 CELLS_PER_TOKEN = 32
 GROUP_MEMBERS = 64
