@@ -35,6 +35,22 @@ def prepare(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
+# What the last operator keeps between its tasks in this Python worker.
+_kept: dict[str, object] = {}
+
+
+def worker_cache(name: str, make: Callable[[], object] | None = None):
+    """An object that a Python worker keeps between tasks of one operator.
+    Workers are shared: a task of another operator drops what was kept, so
+    memory doesn't add up over the stages of a pipeline.  Operators that keep
+    nothing call it too, without ``make``."""
+    if name not in _kept:
+        _kept.clear()
+        if make:
+            _kept[name] = make()
+    return _kept.get(name)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once and use it many times in ``body``.
 

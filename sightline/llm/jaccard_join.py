@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sightline.llm.common import discard, prepare, written
+from sightline.llm.common import discard, prepare, worker_cache, written
 from sightline.llm.repeats import mix, widen, with_row_id
 
 SHINGLE = 5
@@ -130,6 +130,7 @@ def frequent_tokens(rows: DataFrame) -> tuple[np.ndarray, int]:
                 [pa.array(range(buckets), pa.int32()), *[pa.array(x, pa.binary()) for x in (once, several, counts)]],
                 names=["bucket", "once", "several", "counts"])
 
+        worker_cache("jaccard")
         sets, size = [], 0
         for _, text in _texts(batches):
             sets.append(shingle_set(text))
@@ -193,6 +194,7 @@ def class_sets(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
     known = rows.sparkSession.sparkContext.broadcast((frequent[by_key], by_key.astype(np.int32)))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("jaccard")
         keys, rank = known.value
         for b in batches:
             out = []

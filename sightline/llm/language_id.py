@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sightline.llm.common import crc_fold, prepare
+from sightline.llm.common import crc_fold, prepare, worker_cache
 
 HELD_OUT_FOLDS, HELD_OUT_FOLD = 3, 1
 MAX_TRAIN_ROWS = 1_500
@@ -294,6 +294,7 @@ def training_chunks(docs: DataFrame, max_train_rows: int = MAX_TRAIN_ROWS, text_
     sample = known.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(share * 1_000_000))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        worker_cache("language")
         for b in batches:
             langs, chunks = [], []
             for text, lang in zip(b["text"], b["lang"]):
@@ -316,6 +317,7 @@ def label_languages(docs: DataFrame, crf: Crf, text_col: str = "text", words: bo
 
     @F.pandas_udf(kind)
     def label(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        worker_cache("language")
         labeller = Labeller(crf)
         for texts in batches:
             group, size = [], 0

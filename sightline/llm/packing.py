@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sightline.llm.common import prepare
+from sightline.llm.common import prepare, worker_cache
 
 SEQUENCE_TOKENS = 4096
 END_ID = 2
@@ -226,9 +226,6 @@ def pack_ids(documents: Iterable[tuple[int | None, bytes]], first_sequence: int,
     yield flush()
 
 
-_tokenizers: dict[str, WordTokenizer] = {}
-
-
 def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = SEQUENCE_TOKENS,
          end_id: int = END_ID, block_pieces: int = BLOCK_PIECES,
          id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -238,9 +235,8 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = SEQUENCE
     path, end = tokenizer or default_tokenizer(), np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _tokenizers:  # kept between tasks of a worker, with its words
-            _tokenizers[path] = WordTokenizer(path)
-        encode_many = _tokenizers[path].encode_many
+        # kept between tasks, with its words
+        encode_many = worker_cache(f"packing {path}", lambda: WordTokenizer(path)).encode_many
         part = TaskContext.get().partitionId()
 
         def documents():
