@@ -45,9 +45,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Benchmark decontamination (operator 8): documents that hold a window of
     a benchmark item go."""
     items = table(spark, sf_dir, "benchmark")
-    hits = decontaminate.window_hits(docs, items).select("doc_id").distinct()
-    clean = docs.join(hits.withColumnRenamed("doc_id", "hit_id"), F.col("doc_id").eqNullSafe(F.col("hit_id")), "left_anti")
-    return _documents(clean)
+    hits = decontaminate.window_hits(docs, items).select("rid").distinct()
+    return _documents(docs.withColumn("rid", row_id("text", "doc_id")).join(hits, "rid", "left_anti"))
 
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

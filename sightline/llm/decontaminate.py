@@ -16,7 +16,8 @@ window's rarest word, so that word alone is the window's join prefix:
 Only the windows are broadcast, after their size was measured: beyond
 ``max_broadcast_bytes`` they are joined in blocks, each below that bound, each
 against all documents.  A document's words are exploded inside one task and
-never shuffled; hits are grouped by document.
+never shuffled; hits are grouped by row (``row_id``: its id and its text), so
+rows that share a null or repeated id keep their own.
 
 Defined results: null and empty texts have no words, so nothing is hit; null
 items have no windows; repeated items and documents each count; other columns
@@ -31,6 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sightline.llm.common import words_of, written
+from sightline.llm.repeats import row_id
 
 # Fixed value: the separators of the contract's words, with A-Z kept.
 WORD_SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -59,7 +61,7 @@ def item_windows(items: DataFrame, width: int = WINDOW) -> DataFrame:
 
 
 def document_words(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(f"`{id_col}`").alias("doc_id"), word_list(F.col(f"`{text_col}`")).alias("w"))
+    return docs.select(row_id(text_col, id_col).alias("rid"), word_list(F.col(f"`{text_col}`")).alias("w"))
 
 
 def word_counts(listed: DataFrame, windows: DataFrame, small: bool) -> DataFrame:
@@ -85,8 +87,8 @@ def window_prefixes(windows: DataFrame, counts: DataFrame) -> DataFrame:
 
 def window_hits(docs: DataFrame, items: DataFrame, width: int = WINDOW, id_col: str = "doc_id",
                 text_col: str = "text", max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
-    """(doc_id, start, len, items): every occurrence of a window, with its
-    0-based word position."""
+    """(rid, start, len, items): every occurrence of a window, with the
+    ``row_id`` of its document and its 0-based word position."""
     windows = item_windows(items, width)
     size = windows.agg(
         F.coalesce(F.sum(F.aggregate("window", F.lit(64), lambda a, x: a + F.octet_length(x) + 24)
@@ -95,7 +97,7 @@ def window_hits(docs: DataFrame, items: DataFrame, width: int = WINDOW, id_col:
     listed = document_words(docs, id_col, text_col)
     prefixes = window_prefixes(windows, word_counts(listed, windows, blocks == 1))
     prefixes = written(prefixes, "window-prefixes")  # at most as large as the windows
-    placed = listed.select("doc_id", "w", F.posexplode_outer("w").alias("pos", "word"))
+    placed = listed.select("rid", "w", F.posexplode_outer("w").alias("pos", "word"))
     found = None
     for b in range(blocks):
         block = prefixes if blocks == 1 else prefixes.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == b)
@@ -103,7 +105,7 @@ def window_hits(docs: DataFrame, items: DataFrame, width: int = WINDOW, id_col:
         hits = (placed.join(F.broadcast(block), "word")
                 .where((start >= 0) & (start + n <= F.size("w")))
                 .where(F.slice("w", start + 1, n) == F.col("window"))
-                .select("doc_id", start.alias("start"), n.alias("len"), "items"))
+                .select("rid", start.alias("start"), n.alias("len"), "items"))
         found = hits if found is None else found.unionByName(hits)
     return found
 
@@ -124,15 +126,15 @@ def contaminated_words(docs: DataFrame, items: DataFrame, width: int = WINDOW, i
                        text_col: str = "text", **bounds) -> DataFrame:
     """One row per document: n_words, n_hit, n_items, item_ids, contaminated."""
     hits = window_hits(docs, items, width, id_col, text_col, **bounds)
-    per_doc = hits.groupBy(F.col("doc_id").alias("hit_id")).agg(
+    per_doc = hits.groupBy(F.col("rid").alias("hit_rid")).agg(
         F.collect_set(F.struct("start", "len")).alias("places"), F.collect_set("items").alias("sets"))
     ids = F.array_distinct(F.flatten("sets"))
     per_doc = per_doc.select(
-        "hit_id", covered_words(F.col("places")).alias("n_hit"),
+        "hit_rid", covered_words(F.col("places")).alias("n_hit"),
         F.sort_array(F.transform(ids, lambda x: x.cast("string"))).alias("item_ids"))
-    sizes = docs.select(F.col(f"`{id_col}`").alias("doc_id"),
+    sizes = docs.select(row_id(text_col, id_col).alias("rid"), F.col(f"`{id_col}`").alias("doc_id"),
                         F.size(word_list(F.col(f"`{text_col}`"))).cast("long").alias("n_words"))
-    out = sizes.join(per_doc, sizes["doc_id"].eqNullSafe(per_doc["hit_id"]), "left")
+    out = sizes.join(per_doc, sizes["rid"] == per_doc["hit_rid"], "left")
     item_ids = F.coalesce("item_ids", F.array().cast("array<string>"))
     return out.select(
         "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),

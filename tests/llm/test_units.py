@@ -133,6 +133,23 @@ def test_window_blocks_agree(spark):
         assert (r.n_words, r.n_hit, r.item_ids) == (len(w), len(hit), sorted(ids))
 
 
+def test_contamination_is_by_row(spark, tmp_path):
+    """Rows that share a null or equal doc_id each have their own hits."""
+    import corpus_pipeline as cp
+    from conftest import prose, write_tables
+
+    dirty, clean = prose(2, 60), prose(20, 60)  # the benchmark holds prose(2, 60)
+    part = " ".join(dirty.split()[:20])
+    rows = [(None, dirty), (None, clean), (None, part), (None, None), (5, dirty), (5, clean), (5, part), (5, part), (6, clean)]
+    sf_dir = write_tables(tmp_path, [t for _, t in rows], [i for i, _ in rows], extra=False)
+    docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
+    got = [(r.doc_id, r.n_words, r.n_hit, r.contaminated) for r in decontaminate.contaminated_words(docs, items).collect()]
+    want = [(i, len((t or "").split()), 0 if t in (clean, None) else len(t.split()), t not in (clean, None)) for i, t in rows]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    kept = [(r.doc_id, r.text) for r in cp.drop_contaminated(spark, docs, sf_dir).collect()]
+    assert sorted(kept, key=str) == sorted([(i, t) for i, t in rows if t in (clean, None)], key=str)
+
+
 def test_bits_bound_the_overlap():
     rng = np.random.default_rng(1)
     for _ in range(200):
