@@ -3,6 +3,8 @@
 Each white-space word with a letter is one position; its potentials are sums of
 learned weights of its affixes (up to four letters with the word edge), its
 letter bigrams and trigrams, and of itself if it is in the learned lexicon.
+A longer word than ``PIECE`` letters (a line in a script without spaces) is cut
+into about equal pieces, each a position of its own: every letter counts.
 Transitions between the languages of neighbouring words are learned too, so
 that single odd words don't switch the language while runs do.
 
@@ -13,8 +15,8 @@ the conditional likelihood, with forward-backward over all chunks at once.
 
 Labelling: each batch of whole texts is one forward-backward run, vectorised
 over documents (sorted by length, so that the active ones are a prefix).  A
-word's potentials are computed once and kept by a bounded cache.  A document's
-language is the one with the largest sum of word marginals; its score is that
+position's potentials are computed once and kept by a bounded cache.  A document's
+language is the one with the largest sum of its positions' marginals; its score is that
 sum's share.  Nothing is shuffled.
 
 Defined results: null texts and texts without a letter are ``und`` with score
@@ -43,7 +45,8 @@ LEXICON_MIN = 5
 CACHE_WORDS = 400_000
 GROUP_CHARS = 4 << 20
 UNKNOWN = "und"
-_EDGE = 24  # a longer word is its first and last twelve letters
+PIECE = 24
+_INNER = " "  # an end of a piece that isn't the word's; no word holds it
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -54,6 +57,26 @@ def letters_of(word: str) -> str:
     return word if word.isalpha() else _NOT_LETTERS.sub("", word)
 
 
+def word_pieces(core: str) -> list[str]:
+    """The positions of a word's letters: itself, or pieces of at most ``PIECE``
+    letters and edges that overlap by two, so that each trigram is in one."""
+    if len(core) <= PIECE:
+        return [core] if core else []
+    size = len(core)  # and two edges, of which the overlap takes as many
+    step = -(-size // -(-size // PIECE))
+    marked = f"^{core}$"
+    parts = [marked[a:a + step + 2] for a in range(0, size, step)]
+    return [parts[0][1:] + _INNER, *[_INNER + p + _INNER for p in parts[1:-1]], _INNER + parts[-1][:-1]]
+
+
+def positions_of(text: str | None) -> list[str]:
+    """The white-space words of ``text``, long ones as pieces."""
+    words = text.split() if text else []
+    if max(map(len, words), default=0) > PIECE:
+        words = [p for w in words for p in (word_pieces(letters_of(w)) if len(w) > PIECE else (w,))]
+    return words
+
+
 def _mixed(h: np.ndarray, seed: int) -> np.ndarray:
     h = (h + np.uint64(seed)) * _MIX
     h ^= h >> np.uint64(29)
@@ -61,16 +84,18 @@ def _mixed(h: np.ndarray, seed: int) -> np.ndarray:
 
 
 def _codes(words: list[str]) -> np.ndarray:
-    """Code points of ``^word$``, zero-padded."""
-    short = [f"^{w}$" if len(w) <= _EDGE else f"^{w[:12]}{w[-12:]}$" for w in words]
-    return np.array(short, dtype=f"U{_EDGE + 2}").view(np.uint32).reshape(len(words), _EDGE + 2).astype(np.uint64)
+    """Code points of ``^word$``, zero-padded; no sign at a piece's inner ends."""
+    marked = [f"^{w}$" if _INNER not in w else
+              ("" if w[0] == _INNER else "^") + w.strip(_INNER) + ("" if w[-1] == _INNER else "$") for w in words]
+    width = max(PIECE + 2, max(map(len, marked), default=0))
+    return np.array(marked, dtype=f"U{width}").view(np.uint32).reshape(len(words), width).astype(np.uint64)
 
 
 def word_keys(words: list[str]) -> np.ndarray:
     """A 64-bit key of each word, for the lexicon."""
     codes, key = _codes(words), np.zeros(len(words), np.uint64)
     for i in range(codes.shape[1]):
-        key = key * np.uint64(0x100000001B3) + codes[:, i]
+        key = np.where(codes[:, i] > 0, key * np.uint64(0x100000001B3) + codes[:, i], key)
     return _mixed(key, 7)
 
 
@@ -236,7 +261,7 @@ class Labeller:
         self.phi = np.ones((1 << 12, len(self.crf.languages)), np.float32)
 
     def _learn(self, words: list[str]) -> None:
-        cores = [letters_of(w) for w in words]
+        cores = [w if _INNER in w else letters_of(w) for w in words]
         fresh = sorted({c for c in cores if c})
         log = self.crf.potentials(fresh)
         need = self.used + len(fresh)
@@ -249,8 +274,8 @@ class Labeller:
         self.row.update((w, place[c]) for w, c in zip(words, cores))
 
     def marginals(self, texts: list[str | None]):
-        """Word marginals of all texts, with their time-major layout."""
-        split = [t.split() if t else [] for t in texts]
+        """Marginals of all texts' positions, with their time-major layout."""
+        split = [positions_of(t) for t in texts]
         distinct = set().union(*split)
         new = distinct.difference(self.row)
         if len(self.row) + len(new) > self.limit:
@@ -281,7 +306,11 @@ class Labeller:
         if not self.crf.languages or not text:
             return []
         marg, _, _ = self.marginals([text])
-        return [self.crf.languages[k] for k in marg.argmax(axis=1)]
+        sizes = [n for n in (len(word_pieces(letters_of(w))) for w in text.split()) if n]
+        if not sizes:
+            return []
+        mass = np.add.reduceat(marg, np.cumsum([0, *sizes[:-1]]), axis=0)
+        return [self.crf.languages[k] for k in mass.argmax(axis=1)]
 
 
 def training_chunks(docs: DataFrame, max_train_rows: int = MAX_TRAIN_ROWS, text_col: str = "text",
@@ -298,7 +327,7 @@ def training_chunks(docs: DataFrame, max_train_rows: int = MAX_TRAIN_ROWS, text_
         for b in batches:
             langs, chunks = [], []
             for text, lang in zip(b["text"], b["lang"]):
-                words = [w for w in map(letters_of, text.split()) if w]
+                words = [p for w in text.split() for p in word_pieces(letters_of(w))]
                 pieces = [words[a:a + CHUNK] for a in range(0, len(words), CHUNK)]
                 step = max(1, -(-len(pieces) // TRAIN_CHUNKS))
                 langs += [lang] * len(pieces[::step])

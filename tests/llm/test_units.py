@@ -236,6 +236,27 @@ def test_code_switched_words():
     assert words == ["en"] * 5 + ["fr"] * 8
 
 
+def test_long_words_are_read_whole():
+    """Every trigram of an unspaced text is in one piece, and its letters, not
+    three spaced words or its two ends, decide the language."""
+    rng = random.Random(4)
+    for n in [*range(1, 80), 1000]:
+        core = "".join(rng.choice("abcdefgh") for _ in range(n))
+        pieces = language_id.word_pieces(core)
+        marks = ["".join(map(chr, filter(None, c))) for c in language_id._codes(pieces).tolist()]
+        assert [m[i:i + 3] for m in marks for i in range(len(m) - 2)] == [f"^{core}$"[i:i + 3] for i in range(n)]
+        assert max(map(len, marks)) <= language_id.PIECE + 2
+    line = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    samples = [(x, [p for _ in range(8) for p in language_id.word_pieces(line(a, 60))]) for x, a in
+               [("ja", "ねこいぬと"), ("zh", "猫狗和这家")] for _ in range(40)]
+    samples += [("en", "the cat and the dog of this house".split())] * 40
+    labeller = language_id.Labeller(language_id.train_crf(samples))
+    ja, zh = line("ねこいぬと", 14), line("猫狗和这家", 3000)
+    texts = [ja + zh + ja, f"the cat and {zh}", f"{zh}。{zh} the dog"]
+    assert labeller.label(texts)[0] == ["zh"] * 3
+    assert labeller.word_languages(f"the cat 12 {zh} of this house") == ["en", "en", "zh", "en", "en", "en"]
+
+
 def test_flat_trees_learn_a_threshold():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(2000, 3))
