@@ -8,16 +8,18 @@ into about equal pieces, each a position of its own: every letter counts.
 Transitions between the languages of neighbouring words are learned too, so
 that single odd words don't switch the language while runs do.
 
-Training: a bounded sample of labelled documents (``max_train_rows``, by a hash
-of the text; from each at most ``TRAIN_CHUNKS`` chunks of ``CHUNK`` words, spread
-evenly over the whole text) comes to the driver; full-batch gradient ascent of
+Training: a bounded sample of the distinct labelled texts of each language (by a
+hash of the text; about ``max_train_rows`` together, of which every language may
+have as many as another, and ``MIN_LANGUAGE_ROWS`` in any case; from each at most
+``TRAIN_CHUNKS`` chunks of ``CHUNK`` words, spread evenly over the whole text)
+comes to the driver; full-batch gradient ascent of
 the conditional likelihood, with forward-backward over all chunks at once.
 
 Labelling: each batch of whole texts is one forward-backward run, vectorised
 over documents (sorted by length, so that the active ones are a prefix).  A
 position's potentials are computed once and kept by a bounded cache.  A document's
 language is the one with the largest sum of its positions' marginals; its score is that
-sum's share.  Nothing is shuffled.
+sum's share.  Only counts and the training sample are shuffled.
 
 Defined results: null texts and texts without a letter are ``und`` with score
 0; without training rows every text is; repeated rows are labelled alike;
@@ -39,6 +41,8 @@ from sightline.llm.common import crc_fold, prepare, worker_cache
 
 HELD_OUT_FOLDS, HELD_OUT_FOLD = 3, 1
 MAX_TRAIN_ROWS = 1_500
+MIN_LANGUAGE_ROWS = 100
+_RANGE = 1 << 62  # of the hashes that draw the sample
 CHUNK, TRAIN_CHUNKS = 64, 6
 TABLE_BITS = 17
 LEXICON_MIN = 5
@@ -313,14 +317,40 @@ class Labeller:
         return [self.crf.languages[k] for k in mass.argmax(axis=1)]
 
 
-def training_chunks(docs: DataFrame, max_train_rows: int = MAX_TRAIN_ROWS, text_col: str = "text",
-                    lang_col: str = "lang") -> list[tuple[str, list[str]]]:
-    """(language, words) chunks of a sample of about ``max_train_rows`` rows."""
+def language_bounds(texts: dict[str, int], max_train_rows: int = MAX_TRAIN_ROWS) -> dict[str, int]:
+    """How many of each language's texts to learn from: all, or a common number
+    that makes ``max_train_rows`` together, at least ``MIN_LANGUAGE_ROWS``."""
+    left, bound = max_train_rows, 0
+    for k, n in enumerate(sorted(texts.values())):
+        bound = left // (len(texts) - k)
+        if n > bound:
+            break
+        left -= n
+    else:
+        return dict(texts)
+    return {lang: min(n, max(bound, MIN_LANGUAGE_ROWS)) for lang, n in texts.items()}
+
+
+def training_sample(docs: DataFrame, max_train_rows: int = MAX_TRAIN_ROWS, text_col: str = "text",
+                    lang_col: str = "lang") -> DataFrame:
+    """(text, lang) to learn from: distinct texts, about ``language_bounds`` of
+    each language (their numbers are estimates)."""
     known = docs.select(F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang")).where(
         F.col("text").isNotNull() & F.col("lang").isNotNull())
-    n = known.select("lang").count()
-    share = min(1.0, max_train_rows / max(n, 1))
-    sample = known.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(share * 1_000_000))
+    counted = known.groupBy("lang").agg(F.approx_count_distinct("text").alias("n")).collect()
+    texts = {r["lang"]: r["n"] for r in counted}
+    bounds = language_bounds(texts, max_train_rows)
+    # a text that all rows of a language share has the estimate 1: no share is below one text's
+    below = [(lang, _RANGE if n >= texts[lang] else max(1, n * _RANGE // texts[lang])) for lang, n in bounds.items()]
+    limits = docs.sparkSession.createDataFrame(below, "lang string, below long")
+    drawn = known.join(F.broadcast(limits), "lang").where(F.pmod(F.xxhash64("text"), F.lit(_RANGE)) < F.col("below"))
+    return drawn.select("text", "lang").distinct()
+
+
+def training_chunks(docs: DataFrame, max_train_rows: int = MAX_TRAIN_ROWS, text_col: str = "text",
+                    lang_col: str = "lang") -> list[tuple[str, list[str]]]:
+    """(language, words) chunks of the training sample."""
+    sample = training_sample(docs, max_train_rows, text_col, lang_col)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         worker_cache("language")

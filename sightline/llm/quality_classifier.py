@@ -159,8 +159,9 @@ def training_statistics(docs: DataFrame, labels: DataFrame, max_train_rows: int
     sample's ids are broadcast: about ``max_train_rows`` of them."""
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
     n = known.count()
-    share = min(1.0, max_train_rows / max(n, 1))
-    sample = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).select(
+    whole = 1 << 62  # a range in which no share rounds to zero
+    below = whole if n <= max_train_rows else max(1, max_train_rows * whole // n)
+    sample = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(whole)) < below).select(
         F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("_y"))
     chosen = docs.select(F.col(f"`{id_col}`").alias("_doc"), F.col(f"`{text_col}`").alias("_text")).join(
         F.broadcast(sample), F.col("_doc") == F.col("_id")).select("_doc", "_y", "_text")

@@ -257,6 +257,28 @@ def test_long_words_are_read_whole():
     assert labeller.word_languages(f"the cat 12 {zh} of this house") == ["en", "en", "zh", "en", "en", "en"]
 
 
+def test_training_sample_has_every_language(spark):
+    """A rare language beside a large one and a text with many copies: each has
+    its texts, copies once, and the sample keeps its bound."""
+    from pyspark.sql import functions as F
+
+    n = 60_000
+    many = spark.range(n).select(F.concat(F.lit("the text "), F.col("id")).alias("text"), F.lit("en").alias("lang"))
+    copies = spark.range(n).select(F.lit("le chat").alias("text"), F.lit("fr").alias("lang"))
+    rare = spark.range(20).select(F.concat(F.lit("der hund "), F.col("id") % 10).alias("text"), F.lit("de").alias("lang"))
+    rows = language_id.training_sample(many.union(copies).union(rare), 300).collect()
+    count = {x: [r.lang for r in rows].count(x) for x in ("en", "fr", "de")}
+    assert len(rows) == len(set(rows)) and (count["fr"], count["de"]) == (1, 10) and 200 < count["en"] < 400
+    assert language_id.training_sample(many.limit(0), 300).count() == 0
+
+
+def test_language_bounds():
+    assert language_id.language_bounds({"a": 10 ** 12, "b": 700, "c": 3}, 1500) == {"a": 797, "b": 700, "c": 3}
+    assert language_id.language_bounds({"a": 900, "b": 600}, 1500) == {"a": 900, "b": 600}
+    assert set(language_id.language_bounds({str(i): 10 ** 6 for i in range(200)}, 1500).values()) == {100}
+    assert language_id.language_bounds({}, 1500) == {}
+
+
 def test_flat_trees_learn_a_threshold():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(2000, 3))
