@@ -57,7 +57,7 @@ NO_SPANS = "array<struct<kind:string,start:int,end:int>>"
 
 # Wide patterns of the learned kinds.
 CANDIDATES = {
-    "secret": r"(?<![A-Za-z0-9_/+-])(?=[A-Za-z_/+-]{0,64}[0-9])[A-Za-z0-9_/+-]{8,}+",
+    "secret": r"(?<![A-Za-z0-9_/+-])(?=[A-Za-z_/+-]*+[0-9])[A-Za-z0-9_/+-]{8,}+",
     "number": r"(?<![A-Za-z0-9+.()-])\(?[0-9]{3}\)?[ -][0-9]{3}-[0-9]{4}(?![0-9-])",
 }
 CANDIDATE_GATES = {

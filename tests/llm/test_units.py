@@ -191,6 +191,16 @@ def test_span_model_learns_keys(spark):
     assert not any("secret" in found[i] for i, _ in numbers)
 
 
+def test_keys_with_a_late_digit_are_candidates(spark):
+    """However many letters stand before the first digit; long runs stay linear."""
+    keys = ["Ab" * n + "7c" for n in (3, 32, 33, 100, 5000)]
+    texts = [f'token = "{k}" end' for k in keys] + ["x" * 2_000_000 + " 1", "ab-" * 400_000 + "9"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [(c.start, c.end) for c in r._cand] for r in pii.with_candidates(docs).collect()}
+    want = {i: [(9, 9 + len(k))] for i, k in enumerate(keys)}
+    assert got == want | {len(keys): [], len(keys) + 1: [(0, 1_200_001)]}
+
+
 def test_redact(spark):
     from pyspark.sql import functions as F
 
