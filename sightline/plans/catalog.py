@@ -173,11 +173,11 @@ def q_signature_misses(spark, d):
 
 def q_merge_results(spark, d):
     stored, current = _stored_and_current(spark, d)
-    # one lookup tells both parts: as ``folder_signatures``, which unites the
-    # hits of a lookup with the newly hashed rest of the same lookup
+    # both parts come from one lookup, as in ``folder_signatures``
     looked = store.lookup(current.select(*KEY, "size", "mtime"), stored.select(*KEY, "size", "mtime"), KEY)
-    origin = F.when(F.col("status") == "hit", "store").otherwise("fresh")
-    return looked.select(*KEY, "size", "mtime", origin.alias("origin"))
+    part = lambda rows, origin: looked.where(rows).select(*KEY, "size", "mtime", F.lit(origin).alias("origin"))
+    return store.merge_results(part(F.col("status") == "hit", "store"), part(F.col("status") != "hit", "fresh"),
+                               KEY, ["origin"])  # of one key's rows the stored one stays
 
 
 def q_inventory_replace(spark, d):

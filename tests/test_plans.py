@@ -35,6 +35,15 @@ def test_latest_per_key_aggregates_before_the_shuffle(spark):
     assert "partial_max" in plan[exchange:]
 
 
+def test_merge_results_unites_and_keeps_one_row_per_key(spark, monkeypatch):
+    assert "Union" in _plan(catalog.q_merge_results(spark, SF))
+    # a file listed twice, once as stored: one row, the stored one
+    rows = spark.createDataFrame([(1, "a", 5, 7), (1, "a", 5, 8), (2, "b", 6, 7)], "user_id int, event_type string, size int, mtime int")
+    monkeypatch.setattr(catalog, "_stored_and_current", lambda spark, d: (rows.where("user_id = 1 AND mtime = 7"), rows))
+    got = sorted(tuple(r) for r in catalog.q_merge_results(spark, SF).collect())
+    assert got == [(1, "a", 5, 7, "store"), (2, "b", 6, 7, "fresh")]
+
+
 def test_store_read_pushes_prefix_and_prunes_partitions(spark, tmp_path):
     rows = spark.createDataFrame([("file:/a/x.png", 1, None, "00", [1], 16)],
                                  "file_uri string, size long, mtime timestamp, hash_hex string, "
