@@ -1,18 +1,16 @@
 """Suffix-array dedup: removal of byte strings that also start elsewhere, by
-bucket-pointer refinement.
-
-Every byte position is a suffix.  Suffixes start in buckets of their first
-eight bytes (the bytes themselves are the bucket pointer); a bucket is refined
-by the bucket pointers of later offsets: the pointer of 16 bytes comes from
-those of 8 bytes at the position and 8 later, that of 32 from those of 16, and
-so on up to the length in question, each step using the pointers the last one
-updated.  Pointers are content digests, so all tasks refine alike and no
-suffix has to travel for it.  Only sampled suffixes (``repeats``) are then
-sorted into buckets across the corpus; buckets of one are final, the others
-are refined to whole segments and, where these differ, to single suffixes.
-
-Only what a ``length``-byte string needs is sorted: suffixes equal in more bytes
-stay in one bucket, which is all that removal asks.
+counting anchored digests.
+
+This replaces bucket-pointer refinement: no suffixes are sorted into buckets
+across the corpus and no pointers are refined in rounds.  Each task digests the
+first eight bytes at every position (the bytes themselves), then 16 bytes from
+the digests of 8 at the position and 8 later, and so on up to the length in
+question.  Digests come from content, so all tasks agree and no suffix travels
+for them.  Each window's smallest gram is its anchor; Spark counts anchors, then
+whole segments and, where these differ, single windows (``repeats``).
+
+Windows have one length: strings equal in more bytes need no further order,
+which is all that removal asks.
 
 Defined results: a null text is empty; texts shorter than ``length`` keep all
 bytes; a repeated row is a document of its own, so its bytes start elsewhere;
