@@ -10,14 +10,17 @@ from pyspark.sql import functions as F
 
 from sightline.llm import (
     decontaminate,
+    hard_negatives,
     jaccard_join,
     language_id,
     packing,
     pii,
+    prefix_trie,
     quality_classifier,
     quality_rules,
     substring_dedup,
     suffix_dedup,
+    toxicity,
     url_filter,
 )
 from sightline.llm.common import table
@@ -75,6 +78,25 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest_columns(pii.find_pii(docs))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, vec_id = table(spark, sf_dir, "embeddings"), F.col("vec_id")
+    label = F.when(vec_id % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.select("vec_id", "embedding", label.alias("label")), vec_id % 100 == 0)
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.number_turns(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    conv_id = F.col("conv_id")
+    rebuilt = prefix_trie.graft(turns, conv_id - conv_id % 100, F.crc32(conv_id.cast("string").cast("binary")) % 6)
+    return prefix_trie.prefix_trie(rebuilt)
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    return toxicity.classify(docs, labels).select("doc_id", "held_out", "score", "predicted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: fn for name, fn in sorted(globals().items()) if name.startswith("op")}
 
@@ -86,4 +108,6 @@ def oracle_sql() -> dict[str, str]:
         "op7_substring_dedup": substring_dedup.oracle_sql(),
         "op8_decontaminate": decontaminate.oracle_sql(),
         "op9_jaccard_join": jaccard_join.oracle_sql(),
+        "op11_hard_negatives": hard_negatives.oracle_sql(),
+        "op12_prefix_trie": prefix_trie.oracle_sql(),
     }
