@@ -47,6 +47,7 @@ CHUNK, TRAIN_CHUNKS = 64, 6
 TABLE_BITS = 17
 LEXICON_MIN = 5
 CACHE_WORDS = 400_000
+BLOCK_WORDS = 4_096
 GROUP_CHARS = 4 << 20
 UNKNOWN = "und"
 PIECE = 24
@@ -206,6 +207,7 @@ def train_crf(samples: list[tuple[str, list[str]]], rounds: int = 30, rate: floa
     if not size:
         return crf
     label = np.array([languages.index(lang) for lang, _ in samples])
+    del samples
     order, rows, offsets = _ragged(ids)
     gold = np.concatenate([label[order][:offsets[t + 1] - offsets[t]] for t in range(len(offsets) - 1)])
     counts = np.bincount(rows, minlength=len(words))
@@ -214,7 +216,7 @@ def train_crf(samples: list[tuple[str, list[str]]], rounds: int = 30, rate: floa
     crf.lexicon_weights = np.zeros((len(crf.lexicon), size), np.float32)
     slot = np.searchsorted(crf.lexicon, keys)
     in_lexicon = counts >= LEXICON_MIN
-    feats = _padded_features(words)
+    blocks = _feature_blocks(words)
     true = np.zeros((len(words), size))
     np.add.at(true, (rows, gold), 1)
     pairs_true = np.zeros((size, size))
@@ -223,16 +225,19 @@ def train_crf(samples: list[tuple[str, list[str]]], rounds: int = 30, rate: floa
     start_true = np.bincount(label, minlength=size)
     memory = [np.full(x.shape, 1e-2) for x in (crf.weights, crf.lexicon_weights, crf.transitions, crf.start)]
     total = len(rows)
-    flat = feats.ravel()
     for _ in range(rounds):
-        log = crf.weights[feats].sum(axis=1)
+        log = np.empty((len(words), size), np.float32)
+        for at, feats in blocks:
+            log[at] = crf.weights[feats].sum(axis=1)
         log[in_lexicon] += crf.lexicon_weights[slot[in_lexicon]]
         phi = np.exp(log - log.max(axis=1, keepdims=True)).astype(np.float32)
         marg, pairs = crf.marginals(phi, rows, offsets, pairs=True)
         soft = np.stack([np.bincount(rows, weights=marg[:, k], minlength=len(words)) for k in range(size)], axis=1)
         grad = (true - soft) / total
-        spread = np.repeat(grad, feats.shape[1], axis=0)
-        gw = np.stack([np.bincount(flat, weights=spread[:, k], minlength=1 << TABLE_BITS) for k in range(size)], axis=1)
+        gw = np.zeros((1 << TABLE_BITS, size))
+        for at, feats in blocks:
+            for k in range(size):
+                gw[:, k] += np.bincount(feats.ravel(), np.repeat(grad[at, k], feats.shape[1]), 1 << TABLE_BITS)
         gw[0] = 0
         gl = np.zeros_like(crf.lexicon_weights)
         gl[slot[in_lexicon]] = grad[in_lexicon]
@@ -245,11 +250,12 @@ def train_crf(samples: list[tuple[str, list[str]]], rounds: int = 30, rate: floa
     return crf
 
 
-def _padded_features(words: list[str]) -> np.ndarray:
-    """Feature numbers of all words at one width."""
-    parts = [word_features(words[a:a + 20_000]) for a in range(0, len(words), 20_000)]
-    width = max(p.shape[1] for p in parts)
-    return np.concatenate([np.pad(p, ((0, 0), (0, width - p.shape[1]))) for p in parts])
+def _feature_blocks(words: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(word numbers, feature numbers) of blocks of words of about one length, so
+    that a block has few empty slots and a training round small temporaries."""
+    order = np.argsort([len(w) for w in words], kind="stable")
+    parts = [order[a:a + BLOCK_WORDS] for a in range(0, len(words), BLOCK_WORDS)]
+    return [(at, word_features([words[i] for i in at])) for at in parts]
 
 
 class Labeller:
@@ -319,7 +325,8 @@ class Labeller:
 
 def language_bounds(texts: dict[str, int], max_train_rows: int = MAX_TRAIN_ROWS) -> dict[str, int]:
     """How many of each language's texts to learn from: all, or a common number
-    that makes ``max_train_rows`` together, at least ``MIN_LANGUAGE_ROWS``."""
+    that makes ``max_train_rows`` together, at least ``MIN_LANGUAGE_ROWS`` (with
+    many languages fewer: ten times ``max_train_rows`` together, but one of each)."""
     left, bound = max_train_rows, 0
     for k, n in enumerate(sorted(texts.values())):
         bound = left // (len(texts) - k)
@@ -328,7 +335,8 @@ def language_bounds(texts: dict[str, int], max_train_rows: int = MAX_TRAIN_ROWS)
         left -= n
     else:
         return dict(texts)
-    return {lang: min(n, max(bound, MIN_LANGUAGE_ROWS)) for lang, n in texts.items()}
+    least = max(1, min(MIN_LANGUAGE_ROWS, 10 * max_train_rows // len(texts)))
+    return {lang: min(n, max(bound, least)) for lang, n in texts.items()}
 
 
 def training_sample(docs: DataFrame, max_train_rows: int = MAX_TRAIN_ROWS, text_col: str = "text",
@@ -348,8 +356,9 @@ def training_sample(docs: DataFrame, max_train_rows: int = MAX_TRAIN_ROWS, text_
 
 
 def training_chunks(docs: DataFrame, max_train_rows: int = MAX_TRAIN_ROWS, text_col: str = "text",
-                    lang_col: str = "lang") -> list[tuple[str, list[str]]]:
-    """(language, words) chunks of the training sample."""
+                    lang_col: str = "lang", chunk: int = CHUNK, train_chunks: int = TRAIN_CHUNKS) -> list[tuple[str, list[str]]]:
+    """(language, words) chunks of the training sample: of each text at most
+    ``train_chunks`` chunks of ``chunk`` words, spread evenly over it."""
     sample = training_sample(docs, max_train_rows, text_col, lang_col)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -358,14 +367,17 @@ def training_chunks(docs: DataFrame, max_train_rows: int = MAX_TRAIN_ROWS, text_
             langs, chunks = [], []
             for text, lang in zip(b["text"], b["lang"]):
                 words = [p for w in text.split() for p in word_pieces(letters_of(w))]
-                pieces = [words[a:a + CHUNK] for a in range(0, len(words), CHUNK)]
-                step = max(1, -(-len(pieces) // TRAIN_CHUNKS))
+                pieces = [words[a:a + chunk] for a in range(0, len(words), chunk)]
+                step = max(1, -(-len(pieces) // train_chunks))
                 langs += [lang] * len(pieces[::step])
-                chunks += pieces[::step]
+                chunks += ["\n".join(p) for p in pieces[::step]]
             yield pd.DataFrame({"lang": langs, "words": chunks})
 
-    rows = sample.mapInPandas(cut, "lang string, words array<string>").collect()
-    return sorted((r["lang"], list(r["words"])) for r in rows)
+    # a chunk comes as one string, and equal words become one object
+    rows = sample.mapInPandas(cut, "lang string, words string").toPandas()
+    rows = rows.sort_values(["lang", "words"])
+    known: dict[str, str] = {}
+    return [(lang, [known.setdefault(w, w) for w in words.split("\n")]) for lang, words in zip(rows["lang"], rows["words"])]
 
 
 def label_languages(docs: DataFrame, crf: Crf, text_col: str = "text", words: bool = False) -> DataFrame:

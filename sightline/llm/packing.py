@@ -18,7 +18,8 @@ Words between white space are tokenized once and kept, as ids by bytes, in a
 cache of at most ``CACHE_WORDS`` a Python worker (and the words of the texts in
 hand): the tokenizer lower-cases, splits at white space and never merges across
 it, so a text's ids are its words' ids joined.  Texts with the four separators
-that Python and the tokenizer class differently go through it whole.
+that Python and the tokenizer class differently, and texts with a special token's
+string (``<|endoftext|>``, in whatever case), go through it whole.
 
 Defined results: a null or empty text is the end id alone; repeated rows are
 packed each; an empty table gives no sequence; other columns are not read.
@@ -72,7 +73,8 @@ class WordTokenizer:
         # tasks run side by side already: no threads of the library's own
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their texts are ordinary text
+        # the tokenizer finds these in a text as it is, before it lower-cases
+        self.special = tuple({t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()})
         self.parted = Tokenizer(self.tokenizer.model)  # takes units between spaces
         self.parted.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
         self.ascii = Tokenizer(self.tokenizer.model)  # the byte letters of ASCII are themselves
@@ -120,7 +122,7 @@ class WordTokenizer:
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """Ids of some texts.  The large cache is asked once for each of their
         distinct words; the texts are joined from that small table."""
-        split = [plain_words(t) for t in texts]
+        split = [plain_words(t, self.special) for t in texts]
         distinct = set().union(*[w for w in split if w])
         cache = self.cache
         ids = dict(zip(distinct, map(cache.get, distinct)))
@@ -134,10 +136,13 @@ class WordTokenizer:
         return [self.whole(t) if w is None else b"".join(map(known, w)) for t, w in zip(texts, split)]
 
 
-def plain_words(text: str) -> list[str] | None:
+def plain_words(text: str, special: tuple[str, ...] = ()) -> list[str] | None:
     """The words of ``text`` in lower case, as the tokenizer would make them; None
-    where Python's white space, lower case or composition may differ from its."""
+    where Python's white space, lower case or composition may differ from its, or
+    where a ``special`` string (lower-cased) is in it, in whatever case."""
     low = text.lower()
+    if any(s in low for s in special):
+        return None
     if not text.isascii() and (len(low) != len(text) or "\u03a3" in text or not is_normalized("NFC", text)):
         return None
     return None if any(c in text for c in _ODD_SPACE) else low.split()

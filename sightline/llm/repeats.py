@@ -187,8 +187,12 @@ def repeated_segments(docs: DataFrame, window: int, gram: int,
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["wid", "rid", "lo", "copies"]
+        seen = set()  # equal rows meet in one task; more than one would give the same windows
         for b in batches:
             for rid, text, places_of in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
+                if rid in seen:
+                    continue
+                seen.add(rid)
                 units = to_units(text.as_py())
                 todo = [(p["lo"], p["n"], p["copies"]) for p in places_of.as_py()]
                 ids = window_ids(units, [p[:2] for p in todo], window, first)
@@ -212,8 +216,9 @@ def repeated_segments(docs: DataFrame, window: int, gram: int,
 
 def with_places(docs: DataFrame, found: DataFrame) -> DataFrame:
     """``docs`` with ``places``: the (lo, n) runs of windows of each row, null
-    without any."""
-    per_row = found.groupBy("rid").agg(F.collect_list(F.struct("lo", "n")).alias("places"))
+    without any.  Equal rows have found the same runs: each is kept once, in
+    the partial sets already."""
+    per_row = found.groupBy("rid").agg(F.collect_set(F.struct("lo", "n")).alias("places"))
     return docs.join(per_row.hint("shuffle_hash"), "rid", "left")
 
 

