@@ -7,11 +7,11 @@ apart: terms of at least ``MIN_ROWS`` training rows with a chi-squared of at lea
 ``MIN_CHI2``, at most ``MAX_TERMS`` of them, counted over the training sample by
 Spark.
 
-The index holds the sample's vectors in blocks of ``BLOCK`` similar rows; each
-block is a small inverted list, and for each term the largest weight in each
-block is known.  A text's bound for a block is its weights times those maxima.
-Blocks are opened by falling bounds until no other can hold one of the ``k``
-nearest, so the neighbours are exact.
+The index holds inverted lists of the sample's vectors, which lie in blocks of
+``BLOCK`` similar rows; for each term the largest weight in each block is known.  A
+text's bound for a block is its weights times those maxima.  The blocks of the
+``OPEN_FIRST`` largest bounds are opened first, then all others whose bound is not
+below the ``k``-th cosine found there, so the neighbours are exact.
 
 Neighbours vote by 1 / (distance + ``NEAR``).  The votes become probabilities by
 isotonic regression over the sample's leave-one-out votes (made in Spark
@@ -42,52 +42,71 @@ from pyspark.sql import functions as F
 
 from sightline.llm.common import crc_fold, discard, prepare, worker_cache, written
 
-MAX_TRAIN_ROWS = 20_000
+MAX_TRAIN_ROWS = 10_000
 MAX_TERMS, MIN_ROWS, MIN_CHI2 = 4_096, 5, 20.0
 NEIGHBOURS, NEAR = 15, 0.05
 BLOCK = 64
 OPEN_FIRST = 4
-LONG_WORD = 24
+LONG_WORD, BEGINNINGS = 24, (3, 4, 5, 6)
 HELD_OUT_FOLDS, HELD_OUT_FOLD = 4, 2
 TOXIC_SCORE = 0.3
 _WORD = re.compile(r"\w+")
 _DIGITS = 12  # cosines are compared after rounding, so that the order of sums doesn't matter
 
 
-def word_terms(word: str) -> list[str]:
-    """A lower-cased word's terms: itself and its beginnings."""
-    if len(word) <= LONG_WORD:
-        return [word, *["^" + word[:n] for n in (3, 4, 5, 6) if len(word) > n]]
-    return [word[a:a + n] for n in (3, 4) for a in range(len(word) - n + 1)]
+def long_terms(word: str) -> set[str]:
+    """The terms of a word of more than ``LONG_WORD`` letters: its runs of letters."""
+    return {word[a:a + n] for n in (3, 4) for a in range(len(word) - n + 1)}
 
 
-def text_terms(text: str | None, vocabulary=None) -> Counter:
-    """How often each term (of the vocabulary, if given) is in a text."""
-    out: Counter = Counter()
-    for word, n in Counter(_WORD.findall(text.lower())).items() if text else ():
-        for term in word_terms(word):
-            if vocabulary is None or term in vocabulary:
-                out[term] += n
+def term_set(text: str | None) -> set[str]:
+    """The distinct terms of a text."""
+    words = set(_WORD.findall(text.lower())) if text else set()
+    long = {w for w in words if len(w) > LONG_WORD}
+    words -= long
+    out = set().union(words, *map(long_terms, long))
+    for n in BEGINNINGS:
+        out |= {"^" + w[:n] for w in words if len(w) > n}
     return out
 
 
-@dataclass
 class Vocabulary:
-    number: dict[str, int]
-    idf: np.ndarray
+    """The chosen terms, numbered, with their idf."""
+
+    def __init__(self, names: list[str], idf: np.ndarray):
+        self.number = {t: i for i, t in enumerate(names)}
+        self.idf = idf
+        # most words have no chosen term: their first letters tell
+        self.first = {t[1:4] if t[0] == "^" else t[:3] for t in names}
+
+    def counts(self, text: str | None) -> dict[int, int]:
+        """How often each chosen term is in a text."""
+        out: dict[int, int] = {}
+        number, first = self.number, self.first
+        for word, n in Counter(_WORD.findall(text.lower())).items() if text else ():
+            if len(word) > LONG_WORD:
+                terms = long_terms(word)
+            elif word[:3] in first:
+                terms = [word, *["^" + word[:k] for k in BEGINNINGS if len(word) > k]]
+            else:
+                continue
+            for term in terms:
+                i = number.get(term)
+                if i is not None:
+                    out[i] = out.get(i, 0) + n
+        return out
 
     def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Term numbers, ascending, and TF-IDF weights of unit length."""
-        counts = text_terms(text, self.number)
-        terms = np.fromiter((self.number[t] for t in counts), np.int64, len(counts))
-        weights = (1 + np.log(np.fromiter(counts.values(), np.float64, len(counts)))) * self.idf[terms]
-        order = np.argsort(terms)
-        return terms[order], weights[order] / max(np.sqrt((weights ** 2).sum()), 1e-300)
+        counts = sorted(self.counts(text).items())
+        terms = np.array([i for i, _ in counts], np.int64)
+        weights = (1 + np.log(np.array([n for _, n in counts], np.float64))) * self.idf[terms]
+        return terms, weights / max(np.sqrt((weights ** 2).sum()), 1e-300)
 
 
 class BlockMaxIndex:
-    """Vectors in blocks of similar ones, with the largest weight of each term in
-    each block."""
+    """Inverted lists over vectors in blocks of similar ones, with the largest
+    weight of each term in each block."""
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], ids: list[int], labels: list[float], terms: int):
         # rows of one class whose heaviest terms agree lie together
@@ -95,50 +114,62 @@ class BlockMaxIndex:
         order = sorted(range(len(vectors)), key=key)
         self.ids = np.array([ids[i] for i in order], np.int64)
         self.labels = np.array([labels[i] for i in order], np.float64)
-        self.blocks = []
-        self.largest = np.zeros((terms, -(-len(order) // BLOCK)))
-        for b in range(self.largest.shape[1]):
-            part = [vectors[i] for i in order[b * BLOCK:(b + 1) * BLOCK]]
-            term = np.concatenate([t for t, _ in part])
-            weight = np.concatenate([w for _, w in part])
-            row = np.repeat(np.arange(len(part)), [len(t) for t, _ in part])
-            by_term = np.argsort(term, kind="stable")
-            self.blocks.append((term[by_term], row[by_term], weight[by_term], len(part)))
-            np.maximum.at(self.largest[:, b], term, weight)
-        self._weights = np.zeros(terms)
+        self.n_blocks = -(-len(order) // BLOCK)
+        term = np.concatenate([vectors[i][0] for i in order] or [np.zeros(0, np.int64)])
+        weight = np.concatenate([vectors[i][1] for i in order] or [np.zeros(0)])
+        row = np.repeat(np.arange(len(order)), [len(vectors[i][0]) for i in order])
+        self.largest = np.zeros((terms, self.n_blocks))
+        np.maximum.at(self.largest, (term, row // BLOCK), weight)
+        by_term = np.lexsort((row, term))
+        self.row, self.weight = row[by_term], weight[by_term]
+        # a term's list in block b is from start[term, b] to start[term, b + 1]
+        cells = term[by_term] * self.n_blocks + self.row // BLOCK
+        starts = np.searchsorted(cells, np.arange(terms * self.n_blocks + 1))
+        self.start = np.concatenate([starts[:-1].reshape(terms, self.n_blocks), starts[self.n_blocks::self.n_blocks, None]],
+                                    axis=1) if self.n_blocks else np.zeros((terms, 1), np.int64)
+
+    def _open(self, terms: np.ndarray, weights: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rows, cosines) of the blocks' rows with a common term."""
+        if len(blocks) <= OPEN_FIRST:  # a slice for each term and block
+            cuts = [(s, e, w) for t, w in zip(terms, weights) for b in blocks
+                    if (s := self.start[t, b]) < (e := self.start[t, b + 1])]
+        else:  # whole lists, of which the other blocks' rows are dropped
+            cuts = [(self.start[t, 0], self.start[t, -1], w) for t, w in zip(terms, weights)]
+        if not cuts:
+            return np.zeros(0, np.int64), np.zeros(0)
+        rows = np.concatenate([self.row[s:e] for s, e, _ in cuts])
+        products = np.concatenate([self.weight[s:e] * w for s, e, w in cuts])
+        if len(blocks) > OPEN_FIRST:
+            wanted = np.zeros(self.n_blocks, bool)
+            wanted[blocks] = True
+            keep = wanted[rows // BLOCK]
+            rows, products = rows[keep], products[keep]
+        sums = np.bincount(rows, products, len(self.ids))
+        at = np.flatnonzero(sums)
+        return at, np.round(sums[at], _DIGITS)
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int | None = None):
-        """(positions, cosines) of the ``k`` nearest with a common term; the row
-        with the id ``without`` is left out."""
-        found_at, found = np.zeros(0, np.int64), np.zeros(0)
-        if not len(terms) or not self.blocks:
-            return found_at, found
+        """(rows, cosines) of the ``k`` nearest with a common term; the row with the
+        id ``without`` is left out."""
+        at, cosine = np.zeros(0, np.int64), np.zeros(0)
+        if not len(terms) or not self.n_blocks:
+            return at, cosine
         bounds = weights @ self.largest[terms]
         order = np.argsort(-bounds, kind="stable")
-        self._weights[terms] = weights
-        opened, step = 0, OPEN_FIRST
-        while opened < len(order):
+        for blocks in (order[:OPEN_FIRST], order[OPEN_FIRST:]):
             # rounding may lift a cosine to its bound
-            floor = found[k - 1] - 10.0 ** -_DIGITS if len(found) >= k else 0.0
-            part = order[opened:opened + step]
-            part = part[bounds[part] > floor]
-            if not len(part):
+            floor = cosine[k - 1] - 10.0 ** -_DIGITS if len(cosine) >= k else 0.0
+            blocks = blocks[bounds[blocks] > floor]
+            if not len(blocks):
                 break
-            for b in part:
-                term, row, weight, size = self.blocks[b]
-                cosine = np.round(np.bincount(row, self._weights[term] * weight, size), _DIGITS)
-                at = np.flatnonzero(cosine > 0)
-                found_at = np.concatenate([found_at, at + b * BLOCK])
-                found = np.concatenate([found, cosine[at]])
+            more, found = self._open(terms, weights, blocks)
             if without is not None:
-                other = self.ids[found_at] != without
-                found_at, found = found_at[other], found[other]
-            top = np.lexsort((found_at, -found))[:k]
-            found_at, found = found_at[top], found[top]
-            opened += step
-            step *= 2
-        self._weights[terms] = 0
-        return found_at, found
+                other = self.ids[more] != without
+                more, found = more[other], found[other]
+            at, cosine = np.concatenate([at, more]), np.concatenate([cosine, found])
+            top = np.lexsort((at, -cosine))[:k]
+            at, cosine = at[top], cosine[top]
+        return at, cosine
 
 
 def isotonic(votes: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -171,9 +202,9 @@ class Model:
     without_terms: float
     prior: float
 
-    def vote(self, text: str | None, without: int | None = None, k: int = NEIGHBOURS):
-        """(vote or None, positions, cosines): the neighbours' weighted vote."""
-        at, cosine = self.index.nearest(*self.vocabulary.vector(text), k, without)
+    def vote(self, terms: np.ndarray, weights: np.ndarray, without: int | None = None, k: int = NEIGHBOURS):
+        """(vote or None, rows, cosines): the neighbours' weighted vote."""
+        at, cosine = self.index.nearest(terms, weights, k, without)
         if not len(at):
             return None, at, cosine
         # the prior speaks with the weight of one far row
@@ -181,7 +212,7 @@ class Model:
         return float((weight @ self.index.labels[at] + far * self.prior) / (weight.sum() + far)), at, cosine
 
     def score(self, text: str | None):
-        vote, at, cosine = self.vote(text)
+        vote, at, cosine = self.vote(*self.vocabulary.vector(text))
         score = self.without_terms if vote is None else float(np.interp(vote, self.knots, self.values))
         return score, at, cosine
 
@@ -200,7 +231,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, max_train_rows: int = MA
     return written(chosen, "toxicity-sample")
 
 
-def choose_terms(sample: DataFrame, rows: int, positive: int) -> tuple[Vocabulary, list[str]]:
+def choose_terms(sample: DataFrame, rows: int, positive: int) -> Vocabulary:
     """The terms by chi-squared, from each task's counts summed in Spark."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -208,7 +239,7 @@ def choose_terms(sample: DataFrame, rows: int, positive: int) -> tuple[Vocabular
         for b in batches:
             having: tuple[Counter, Counter] = (Counter(), Counter())
             for y, text in zip(b["y"], b["text"]):
-                having[y].update(set(text_terms(text)))
+                having[y].update(term_set(text))
             terms = list(having[0] | having[1])
             yield pd.DataFrame({"term": terms, "n": [having[0][t] + having[1][t] for t in terms],
                                 "a": [having[1][t] for t in terms]})
@@ -223,7 +254,7 @@ def choose_terms(sample: DataFrame, rows: int, positive: int) -> tuple[Vocabular
         F.col("chi2").desc(), "term").limit(MAX_TERMS).collect()
     names = [r["term"] for r in best]
     idf = np.log((1 + rows) / (1 + np.array([r["n"] for r in best], np.float64))) + 1
-    return Vocabulary({t: i for i, t in enumerate(names)}, idf), names
+    return Vocabulary(names, idf)
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_train_rows: int = MAX_TRAIN_ROWS) -> Model:
@@ -233,7 +264,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train_rows: int = MAX_TRAIN_ROWS
     n = sample.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("y"), F.lit(0)).alias("positive")).first()
     rows, positive = n["rows"], n["positive"]
     prior = (positive + 0.01) / (rows + 0.02)
-    vocabulary, names = choose_terms(sample, rows, positive)
+    vocabulary = choose_terms(sample, rows, positive)
 
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         worker_cache("toxicity")
@@ -242,24 +273,27 @@ def fit(docs: DataFrame, labels: DataFrame, max_train_rows: int = MAX_TRAIN_ROWS
             yield pd.DataFrame({"doc_id": b["doc_id"], "y": b["y"], "terms": [t.tobytes() for t, _ in found],
                                 "weights": [w.tobytes() for _, w in found]})
 
-    coded = sample.mapInPandas(vectors, "doc_id long, y int, terms binary, weights binary").toPandas()
-    coded = coded.sort_values("doc_id")  # the same index whatever the order of tasks
+    vectors_of = written(sample.mapInPandas(vectors, "doc_id long, y int, terms binary, weights binary"), "toxicity-vectors")
+    discard(sample)
+    coded = vectors_of.toPandas().sort_values("doc_id")  # the same index whatever the order of tasks
     filled = coded[coded["terms"].str.len() > 0]
     bare = coded[coded["terms"].str.len() == 0]["y"]
     index = BlockMaxIndex([(np.frombuffer(t, np.int64), np.frombuffer(w, np.float64)) for t, w in zip(filled["terms"], filled["weights"])],
-                          filled["doc_id"].tolist(), filled["y"].tolist(), len(names))
+                          filled["doc_id"].tolist(), filled["y"].tolist(), len(vocabulary.number))
     model = Model(vocabulary, index, np.array([0.0, 1.0]), np.array([0.0, 1.0]),
                   float((bare.sum() + prior) / (len(bare) + 1)), prior)
 
     def leave_one_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         worker_cache("toxicity")
         for b in batches:
-            votes = [model.vote(t, without=i)[0] for t, i in zip(b["text"], b["doc_id"])]
+            votes = [model.vote(np.frombuffer(t, np.int64), np.frombuffer(w, np.float64), without=i)[0]
+                     for t, w, i in zip(b["terms"], b["weights"], b["doc_id"])]
             out = pd.DataFrame({"vote": votes, "y": b["y"]}).dropna()
             yield out.astype({"vote": "float64", "y": "int32"})
 
-    votes = sample.mapInPandas(leave_one_out, "vote double, y int").toPandas()
-    discard(sample)
+    votes = vectors_of.repartition(docs.sparkSession.sparkContext.defaultParallelism).mapInPandas(
+        leave_one_out, "vote double, y int").toPandas()
+    discard(vectors_of)
     model.knots, model.values = isotonic(votes["vote"].to_numpy(np.float64), votes["y"].to_numpy(np.float64))
     return model
 

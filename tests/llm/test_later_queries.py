@@ -1,6 +1,7 @@
 """Operators 11 to 13 and the special tokens of packing: odd rows, empty
 tables, and the driver's small tables against DuckDB or brute force."""
 
+import re
 import zlib
 from collections import Counter
 
@@ -133,6 +134,16 @@ def test_prefix_trie_widths_agree(spark, tmp_path):
 
 # -- toxicity ----------------------------------------------------------------
 
+def _terms(text):
+    out = Counter()
+    for w in re.findall(r"\w+", (text or "").lower()):
+        if len(w) > 24:
+            out.update({w[a:a + n] for n in (3, 4) for a in range(len(w) - n + 1)})
+        else:
+            out.update([w, *["^" + w[:n] for n in (3, 4, 5, 6) if len(w) > n]])
+    return out
+
+
 def _toxicity_by_hand(sf_dir):
     """The same model without index, blocks or Spark: (doc_id, score)."""
     con = duckdb.connect()
@@ -143,7 +154,7 @@ def _toxicity_by_hand(sf_dir):
     for i, t in docs:
         if i in labels:
             texts[i] = t if texts.get(i) is None else min(t, texts[i]) if t is not None else texts[i]
-    having = {i: set(toxicity.text_terms(t)) for i, t in texts.items()}
+    having = {i: set(_terms(t)) for i, t in texts.items()}
     n, p = len(texts), sum(labels[i] for i in texts)
     rows, positive = Counter(), Counter()
     for i, terms in having.items():
@@ -155,7 +166,7 @@ def _toxicity_by_hand(sf_dir):
     idf = {t: np.log((1 + n) / (1 + rows[t])) + 1 for t in chosen}
 
     def vector(text):
-        v = {t: (1 + np.log(k)) * idf[t] for t, k in toxicity.text_terms(text).items() if t in idf}
+        v = {t: (1 + np.log(k)) * idf[t] for t, k in _terms(text).items() if t in idf}
         size = np.sqrt(sum(w * w for w in v.values())) or 1.0
         return {t: w / size for t, w in v.items()}
 
