@@ -45,7 +45,8 @@ from sightline.llm.common import crc_fold, discard, prepare, worker_cache, writt
 MAX_TRAIN_ROWS = 10_000
 MAX_TERMS, MIN_ROWS, MIN_CHI2 = 4_096, 5, 20.0
 NEIGHBOURS, NEAR = 15, 0.05
-BLOCK = 64
+COUNT_TERMS = 100_000  # counted by a task before they go to the shuffle
+BLOCK = 128
 OPEN_FIRST = 4
 LONG_WORD, BEGINNINGS = 24, (3, 4, 5, 6)
 HELD_OUT_FOLDS, HELD_OUT_FOLD = 4, 2
@@ -124,7 +125,7 @@ class BlockMaxIndex:
         self.row, self.weight = row[by_term], weight[by_term]
         # a term's list in block b is from start[term, b] to start[term, b + 1]
         cells = term[by_term] * self.n_blocks + self.row // BLOCK
-        starts = np.searchsorted(cells, np.arange(terms * self.n_blocks + 1))
+        starts = np.searchsorted(cells, np.arange(terms * self.n_blocks + 1)).astype(np.int32)
         self.start = np.concatenate([starts[:-1].reshape(terms, self.n_blocks), starts[self.n_blocks::self.n_blocks, None]],
                                     axis=1) if self.n_blocks else np.zeros((terms, 1), np.int64)
 
@@ -236,13 +237,22 @@ def choose_terms(sample: DataFrame, rows: int, positive: int) -> Vocabulary:
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         worker_cache("toxicity")
+        having: tuple[Counter, Counter] = (Counter(), Counter())
+
+        def counts() -> pd.DataFrame:
+            terms = list(having[0].keys() | having[1].keys())
+            out = pd.DataFrame({"term": terms, "n": [having[0][t] + having[1][t] for t in terms],
+                                "a": [having[1][t] for t in terms]})
+            for h in having:
+                h.clear()
+            return out
+
         for b in batches:
-            having: tuple[Counter, Counter] = (Counter(), Counter())
             for y, text in zip(b["y"], b["text"]):
                 having[y].update(term_set(text))
-            terms = list(having[0] | having[1])
-            yield pd.DataFrame({"term": terms, "n": [having[0][t] + having[1][t] for t in terms],
-                                "a": [having[1][t] for t in terms]})
+                if len(having[0]) + len(having[1]) >= COUNT_TERMS:
+                    yield counts()
+        yield counts()
 
     counted = sample.mapInPandas(count, "term string, n long, a long").groupBy("term").agg(
         F.sum("n").alias("n"), F.sum("a").alias("a")).where(F.col("n") >= MIN_ROWS)
