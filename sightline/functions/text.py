@@ -83,19 +83,25 @@ _URI_PATH_SAFE = frozenset(
     "-_.!~*'()/;:@&=+$,")
 
 
+def quote_path(path: str) -> str:
+    """A path percent-encoded by the URI path rules, as Spark's file sources
+    spell it in ``_metadata.file_path``."""
+    out = []
+    for ch in path:
+        if ch in _URI_PATH_SAFE or ord(ch) > 127:
+            out.append(ch)
+        else:
+            out.extend(f"%{b:02X}" for b in ch.encode("utf-8"))
+    return "".join(out)
+
+
 def normalize_uri(path: str) -> str:
     """Driver-side: a local path spelled as Spark's file sources spell it in
-    ``_metadata.file_path`` ('file:' + absolute path, percent-encoded by the
-    URI path rules).  Links are not resolved: URIs compare as text.  Paths
-    that already carry a scheme are returned unchanged."""
+    ``_metadata.file_path`` ('file:' + absolute path, percent-encoded).  Links are
+    not resolved: URIs compare as text.  Paths that already carry a scheme are
+    returned unchanged."""
     import os
 
     if "://" in path or path.startswith("file:"):
         return path
-    out = []
-    for ch in os.path.abspath(path):
-        if ch in _URI_PATH_SAFE or ord(ch) > 127:
-            out.append(ch)
-        else:
-            out.extend(f"%{b:02X}" for b in ch.encode("utf-8"))
-    return "file:" + "".join(out)
+    return "file:" + quote_path(os.path.abspath(path))

@@ -16,12 +16,22 @@ Many references against many candidates is a theta join, planned by size:
   such band (no dedup shuffle).  Used when the bands are wide enough to select.  Hot band values (a key held by very
   many rows) are salted: split over several tasks on one side, copied on
   the other;
-* chunked — otherwise the references are cut into hash chunks whose counted
-  sizes fit a broadcast, one broadcast nested loop per chunk.
+* metric — where bands would be too narrow: signatures go to the cell of their
+  nearest pivot (of a bounded sample), and a reference is copied to the cells
+  that the triangle inequality allows; one equi-join on the cell, verified.
+  Hot cells are salted alike;
+* chunked — the references are cut into numbered chunks whose sizes fit a
+  broadcast, one broadcast nested loop per chunk (on request only).
+
+A size window (P3) narrows the banded and metric joins before any pair is made:
+sizes fall into logarithmic buckets, the candidate's bucket is part of the join
+key and a reference is copied to the buckets its window touches, so range and
+signature are one equi-join.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,8 +53,12 @@ MAX_NESTED_REFS = 2_000
 MIN_BAND_BITS = 12
 # A (band, value) join key with more rows than this on one side is salted.
 HOT_BAND_ROWS = 100_000
-MAX_SALTS = 1024
 MAX_BROADCAST_HOT_KEYS = 1_000_000
+# Size buckets double about every half bucket; a window of +-50 % touches four.
+SIZE_BUCKETS_PER_E = 2.0
+# Pivots of the metric partitioning, and the rows that they are drawn from.
+PIVOTS = 128
+PIVOT_SAMPLE_ROWS = 4_096
 
 
 def score_against(candidates: DataFrame, ref_words: list[int], n_bits: int,
@@ -82,6 +96,11 @@ def _size_window(size: Column, tolerance_pct: float | None) -> tuple[Column, Col
     return lo, hi
 
 
+def size_bucket(size: Column) -> Column:
+    """The logarithmic bucket of a byte size: rises with the size, 0 up to one."""
+    return F.floor(F.ln(F.greatest(size, F.lit(1)).cast("double")) * SIZE_BUCKETS_PER_E).cast("int")
+
+
 def band_layout(n_bits: int, d_max: int) -> list[tuple[int, int]]:
     """(0-based start, length) of ``d_max // 2 + 1`` near-equal bands: with
     fewer than two differences a band on average, two signatures within
@@ -123,45 +142,49 @@ def pair_search(refs: DataFrame, candidates: DataFrame, n_bits: int, threshold:
 
     Returns ``reference, candidate, distance, similarity_pct`` plus
     ``file_size`` when ``size`` names the candidates' size column.
-    ``strategy`` ('broadcast', 'banded', 'chunked') overrides the choice.
+    ``strategy`` ('broadcast', 'banded', 'metric', 'chunked') overrides the choice.
     """
     d_max = max_distance(threshold, n_bits)
+    windowed = size is not None and size_tolerance_pct is not None
     r_cols = [F.col(ref_key).alias("reference"), F.col(bits).alias("_rbits")]
-    if size is not None:
-        r_cols.append(F.col(size).alias("_rsize"))
     c_cols = [F.col(cand_key).alias("candidate"), F.col(bits).alias("_cbits")]
     if size is not None:
+        r_cols.append(F.col(size).alias("_rsize"))
         c_cols.append(F.col(size).alias("file_size"))
     r = refs.where(F.col(bits).isNotNull()).select(*r_cols)
     c = candidates.where(F.col(bits).isNotNull()).select(*c_cols)
+    window = _size_window(F.col("_rsize"), size_tolerance_pct) if windowed else None
 
-    def extra_conditions() -> Column:
-        cond = F.lit(True)
-        if exclude_self:
-            cond = cond & (F.col("reference") != F.col("candidate"))
-        window = _size_window(F.col("_rsize"), size_tolerance_pct) if size else None
-        if window is not None:
-            lo, hi = window
-            cond = cond & F.col("file_size").between(lo, hi)
-        return cond
-
+    cond = F.lit(True)
+    if exclude_self:
+        cond = cond & (F.col("reference") != F.col("candidate"))
+    if windowed:
+        cond = cond & F.col("file_size").between(*window)
     dist = hamming(F.col("_rbits"), F.col("_cbits"), n_bits)
-    cond = (dist <= d_max) & extra_conditions()
     n_refs = r.count() if d_max >= 0 else 0
     if strategy is None:
         wide = 0 <= d_max < n_bits and n_bits // (d_max // 2 + 1) >= MIN_BAND_BITS
-        if wide and n_refs > min(MAX_NESTED_REFS, max_broadcast_refs):
+        if n_refs <= min(MAX_NESTED_REFS, max_broadcast_refs):
+            strategy = "broadcast"
+        elif wide:
             strategy = "banded"
-        else:
-            strategy = "broadcast" if n_refs <= max_broadcast_refs else "chunked"
+        else:  # cells separate less than bands: a window makes up for that
+            strategy = "broadcast" if n_refs <= max_broadcast_refs and not windowed else "metric"
+    if windowed and strategy in ("banded", "metric"):
+        # the buckets of the window, inclusive; none if no size can lie in it
+        c = c.withColumn("_bucket", size_bucket(F.col("file_size"))).where(F.col("file_size").isNotNull())
+        low, high = window
+        r = r.where(low <= high).withColumn("_bucket", F.explode(F.sequence(size_bucket(low), size_bucket(high))))
     if d_max < 0 or n_refs == 0:
         joined = c.join(F.broadcast(r), F.lit(False), "inner")
     elif strategy == "broadcast":
-        joined = c.join(F.broadcast(r), cond, "inner")
+        joined = c.join(F.broadcast(r), (dist <= d_max) & cond, "inner")
     elif strategy == "banded":
-        joined = _banded_join(r, c, n_bits, d_max, hot_band_rows).where(extra_conditions())
+        joined = _banded_join(r, c, n_bits, d_max, hot_band_rows).where(cond)
+    elif strategy == "metric":
+        joined = _metric_join(r, c, n_bits, d_max, hot_band_rows).where(cond)
     elif strategy == "chunked":
-        joined = _chunked_broadcast_join(r, c, cond, n_refs, max(1, max_broadcast_refs))
+        joined = _chunked_broadcast_join(r, c, (dist <= d_max) & cond, n_refs, max(1, max_broadcast_refs))
     else:
         raise ValueError(f"unknown join strategy {strategy!r}")
     out = (joined.withColumn("distance", dist)
@@ -215,42 +238,103 @@ def _banded_join(r: DataFrame, c: DataFrame, n_bits: int, d_max: int,
                   .withColumn("_band", F.col("_b.band"))
                   .withColumn("_value", F.col("_b.value")).drop("_b"))
 
-    key = ["_band", "_value"]
-    rb, cb = banded(r, "_rbits", True), banded(c, "_cbits", False)
-    # Hot keys: a (band, value) held by more than ``hot_rows`` rows on either
-    # side.  The bigger side of such a key is split over ``_salts`` tasks by a
-    # hash of its row key and the other side is copied to each of them, so no
-    # task receives a whole hot group.  Counting aggregates map-side; the hot
-    # set has at most (rows x bands) / hot_rows keys and is counted before it
-    # is broadcast.
-    counts = (cb.groupBy(*key).agg(F.count(F.lit(1)).alias("_nc"))
-              .join(rb.groupBy(*key).agg(F.count(F.lit(1)).alias("_nr")), key, "full")
-              .na.fill(0, ["_nc", "_nr"]))
-    hot = (counts.where(F.greatest("_nc", "_nr") > hot_rows)
-           .withColumn("_salts", F.least(F.lit(MAX_SALTS), F.ceil(
-               F.greatest("_nc", "_nr") / F.lit(float(hot_rows)))).cast("int"))
-           .withColumn("_split_c", F.col("_nc") >= F.col("_nr"))
-           .select(*key, "_salts", "_split_c"))
-    n_hot = hot.count()
-    if n_hot:
-        hot_side = F.broadcast(hot) if n_hot <= MAX_BROADCAST_HOT_KEYS else hot
-
-        def salted(df: DataFrame, row_key: str, split_when: Column) -> DataFrame:
-            d = df.join(hot_side, key, "left")
-            split = F.pmod(F.xxhash64(row_key), F.col("_salts")).cast("int")
-            copies = F.sequence(F.lit(0), F.col("_salts") - 1)
-            salt = (F.when(F.col("_salts").isNull(), F.array(F.lit(0)))
-                     .when(split_when, F.array(split)).otherwise(copies))
-            return d.withColumn("_salt", F.explode(salt)).drop("_salts", "_split_c")
-
-        cb = salted(cb, "candidate", F.col("_split_c"))
-        rb = salted(rb, "reference", ~F.col("_split_c"))
-        key = key + ["_salt"]
-    pairs = cb.join(rb, key)
+    bucket = ["_bucket"] if "_bucket" in c.columns else []
+    pairs = _salted_join(banded(r, "_rbits", True), banded(c, "_cbits", False), ["_band", "_value", *bucket], hot_rows)
     pairs = pairs.where(hamming(F.col("_rbits"), F.col("_cbits"), n_bits) <= d_max)
     # keep each pair on the first band where both differ in at most one bit
     first = F.coalesce(*[
         F.when(F.bit_count(_band_value(F.col("_rbits"), n_bits, st, ln).bitwiseXOR(
             _band_value(F.col("_cbits"), n_bits, st, ln))) <= 1, F.lit(i))
         for i, (st, ln) in enumerate(layout)])
-    return pairs.where(first == F.col("_band")).drop(*key)
+    return pairs.where(first == F.col("_band")).drop("_band", "_value", *bucket)
+
+
+def _salted_join(r: DataFrame, c: DataFrame, key: list[str], hot_rows: int) -> DataFrame:
+    """``c`` joined with ``r`` on ``key``, hot keys spread over tasks.
+
+    A key held by more than ``hot_rows`` rows on either side is hot: its bigger
+    side is split by a hash of the row key into parts of about ``hot_rows`` rows and
+    the other side is copied to each, so no task receives a whole hot group.
+    Counting aggregates map-side; the hot set has at most rows / ``hot_rows`` keys
+    and is counted before it is broadcast."""
+    counts = (c.groupBy(*key).agg(F.count(F.lit(1)).alias("_nc"))
+              .join(r.groupBy(*key).agg(F.count(F.lit(1)).alias("_nr")), key, "full")
+              .na.fill(0, ["_nc", "_nr"]))
+    hot = (counts.where(F.greatest("_nc", "_nr") > hot_rows)
+           .withColumn("_salts", F.ceil(F.greatest("_nc", "_nr") / F.lit(float(hot_rows))).cast("int"))
+           .withColumn("_split_c", F.col("_nc") >= F.col("_nr"))
+           .select(*key, "_salts", "_split_c"))
+    n_hot = hot.count()
+    if not n_hot:
+        return c.join(r, key)
+    hot_side = F.broadcast(hot) if n_hot <= MAX_BROADCAST_HOT_KEYS else hot
+
+    def salted(df: DataFrame, row_key: str, split_when: Column) -> DataFrame:
+        d = df.join(hot_side, key, "left")
+        split = F.pmod(F.xxhash64(row_key), F.col("_salts")).cast("int")
+        copies = F.sequence(F.lit(0), F.col("_salts") - 1)
+        salt = (F.when(F.col("_salts").isNull(), F.array(F.lit(0)))
+                 .when(split_when, F.array(split)).otherwise(copies))
+        return d.withColumn("_salt", F.explode(salt)).drop("_salts", "_split_c")
+
+    return salted(c, "candidate", F.col("_split_c")).join(
+        salted(r, "reference", ~F.col("_split_c")), [*key, "_salt"]).drop("_salt")
+
+
+def choose_pivots(signatures: DataFrame, n_bits: int, pivots: int = PIVOTS,
+                  sample_rows: int = PIVOT_SAMPLE_ROWS) -> list[list[int]]:
+    """At most ``pivots`` signatures far from one another, out of about
+    ``sample_rows`` distinct ones drawn by a hash (a bounded sample: the driver
+    sees no other row).  Any choice is exact; a spread one separates better."""
+    distinct = signatures.select("_bits").distinct()
+    n = distinct.count()
+    below = (1 << 62) if n <= sample_rows else max(1, sample_rows * (1 << 62) // n)
+    drawn = distinct.where(F.pmod(F.xxhash64("_bits"), F.lit(1 << 62)) < below).collect()
+    rows = sorted(list(r["_bits"]) for r in drawn)
+    if not rows:
+        return []
+    words = np.array(rows, np.int64).view(np.uint64)
+    chosen, nearest = [0], np.full(len(rows), n_bits + 1)
+    while len(chosen) < min(pivots, len(rows)):  # the row farthest from those chosen
+        away = np.bitwise_count(words ^ words[chosen[-1]]).sum(axis=1, dtype=np.int64)
+        nearest = np.minimum(nearest, away)
+        if not nearest.max():
+            break
+        chosen.append(int(nearest.argmax()))
+    return [rows[i] for i in chosen]
+
+
+def _metric_join(r: DataFrame, c: DataFrame, n_bits: int, d_max: int, hot_rows: int = HOT_BAND_ROWS,
+                 pivots: int = PIVOTS) -> DataFrame:
+    """Every candidate lies in the cell of its nearest pivot.  A pair within
+    ``d_max`` has, with the candidate's pivot p and the reference's own nearest q,
+    d(r, p) <= d(c, p) + d_max and d(c, p) <= d(c, q) <= d(r, q) + d_max, and d(r, p) is
+    within ``d_max`` of the cell's smallest and largest radius: so r goes to the
+    cells with d(r, p) <= d(r, q) + 2 d_max whose radii allow it, each pair meets in one cell, and
+    the join's rows are verified."""
+    from sightline.session import fix
+
+    points = choose_pivots(r.select(F.col("_rbits").alias("_bits")).unionByName(
+        c.select(F.col("_cbits").alias("_bits"))), n_bits, pivots)
+    grid = F.array(*[F.array(*[F.lit(w).cast("bigint") for w in p]) for p in points])
+    distances = lambda bits: F.transform(grid, lambda p: hamming(bits, p, n_bits))
+    cells = fix(c.withColumn("_cell", let(distances(F.col("_cbits")), lambda d: let(
+        F.array_min(d), lambda m: F.struct((F.array_position(d, m) - 1).cast("int").alias("at"), m.alias("radius"))))))
+    cells = cells.withColumn("_radius", F.col("_cell.radius")).withColumn("_cell", F.col("_cell.at"))
+    radii = {x["_cell"]: (x["low"], x["high"]) for x in  # one row for each pivot
+             cells.groupBy("_cell").agg(F.min("_radius").alias("low"), F.max("_radius").alias("high")).collect()}
+    if not radii:
+        return c.join(F.broadcast(r.drop("_bucket")), F.lit(False))
+    reach = F.array(*[F.struct(F.lit(i).alias("at"), F.lit(low).alias("low"), F.lit(high).alias("high"))
+                      for i, (low, high) in sorted(radii.items())])
+    allowed = let(distances(F.col("_rbits")), lambda d: let(F.array_min(d), lambda near: F.transform(F.filter(
+        reach, lambda x: (F.get(d, x["at"]) <= F.least(near + 2 * d_max, x["high"] + d_max))
+        & (F.get(d, x["at"]) >= x["low"] - d_max)), lambda x: F.struct(x["at"].alias("at"), F.get(d, x["at"]).alias("away")))))
+    copied = (r.withColumn("_to", F.explode(allowed)).withColumn("_cell", F.col("_to.at"))
+              .withColumn("_away", F.col("_to.away")).drop("_to"))
+    bucket = ["_bucket"] if "_bucket" in c.columns else []
+    pairs = _salted_join(copied, cells, ["_cell", *bucket], hot_rows)
+    # the radii rule most pairs of a cell out before any bits are compared
+    near = F.abs(F.col("_away") - F.col("_radius")) <= d_max
+    return pairs.where(near & (hamming(F.col("_rbits"), F.col("_cbits"), n_bits) <= d_max)).drop(
+        "_cell", "_radius", "_away", *bucket)

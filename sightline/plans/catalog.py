@@ -265,6 +265,22 @@ def q_folder_listing(spark, d):
         file_extension(F.col("file_uri")).alias("extension"), (F.col("size") > 0).alias("has_bytes"))
 
 
+def q_tree_listing(spark, d):
+    """A deep tree listed by Spark tasks (S1): the pictures of the embeddings in
+    folders by label and number, every seventh under a name that Spark's own
+    readers skip."""
+    from sightline.sources.listing import list_tree
+
+    listing = list_tree(spark, st.write_pictures(spark, d, tree=True), entries_per_folder=100)
+    uri = F.col("file_uri")
+    return listing.files.select(
+        F.regexp_extract(uri, r"/_?(\d+)\.png$", 1).cast("bigint").alias("vec_id"),
+        F.regexp_extract(uri, r"/label=(\d+)/", 1).cast("int").alias("label"),
+        F.regexp_extract(uri, r"/hundred (\d+)/", 1).alias("hundred"),  # encoded: none has a plain space
+        F.regexp_extract(uri, r"/hundred%20(\d+)/", 1).cast("int").alias("encoded_hundred"),
+        "hidden", (F.col("size") > 0).alias("has_bytes"))
+
+
 def _bgr_image(px):
     """Spark's image struct for an 8 x 8 three-channel picture (blue, green,
     red from one value); every tenth row has no pixels, as after a failed
@@ -317,8 +333,44 @@ def _all_pairs(spark, d, strategy, **options):
     return pair_search(s, s, 256, PAIR_THRESHOLD, "vec_id", "vec_id", strategy=strategy, **options)
 
 
+PLANTED_COPIES = 5
+PLANTED_THRESHOLD = 90.0
+
+
+def planted_signatures(spark, d):
+    """Five signatures of each picture, copy ``c`` with ``6 c`` bits flipped, and
+    byte sizes that differ between copies: near copies on both sides of 90 %."""
+    from sightline.session import fix
+
+    s = _picture_signatures(spark, d, "average", 16).select("vec_id", "bits")
+    s = s.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(PLANTED_COPIES - 1))))
+    place = lambda k: F.pmod(F.col("vec_id") * 7 + k * 37 + F.col("copy") * 11, F.lit(256))
+    one = F.lit(1).cast("bigint")
+    flips = lambda w: F.aggregate(
+        F.sequence(F.lit(0), F.lit(6 * PLANTED_COPIES)), F.lit(0).cast("bigint"),
+        lambda acc, k: F.when((k < 6 * F.col("copy")) & (F.floor(place(k) / 64) == w), acc.bitwiseXOR(
+            F.call_function("shiftleft", one, (63 - place(k) % 64).cast("int")))).otherwise(acc))
+    bits = F.array(*[F.col("bits").getItem(w).bitwiseXOR(flips(w)) for w in range(4)])
+    size = 256 + (F.col("vec_id") % 97) * 16 * (F.col("copy") + 1)
+    return fix(s.select((F.col("vec_id") * PLANTED_COPIES + F.col("copy")).alias("id"), bits.alias("bits"),
+                        size.cast("bigint").alias("file_size")))
+
+
 def q_batch_search_banded(spark, d):
-    return _all_pairs(spark, d, "banded")
+    """Near copies at 90 %; the engine chooses the join by the counted rows."""
+    s = planted_signatures(spark, d)
+    return pair_search(s, s, 256, PLANTED_THRESHOLD, "id", "id")
+
+
+def q_batch_search_windowed(spark, d):
+    """The same within 50 % of the reference's size: band and size range are
+    one equi-join."""
+    s = planted_signatures(spark, d)
+    return pair_search(s, s, 256, PLANTED_THRESHOLD, "id", "id", size="file_size", size_tolerance_pct=SIZE_TOLERANCE_PCT)
+
+
+def q_batch_search_metric(spark, d):
+    return _all_pairs(spark, d, "metric")
 
 
 def q_batch_search_chunked(spark, d):
@@ -403,7 +455,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "picture_colour": _picture_query("average", 4, colour=True),
         "picture_search_256": q_picture_search_256,
         "batch_search_banded": q_batch_search_banded,
+        "batch_search_windowed": q_batch_search_windowed,
+        "batch_search_metric": q_batch_search_metric,
         "batch_search_chunked": q_batch_search_chunked,
+        "tree_listing": q_tree_listing,
         "store_roundtrip": q_store_roundtrip,
         "inventory_roundtrip": q_inventory_roundtrip,
         "stream_refresh": q_stream_refresh,

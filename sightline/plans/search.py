@@ -5,15 +5,14 @@ Plan of ``search`` (steps 2-5 are ``folder_signatures``, which
 ``batch_search`` runs for both of its folders):
 
 1. hash the reference (one row, fetched once; failure -> ValueError)
-2. list the root without decoding (the image source's metadata columns; the
-   same file index later feeds the decode), drop the reference and files
-   outside the size window (pushed to the file index)
+2. list the root by Spark tasks into a table (``sources.listing``; no path on
+   the driver), drop the reference and files outside the size window
 3. one left join against the newest stored rows splits the candidates into
    store hits (size and mtime unchanged) and misses
 4. decode and hash the misses only, in slices of at most ``slice_files``
    files whose paths are handed to the image reader; when the listing is a
-   scan of the root made now, all of it misses and it fits one slice, the
-   filtered scan itself is decoded (the same files, without naming them)
+   made now, all of it misses and the root's files fit one slice, a filtered
+   scan of the root is decoded (the same files, without naming them)
 5. checkpoint each slice's signatures (decoding runs once) and append the
    successful ones to the store, so a run that stops keeps finished slices
 6. score everything against the reference as a literal, rank, count
@@ -29,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sightline.functions.bits import hamming_to_literal, max_distance
-from sightline.functions.text import IMAGE_EXTENSIONS
+from sightline.functions.text import IMAGE_EXTENSIONS, is_image_path
 from sightline.operators import store
 from sightline.operators.hashes import validate_hash_size
 from sightline.operators.ranking import number_rows
@@ -43,11 +42,13 @@ from sightline.operators.similarity import (
 from sightline.session import ensure_checkpoint_dir, fix
 from sightline.sources.files import (
     candidate_filter,
+    list_files,
     path_kind,
     path_mtime,
     qualified_uri,
     resolved,
 )
+from sightline.sources.listing import list_tree, supported
 from sightline.sources.images import picture_conf, read_images, with_picture_signature
 
 
@@ -127,25 +128,44 @@ def reference_signature(spark: SparkSession, reference: str, cfg: SearchConfig):
     return row["file_uri"], row["size"], list(row["bits"])
 
 
-def _listing(spark: SparkSession, root: str, cfg: SearchConfig) -> tuple[DataFrame, DataFrame | None]:
-    """The root's picture files, and the scan they come from: the stored
-    listing and None when it is fresh (same root mtime, same row count), else
-    the metadata columns of a scan made now (the image source decodes nothing
-    when no pixel column is read), stored when asked.  Hits don't matter: a
-    fresh stored listing serves cold and warm searches alike, without listing
-    the root again."""
+@dataclass
+class _Listed:
+    files: DataFrame          # file_uri, size, mtime of the wanted files
+    scanned: bool             # listed now and small enough for a scan of the whole root
+    skipped: int | None       # wanted files that Spark's readers can't open; None: not known
+
+
+def _listing(spark: SparkSession, root: str, cfg: SearchConfig) -> _Listed:
+    """The root's picture files.  The stored listing when it is fresh (same root
+    mtime, same row count): it holds the files of all extensions, so it serves
+    whatever extensions are asked.  Else a listing made now by Spark tasks
+    (``sources.listing``), stored when asked; only a file system that tasks can't
+    list goes through a reader's file index.  Hits don't matter: a fresh stored
+    listing serves cold and warm searches alike, without listing the root again."""
     root_mtime = path_mtime(spark, root)
+    wanted = is_image_path(F.col("file_uri"), cfg.extensions)
     if cfg.store_path and cfg.reuse_inventory and not cfg.refresh_inventory:
         stored = store.read_inventory(spark, cfg.store_path, root, root_mtime)
         if stored is not None:
-            return stored.select("file_uri", "size", "mtime"), None
-    # one file index for the root serves the listing and the decoding
-    pics = read_images(spark, root, extensions=cfg.extensions)
-    files = pics.select("file_uri", "size", "mtime")
+            return _Listed(stored.where(wanted).select("file_uri", "size", "mtime"), False, None)
+    skipped, total = None, 0
+    if supported(qualified_uri(spark, root)):
+        listing = list_tree(spark, root)
+        n = listing.files.agg(F.count(F.lit(1)).alias("total"),
+                              F.count_if(listing.skipped(cfg.extensions)).alias("skipped")).first()
+        everything, total, skipped = listing.visible(None), n["total"], n["skipped"]
+    else:
+        everything = list_files(spark, root, None)
     if cfg.store_path and cfg.save_signatures and (cfg.reuse_inventory or cfg.refresh_inventory):
-        store.replace_inventory(files.withColumn("root", F.lit(root)), cfg.store_path,
+        store.replace_inventory(everything.withColumn("root", F.lit(root)), cfg.store_path,
                                 F.lit(root_mtime).cast("timestamp"), roots=[root])
-    return files, pics
+    return _Listed(everything.where(wanted), total <= cfg.slice_files, skipped)
+
+
+def _undecoded(files: DataFrame, cfg: SearchConfig) -> DataFrame:
+    """Files as signature rows without a signature."""
+    return files.select("file_uri", "size", "mtime", F.lit(None).cast("array<bigint>").alias("bits"),
+                        F.lit(None).cast("string").alias("hash_hex"), F.lit(cfg.n_bits).alias("n_bits"))
 
 
 def _decode_listed(spark: SparkSession, files: DataFrame, cfg: SearchConfig) -> DataFrame:
@@ -160,8 +180,7 @@ def _decode_listed(spark: SparkSession, files: DataFrame, cfg: SearchConfig) ->
         paths = [p for p in paths if path_kind(spark, p) == "file"]
         pics = read_images(spark, paths, recursive=False, extensions=None) if paths else None
     if pics is None:
-        return listed.withColumns({"bits": F.lit(None).cast("array<bigint>"), "hash_hex": F.lit(None).cast("string"),
-                                   "n_bits": F.lit(cfg.n_bits)})
+        return _undecoded(listed, cfg)
     # no repartition before the hash: it would shuffle decoded pixels; decode
     # work is spread by the scan's file splits
     sig = _signatures_of(pics, cfg).select(
@@ -172,15 +191,15 @@ def _decode_listed(spark: SparkSession, files: DataFrame, cfg: SearchConfig) ->
 
 
 def folder_signatures(spark: SparkSession, root: str, cfg: SearchConfig,
-                      keep: Column | None = None) -> tuple[DataFrame, int]:
+                      keep: Column | None = None) -> tuple[DataFrame, int, int | None]:
     """``file_uri, size, mtime, bits`` for every picture file under ``root``
-    that passes ``keep`` (bits NULL when it cannot be decoded), and how many
-    came from the store.  Stored signatures are reused while size and mtime
+    that passes ``keep`` (bits NULL when it cannot be decoded), how many
+    came from the store, and how many Spark's readers can't open by their names.  Stored signatures are reused while size and mtime
     are unchanged; only the rest is decoded, and successful new signatures
     are appended to the store."""
     keep = keep if keep is not None else F.lit(True)
-    listing, root_pics = _listing(spark, root, cfg)
-    candidates = listing.where(keep)
+    listed = _listing(spark, root, cfg)
+    candidates = listed.files.where(keep)
     stored = None
     if cfg.store_path and cfg.reuse_signatures:
         prefix = qualified_uri(spark, root).rstrip("/") + "/"
@@ -201,8 +220,12 @@ def folder_signatures(spark: SparkSession, root: str, cfg: SearchConfig,
     slices = -(-n_misses // cfg.slice_files)
     parts = [] if from_store is None else [from_store]
     for i in range(slices):
-        if slices == 1 and n_hits == 0 and root_pics is not None:
-            fresh = _signatures_of(root_pics.where(keep), cfg)
+        if slices == 1 and n_hits == 0 and listed.scanned:
+            # the same files, without naming them; the image source passes over
+            # empty ones, which can't be decoded anyway
+            fresh = _signatures_of(read_images(spark, root, extensions=cfg.extensions).where(keep), cfg).select(
+                "file_uri", "size", "mtime", "bits", "hash_hex", "n_bits").unionByName(
+                _undecoded(to_hash.where(F.col("size") == 0), cfg))
         else:
             mine = to_hash if slices == 1 else to_hash.where(
                 F.pmod(F.xxhash64("file_uri"), F.lit(slices)) == i)
@@ -218,11 +241,11 @@ def folder_signatures(spark: SparkSession, root: str, cfg: SearchConfig,
         parts.append(fresh.select("file_uri", "size", "mtime", "bits"))
     if not parts:
         return spark.createDataFrame(
-            [], "file_uri string, size bigint, mtime timestamp, bits array<bigint>"), 0
+            [], "file_uri string, size bigint, mtime timestamp, bits array<bigint>"), 0, listed.skipped
     results = parts[0]
     for p in parts[1:]:
         results = results.unionByName(p)
-    return results, int(n_hits)
+    return results, int(n_hits), listed.skipped
 
 
 def search(spark: SparkSession, reference: str, root: str,
@@ -241,7 +264,7 @@ def search(spark: SparkSession, reference: str, root: str,
     ref_uri, ref_size, ref_bits = reference_signature(spark, reference, cfg)
     bounds = size_bounds(ref_size, cfg.size_tolerance_pct)
     keep = candidate_filter(F.col("file_uri"), F.col("size"), ref_uri, bounds)
-    results, n_hits = folder_signatures(spark, root, cfg, keep)
+    results, n_hits, skipped = folder_signatures(spark, root, cfg, keep)
 
     ok = F.col("bits").isNotNull()
     d_max = max_distance(cfg.threshold, cfg.n_bits)
@@ -258,9 +281,9 @@ def search(spark: SparkSession, reference: str, root: str,
     stats = spark.createDataFrame(
         [(counts["total_files"], counts["images_scanned"], counts["images_failed"],
           counts["matches_found"], elapsed, float(round(counts["images_scanned"] / max(elapsed, 0.001))),
-          n_hits)],
+          n_hits, skipped)],
         "total_files bigint, images_scanned bigint, images_failed bigint, matches_found bigint, "
-        "elapsed_seconds double, speed_img_s double, signatures_reused bigint")
+        "elapsed_seconds double, speed_img_s double, signatures_reused bigint, names_skipped bigint")
     return matches, stats
 
 
@@ -276,8 +299,8 @@ def batch_search(spark: SparkSession, references: str, root: str,
         if path_kind(spark, path) != "dir":
             raise FileNotFoundError(f"folder not found: {path}")
     references, root = resolved(spark, references), resolved(spark, root)
-    refs, _ = folder_signatures(spark, references, cfg)
-    cands, _ = folder_signatures(spark, root, cfg)
+    refs, _, _ = folder_signatures(spark, references, cfg)
+    cands, _, _ = folder_signatures(spark, root, cfg)
     pairs = pair_search(refs, cands, cfg.n_bits, cfg.threshold, "file_uri", "file_uri",
                         size="size", size_tolerance_pct=cfg.size_tolerance_pct,
                         max_broadcast_refs=cfg.max_broadcast_refs)

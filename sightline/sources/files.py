@@ -68,6 +68,12 @@ def remove_files(spark: SparkSession, uris: list[str]) -> None:
         p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, False)
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this engine wrote, with what is in it."""
+    fs, p = _hadoop_fs(spark, path)
+    fs.delete(p, True)
+
+
 def path_mtime(spark: SparkSession, path: str):
     """Modification time of a file or folder as a UTC datetime (None when
     missing), through the cluster's file system."""

@@ -108,12 +108,16 @@ def _picture_writer(folder: str):
     def write(batches):
         import pyarrow.fs as pafs
 
-        fs, base = pafs.FileSystem.from_uri(_arrow_uri(folder))
-        fs.create_dir(base, recursive=True)
+        fs, top = pafs.FileSystem.from_uri(_arrow_uri(folder))
+        made = set()
         for pdf in batches:
-            for vid, px in zip(pdf["vec_id"], pdf["px"]):
+            for vid, px, below, prefix in zip(pdf["vec_id"], pdf["px"], pdf["below"], pdf["prefix"]):
                 data = encode_png(np.asarray(px, dtype=np.uint8).reshape(GRID_SIDE, GRID_SIDE))
-                final = f"{base}/{int(vid)}.png"
+                base = top + below
+                if base not in made:
+                    fs.create_dir(base, recursive=True)
+                    made.add(base)
+                final = f"{base}/{prefix}{int(vid)}.png"
                 # written under a hidden name, then renamed: a retried or
                 # speculative task rewrites the same bytes; listings skip
                 # names starting with '.'
@@ -125,11 +129,22 @@ def _picture_writer(folder: str):
     return write
 
 
-def write_pictures(spark: SparkSession, sf_dir: str) -> str:
-    """One PNG file per embeddings row, written by a Spark job into a fresh
-    folder under the shared checkpoint folder; returns the folder."""
+def write_pictures(spark: SparkSession, sf_dir: str, tree: bool = False, folder: str | None = None,
+                   pixels: DataFrame | None = None) -> str:
+    """One PNG file per embeddings row (or row of ``pixels``: vec_id, px), written
+    by a Spark job into a fresh folder under the shared checkpoint folder (or
+    into ``folder``); returns the folder.  As a ``tree``, files lie in folders by
+    label and number, and every seventh has a name that readers skip."""
     ship_package(spark)
-    folder = scratch_path(spark, f"pictures-{uuid.uuid4().hex}")
-    written = picture_pixels(spark, sf_dir).mapInPandas(_picture_writer(folder), "vec_id bigint")
+    folder = folder or scratch_path(spark, f"pictures-{uuid.uuid4().hex}")
+    pixels = picture_pixels(spark, sf_dir) if pixels is None else pixels
+    if tree:
+        labels = table(spark, sf_dir, "embeddings").select("vec_id", "label")
+        below = F.format_string("/a/deep/tree/label=%d/hundred %d", "label", F.floor(F.col("vec_id") / 100))
+        pixels = pixels.join(labels, "vec_id").select(
+            "vec_id", "px", below.alias("below"), F.when(F.col("vec_id") % 7 == 6, "_").otherwise("").alias("prefix"))
+    else:
+        pixels = pixels.select("vec_id", "px", F.lit("").alias("below"), F.lit("").alias("prefix"))
+    written = pixels.mapInPandas(_picture_writer(folder), "vec_id bigint")
     written.write.format("noop").mode("overwrite").save()
     return folder

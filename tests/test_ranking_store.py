@@ -43,7 +43,7 @@ def test_banded_join_equals_nested_loop(spark):
     refs = df.where(F.col("id") < 60)
     a = pair_search(refs, df, 64, 75.0, "id", "id", size="size", size_tolerance_pct=10.0)
     assert a.count() > 0
-    for strategy, hot in (("banded", 100_000), ("banded", 3), ("chunked", 100_000)):
+    for strategy, hot in (("banded", 100_000), ("banded", 3), ("metric", 100_000), ("metric", 3), ("chunked", 100_000)):
         b = pair_search(refs, df, 64, 75.0, "id", "id", size="size", size_tolerance_pct=10.0,
                         max_broadcast_refs=25, strategy=strategy, hot_band_rows=hot)
         assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0, (strategy, hot)
