@@ -421,6 +421,26 @@ def q_stream_refresh(spark, d):
     return refresh_standin_signatures(spark, d)
 
 
+def q_refresh_listing(spark, d):
+    """The refresh over picture files in several micro-batches; then every tenth
+    picture is rewritten in place and a second refresh hashes those again."""
+    import uuid
+
+    from sightline.session import scratch_path
+    from sightline.streaming.refresh import read_refreshed, refresh
+
+    path = scratch_path(spark, f"refreshed-{uuid.uuid4().hex}")
+    pixels = st.picture_pixels(spark, d)
+    folder = st.write_pictures(spark, d)
+    batch = max(1, pixels.count() // 4)
+    refresh(spark, folder, path, "average", 8, files_per_batch=batch)
+    inverted = pixels.where(F.col("vec_id") % 10 == 0).withColumn("px", F.transform("px", lambda p: 255 - p))
+    st.write_pictures(spark, d, folder=folder, pixels=inverted)
+    refresh(spark, folder, path, "average", 8, files_per_batch=batch)
+    return read_refreshed(spark, path, "average", 8).select(
+        F.regexp_extract("file_uri", r"/(\d+)\.png$", 1).cast("bigint").alias("vec_id"), "hash_hex")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     q: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         "scan_images": q_scan_images,
@@ -462,5 +482,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "store_roundtrip": q_store_roundtrip,
         "inventory_roundtrip": q_inventory_roundtrip,
         "stream_refresh": q_stream_refresh,
+        "refresh_listing": q_refresh_listing,
+        "picture_perceptual_256": _picture_query("perceptual", 16),
     })
     return q

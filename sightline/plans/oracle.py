@@ -166,6 +166,9 @@ COLOUR_PIXELS = ("SELECT vec_id, r, c, (19595 * (255 - p) + 38470 * ((p * 3) % 2
                  f"FROM ({PIXELS}) WHERE vec_id % 10 <> 3")
 
 
+INVERTED_PIXELS = f"SELECT vec_id, r, c, CASE WHEN vec_id % 10 = 0 THEN 255 - p ELSE p END AS p FROM ({PIXELS})"
+
+
 def resized_sql(n_out: int, pixels: str = PIXELS) -> str:
     """vec_id, g: 8 x 8 pictures resized to ``n_out`` squared, row-major."""
     clip = "greatest(0, least(255, (sum({a} * w) + 2097152) >> 22))"
@@ -317,6 +320,8 @@ def oracle_sql() -> dict[str, str]:
     q["picture_perceptual"] = hashes(picture_perceptual_bits(8), 64)
     q["picture_wavelet"] = hashes(picture_wavelet_bits(4), 16)
     q["picture_colour"] = hashes(picture_average_bits(4, COLOUR_PIXELS), 16)
+    q["picture_perceptual_256"] = hashes(picture_perceptual_bits(16), 256)
+    q["refresh_listing"] = hashes(picture_average_bits(8, INVERTED_PIXELS), 64)
     wide = picture_average_bits(16)
     far = _similarity("hamming(a.bs, b.bs)", 256)
     q["picture_search_256"] = (

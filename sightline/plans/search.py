@@ -190,6 +190,21 @@ def _decode_listed(spark: SparkSession, files: DataFrame, cfg: SearchConfig) ->
         "bits", "hash_hex", F.lit(cfg.n_bits).alias("n_bits"))
 
 
+def _computed(spark: SparkSession, fresh: DataFrame) -> DataFrame:
+    """Signature rows, decoded once.  Rebalance: the shuffle carries only
+    signature rows (the pixels stay in the map tasks) and AQE sizes the
+    partitions, so the checkpoint and the store get a few large files, not one
+    per input split."""
+    with picture_conf(spark):
+        return fix(fresh.select("file_uri", "size", "mtime", "bits", "hash_hex", "n_bits").hint("rebalance"))
+
+
+def listed_signatures(spark: SparkSession, files: DataFrame, cfg: SearchConfig) -> DataFrame:
+    """Signatures of a listing's files (file_uri, size, mtime; a slice: its paths
+    pass the driver), computed once; NULL bits where a file can't be decoded."""
+    return _computed(spark, _decode_listed(spark, files, cfg))
+
+
 def folder_signatures(spark: SparkSession, root: str, cfg: SearchConfig,
                       keep: Column | None = None) -> tuple[DataFrame, int, int | None]:
     """``file_uri, size, mtime, bits`` for every picture file under ``root``
@@ -230,12 +245,7 @@ def folder_signatures(spark: SparkSession, root: str, cfg: SearchConfig,
             mine = to_hash if slices == 1 else to_hash.where(
                 F.pmod(F.xxhash64("file_uri"), F.lit(slices)) == i)
             fresh = _decode_listed(spark, mine, cfg)
-        # rebalance: the shuffle carries only signature rows (the pixels stay
-        # in the map tasks) and AQE sizes the partitions, so the checkpoint
-        # and the store get a few large files, not one per input split
-        with picture_conf(spark):
-            fresh = fix(fresh.select("file_uri", "size", "mtime", "bits", "hash_hex", "n_bits")
-                        .hint("rebalance"))
+        fresh = _computed(spark, fresh)
         if cfg.store_path and cfg.save_signatures:
             store.save_signatures(fresh, cfg.store_path, cfg.algorithm, cfg.hash_size)
         parts.append(fresh.select("file_uri", "size", "mtime", "bits"))

@@ -1,14 +1,17 @@
 """Incremental signature refresh with Structured Streaming.
 
-New files under a root are hashed micro-batch by micro-batch and appended to
-the store with Spark's file sink, whose commit log makes every batch land
-exactly once; the checkpoint remembers which files were seen, so a stopped
-refresh resumes where it left off.  ``trigger(availableNow=True)`` drains
-what is there and stops; ``maxFilesPerTrigger`` sets the batch size.
-
-The file source sees new paths only: a file rewritten in place keeps its
-path and is not hashed again, so stale rows are caught by the batch search,
-which compares size and mtime (``operators.store.lookup``).
+``refresh`` decides by the store: the root is listed by Spark tasks, one join
+with the newest stored rows leaves the files that are new or whose size or time
+changed (J1, J2), and those are written as a few listing files.  A stream over the
+listing files (``trigger(availableNow=True)``) hands ``foreachBatch`` one of them at
+a time, whose pictures are decoded and appended to the store.  So what the engine
+remembers is the store, not a log of every path ever seen: a file rewritten in
+place is hashed again, a copied file with an old time is taken, and a refresh that
+was stopped goes on with what the store lacks.  A micro-batch that runs twice
+appends equal rows, of which readers keep one.
+
+``start_watch`` repeats the refresh at an interval.  ``start_refresh`` appends any
+stream of signatures with Spark's file sink (exactly once by its commit log).
 """
 
 from __future__ import annotations
@@ -18,16 +21,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.utils import AnalysisException
-
 from sightline.operators import store
 from sightline.operators.hashes import with_signature
 from sightline.session import scratch_path
 from sightline.sources import standins as st
+from sightline.sources.files import list_files, path_kind, qualified_uri, remove_folder, resolved
+from sightline.sources.listing import forget, list_tree, supported
 
 
-# Signature rows of a micro-batch that one task writes.
-ROWS_PER_WRITER = 2_000
+LISTED = "file_uri string, size bigint, mtime timestamp"
 
 
 def stream_path(store_path: str) -> str:
@@ -59,34 +61,65 @@ def image_signature_stream(spark: SparkSession, root: str, algorithm: str, hash_
     return with_picture_signature(image_stream(spark, root, files_per_batch), algorithm, hash_size)
 
 
-def refresh(spark: SparkSession, root: str, store_path: str, algorithm: str = "perceptual",
-            hash_size: int = 16, files_per_batch: int = 10_000,
-            checkpoint: str | None = None) -> int:
-    """Hash every picture under ``root`` not seen by earlier refreshes into
-    the store and stop (``availableNow``); returns how many signatures the
-    stream part of the store gained (undecodable files are read but not stored).
-    The checkpoint defaults to one per (root, algorithm, hash size) inside
-    the store, so repeated calls resume."""
-    import hashlib
-
-    if checkpoint is None:
-        tag = hashlib.sha1(root.encode()).hexdigest()[:16]
-        checkpoint = f"{store_path.rstrip('/')}/_refresh/{algorithm}_{hash_size}_{tag}"
-    before = _stored_rows(spark, store_path, algorithm, hash_size)
-    q = start_refresh(image_signature_stream(spark, root, algorithm, hash_size, files_per_batch),
-                      store_path, checkpoint, output_files=max(1, -(-files_per_batch // ROWS_PER_WRITER)))
-    q.awaitTermination()
-    # counted from what was committed: the query's own progress keeps its last
-    # hundred batches only
-    return _stored_rows(spark, store_path, algorithm, hash_size) - before
+def pending_files(spark: SparkSession, root: str, store_path: str, algorithm: str, hash_size: int,
+                  files_per_batch: int) -> tuple[str, int]:
+    """The listing minus the store: a folder of Parquet files of about
+    ``files_per_batch`` rows (file_uri, size, mtime) still to be hashed, and how
+    many rows they have.  No path passes the driver."""
+    root = resolved(spark, root)
+    if supported(qualified_uri(spark, root)):
+        listing = list_tree(spark, root)
+        files = listing.visible()
+    else:
+        listing, files = None, list_files(spark, root)
+    stored = store.read_signatures(spark, store_path, algorithm, hash_size,
+                                   qualified_uri(spark, root).rstrip("/") + "/")
+    todo = files if stored is None else store.misses(files, stored.select("file_uri", "size", "mtime"), ["file_uri"])
+    run = scratch_path(spark, f"refresh-{uuid.uuid4().hex}")
+    todo.write.parquet(f"{run}/todo")
+    if listing:
+        forget(spark, listing)
+    todo = spark.read.schema(LISTED).parquet(f"{run}/todo")
+    n = todo.count()
+    # numbered files of one size: a hash would make some batches larger
+    batches = max(1, -(-n // files_per_batch))
+    todo.repartition(batches).write.parquet(f"{run}/pending")
+    return run, n
 
 
-def _stored_rows(spark: SparkSession, store_path: str, algorithm: str, hash_size: int) -> int:
-    try:
-        raw = spark.read.parquet(stream_path(store_path))
-    except AnalysisException:
-        return 0
-    return raw.where((F.col("algorithm") == algorithm) & (F.col("hash_size") == hash_size)).count()
+def refresh(spark: SparkSession, root: str, store_path: str, algorithm: str = "perceptual",
+            hash_size: int = 16, files_per_batch: int = 10_000) -> int:
+    """Hash the pictures under ``root`` that the store lacks, or has with another
+    size or time, and stop; returns how many signatures were stored (undecodable
+    files are read but not stored, and tried again by the next refresh)."""
+    from sightline.plans.search import SearchConfig, listed_signatures
+
+    cfg = SearchConfig(algorithm=algorithm, hash_size=hash_size)
+    run, n = pending_files(spark, root, store_path, algorithm, hash_size, files_per_batch)
+    gained: dict[int, int] = {}
+
+    def hash_batch(listed: DataFrame, batch_id: int) -> None:
+        fresh = listed_signatures(listed.sparkSession, listed, cfg)
+        store.save_signatures(fresh, store_path, algorithm, hash_size)
+        gained[batch_id] = fresh.where(F.col("bits").isNotNull()).count()
+
+    if n:
+        stream = (spark.readStream.schema(LISTED).option("maxFilesPerTrigger", 1).parquet(f"{run}/pending")
+                  .writeStream.foreachBatch(hash_batch).option("checkpointLocation", f"{run}/checkpoint")
+                  .trigger(availableNow=True).start())
+        stream.awaitTermination()
+    remove_folder(spark, run)
+    return sum(gained.values())
+
+
+def start_watch(spark: SparkSession, root: str, store_path: str, algorithm: str = "perceptual",
+                hash_size: int = 16, every: str = "10 minutes", files_per_batch: int = 10_000) -> StreamingQuery:
+    """Refresh at an interval until the returned query is stopped; its own state
+    is a clock."""
+    clock = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    return (clock.writeStream.trigger(processingTime=every)
+            .foreachBatch(lambda _, batch_id: refresh(spark, root, store_path, algorithm, hash_size, files_per_batch) and None)
+            .option("checkpointLocation", scratch_path(spark, f"watch-{uuid.uuid4().hex}")).start())
 
 
 def refresh_standin_signatures(spark: SparkSession, sf_dir: str,
@@ -111,7 +144,18 @@ def refresh_standin_signatures(spark: SparkSession, sf_dir: str,
     return stored.select(F.col("file_uri").cast("bigint").alias("vec_id"), "hash_hex")
 
 
+def read_refreshed(spark: SparkSession, store_path: str, algorithm: str, hash_size: int) -> DataFrame:
+    """The newest signature of each file, as the store sees it."""
+    found = store.read_signatures(spark, store_path, algorithm, hash_size)
+    if found is None:
+        raise FileNotFoundError(store_path)
+    return found
+
+
 def read_streamed(spark: SparkSession, store_path: str, algorithm: str, hash_size: int) -> DataFrame:
+    """The rows that ``start_refresh`` appended, or all if there are none of its."""
+    if path_kind(spark, stream_path(store_path)) is None:
+        return read_refreshed(spark, store_path, algorithm, hash_size)
     raw = spark.read.parquet(stream_path(store_path))
     part = raw.where((F.col("algorithm") == algorithm) & (F.col("hash_size") == hash_size))
     return store.latest_per_key(part.select(*store.SIGNATURE_COLUMNS, "written_at"),
