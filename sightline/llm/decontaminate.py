@@ -31,7 +31,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sightline.llm.common import words_of, written
+from sightline.llm.common import discard, words_of, written
 from sightline.llm.repeats import row_id
 
 # Fixed value: the separators of the contract's words, with A-Z kept.
@@ -70,14 +70,17 @@ def word_counts(listed: DataFrame, windows: DataFrame, small: bool) -> DataFrame
     # the outer form: for a plain explode Spark adds a filter on the array's size,
     # which splits every text a second time
     said = listed.select(F.explode_outer("w").alias("word"))
-    said = said.join(F.broadcast(vocabulary) if small else vocabulary, "word", "left_semi")
-    return said.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    count = lambda df: df.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    if small:
+        return count(said.join(F.broadcast(vocabulary), "word", "left_semi"))
+    return count(said).join(vocabulary, "word", "left_semi")  # each task's words are counted before the shuffle
 
 
-def window_prefixes(windows: DataFrame, counts: DataFrame) -> DataFrame:
-    """Each window that can occur with its rarest word and that word's offset."""
+def window_prefixes(windows: DataFrame, counts: DataFrame, small: bool) -> DataFrame:
+    """Each window that can occur with its rarest word and that word's offset.
+    ``small``: the windows, whose vocabulary bounds the counts, may be broadcast."""
     words = windows.select("window", "items", F.posexplode("window").alias("o", "word"))
-    ranked = words.join(counts, "word", "left")
+    ranked = words.join(F.broadcast(counts) if small else counts, "word", "left")
     return (ranked.groupBy("window")
             .agg(F.first("items").alias("items"),
                  F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word", "o")).alias("rarest"))
@@ -95,8 +98,10 @@ def window_hits(docs: DataFrame, items: DataFrame, width: int = WINDOW, id_col:
                          + 16 * F.size("items")), F.lit(0)).alias("b")).first()["b"]
     blocks = max(1, math.ceil(size / max_broadcast_bytes))
     listed = document_words(docs, id_col, text_col)
-    prefixes = window_prefixes(windows, word_counts(listed, windows, blocks == 1))
-    prefixes = written(prefixes, "window-prefixes")  # at most as large as the windows
+    # written: no aggregate stands below the join on words, so a hot word's rows may be split
+    counts = written(word_counts(listed, windows, blocks == 1), "window-words")
+    prefixes = written(window_prefixes(windows, counts, blocks == 1), "window-prefixes")  # at most as large as the windows
+    discard(counts)
     placed = listed.select("rid", "w", F.posexplode_outer("w").alias("pos", "word"))
     found = None
     for b in range(blocks):

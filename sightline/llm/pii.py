@@ -19,7 +19,8 @@ No Python runs on the executors.  Nothing is shuffled but the pattern counts.
 
 Positions are code points.  They come from splitting the text at the pattern:
 the pieces between matches and the matches alternate, so running sums of their
-lengths are the offsets.  Patterns use possessive repeats and start only where
+lengths are the offsets.  Sums, overlap tests and redaction take time in
+proportion to a text's matches (times a logarithm), however many one text has.  Patterns use possessive repeats and start only where
 a run starts (or where the last match ended), which leaves the leftmost
 non-overlapping matches unchanged but keeps long runs linear.
 
@@ -78,6 +79,35 @@ SHAPES = {
 }
 CONTEXT_CHARS = 24
 PRIOR_SHARE = 0.5
+SCAN_BLOCK = 64
+
+
+def _before_block(values: Column, start: Column, combine) -> Column:
+    step = lambda acc, x: F.struct(combine(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+    zero = F.struct(start.cast("int").alias("at"), F.array().cast("array<int>").alias("out"))
+    return F.aggregate(values, zero, step, lambda acc: acc["out"])
+
+
+def before_each(values: Column, combine=lambda a, x: a + x, levels: int = 2) -> Column:
+    """For each of some ints (at least 0) the sum, or other ``combine``, of those
+    before it.  An array grows by copying, so only blocks of ``SCAN_BLOCK`` are
+    grown, and the blocks' own totals alike: the work is linear in the values."""
+    zero = F.lit(0)
+    if not levels:
+        return _before_block(values, zero, combine)
+
+    def blocks_of(values):
+        blocks = F.transform(F.sequence(zero, F.floor((F.size(values) - 1) / SCAN_BLOCK).cast("int")),
+                             lambda j: F.slice(values, j * SCAN_BLOCK + 1, F.lit(SCAN_BLOCK)))
+        return let(blocks, lambda bs: let(
+            before_each(F.transform(bs, lambda b: F.aggregate(b, zero, combine)), combine, levels - 1),
+            lambda starts: F.flatten(F.transform(bs, lambda b, j: _before_block(b, F.get(starts, j), combine)))))
+
+    return F.when(F.size(values) > 0, let(values, blocks_of)).otherwise(F.array().cast("array<int>"))
+
+
+def _larger(a: Column, b: Column) -> Column:
+    return F.greatest(a, b)
 
 
 def matches_with_positions(text: Column, pattern: str, gate: Column) -> Column:
@@ -88,25 +118,50 @@ def matches_with_positions(text: Column, pattern: str, gate: Column) -> Column:
     empty = F.array().cast(kind)
 
     def located(gaps: Column, found: Column) -> Column:
-        def step(acc, i):
-            gap, value = F.get(gaps, i), F.get(found, i)
-            start = acc["pos"] + F.length(gap)
-            end = start + F.length(value)
-            nxt = F.coalesce(F.get(gaps, i + 1), F.lit(""))
-            span = F.struct(start.alias("start"), end.alias("end"), value.alias("value"),
-                            F.right(gap, F.lit(CONTEXT_CHARS)).alias("before"),
-                            F.left(nxt, F.lit(CONTEXT_CHARS)).alias("after"))
-            return F.struct(end.alias("pos"), F.concat(acc["out"], F.array(span)).cast(kind).alias("out"))
-
-        zero = F.struct(F.lit(0).alias("pos"), empty.alias("out"))
-        return F.when(F.size(found) > 0, F.aggregate(
-            F.sequence(F.lit(0), F.size(found) - 1), zero, step, lambda acc: acc["out"])).otherwise(empty)
+        at = F.sequence(F.lit(0), F.size(found) - 1)
+        lengths = F.transform(at, lambda i: F.length(F.get(gaps, i)) + F.length(F.get(found, i)))
+
+        def spans(begins: Column) -> Column:
+            def span(i):
+                gap, value = F.get(gaps, i), F.get(found, i)
+                start = F.get(begins, i) + F.length(gap)
+                return F.struct(start.alias("start"), (start + F.length(value)).alias("end"), value.alias("value"),
+                                F.right(gap, F.lit(CONTEXT_CHARS)).alias("before"),
+                                F.left(F.coalesce(F.get(gaps, i + 1), F.lit("")), F.lit(CONTEXT_CHARS)).alias("after"))
+            return F.transform(at, span).cast(kind)
+
+        return F.when(F.size(found) > 0, let(before_each(lengths), spans)).otherwise(empty)
 
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
     return F.when(gate, let_all([gaps, found], located)).otherwise(empty)
 
 
+def outside(found: Column, spans: Column) -> Column:
+    """Those of ``found`` (with start and end) that overlap none of ``spans``: by
+    binary search among the spans' starts, for the farthest end up to there."""
+    def search(ordered: Column) -> Column:
+        starts = F.transform(ordered, lambda s: s["start"])
+        before = before_each(F.transform(ordered, lambda s: s["end"]), _larger)
+        reach = lambda b: F.transform(ordered, lambda s, i: F.greatest(s["end"], F.get(b, i)))
+        return let_all([starts, let(before, reach)], lambda first, far: F.filter(found, lambda m: clear(m, first, far)))
+
+    def clear(m: Column, first: Column, far: Column) -> Column:
+        def step(acc, _):
+            mid = F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")
+            below = (acc["lo"] < acc["hi"]) & (F.get(first, mid) < m["end"])
+            return F.struct(F.when(below, mid + 1).otherwise(acc["lo"]).alias("lo"),
+                            F.when(below | (acc["lo"] >= acc["hi"]), acc["hi"]).otherwise(mid).alias("hi"))
+
+        steps = F.sequence(F.lit(0), F.length(F.bin(F.size(first))))
+        zero = F.struct(F.lit(0).alias("lo"), F.size(first).alias("hi"))
+        begun = F.aggregate(steps, zero, step, lambda acc: acc["lo"])  # spans that start before m ends
+        return let(begun, lambda n: (n == 0) | (F.get(far, n - 1) <= m["start"]))
+
+    ordered = F.sort_array(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+    return F.when((F.size(found) == 0) | (F.size(spans) == 0), found).otherwise(let(ordered, search))
+
+
 def luhn_ok(digits: Column) -> Column:
     """The Luhn checksum of a digit string."""
     n = F.length(digits)
@@ -194,8 +249,7 @@ def candidate_spans(text: Column, kind: str, base: Column) -> Column:
     """Candidates of a learned kind that overlap no base span, with their
     votes and features."""
     found = matches_with_positions(text, CANDIDATES[kind], CANDIDATE_GATES[kind](text))
-    free = F.filter(found, lambda m: ~F.exists(
-        base, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
+    free = let(found, lambda f: outside(f, base))
     return F.transform(free, lambda m: F.struct(
         F.lit(kind).alias("kind"), m["start"].alias("start"), m["end"].alias("end"),
         *[v.cast("int").alias(n) for n, v in _labelers(kind, m).items()],
@@ -319,23 +373,44 @@ def span_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def _cut(text: Column, spans: Column, origin: Column, level: int) -> Column:
+    """``text``, which begins at code point ``origin``, up to the reach of ``spans``
+    with each clear span as its kind.  Cutting a string reads it from its
+    beginning, so spans are cut from blocks of the text, and blocks from larger
+    ones."""
+    if not level:
+        piece = lambda s: F.when(s["start"] >= s["before"], F.concat(
+            F.substr(text, s["before"] - origin + 1, s["start"] - s["before"]),
+            F.lit("<"), F.upper(s["kind"]), F.lit(">"))).otherwise(F.lit(""))
+        return F.array_join(F.transform(spans, piece), "")
+    wide = SCAN_BLOCK ** level
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(spans) - 1) / wide).cast("int")),
+                         lambda j: F.slice(spans, j * wide + 1, F.lit(wide)))
+
+    def part(block: Column) -> Column:
+        ends = [F.get(block, F.lit(0))["before"], F.element_at(block, -1)["reach"]]
+        return let_all(ends, lambda lo, hi: let(
+            F.substr(text, lo - origin + 1, hi - lo), lambda t: _cut(t, block, lo, level - 1)))
+
+    return F.array_join(F.transform(blocks, part), "")
+
+
 def redact(text: Column, spans: Column) -> Column:
     """``text`` with each span replaced by its kind in angle brackets.
     Overlapping spans are replaced together, under the first one's kind."""
-    body = F.coalesce(text, F.lit(""))
-    ordered = F.sort_array(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    zero = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
-
-    def step(acc, s):
-        clear = s["start"] >= acc["pos"]
-        piece = F.concat(acc["out"], F.substr(body, acc["pos"] + 1, F.greatest(s["start"] - acc["pos"], F.lit(0))),
-                         F.lit("<"), F.upper(s["kind"]), F.lit(">"))
-        return F.struct(F.greatest(acc["pos"], s["end"]).alias("pos"),
-                        F.when(clear, piece).otherwise(acc["out"]).alias("out"))
-
-    done = F.aggregate(ordered, zero, step,
-                       lambda acc: F.concat(acc["out"], F.substr(body, acc["pos"] + 1, F.length(body))))
-    return F.when(F.size(spans) > 0, done).otherwise(text)
+    ordered = F.sort_array(F.transform(spans, lambda s: F.struct(
+        s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+
+    def cut(body: Column, sorted_spans: Column) -> Column:
+        # how far the spans before each one, and it with them, reach
+        before = before_each(F.transform(sorted_spans, lambda s: s["end"]), _larger)
+        placed = lambda b: F.transform(sorted_spans, lambda s, i: F.struct(
+            F.get(b, i).alias("before"), s["start"].alias("start"), F.greatest(F.get(b, i), s["end"]).alias("reach"),
+            s["kind"].alias("kind")))
+        return let(let(before, placed), lambda ss: F.concat(
+            _cut(body, ss, F.lit(0), 2), F.substr(body, F.element_at(ss, -1)["reach"] + 1, F.length(body))))
+
+    return F.when(F.size(spans) > 0, let_all([F.coalesce(text, F.lit("")), ordered], cut)).otherwise(text)
 
 
 def digest_columns(found: DataFrame) -> DataFrame:

@@ -243,3 +243,87 @@ def test_suffix_dedup_many_equal_rows(spark, tmp_path):
     from sightline.llm.suffix_dedup import repeated_strings
     marked = repeats.with_places(docs, repeated_strings(docs))
     assert marked.agg(F.max(F.size("places"))).first()[0] <= size  # not times the rows
+
+
+def _rows_of(spark, column, values, kind):
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], f"i int, v {kind}")
+    return [r[1] for r in sorted(df.select("i", column(F.col("v"))).collect())]
+
+
+def test_running_sums_in_blocks(spark):
+    from sightline.llm import pii
+
+    rng = np.random.default_rng(2)
+    values = [rng.integers(0, 50, n).tolist() for n in (0, 1, 2, 63, 64, 65, 128, 4095, 4096, 4097, 9000)]
+    sums = _rows_of(spark, pii.before_each, values, "array<int>")
+    assert sums == [np.concatenate([[0], np.cumsum(v)[:-1]]).astype(int).tolist() if v else [] for v in values]
+    tops = _rows_of(spark, lambda v: pii.before_each(v, pii._larger), values, "array<int>")
+    assert tops == [[max([0, *v[:i]]) for i in range(len(v))] if len(v) < 5000 else
+                    np.concatenate([[0], np.maximum.accumulate(v)[:-1]]).tolist() for v in values]
+
+
+def test_overlaps_and_redaction(spark):
+    """Binary search and block cutting against plain loops, spans that nest and overlap."""
+    from sightline.llm import pii
+
+    rng = np.random.default_rng(4)
+    rows = []
+    for n in (0, 1, 5, 70, 200, 5000):
+        size = 40 * max(n, 1)
+        text = "".join(rng.choice(list("ab é\U0001F600"), size))
+        draw = lambda k: [(int(s), int(s + rng.integers(1, 60))) for s in rng.integers(0, size - 60, k)] if size > 60 else []
+        rows.append((len(rows), text, draw(n), draw(min(n, 300))))
+    kind = "i int, t string, s array<struct<start:int,end:int>>, f array<struct<start:int,end:int>>"
+    df = spark.createDataFrame(rows, kind).withColumn(
+        "k", F.transform("s", lambda s: F.struct(F.lit("x").alias("kind"), s["start"].alias("start"), s["end"].alias("end"))))
+    got = df.select("i", pii.outside(F.col("f"), F.col("s")).alias("o"), pii.redact(F.col("t"), F.col("k")).alias("r")).collect()
+    for i, o, r in sorted(got):
+        _, text, spans, found = rows[i]
+        assert [tuple(x) for x in o] == [f for f in found if not any(s < f[1] and f[0] < e for s, e in spans)]
+        out, at = [], 0
+        for s, e in sorted(spans):
+            if s >= at:
+                out.append(text[at:s] + "<X>")
+            at = max(at, e)
+        assert r == "".join(out) + text[at:]
+
+
+def test_pii_many_matches_in_one_text(spark):
+    """2 MB of addresses: time in proportion to the matches."""
+    import time
+
+    from sightline.llm import pii
+
+    took = []
+    for n in (10_000, 100_000):
+        text = " ".join(f"user{i}@mail{i % 9}.org" for i in range(n))
+        df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        began = time.time()
+        spans = df.select(pii.base_spans(F.col("text"), "email").alias("s")).select(
+            F.size("s").alias("n"), pii.redact(F.lit(text), F.col("s")).alias("r")).first()
+        took.append(time.time() - began)
+        assert spans["n"] == n and spans["r"] == " ".join(["<EMAIL>"] * n)
+    assert took[1] < 30 * max(took[0], 1)
+
+
+def test_pii_spans_by_hand(spark):
+    """Column ``spans`` from the fitted model, by plain regular expressions."""
+    from sightline.llm import pii
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    model = pii.fit_span_model(docs)
+    got = {r["doc_id"]: r["spans"] for r in pii.digest_columns(pii.find_pii(docs, model)).collect()}
+    votes = pii.with_candidates(docs).select("doc_id", F.col("_cand").alias("c")).collect()
+    import brute
+    import regex
+    for r, (i, text) in zip(sorted(votes), sorted(docs.collect())):
+        assert r["doc_id"] == i
+        base = brute.pii_base(text or "")
+        free = [(k, m.start(), m.end()) for k, p in pii.CANDIDATES.items() for m in regex.finditer(p, text or "")
+                if not any(s < m.end() and m.start() < e for _, s, e in base)]
+        assert [(c["kind"], c["start"], c["end"]) for c in r["c"]] == free
+        yes = [(c["kind"], c["start"], c["end"]) for c in r["c"]
+               if model.bias[c["kind"]] + sum(model.weights[c["kind"]][f, c[f]] for f in pii.FEATURES) >= 0]
+        order = {k: n for n, k in enumerate(pii.KINDS)}
+        want = [":".join(map(str, s)) for s in sorted([*base, *yes], key=lambda s: (order[s[0]], s[1]))]
+        assert got[i] == ",".join(want)
