@@ -151,9 +151,8 @@ def _listing(spark: SparkSession, root: str, cfg: SearchConfig) -> _Listed:
     skipped, total = None, 0
     if supported(qualified_uri(spark, root)):
         listing = list_tree(spark, root)
-        n = listing.files.agg(F.count(F.lit(1)).alias("total"),
-                              F.count_if(listing.skipped(cfg.extensions)).alias("skipped")).first()
-        everything, total, skipped = listing.visible(None), n["total"], n["skipped"]
+        skipped = listing.files.where(listing.skipped(cfg.extensions)).count() if listing.n_hidden else 0
+        everything, total = listing.visible(None), listing.n_files
     else:
         everything = list_files(spark, root, None)
     if cfg.store_path and cfg.save_signatures and (cfg.reuse_inventory or cfg.refresh_inventory):

@@ -167,66 +167,78 @@ def _make_dense(in_size: int, out_size: int) -> np.ndarray:
     return dense
 
 
+# Pictures of one size stacked at once, in pixels.
+STACK_PIXELS = 4 << 20
+
 # Outputs up to this wide are resampled with a dense matrix product.
 _DENSE_MAX_OUT = 256
 
 
 def _resample_rows(img: np.ndarray, out_w: int) -> np.ndarray:
-    """Resample every row of a 2-D uint8 array to ``out_w`` columns.
+    """Resample the last axis of uint8 rows (any leading axes) to ``out_w``.
 
     Products and sums are integers below 2**53, so a float64 matrix product
     (BLAS) is exact and equals the tap-by-tap integer sum; it is used for
     the small outputs hashes need, the gathered form for large ones."""
-    h, w = img.shape
-    out = np.empty((h, out_w), dtype=np.uint8)
+    w = img.shape[-1]
+    rows = img.reshape(-1, w)
+    out = np.empty((len(rows), out_w), dtype=np.uint8)
     half = 1 << (_PRECISION_BITS - 1)
     if out_w <= _DENSE_MAX_OUT:
         dense = _dense_weights(w, out_w)
         chunk = max(1, (1 << 20) // max(w, 1))
-        for r0 in range(0, h, chunk):
-            acc = (img[r0:r0 + chunk].astype(np.float64) @ dense).astype(np.int64) + half
+        for r0 in range(0, len(rows), chunk):
+            acc = (rows[r0:r0 + chunk].astype(np.float64) @ dense).astype(np.int64) + half
             out[r0:r0 + chunk] = np.clip(acc >> _PRECISION_BITS, 0, 255)
-        return out
-    taps, weights = resample_weights(w, out_w)
-    per_row = out_w * taps.shape[1]
-    chunk = max(1, (8 << 20) // max(per_row, 1))
-    for r0 in range(0, h, chunk):
-        block = img[r0:r0 + chunk].astype(np.int64)
-        acc = (block[:, taps] * weights).sum(axis=2) + half
-        out[r0:r0 + chunk] = np.clip(acc >> _PRECISION_BITS, 0, 255)
-    return out
+    else:
+        taps, weights = resample_weights(w, out_w)
+        per_row = out_w * taps.shape[1]
+        chunk = max(1, (8 << 20) // max(per_row, 1))
+        for r0 in range(0, len(rows), chunk):
+            block = rows[r0:r0 + chunk].astype(np.int64)
+            acc = (block[:, taps] * weights).sum(axis=2) + half
+            out[r0:r0 + chunk] = np.clip(acc >> _PRECISION_BITS, 0, 255)
+    return out.reshape(*img.shape[:-1], out_w)
 
 
 def resize_luminance(lum: np.ndarray, out_h: int, out_w: int) -> np.ndarray:
-    """Two-pass 8-bit Lanczos resize of a 2-D uint8 array."""
-    h, w = lum.shape
+    """Two-pass 8-bit Lanczos resize of uint8 pictures (height and width are the
+    last axes, so pictures of one size may be stacked)."""
+    h, w = lum.shape[-2:]
     cur = lum
     if out_w != w:
         cur = _resample_rows(cur, out_w)
     if out_h != h:
-        cur = _resample_rows(np.ascontiguousarray(cur.T), out_h).T
+        cur = np.swapaxes(_resample_rows(np.ascontiguousarray(np.swapaxes(cur, -1, -2)), out_h), -1, -2)
     return np.ascontiguousarray(cur)
 
 
 def luminance(height: int, width: int, channels: int, data: bytes) -> np.ndarray:
-    """8-bit luminance of Spark image bytes (gray, BGR or BGRA).  The
-    weighted sum fits 32 bits; rows go in chunks so a large photo needs a
-    few MB of temporaries, not several copies of itself."""
-    px = np.frombuffer(data, dtype=np.uint8)
-    if channels == 1:
-        return px.reshape(height, width).copy()
-    px = px.reshape(height, width, channels)
+    """8-bit luminance of Spark image bytes (gray, BGR or BGRA)."""
+    return stacked_luminance(height, width, channels, [data])[0]
+
+
+def stacked_luminance(height: int, width: int, channels: int, pictures: list[bytes]) -> np.ndarray:
+    """8-bit luminance of pictures of one size (pictures x height x width).  The
+    weighted sum fits 32 bits; pixels go in chunks so a large photo needs a few
+    MB of temporaries, not several copies of itself."""
+    out = np.empty((len(pictures), height * width), dtype=np.uint8)
     wr, wg, wb = (np.uint32(w) for w in LUMA_WEIGHTS)
-    out = np.empty((height, width), dtype=np.uint8)
-    step = max(1, (4 << 20) // max(width, 1))
-    for r0 in range(0, height, step):
-        blk = px[r0:r0 + step]
-        acc = blk[..., 2].astype(np.uint32) * wr
-        acc += blk[..., 1].astype(np.uint32) * wg
-        acc += blk[..., 0].astype(np.uint32) * wb
-        acc += np.uint32(LUMA_ROUND)
-        out[r0:r0 + step] = (acc >> 16).astype(np.uint8)
-    return out
+    step = 4 << 20
+    for lum, data in zip(out, pictures):
+        px = np.frombuffer(data, dtype=np.uint8)
+        if channels == 1:
+            lum[:] = px
+            continue
+        px = px.reshape(-1, channels)
+        for p0 in range(0, len(px), step):
+            blk = px[p0:p0 + step]
+            acc = blk[:, 2].astype(np.uint32) * wr
+            acc += blk[:, 1].astype(np.uint32) * wg
+            acc += blk[:, 0].astype(np.uint32) * wb
+            acc += np.uint32(LUMA_ROUND)
+            lum[p0:p0 + step] = acc >> 16
+    return out.reshape(-1, height, width)
 
 
 @lru_cache(maxsize=64)
@@ -236,21 +248,36 @@ def _dct_matrix(k: int, n: int) -> np.ndarray:
 
 def picture_grid(height: int, width: int, channels: int, data: bytes,
                  algorithm: str, hash_size: int) -> list[float] | None:
-    """The grid an algorithm hashes, row-major; None when undecodable.
-    Perceptual and wavelet come back reduced to ``k x k`` (DCT low block,
-    Haar LL block sums): numpy does the heavy per-picture arithmetic."""
-    if height is None or height <= 0 or width <= 0 or not data:
-        return None
-    lum = luminance(height, width, channels, data)
-    rows, cols = get_algorithm(algorithm).grid_shape(hash_size, height, width)
-    small = resize_luminance(lum, rows, cols).astype(np.float64)
-    if algorithm == "wavelet":
-        b = rows // hash_size
-        small = small.reshape(hash_size, b, hash_size, b).sum(axis=(1, 3))
-    elif algorithm == "perceptual":
-        c = _dct_matrix(hash_size, rows)
-        small = c @ small @ c.T
-    return small.ravel().tolist()
+    """The grid an algorithm hashes, row-major; None when undecodable."""
+    return picture_grids([(height, width, channels, data)], algorithm, hash_size)[0]
+
+
+def picture_grids(pictures: list[tuple], algorithm: str, hash_size: int) -> list[list[float] | None]:
+    """The grids of (height, width, channels, data) pictures, row-major; None
+    where undecodable.  Pictures of one size are stacked, up to ``STACK_PIXELS``
+    at once: one resample and one DCT product for each stack.  Perceptual and
+    wavelet come back reduced to ``k x k`` (DCT low block, Haar LL block sums)."""
+    out: list[list[float] | None] = [None] * len(pictures)
+    sizes: dict[tuple, list[int]] = {}
+    for i, (h, w, c, data) in enumerate(pictures):
+        if h is not None and h > 0 and w > 0 and data:
+            sizes.setdefault((int(h), int(w), int(c)), []).append(i)
+    for (h, w, c), members in sizes.items():
+        at_once = max(1, STACK_PIXELS // (h * w))
+        for a in range(0, len(members), at_once):
+            part = members[a:a + at_once]
+            lum = stacked_luminance(h, w, c, [pictures[i][3] for i in part])
+            rows, cols = get_algorithm(algorithm).grid_shape(hash_size, h, w)
+            small = resize_luminance(lum, rows, cols).astype(np.float64)
+            if algorithm == "wavelet":
+                b = rows // hash_size
+                small = small.reshape(-1, hash_size, b, hash_size, b).sum(axis=(2, 4))
+            elif algorithm == "perceptual":
+                basis = _dct_matrix(hash_size, rows)
+                small = basis @ small @ basis.T
+            for i, grid in zip(part, small.reshape(len(part), -1).tolist()):
+                out[i] = grid
+    return out
 
 
 def grid_side(algorithm: str, hash_size: int) -> tuple[int, int]:
@@ -293,9 +320,7 @@ def grid_udf(algorithm: str, hash_size: int):
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def to_grid(height: pd.Series, width: pd.Series, channels: pd.Series,
                 data: pd.Series) -> pd.Series:
-        return pd.Series([
-            picture_grid(h, w, c, d, algorithm, hash_size)
-            for h, w, c, d in zip(height, width, channels, data)])
+        return pd.Series(picture_grids(list(zip(height, width, channels, data)), algorithm, hash_size), dtype=object)
 
     return to_grid
 

@@ -45,10 +45,12 @@ SCHEMA = "kind string, path string, file_uri string, size long, mtime_ms long, h
 
 @dataclass
 class Listing:
-    """``files``: file_uri, size, mtime, hidden of every file.  ``unreadable``:
-    folders that could not be listed."""
+    """``files``: file_uri, size, mtime, hidden of every file.  ``n_files`` and
+    ``n_hidden`` of them; ``unreadable``: folders that could not be listed."""
 
     files: DataFrame
+    n_files: int
+    n_hidden: int
     unreadable: int
     rounds: int
     path: str
@@ -160,22 +162,25 @@ def list_tree(spark: SparkSession, root: str, entries_per_folder: int = ENTRIES_
     out = scratch_path(spark, f"listing-{uuid.uuid4().hex}")
     tasks = spark.sparkContext.defaultParallelism
     folders = spark.createDataFrame([("", False)], "path string, hidden boolean").coalesce(1)
-    run, rounds, unreadable = _list_folders(root_uri, entries_per_folder), 0, 0
+    run, rounds = _list_folders(root_uri, entries_per_folder), 0
+    totals = {"file": 0, "hidden": 0, "unreadable": 0}
     while True:
         here = f"{out}/round={rounds}"
         folders.mapInPandas(run, SCHEMA).write.parquet(here)
         rounds += 1
         back = spark.read.schema(SCHEMA).parquet(here)
-        n = back.agg(F.count_if(F.col("kind") == "folder").alias("folders"),
-                     F.count_if(F.col("kind") == "unreadable").alias("unreadable")).first()
-        unreadable += n["unreadable"]
-        if not n["folders"]:
+        kind = F.col("kind")
+        n = back.agg(*[F.count_if(kind == k).alias(k) for k in ("file", "folder", "unreadable")],
+                     F.count_if((kind == "file") & F.col("hidden")).alias("hidden")).first()
+        for k in totals:
+            totals[k] += n[k]
+        if not n["folder"]:
             break
-        spread = min(n["folders"], max(tasks, n["folders"] // FOLDERS_PER_TASK))
+        spread = min(n["folder"], max(tasks, n["folder"] // FOLDERS_PER_TASK))
         folders = back.where(F.col("kind") == "folder").select("path", "hidden").repartition(spread)
     files = spark.read.schema(SCHEMA).parquet(*[f"{out}/round={r}" for r in range(rounds)]).where(F.col("kind") == "file")
     return Listing(files.select("file_uri", "size", F.timestamp_millis("mtime_ms").alias("mtime"), "hidden"),
-                   unreadable, rounds, out)
+                   totals["file"], totals["hidden"], totals["unreadable"], rounds, out)
 
 
 def forget(spark: SparkSession, listing: Listing) -> None:
