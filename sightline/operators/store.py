@@ -8,8 +8,12 @@ Layout under a store folder:
   file (``written_at``), so a save never rewrites what is already stored and
   an interrupted save leaves the table as it was (Spark commits at job end).
   ``compact_signatures`` folds a partition back to one row per file.
-* ``signatures_stream/…``  the same rows appended by the streaming refresh
-  (file sink with a commit log); readers take both parts.
+* ``signatures_by_key/algorithm=…/hash_size=…/buckets=N/``  the same rows as a
+  table bucketed and sorted by ``file_uri``, once ``compact_signatures`` was told a
+  number of buckets: newest-per-key and the lookup join read it bucket by
+  bucket, so the stored side is never shuffled.  Later saves append to it.
+* ``signatures_stream/…``  rows that a file sink appended (earlier versions of the
+  streaming refresh); read with the rest until ``fold_streamed`` moves them.
 * ``inventory/root=…/``  file_uri, size, mtime — the last listing of a root.
 * ``inventory_meta/root=…/``  root_mtime, file_count, scanned_at.
 
@@ -99,33 +103,106 @@ def merge_results(stored_hits: DataFrame, fresh: DataFrame, key: list[str],
 
 # -- signature table ---------------------------------------------------------
 
+_KEYED_SCHEMA = ("file_uri string, size bigint, mtime timestamp, hash_hex string, bits array<bigint>, "
+                 "n_bits int, written_at bigint")
+
+
 def _signatures_path(store: str) -> str:
     return f"{store.rstrip('/')}/signatures"
 
 
-def read_signatures(spark: SparkSession, store: str, algorithm: str,
-                    hash_size: int, prefix: str | None = None) -> DataFrame | None:
-    """Newest stored row per file for one (algorithm, hash_size) (S4, P5);
-    the predicate prunes partitions.  ``prefix`` keeps files under one folder:
-    it reaches the Parquet reader as ``StringStartsWith``, and as store files
-    are sorted by ``file_uri`` whole row groups outside the folder are
-    skipped.  None when nothing is stored."""
-    parts = []
-    # the batch part, and the part the streaming refresh appends (read
-    # through its commit log, so only committed micro-batches count)
-    for path in (_signatures_path(store), f"{store.rstrip('/')}/signatures_stream"):
+def _stream_path(store: str) -> str:
+    return f"{store.rstrip('/')}/signatures_stream"
+
+
+def _keyed_path(store: str, algorithm: str, hash_size: int) -> str:
+    return f"{store.rstrip('/')}/signatures_by_key/algorithm={algorithm}/hash_size={int(hash_size)}"
+
+
+def key_buckets(spark: SparkSession, store: str, algorithm: str, hash_size: int) -> list[int]:
+    """Numbers of buckets that a partition's rows by key are kept in: one, or
+    two while a compaction changes it, or none."""
+    from sightline.sources.files import folder_names
+
+    names = folder_names(spark, _keyed_path(store, algorithm, hash_size))
+    return sorted(int(n.removeprefix("buckets=")) for n in names if n.startswith("buckets="))
+
+
+def _keyed_table(spark: SparkSession, store: str, algorithm: str, hash_size: int, buckets: int) -> str:
+    """The session's name for the bucketed table of one partition.  What makes it
+    a table is in its files' names; the catalog entry only says so, and is made
+    again by each session that needs it."""
+    import hashlib
+
+    from sightline.sources.files import qualified_path
+
+    path = qualified_path(spark, f"{_keyed_path(store, algorithm, hash_size)}/buckets={int(buckets)}")
+    name = f"sightline_{hashlib.sha1(path.encode()).hexdigest()[:20]}"
+    quoted = path.replace("\\", "\\\\").replace("'", "\\'")
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({_KEYED_SCHEMA}) USING parquet CLUSTERED BY (file_uri) "
+              f"SORTED BY (file_uri) INTO {int(buckets)} BUCKETS LOCATION '{quoted}'")
+    spark.catalog.refreshTable(name)  # others may have appended
+    return name
+
+
+def _stored_parts(spark: SparkSession, store: str, algorithm: str, hash_size: int) -> list[DataFrame]:
+    """All stored rows of one partition, with their write times: by key, appended
+    plainly, streamed (read through its commit log, so only committed
+    micro-batches count)."""
+    columns = [*SIGNATURE_COLUMNS, "written_at"]
+    parts = [spark.table(_keyed_table(spark, store, algorithm, hash_size, n)).select(*columns)
+             for n in key_buckets(spark, store, algorithm, hash_size)]
+    for path in (_signatures_path(store), _stream_path(store)):
         try:
             raw = spark.read.parquet(path)
         except AnalysisException:
             continue
-        p = raw.where((F.col("algorithm") == algorithm) & (F.col("hash_size") == hash_size))
-        if prefix:
-            p = p.where(F.col("file_uri").startswith(prefix))
-        parts.append(p.select(*SIGNATURE_COLUMNS, "written_at"))
+        part = raw.where((F.col("algorithm") == algorithm) & (F.col("hash_size") == hash_size))
+        if part.inputFiles() if not parts else not part.isEmpty():
+            parts.append(part.select(*columns))
+    return parts
+
+
+def stored_signatures(spark: SparkSession, store: str, algorithm: str, hash_size: int,
+                      prefix: str | None = None) -> DataFrame | None:
+    """``read_signatures`` with ``written_at``."""
+    parts = _stored_parts(spark, store, algorithm, hash_size)
+    if prefix:
+        parts = [p.where(F.col("file_uri").startswith(prefix)) for p in parts]
     if not parts:
         return None
-    part = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    return latest_per_key(part, ["file_uri"], ["written_at"]).drop("written_at")
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    return latest_per_key(rows, ["file_uri"], ["written_at"])
+
+
+def read_signatures(spark: SparkSession, store: str, algorithm: str,
+                    hash_size: int, prefix: str | None = None) -> DataFrame | None:
+    """Newest stored row per file for one (algorithm, hash_size) (S4, P5);
+    the predicate prunes partitions.  ``prefix`` keeps files under one folder:
+    it reaches the Parquet reader as ``StringStartsWith``, and as store files
+    are sorted by ``file_uri`` whole row groups outside the folder are
+    skipped.  None when nothing is stored.  Rows kept by key come in their
+    buckets: no shuffle finds the newest or joins them on ``file_uri``."""
+    newest = stored_signatures(spark, store, algorithm, hash_size, prefix)
+    return None if newest is None else newest.drop("written_at")
+
+
+def _append(rows: DataFrame, store: str, algorithm: str, hash_size: int) -> None:
+    """Rows with ``written_at`` into the plain part."""
+    (rows.withColumn("algorithm", F.lit(algorithm))
+        .withColumn("hash_size", F.lit(int(hash_size)))
+        .sortWithinPartitions("file_uri")
+        .write.mode("append").partitionBy("algorithm", "hash_size")
+        .parquet(_signatures_path(store)))
+
+
+def _append_by_key(rows: DataFrame, store: str, algorithm: str, hash_size: int, buckets: int) -> None:
+    spark = rows.sparkSession
+    name = _keyed_table(spark, store, algorithm, hash_size, buckets)
+    (rows.select(*[c.split()[0] for c in _KEYED_SCHEMA.split(", ")])
+        .write.format("parquet").mode("append").bucketBy(int(buckets), "file_uri").sortBy("file_uri").saveAsTable(name))
 
 
 def save_signatures(signatures: DataFrame, store: str, algorithm: str, hash_size: int,
@@ -137,47 +214,83 @@ def save_signatures(signatures: DataFrame, store: str, algorithm: str, hash_size
     stamp = int(time.time() * 1_000_000)
     if rows is not None:
         signatures = signatures.coalesce(max(1, -(-int(rows) // ROWS_PER_FILE)))
-    (signatures.where(F.col("bits").isNotNull())
-        .select(*SIGNATURE_COLUMNS)
-        .withColumn("written_at", F.lit(stamp).cast("bigint"))
-        .withColumn("algorithm", F.lit(algorithm))
-        .withColumn("hash_size", F.lit(int(hash_size)))
-        .sortWithinPartitions("file_uri")
-        .write.mode("append").partitionBy("algorithm", "hash_size")
-        .parquet(_signatures_path(store)))
-
-
-def compact_signatures(spark: SparkSession, store: str, algorithm: str, hash_size: int) -> None:
-    """Rewrite one partition as one row per file.  The folded rows are appended
-    with a write time of their own, then the files that were there at the start
+    stamped = (signatures.where(F.col("bits").isNotNull()).select(*SIGNATURE_COLUMNS)
+               .withColumn("written_at", F.lit(stamp).cast("bigint")))
+    buckets = key_buckets(signatures.sparkSession, store, algorithm, hash_size)
+    if buckets:
+        # one task for a bucket: a file each, however many tasks hashed
+        _append_by_key(stamped if rows is not None else stamped.repartition(buckets[-1], "file_uri"),
+                       store, algorithm, hash_size, buckets[-1])
+    else:
+        _append(stamped, store, algorithm, hash_size)
+
+
+def _file_names(df: DataFrame) -> list[str]:
+    """The files that a stored part has now, about ``ROWS_PER_FILE`` rows each."""
+    return [r["f"] for r in df.select(F.input_file_name().alias("f")).distinct().collect()]
+
+
+def compact_signatures(spark: SparkSession, store: str, algorithm: str, hash_size: int,
+                       buckets: int | None = None) -> None:
+    """Rewrite one partition as one row per file, each with its own write time, so
+    a writer that began before and commits later still wins or loses by its time.
+    The folded rows are appended, then the files that were there at the start
     are removed: rows that other writers append meanwhile stay, and a stop in
-    between leaves repeats that readers resolve.  Rows of the streamed part are
-    folded too; its files belong to the stream's log and stay."""
-    stamp = int(time.time() * 1_000_000)  # rows that others append from now on are newer
+    between leaves repeats that readers resolve.  With ``buckets`` (or where the
+    partition has them already) the rows are kept by key.  Rows of a streamed part
+    are folded too; its files belong to the stream's log and stay until
+    ``fold_streamed``."""
+    from sightline.session import fix
+    from sightline.sources.files import remove_files, remove_folder
+
     # listed before the rows are read: a file in between is folded and stays
+    old = key_buckets(spark, store, algorithm, hash_size)
+    buckets = buckets or (old[-1] if old else None)
+    old_files = [f for n in old for f in _file_names(spark.table(_keyed_table(spark, store, algorithm, hash_size, n)))]
     try:
-        before = (spark.read.parquet(_signatures_path(store))
-                  .where((F.col("algorithm") == algorithm) & (F.col("hash_size") == hash_size))
-                  .select(F.input_file_name().alias("f")).distinct())
-        old_files = [r["f"] for r in before.collect()]  # the partition's files, about ROWS_PER_FILE rows each
+        plain = spark.read.parquet(_signatures_path(store))
+        old_files += _file_names(plain.where((F.col("algorithm") == algorithm) & (F.col("hash_size") == hash_size)))
     except AnalysisException:
-        old_files = []
-    current = read_signatures(spark, store, algorithm, hash_size)
+        pass
+    current = stored_signatures(spark, store, algorithm, hash_size)
     if current is None:
         return
-    # range-partitioned and sorted by file: each file covers one key range,
-    # so prefix reads skip files and row groups by their min/max statistics
-    from sightline.session import fix
+    # sorted by file: prefix reads skip files and row groups by their min/max
+    # statistics (by range here, within each bucket there)
     current = fix(current)
-    files = max(1, -(-current.count() // ROWS_PER_FILE))
-    (current.repartitionByRange(files, "file_uri").sortWithinPartitions("file_uri")
-        .withColumn("written_at", F.lit(stamp).cast("bigint"))
-        .withColumn("algorithm", F.lit(algorithm))
-        .withColumn("hash_size", F.lit(int(hash_size)))
-        .write.mode("append")
-        .partitionBy("algorithm", "hash_size").parquet(_signatures_path(store)))
-    from sightline.sources.files import remove_files
+    if buckets:
+        _append_by_key(current.repartition(buckets, "file_uri"), store, algorithm, hash_size, buckets)
+    else:
+        files = max(1, -(-current.count() // ROWS_PER_FILE))
+        _append(current.repartitionByRange(files, "file_uri"), store, algorithm, hash_size)
     remove_files(spark, old_files)
+    for n in old:
+        if n != buckets:  # only files written meanwhile could be left there
+            if spark.table(_keyed_table(spark, store, algorithm, hash_size, n)).isEmpty():
+                remove_folder(spark, f"{_keyed_path(store, algorithm, hash_size)}/buckets={n}")
+
+
+def fold_streamed(spark: SparkSession, store: str) -> None:
+    """Move the rows of a streamed part into the table that everything else uses:
+    they are appended with their own write times, then the streamed folder goes
+    as a whole.  A stop in between leaves repeats that readers resolve; nothing
+    may stream into that folder any more (this version's refreshes don't)."""
+    from sightline.sources.files import remove_folder
+
+    try:
+        raw = spark.read.parquet(_stream_path(store))
+    except AnalysisException:
+        return
+    for r in raw.select("algorithm", "hash_size").distinct().collect():  # one for each partition
+        algorithm, hash_size = r["algorithm"], r["hash_size"]
+        rows = raw.where((F.col("algorithm") == algorithm) & (F.col("hash_size") == hash_size))
+        newest = latest_per_key(rows.select(*SIGNATURE_COLUMNS, "written_at"), ["file_uri"], ["written_at"])
+        buckets = key_buckets(spark, store, algorithm, hash_size)
+        if buckets:
+            _append_by_key(newest.repartition(buckets[-1], "file_uri"), store, algorithm, hash_size, buckets[-1])
+        else:
+            _append(newest, store, algorithm, hash_size)
+    remove_folder(spark, _stream_path(store))
 
 
 # -- file inventory ----------------------------------------------------------

@@ -388,16 +388,29 @@ def _scratch_store(spark):
 def q_store_roundtrip(spark, d):
     """The signature table written twice, read by partition, compacted and
     read again: the newest row of each file."""
+    path = _scratch_store(spark)
+    return _store_in_two_saves(spark, d, path)
+
+
+def q_store_by_key(spark, d):
+    """The same with rows kept by key from before the second save on: read
+    bucket by bucket."""
+    path = _scratch_store(spark)
+    return _store_in_two_saves(spark, d, path, buckets=8)
+
+
+def _store_in_two_saves(spark, d, path, buckets=None):
     v, split = _versions(spark, d)
     rows = v.select(F.concat_ws("/", F.col("user_id").cast("string"), "event_type").alias("file_uri"),
                     F.col("event_id").alias("size"), "mtime",
                     F.lower(F.lpad(F.hex("event_id"), 16, "0")).alias("hash_hex"),
                     F.array("event_id").alias("bits"), F.lit(64).alias("n_bits"))
-    path = _scratch_store(spark)
     old, new = rows.where(F.col("size") < split), rows.where(F.col("size") >= split)
     newest = lambda df: store.latest_per_key(df, ["file_uri"], ["size"])
     store.save_signatures(newest(old), path, "average", 8)
     store.save_signatures(newest(old), path, "difference", 7)  # another partition
+    if buckets:
+        store.compact_signatures(spark, path, "average", 8, buckets)
     store.save_signatures(newest(new), path, "average", 8)
     store.compact_signatures(spark, path, "average", 8)
     return store.read_signatures(spark, path, "average", 8).select("file_uri", "size", "mtime", "hash_hex")
@@ -480,6 +493,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "batch_search_chunked": q_batch_search_chunked,
         "tree_listing": q_tree_listing,
         "store_roundtrip": q_store_roundtrip,
+        "store_by_key": q_store_by_key,
         "inventory_roundtrip": q_inventory_roundtrip,
         "stream_refresh": q_stream_refresh,
         "refresh_listing": q_refresh_listing,

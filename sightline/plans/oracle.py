@@ -346,7 +346,7 @@ def oracle_sql() -> dict[str, str]:
     q["tree_listing"] = (
         "SELECT vec_id, label, '' AS hundred, (vec_id // 100)::INTEGER AS encoded_hundred, vec_id % 7 = 6 AS hidden, "
         "true AS has_bytes FROM embeddings")
-    q["store_roundtrip"] = (
+    q["store_roundtrip"] = q["store_by_key"] = (
         "SELECT user_id::VARCHAR || '/' || event_type AS file_uri, event_id AS size, mtime, "
         f"printf('%016x', event_id) AS hash_hex FROM ({current})")
     q["inventory_roundtrip"] = (

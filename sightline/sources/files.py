@@ -60,6 +60,18 @@ def qualified_uri(spark: SparkSession, path: str) -> str:
     return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own).toUri().toString()
 
 
+def qualified_path(spark: SparkSession, path: str) -> str:
+    """``path`` with its file system's scheme, whether or not it exists."""
+    fs, p = _hadoop_fs(spark, path)
+    return fs.makeQualified(p).toString()
+
+
+def folder_names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder (of few entries); none if there is no such folder."""
+    fs, p = _hadoop_fs(spark, path)
+    return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+
+
 def remove_files(spark: SparkSession, uris: list[str]) -> None:
     """Delete files by the URIs that Spark reports, through their file system."""
     jvm = spark.sparkContext._jvm

@@ -11,7 +11,7 @@ was stopped goes on with what the store lacks.  A micro-batch that runs twice
 appends equal rows, of which readers keep one.
 
 ``start_watch`` repeats the refresh at an interval.  ``start_refresh`` appends any
-stream of signatures with Spark's file sink (exactly once by its commit log).
+stream of signatures to the same table.
 """
 
 from __future__ import annotations
@@ -23,35 +23,33 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from sightline.operators import store
 from sightline.operators.hashes import with_signature
-from sightline.session import scratch_path
+from sightline.session import fix, scratch_path
 from sightline.sources import standins as st
-from sightline.sources.files import list_files, path_kind, qualified_uri, remove_folder, resolved
+from sightline.sources.files import list_files, qualified_uri, remove_folder, resolved
 from sightline.sources.listing import forget, list_tree, supported
 
 
 LISTED = "file_uri string, size bigint, mtime timestamp"
 
 
-def stream_path(store_path: str) -> str:
-    return f"{store_path.rstrip('/')}/signatures_stream"
-
-
 def start_refresh(signature_stream: DataFrame, store_path: str, checkpoint: str,
                   available_now: bool = True, output_files: int = 8) -> StreamingQuery:
     """Append the stream's successful signatures (columns of
-    ``store.SIGNATURE_COLUMNS`` plus ``algorithm`` and ``hash_size``) to the
-    store's streamed part."""
-    # one shuffle after hashing (signature rows only, never pixels) so each
-    # micro-batch writes ``output_files`` files, not one per input split
-    rows = (signature_stream.where(F.col("bits").isNotNull())
-            .select(*store.SIGNATURE_COLUMNS, "algorithm", "hash_size")
-            .withColumn("written_at", F.unix_micros(F.current_timestamp()))
-            .repartition(output_files))
-    writer = (rows.writeStream.format("parquet").outputMode("append")
-              .option("checkpointLocation", checkpoint)
-              .partitionBy("algorithm", "hash_size"))
+    ``store.SIGNATURE_COLUMNS`` plus ``algorithm`` and ``hash_size``) to the store's
+    table, micro-batch by micro-batch.  A batch that runs twice appends equal
+    rows, of which readers keep one."""
+    def append(batch: DataFrame, batch_id: int) -> None:
+        # computed once; one shuffle after hashing (signature rows only, never
+        # pixels) so each micro-batch writes ``output_files`` files at most
+        rows = fix(batch.where(F.col("bits").isNotNull()).select(
+            *store.SIGNATURE_COLUMNS, "algorithm", "hash_size").repartition(output_files))
+        for r in rows.select("algorithm", "hash_size").distinct().collect():  # what the stream hashes with
+            mine = rows.where((F.col("algorithm") == r["algorithm"]) & (F.col("hash_size") == r["hash_size"]))
+            store.save_signatures(mine, store_path, r["algorithm"], r["hash_size"])
+
+    writer = signature_stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer
-    return writer.start(stream_path(store_path))
+    return writer.start()
 
 
 def image_signature_stream(spark: SparkSession, root: str, algorithm: str, hash_size: int,
@@ -152,11 +150,4 @@ def read_refreshed(spark: SparkSession, store_path: str, algorithm: str, hash_si
     return found
 
 
-def read_streamed(spark: SparkSession, store_path: str, algorithm: str, hash_size: int) -> DataFrame:
-    """The rows that ``start_refresh`` appended, or all if there are none of its."""
-    if path_kind(spark, stream_path(store_path)) is None:
-        return read_refreshed(spark, store_path, algorithm, hash_size)
-    raw = spark.read.parquet(stream_path(store_path))
-    part = raw.where((F.col("algorithm") == algorithm) & (F.col("hash_size") == hash_size))
-    return store.latest_per_key(part.select(*store.SIGNATURE_COLUMNS, "written_at"),
-                                ["file_uri"], ["written_at"]).drop("written_at")
+read_streamed = read_refreshed  # streams append to the same table
