@@ -30,6 +30,7 @@ repeated rows are equal documents; ids that are null count as the largest.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -234,7 +235,7 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     until nothing changes; each round is a written table."""
     both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{name}-edges")
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("label")), f"{name}-0")
-    for i in range(1, 100):
+    for i in itertools.count(1):
         near = both.join(labels, both["b"] == labels["node"]).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("seen"))
         spread = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "seen").alias("label"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
@@ -243,7 +244,6 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         labels = new.select("node", "label")
         if new.where("old <> label").limit(1).count() == 0:
             return labels
-    raise RuntimeError("components did not settle")
 
 
 def _sized(a, b, percent: int):

@@ -14,7 +14,8 @@ The statistics come from the text alone: no label, language, source or id.
 
 Defined results: a null or empty text has all statistics zero and gets the
 score of that row; without labels of both classes every score is the share of
-label 1 (0.5 without any); repeated rows score alike; other columns are kept
+label 1 (0.5 without any); repeated rows score alike, and a doc_id with several
+labels or texts is learned from once; other columns are kept
 unless named like an output.
 """
 
@@ -156,15 +157,17 @@ def training_statistics(docs: DataFrame, labels: DataFrame, max_train_rows: int
                         id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
     """Statistics and labels of the training sample.  ``labels`` has doc_id and
     quality (0 or 1); the rows to learn from are the caller's choice.  The
-    sample's ids are broadcast: about ``max_train_rows`` of them."""
-    known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
+    sample's ids are broadcast: about ``max_train_rows`` of them.  Each has one
+    row, however many a doc_id has: the largest label and the smallest text."""
+    known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(
+        F.max("quality").alias("quality"))
     n = known.count()
     whole = 1 << 62  # a range in which no share rounds to zero
     below = whole if n <= max_train_rows else max(1, max_train_rows * whole // n)
     sample = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(whole)) < below).select(
         F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("_y"))
     chosen = docs.select(F.col(f"`{id_col}`").alias("_doc"), F.col(f"`{text_col}`").alias("_text")).join(
-        F.broadcast(sample), F.col("_doc") == F.col("_id")).select("_doc", "_y", "_text")
+        F.broadcast(sample), F.col("_doc") == F.col("_id")).groupBy("_doc", "_y").agg(F.min("_text").alias("_text"))
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

@@ -327,3 +327,62 @@ def test_pii_spans_by_hand(spark):
         order = {k: n for n, k in enumerate(pii.KINDS)}
         want = [":".join(map(str, s)) for s in sorted([*base, *yes], key=lambda s: (order[s[0]], s[1]))]
         assert got[i] == ",".join(want)
+
+
+def test_quality_one_id_on_many_rows(spark):
+    """A sampled id's rows don't all come to the driver."""
+    from sightline.llm import quality_classifier as qc
+
+    docs = spark.range(3000).select(F.lit(7).cast("long").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    labels = spark.createDataFrame([(7, 0), (7, 1), (7, None), (8, 1)], "doc_id long, quality int").union(
+        spark.range(50).select(F.lit(7).cast("long"), F.lit(1)))
+    x, y = qc.training_statistics(docs, labels)
+    assert x.shape == (1, len(qc.STATISTICS)) and y.tolist() == [1.0]
+    assert x[0].tolist() == qc.statistics("text 0")
+
+
+def test_quality_scores_by_hand(spark):
+    """Every row's score from the fitted trees, node by node."""
+    from sightline.llm import quality_classifier as qc
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", "quality")
+    model = qc.grow_trees(*qc.training_statistics(docs, labels), trees=20)
+    for r in qc.score_quality(docs, model).collect():
+        x, total = qc.statistics(r["text"]), model.base
+        for feature, threshold, value in zip(model.feature, model.threshold, model.value):
+            node = 0
+            while node < len(feature):
+                node = 2 * node + (2 if x[feature[node]] > threshold[node] else 1)
+            total += value[node - len(feature)]
+        assert abs(r["score"] - 1 / (1 + np.exp(-total))) < 1e-9
+
+
+def test_language_labels_by_hand(spark):
+    """Rows labelled in batches against one text at a time in plain double sums."""
+    from sightline.llm import language_id as li
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    crf = li.fit(docs, max_train_rows=200)
+    got = {r["doc_id"]: r for r in li.label_languages(docs.where("doc_id % 3 = 0"), crf).collect()}
+    move, first = np.exp(crf.transitions), np.exp(crf.start)
+    for i, text in [(r["doc_id"], r["text"]) for r in docs.where("doc_id % 3 = 0").collect()]:
+        words = [c if " " in c else li.letters_of(c) for c in li.positions_of(text)]
+        words = [w for w in words if w]
+        if not words:
+            assert got[i]["lang_pred"] == "und" and got[i]["score"] == 0
+            continue
+        log = crf.potentials(words).astype(np.float64)
+        phi = np.exp(log - log.max(axis=1, keepdims=True))
+        ahead, back = [], [np.ones(len(first))]
+        for t, p in enumerate(phi):
+            a = p * (first if t == 0 else ahead[-1] @ move)
+            ahead.append(a / a.sum())
+        for p in phi[:0:-1]:
+            b = move @ (p * back[-1])
+            back.append(b / b.sum())
+        mass = sum((a * b) / (a * b).sum() for a, b in zip(ahead, back[::-1]))
+        share = mass / mass.sum()
+        assert abs(share.max() - got[i]["score"]) < 1e-3
+        if np.sort(share)[-1] - np.sort(share)[-2] > 1e-2:
+            assert got[i]["lang_pred"] == crf.languages[int(share.argmax())]
