@@ -9,7 +9,7 @@ Plan of ``search`` (steps 2-5 are ``folder_signatures``, which
    the driver), drop the reference and files outside the size window
 3. one left join against the newest stored rows splits the candidates into
    store hits (size and mtime unchanged) and misses
-4. decode and hash the misses only, in slices of at most ``slice_files``
+4. decode and hash the misses only, in slices of about ``slice_files``
    files whose paths are handed to the image reader; when the listing is a
    made now, all of it misses and the root's files fit one slice, a filtered
    scan of the root is decoded (the same files, without naming them)
@@ -21,6 +21,7 @@ Plan of ``search`` (steps 2-5 are ``folder_signatures``, which
 from __future__ import annotations
 
 import time
+import uuid
 from dataclasses import dataclass, field
 from urllib.parse import unquote, urlparse
 
@@ -39,17 +40,18 @@ from sightline.operators.similarity import (
     score_against,
     size_bounds,
 )
-from sightline.session import ensure_checkpoint_dir, fix
+from sightline.session import ensure_checkpoint_dir, fix, scratch_path
 from sightline.sources.files import (
     candidate_filter,
+    folder_names,
     list_files,
     path_kind,
     path_mtime,
     qualified_uri,
     resolved,
 )
-from sightline.sources.listing import list_tree, supported
 from sightline.sources.images import picture_conf, read_images, with_picture_signature
+from sightline.sources.listing import list_tree, supported
 
 
 @dataclass
@@ -231,19 +233,18 @@ def folder_signatures(spark: SparkSession, root: str, cfg: SearchConfig,
     else:
         from_store, to_hash, n_hits, n_misses = None, candidates, 0, candidates.count()
 
-    slices = -(-n_misses // cfg.slice_files)
     parts = [] if from_store is None else [from_store]
-    for i in range(slices):
-        if slices == 1 and n_hits == 0 and listed.scanned:
+    if n_misses > cfg.slice_files:
+        parts.append(_hash_in_slices(spark, to_hash, -(-n_misses // cfg.slice_files), cfg))
+    elif n_misses:
+        if n_hits == 0 and listed.scanned:
             # the same files, without naming them; the image source passes over
             # empty ones, which can't be decoded anyway
             fresh = _signatures_of(read_images(spark, root, extensions=cfg.extensions).where(keep), cfg).select(
                 "file_uri", "size", "mtime", "bits", "hash_hex", "n_bits").unionByName(
                 _undecoded(to_hash.where(F.col("size") == 0), cfg))
         else:
-            mine = to_hash if slices == 1 else to_hash.where(
-                F.pmod(F.xxhash64("file_uri"), F.lit(slices)) == i)
-            fresh = _decode_listed(spark, mine, cfg)
+            fresh = _decode_listed(spark, to_hash, cfg)
         fresh = _computed(spark, fresh)
         if cfg.store_path and cfg.save_signatures:
             store.save_signatures(fresh, cfg.store_path, cfg.algorithm, cfg.hash_size)
@@ -257,6 +258,26 @@ def folder_signatures(spark: SparkSession, root: str, cfg: SearchConfig,
     return results, int(n_hits), listed.skipped
 
 
+def _hash_in_slices(spark: SparkSession, to_hash: DataFrame, slices: int, cfg: SearchConfig) -> DataFrame:
+    """Signatures of many files, one slice after another (only a slice's paths pass
+    the driver).  The slices are the partitions of a table that one job writes,
+    and their signatures those of another, so each slice reads its own rows only
+    and the result is one scan, however many slices there were."""
+    base = scratch_path(spark, f"slices-{uuid.uuid4().hex}")
+    (to_hash.withColumn("slice", F.pmod(F.xxhash64("file_uri"), F.lit(slices)))
+        .repartition("slice").write.partitionBy("slice").parquet(f"{base}/todo"))
+    for name in sorted(folder_names(spark, f"{base}/todo")):
+        if not name.startswith("slice="):
+            continue
+        mine = spark.read.schema("file_uri string, size bigint, mtime timestamp").parquet(f"{base}/todo/{name}")
+        with picture_conf(spark):
+            _decode_listed(spark, mine, cfg).hint("rebalance").write.parquet(f"{base}/hashed/{name}")
+        if cfg.store_path and cfg.save_signatures:  # a run that stops keeps its finished slices
+            store.save_signatures(spark.read.parquet(f"{base}/hashed/{name}"), cfg.store_path, cfg.algorithm, cfg.hash_size)
+    return spark.read.schema("file_uri string, size bigint, mtime timestamp, bits array<bigint>").parquet(f"{base}/hashed").select(
+        "file_uri", "size", "mtime", "bits")
+
+
 def search(spark: SparkSession, reference: str, root: str,
            config: SearchConfig | None = None) -> tuple[DataFrame, DataFrame]:
     """Matches ``reference, candidate, distance, similarity_pct, file_size,

@@ -124,3 +124,39 @@ def test_hash_once_per_row(spark):
     sig = with_signature(df, "g", "average", 16, 16, 16).select("id", "bits")
     plan = score_against(sig, [0, 0, 0, 0], 256, 50.0)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("aggregate(") <= 5 * 1  # the mean and four words, once
+
+
+def test_slices_read_their_own_rows(spark, tmp_path):
+    """The plan of the result doesn't grow with the slices, and a run that stops
+    keeps the slices it finished."""
+    from sightline.plans import search as m
+
+    root = tmp_path / "pics"
+    root.mkdir()
+    for i in range(12):
+        write_png(root / f"p{i}.png", noise(i, 32))
+    leaves = []
+    for n in (6, 1):
+        cfg = SearchConfig(size_tolerance_pct=None, algorithm="average", hash_size=8, slice_files=n,
+                           store_path=str(tmp_path / f"store{n}"))
+        found, hits, _ = m.folder_signatures(spark, str(root), cfg)
+        assert found.where("bits IS NOT NULL").count() == 12 and hits == 0
+        leaves.append(found._jdf.queryExecution().optimizedPlan().collectLeaves().size())
+        assert m.folder_signatures(spark, str(root), cfg)[1] == 12
+    assert leaves == [1, 1]
+    decode, calls = m._decode_listed, []
+
+    def stops(*args):
+        calls.append(1)
+        if len(calls) == 3:
+            raise RuntimeError("stopped")
+        return decode(*args)
+
+    m._decode_listed = stops
+    cfg = SearchConfig(size_tolerance_pct=None, algorithm="average", hash_size=8, slice_files=1, store_path=str(tmp_path / "stopped"))
+    try:
+        with pytest.raises(RuntimeError):
+            m.folder_signatures(spark, str(root), cfg)
+    finally:
+        m._decode_listed = decode
+    assert 0 < m.folder_signatures(spark, str(root), cfg)[1] < 12
