@@ -11,7 +11,8 @@ document's bounds.
 
 Defined results: a null text has no words; texts of fewer words than a window
 keep all; a repeated row is a document of its own, so its windows start
-elsewhere; kept words are joined by one space.
+elsewhere; kept words are joined by one space; an empty table gives no row;
+columns other than id and text are not read.
 """
 
 from __future__ import annotations
@@ -26,10 +27,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sightline.llm.common import discard, written
-from sightline.llm.repeats import covered, mix, repeated_segments, with_places, with_row_id
+from sightline.llm.repeats import covered, mix, repeated_segments, window_ids, with_row_id
 
 WINDOW = 35
 GRAM = 12
+BLOCK_IDS = 1_000_000
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
 
 
@@ -47,10 +49,10 @@ def first_ids(words: np.ndarray) -> dict[int, np.ndarray]:
     return {1: mix(words, words)}
 
 
-def repeated_paths(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def repeated_paths(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, first=first_ids) -> DataFrame:
     """(rid, lo, n, path): occurrences of the compacted paths of repeated
     windows, as ``n`` windows from word ``lo`` on; rows of ``with_row_id``."""
-    found = repeated_segments(docs, window, gram, to_words, first_ids, "words")
+    found = repeated_segments(docs, window, gram, to_words, first, "words")
     edges = found.dropDuplicates(["rid", "lo"])
     along = Window.partitionBy("rid").orderBy("lo")
     # the neighbours on the path through a document; null at its ends
@@ -73,34 +75,111 @@ def repeated_paths(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     return paths
 
 
-def remove_repeated_words(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, text_col: str = "text",
-                          id_col: str = "doc_id", kept: bool = True) -> DataFrame:
-    """One row per document: word counts, the SHA-256 of the kept words joined
-    by a space and (with ``kept``) that text."""
-    rows = with_row_id(docs, text_col, id_col)
-    marked = with_places(rows, repeated_paths(rows, window, gram)).select("doc_id", "text", "places")
+def _span_digest(words: list[bytes], lo: int, n: int, window: int) -> bytes:
+    """A digest of the words that ``n`` windows from ``lo`` on cover: no word holds
+    a space, so joined by one they are told apart."""
+    return hashlib.blake2b(b" ".join(words[lo:lo + n + window - 1]), digest_size=16).digest()
+
+
+def _with_paths(rows: DataFrame, paths: DataFrame) -> DataFrame:
+    """``rows`` with ``places``: the (lo, n, path) of each row's paths, each once."""
+    per_row = paths.groupBy("rid").agg(F.collect_set(F.struct("lo", "n", "path")).alias("places"))
+    return rows.join(per_row.hint("shuffle_hash"), "rid", "left").select("rid", "doc_id", "text", "places")
+
+
+def _cut(marked: DataFrame, window: int, kept: bool) -> DataFrame:
+    """The result rows, with ``rid`` and ``checks``: each removed path's source
+    coordinates and the digest of the words there."""
+    fields = SCHEMA.split(", ")[:5 if kept else 4]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [f.split()[0] for f in SCHEMA.split(", ")][:5 if kept else 4]
+        check = pa.list_(pa.struct([("path", pa.int64()), ("lo", pa.int32()), ("n", pa.int32()), ("digest", pa.binary())]))
+        kinds = [*([pa.int64()] * 3 + [pa.string()] * 2)[:len(fields)], pa.int64(), check]
+        names = [*[f.split()[0] for f in fields], "rid", "checks"]
         for b in batches:
             out = []
-            for doc_id, text, places in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
+            for rid, doc_id, text, places in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3)):
                 words = word_bytes(text.as_py())
-                found, rest = places.as_py(), words
+                found, rest, checks = places.as_py(), words, []
                 if found:
                     assert all(p["lo"] + p["n"] + window - 1 <= len(words) for p in found), "outside its source"
+                    checks = [{**p, "digest": _span_digest(words, p["lo"], p["n"], window)} for p in found]
                     gone = covered(len(words), found, window)
                     rest = [w for w, g in zip(words, gone.tolist()) if not g]
                 body = b" ".join(rest)
-                row = (doc_id, len(words), len(words) - len(rest), hashlib.sha256(body).hexdigest())
-                out.append((*row, body.decode("utf-8", "replace")) if kept else row)
+                row = (doc_id, len(words), len(words) - len(rest), hashlib.sha256(body).hexdigest(),
+                       body.decode("utf-8", "replace"))
+                out.append((*row[:len(fields)], rid, checks))
             if out:
-                kinds = [pa.int64()] * 3 + [pa.string(), pa.string()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
+
+    kind = "rid long, checks array<struct<path:bigint,lo:int,n:int,digest:binary>>"
+    return marked.mapInArrow(cut, f"{', '.join(fields)}, {kind}")
+
+
+def _exact_windows(rows: DataFrame, runs: DataFrame, window: int, first) -> DataFrame:
+    """(rid, lo, n = 1): windows with an identifier of one of ``runs`` that really
+    start elsewhere, by digests of their words.  Identifiers go out in blocks of
+    ``BLOCK_IDS``, each with a pass over all texts."""
+    spark = rows.sparkSession
+    per_row = runs.groupBy("rid").agg(F.collect_set(F.struct("lo", "n")).alias("places"))
+
+    def identifiers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for text, places in zip(b.column(0), b.column(1)):
+                todo = [(p["lo"], p["n"]) for p in places.as_py()]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
+                    [pa.array(np.unique(np.concatenate(window_ids(to_words(text.as_py()), todo, window, first))))], names=["wid"])
+
+    asked = written(rows.join(per_row, "rid").select("text", "places").mapInArrow(identifiers, "wid long").distinct(), "words-asked")
+    blocks = max(1, -(-asked.count() // BLOCK_IDS))
+    found = None
+    for block in range(blocks):
+        mine = asked.where(F.pmod(F.xxhash64("wid"), F.lit(blocks)) == block)
+        wanted = spark.sparkContext.broadcast(np.sort(mine.toPandas()["wid"].to_numpy(np.int64)))
+
+        def occurrences(batches: Iterator[pa.RecordBatch], wanted=wanted) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for rid, text in zip(b.column(0).to_pylist(), b.column(1)):
+                    words, units = word_bytes(text.as_py()), to_words(text.as_py())
+                    if len(words) < window:
+                        continue
+                    ids = window_ids(units, [(0, len(words) - window + 1)], window, first)[0]
+                    at = np.flatnonzero(np.isin(ids, wanted.value)).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([_span_digest(words, i, 1, window) for i in at.tolist()], pa.binary()),
+                         pa.array(np.full(len(at), rid, np.int64)), pa.array(at)], names=["digest", "rid", "lo"])
+
+        part = written(rows.select("rid", "text").mapInArrow(occurrences, "digest binary, rid long, lo int"), "words-exact")
+        found = part if found is None else found.unionByName(part)
+    again = found.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest")
+    return written(found.join(again, "digest").select("rid", "lo", F.lit(1).alias("n"), F.lit(0).cast("long").alias("path")),
+                   "words-verified")
+
 
-    schema = SCHEMA if kept else SCHEMA.rpartition(", ")[0]
-    return marked.mapInArrow(cut, schema)
+def remove_repeated_words(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, text_col: str = "text",
+                          id_col: str = "doc_id", kept: bool = True, first=first_ids) -> DataFrame:
+    """One row per document: word counts, the SHA-256 of the kept words joined
+    by a space and (with ``kept``) that text.
+
+    Every removed path that occurs more than once is compared with its other
+    occurrences, by digests of the words at their source coordinates.  Where an
+    occurrence has words that no other has (identifiers ``first`` collided), its
+    windows are decided anew by their words."""
+    rows = with_row_id(docs, text_col, id_col)
+    paths = repeated_paths(rows, window, gram, first)
+    done = written(_cut(_with_paths(rows, paths), window, kept), "words-done")
+    checks = done.select("rid", F.explode("checks").alias("c")).select("rid", "c.*")
+    spans = checks.groupBy("path", "digest").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("rid", "lo", "n")).alias("at"))
+    # a path of one occurrence has its like inside longer paths
+    several = spans.groupBy("path").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("path")
+    alone = written(spans.where("times = 1").join(several, "path").select("path", "at.*"), "words-alone")
+    if not alone.isEmpty():
+        good = paths.join(alone.select("rid", "lo", "n", "path"), ["rid", "lo", "n", "path"], "left_anti")
+        exact = _exact_windows(rows, alone, window, first)
+        done = written(_cut(_with_paths(rows, good.unionByName(exact)), window, kept), "words-done")
+    discard(paths, alone)
+    return done.drop("rid", "checks")
 
 
 def oracle_sql() -> str:

@@ -386,3 +386,37 @@ def test_language_labels_by_hand(spark):
         assert abs(share.max() - got[i]["score"]) < 1e-3
         if np.sort(share)[-1] - np.sort(share)[-2] > 1e-2:
             assert got[i]["lang_pred"] == crf.languages[int(share.argmax())]
+
+
+def test_substring_dedup_collisions_remove_nothing_wrong(spark, monkeypatch):
+    """Texts of the same weak identifiers and other words: nothing goes but what
+    really repeats, whole texts or parts."""
+    import brute
+    from sightline.llm import substring_dedup as sd
+
+    def weak(words):  # two identifiers for all words
+        return {1: sd.mix(words & np.uint64(1), words & np.uint64(1))}
+
+    def like(text, seed):
+        """Other words with the same weak identifiers."""
+        out, x = [], seed
+        for w in text.split():
+            want = int(sd.to_words(w)[0]) & 1
+            while True:
+                x += 1
+                if int(sd.to_words(f"w{x}")[0]) & 1 == want:
+                    out.append(f"w{x}")
+                    break
+        return " ".join(out)
+
+    a = prose(21, 120)
+    texts = [a, like(a, 1000), like(a, 5000), prose(22, 80), prose(22, 80), None, "", "short text"]
+    texts.append(texts[1])  # and a real copy of a text with collisions
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for block in (sd.BLOCK_IDS, 7):
+        monkeypatch.setattr(sd, "BLOCK_IDS", block)
+        got = sd.remove_repeated_words(docs, kept=False, first=weak).collect()
+        want = brute.substring_rows(texts)
+        assert Counter(tuple(r) for r in got) == Counter((i, *w) for i, w in enumerate(want))
+    plain = sd.remove_repeated_words(docs, kept=True).collect()
+    assert Counter((r[0], *r[1:4]) for r in plain) == Counter((i, *w) for i, w in enumerate(want))
