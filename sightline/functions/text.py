@@ -16,10 +16,7 @@ IMAGE_EXTENSIONS = (
 # Texts of the search report.  Size units step by 1024 below
 # the last one; the match line reads as below.
 SIZE_UNITS = ("B", "KB", "MB", "GB", "TB")
-MATCH_MARK = "  ✓ "
-MATCH_SIMILARITY = "\n    Similarity: "
-MATCH_DISTANCE = "% | Hamming distance: "
-MATCH_SIZE = " | Size: "
+MATCH_LINE = "  ✓ %s\n    Similarity: %s%% | Hamming distance: %s | Size: %s"
 
 # Suffix of the last path component: a dot that is not the name's first
 # character, followed by at least one character that is neither '.' nor '/'.
@@ -65,10 +62,8 @@ def human_size(size: Column) -> Column:
 
 def match_line(candidate: Column, similarity: Column, distance: Column, size: Column) -> Column:
     """Two-line text of one match."""
-    return F.concat(
-        F.lit(MATCH_MARK), candidate.cast("string"), F.lit(MATCH_SIMILARITY),
-        _one_decimal(similarity), F.lit(MATCH_DISTANCE), distance.cast("string"),
-        F.lit(MATCH_SIZE), human_size(size))
+    return F.format_string(MATCH_LINE, candidate.cast("string"), _one_decimal(similarity),
+                           distance.cast("string"), human_size(size))
 
 
 def numbered_line(rank: Column, line: Column) -> Column:

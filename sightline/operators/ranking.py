@@ -54,8 +54,10 @@ def number_rows(df: DataFrame, order: list[Column], by: list[str] | None = None,
         running += counts.get(p, 0)
     if not offsets:
         return fixed.withColumn(name, F.lit(None).cast("bigint")).limit(0)
-    offset_of = F.array(*[F.lit(o).cast("bigint") for o in offsets])
-    numbered = tagged.withColumn("_gpos", offset_of[F.col("_pid")] + F.col("_pos"))
+    # one small row for each partition, not one literal each in an expression
+    before = spark.createDataFrame(list(enumerate(offsets)), "_pid int, _before bigint")
+    numbered = (tagged.join(F.broadcast(before), "_pid")
+                .withColumn("_gpos", F.col("_before") + F.col("_pos")).drop("_before"))
     if not by:
         return numbered.withColumn(name, F.col("_gpos") + 1).drop("_pid", "_pos", "_gpos")
     # Group starts, keyed by (partition, group): a hot group spans many
