@@ -22,6 +22,9 @@ rows that share a null or repeated id keep their own.
 Defined results: null and empty texts have no words, so nothing is hit; null
 items have no windows; repeated items and documents each count; other columns
 of the inputs are ignored by name clashes, as only the named ones are read.
+Very long texts are split whole, and their words joined as rows of their own; of
+equally rare words of a window the first by letters leads; without documents
+there is no row, without items nothing is hit.
 """
 
 from __future__ import annotations

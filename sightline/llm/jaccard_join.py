@@ -25,7 +25,9 @@ joined by a shuffle.
 
 Defined results: null and empty texts have an empty set, link with nothing and
 are their own component; a text of fewer words than a shingle is one shingle;
-repeated rows are equal documents; ids that are null count as the largest.
+repeated rows are equal documents; ids that are null count as the largest; very
+long texts are sets like others; an empty table gives no row; columns other than
+id and text are not read.
 """
 
 from __future__ import annotations

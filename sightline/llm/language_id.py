@@ -23,7 +23,8 @@ sum's share.  Only counts and the training sample are shuffled.
 
 Defined results: null texts and texts without a letter are ``und`` with score
 0; without training rows every text is; repeated rows are labelled alike;
-input columns stay unless named like an output.
+input columns stay unless named like an output; of languages with equal sums the
+first by name wins; an empty table gives no row.
 """
 
 from __future__ import annotations

@@ -25,7 +25,8 @@ a run starts (or where the last match ended), which leaves the leftmost
 non-overlapping matches unchanged but keeps long runs linear.
 
 Defined results: null and empty texts have no spans; repeated rows each get
-their own; input columns stay, except those named like an output.
+their own; input columns stay, except those named like an output; an empty table
+gives no row; of spans that start together the shorter is first, then by kind.
 """
 
 from __future__ import annotations

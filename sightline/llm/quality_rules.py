@@ -6,7 +6,9 @@ one projection, without user functions and without a shuffle.
 
 Defined results: a null or empty text has zero words and fails; a rule whose
 denominator is zero holds.  Repeated rows each get their own result; columns
-of the input are kept unless named like an output, which replaces them.
+of the input are kept unless named like an output, which replaces them.  Very
+long texts are split whole in memory, one row at a time; an empty table gives no
+row; nothing depends on order, so there are no ties.
 """
 
 from __future__ import annotations

@@ -14,7 +14,9 @@ which is all that removal asks.
 
 Defined results: a null text is empty; texts shorter than ``length`` keep all
 bytes; a repeated row is a document of its own, so its bytes start elsewhere;
-cuts are made in bytes and may split a character.
+cuts are made in bytes and may split a character; very long texts go through in
+overlapping slabs; an empty table gives no row; columns other than id and text are
+not read.
 """
 
 from __future__ import annotations

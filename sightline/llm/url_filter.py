@@ -15,7 +15,9 @@ string wins, then the longer host.  Rules come as a driver-side list: their
 number is the caller's, not the data's.
 
 Defined results: null, empty or scheme-less URLs have empty host and path, no
-rule and the default verdict.
+rule and the default verdict.  Repeated rows are judged alike, of equally long
+rules there is one a host and path, very long URLs are read whole, other columns
+stay unless named like an output, and an empty table gives no row.
 """
 
 from __future__ import annotations
