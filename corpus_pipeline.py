@@ -4,7 +4,16 @@ operator to all rows that the stage before it kept.
 A stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame, which is
 written as Parquet and read again as the next stage's ``docs``.  All but the
 last return the columns of ``documents``; stages keep row order open and repeat
-alike after a lost executor."""
+alike after a lost executor.
+
+Defined results, by stage: null and empty texts, and texts without a letter, go
+with language ID, so no later stage sees them; other columns than those of
+``documents`` are not read, whatever their names; very long texts go through
+whole; of rows equal in id and text the near-duplicate stage keeps one, and of a
+component's rows with the smallest doc_id (a null id is the largest) one;
+decontamination looks at rows, not ids, so rows that share an id stay or go by
+their own text; PII changes ``text`` and ``n_chars`` only; an empty table passes
+through all stages."""
 
 from __future__ import annotations
 
