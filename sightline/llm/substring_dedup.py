@@ -81,9 +81,14 @@ def _span_digest(words: list[bytes], lo: int, n: int, window: int) -> bytes:
     return hashlib.blake2b(b" ".join(words[lo:lo + n + window - 1]), digest_size=16).digest()
 
 
+def _halves(digest: bytes) -> tuple[int, int]:
+    """A digest as two numbers: Spark aggregates these without sorting."""
+    return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
+
+
 def _with_paths(rows: DataFrame, paths: DataFrame) -> DataFrame:
-    """``rows`` with ``places``: the (lo, n, path) of each row's paths, each once."""
-    per_row = paths.groupBy("rid").agg(F.collect_set(F.struct("lo", "n", "path")).alias("places"))
+    """``rows`` with ``places``: the (lo, n, path) of each row's paths."""
+    per_row = paths.groupBy("rid").agg(F.collect_list(F.struct("lo", "n", "path")).alias("places"))
     return rows.join(per_row.hint("shuffle_hash"), "rid", "left").select("rid", "doc_id", "text", "places")
 
 
@@ -93,7 +98,7 @@ def _cut(marked: DataFrame, window: int, kept: bool) -> DataFrame:
     fields = SCHEMA.split(", ")[:5 if kept else 4]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        check = pa.list_(pa.struct([("path", pa.int64()), ("lo", pa.int32()), ("n", pa.int32()), ("digest", pa.binary())]))
+        check = pa.list_(pa.struct([("path", pa.int64()), ("lo", pa.int32()), ("n", pa.int32()), ("d1", pa.int64()), ("d2", pa.int64())]))
         kinds = [*([pa.int64()] * 3 + [pa.string()] * 2)[:len(fields)], pa.int64(), check]
         names = [*[f.split()[0] for f in fields], "rid", "checks"]
         for b in batches:
@@ -103,7 +108,9 @@ def _cut(marked: DataFrame, window: int, kept: bool) -> DataFrame:
                 found, rest, checks = places.as_py(), words, []
                 if found:
                     assert all(p["lo"] + p["n"] + window - 1 <= len(words) for p in found), "outside its source"
-                    checks = [{**p, "digest": _span_digest(words, p["lo"], p["n"], window)} for p in found]
+                    for p in found:
+                        d1, d2 = _halves(_span_digest(words, p["lo"], p["n"], window))
+                        checks.append({**p, "d1": d1, "d2": d2})
                     gone = covered(len(words), found, window)
                     rest = [w for w, g in zip(words, gone.tolist()) if not g]
                 body = b" ".join(rest)
@@ -113,7 +120,7 @@ def _cut(marked: DataFrame, window: int, kept: bool) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
 
-    kind = "rid long, checks array<struct<path:bigint,lo:int,n:int,digest:binary>>"
+    kind = "rid long, checks array<struct<path:bigint,lo:int,n:int,d1:bigint,d2:bigint>>"
     return marked.mapInArrow(cut, f"{', '.join(fields)}, {kind}")
 
 
@@ -153,8 +160,8 @@ def _exact_windows(rows: DataFrame, runs: DataFrame, window: int, first) -> Data
         part = written(rows.select("rid", "text").mapInArrow(occurrences, "digest binary, rid long, lo int"), "words-exact")
         found = part if found is None else found.unionByName(part)
     again = found.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest")
-    return written(found.join(again, "digest").select("rid", "lo", F.lit(1).alias("n"), F.lit(0).cast("long").alias("path")),
-                   "words-verified")
+    real = found.join(again, "digest").select("rid", "lo", F.lit(1).alias("n"), F.lit(0).cast("long").alias("path"))
+    return written(real.distinct(), "words-verified")  # equal rows have found the same
 
 
 def remove_repeated_words(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, text_col: str = "text",
@@ -170,15 +177,18 @@ def remove_repeated_words(docs: DataFrame, window: int = WINDOW, gram: int = GRA
     paths = repeated_paths(rows, window, gram, first)
     done = written(_cut(_with_paths(rows, paths), window, kept), "words-done")
     checks = done.select("rid", F.explode("checks").alias("c")).select("rid", "c.*")
-    spans = checks.groupBy("path", "digest").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("rid", "lo", "n")).alias("at"))
-    # a path of one occurrence has its like inside longer paths
-    several = spans.groupBy("path").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("path")
-    alone = written(spans.where("times = 1").join(several, "path").select("path", "at.*"), "words-alone")
-    if not alone.isEmpty():
+    # a path of one occurrence has its like inside longer paths; the others agree in
+    # one digest unless identifiers collided
+    torn = written(checks.groupBy("path").agg(*[f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("d1", "d2")])
+                   .where("min_d1 <> max_d1 OR min_d2 <> max_d2").select("path"), "words-torn")
+    if not torn.isEmpty():
+        alone = written(checks.join(torn, "path").groupBy("path", "d1", "d2").agg(
+            F.count(F.lit(1)).alias("times"), F.min(F.struct("rid", "lo", "n")).alias("at")).where("times = 1")
+            .select("path", "at.*"), "words-alone")
         good = paths.join(alone.select("rid", "lo", "n", "path"), ["rid", "lo", "n", "path"], "left_anti")
         exact = _exact_windows(rows, alone, window, first)
         done = written(_cut(_with_paths(rows, good.unionByName(exact)), window, kept), "words-done")
-    discard(paths, alone)
+    discard(paths, torn)
     return done.drop("rid", "checks")
 
 
