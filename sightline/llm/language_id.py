@@ -327,7 +327,7 @@ class Labeller:
 def language_bounds(texts: dict[str, int], max_train_rows: int = MAX_TRAIN_ROWS) -> dict[str, int]:
     """How many of each language's texts to learn from: all, or a common number
     that makes ``max_train_rows`` together, at least ``MIN_LANGUAGE_ROWS`` (with
-    many languages fewer: ten times ``max_train_rows`` together, but one of each)."""
+    many languages fewer: 20 times ``max_train_rows`` together, but one of each)."""
     left, bound = max_train_rows, 0
     for k, n in enumerate(sorted(texts.values())):
         bound = left // (len(texts) - k)
@@ -336,7 +336,7 @@ def language_bounds(texts: dict[str, int], max_train_rows: int = MAX_TRAIN_ROWS)
         left -= n
     else:
         return dict(texts)
-    least = max(1, min(MIN_LANGUAGE_ROWS, 10 * max_train_rows // len(texts)))
+    least = max(1, min(MIN_LANGUAGE_ROWS, 20 * max_train_rows // len(texts)))
     return {lang: min(n, max(bound, least)) for lang, n in texts.items()}
 
 
