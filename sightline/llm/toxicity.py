@@ -252,7 +252,8 @@ def choose_terms(sample: DataFrame, rows: int, positive: int) -> Vocabulary:
                 having[y].update(term_set(text))
                 if len(having[0]) + len(having[1]) >= COUNT_TERMS:
                     yield counts()
-        yield counts()
+        if having[0] or having[1]:
+            yield counts()
 
     counted = sample.mapInPandas(count, "term string, n long, a long").groupBy("term").agg(
         F.sum("n").alias("n"), F.sum("a").alias("a")).where(F.col("n") >= MIN_ROWS)
